@@ -8,8 +8,11 @@ folder named by ``spark.checkpoint.dir``, which all executors share.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,25 @@ ARROW_ROWS = 2000
 M64 = (1 << 64) - 1
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their PYTHONPATH already has it."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="qanat-ship-"), "qanat.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted((root / "qanat").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
+
+
 def tune(spark: SparkSession) -> None:
-    """Session settings the Python operators rely on for bounded memory."""
+    """Ships the package, and settings the Python operators rely on for bounded memory."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

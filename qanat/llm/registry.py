@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from qanat.llm import mixing, sharding
+from qanat.llm import mixing, sharding, token_files
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
+    "op7_token_files": token_files.op7_token_files,
     "op8_sainte_lague_mix": mixing.op8_sainte_lague_mix,
 }
 
