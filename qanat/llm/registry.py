@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from qanat.llm import mixing, sharding, token_files
+from qanat.llm import langid, mixing, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
+    "op3_language_id": langid.op3_language_id,
     "op7_token_files": token_files.op7_token_files,
     "op8_sainte_lague_mix": mixing.op8_sainte_lague_mix,
+    "op9_ftrl_toxicity": toxicity.op9_ftrl_toxicity,
 }
 
 ORACLE_SQL = {
