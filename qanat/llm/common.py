@@ -8,6 +8,7 @@ folder named by ``spark.checkpoint.dir``, which all executors share.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished stages now, rather
+    than when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from qanat.llm import langid, mixing, sharding, token_files, toxicity
+from qanat.llm import chunking, langid, mixing, sharding, token_files, toxicity
 
 QUERIES = {
+    "op1_chunked_media": chunking.op1_chunked_media,
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_language_id": langid.op3_language_id,
     "op7_token_files": token_files.op7_token_files,
