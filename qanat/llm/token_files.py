@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -107,15 +107,43 @@ class Encoder:
         self.n_ids += more
         self.n += len(words)
 
+    @staticmethod
+    def split(data: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The words of all documents, and how many lie before each document's end.
+
+        To have fewer distinct ones, words are also cut between an ASCII letter
+        and a comma or full stop (always an edge of pre-tokens), and an ASCII
+        capital that starts a word before an ASCII small letter is made small
+        (the tokenizer does so to all).  Both leave every id as it was.
+        """
+        if len(data) > 1:
+            first = np.ones(len(data), bool)
+            first[1:] = common.WS[data[:-1]]
+            first[offs[:-1][offs[:-1] < len(data)]] = True
+            low = np.flatnonzero(first[:-1] & (data[:-1] - 65 < 26) & (data[1:] - 97 < 26))
+            data = data.copy()
+            data[low] += 32
+            cut = ((data[1:] == 0x2C) | (data[1:] == 0x2E)) & ((data[:-1] | 32) - 97 < 26)
+            cut[offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))] - 1] = False
+            pos = np.flatnonzero(cut) + 1
+            data, offs = np.insert(data, pos, 0x20), offs + np.searchsorted(pos, offs)
+        raw, words, count = data.tobytes(), [], []
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+            words += raw[a:b].split()
+            count.append(len(words))
+        return words, np.array(count)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
         if self.n > self.limit:
             self.clear()
-        memo = self.memo
-        fresh = list({w for w in words if w not in memo})
-        for i in range(0, len(fresh), 4096):
-            self.learn(fresh[i : i + 4096])
-        at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(at < 0).tolist()
+        if miss:
+            fresh = list({words[i] for i in miss})
+            for i in range(0, len(fresh), 4096):
+                self.learn(fresh[i : i + 4096])
+            at[miss] = [self.memo[words[i]] for i in miss]
         size = self.ofs[at + 1] - self.ofs[at]
         return self.ids[np.repeat(self.ofs[at], size) + common.repeats(size)], size
 
@@ -149,12 +177,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, ro
         kind = np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32
         sizes, ids, names = [], [], []
         for rb, data, offs in common.blocks(batches):
-            raw, words, count = data.tobytes(), [], []
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                words += raw[a:b].split()
-                count.append(len(words))
+            words, count = enc.split(data, offs)
             got, size = enc.encode(words)
-            upto = np.concatenate([[0], np.cumsum(size)])[np.array(count)]
+            upto = np.concatenate([[0], np.cumsum(size)])[count]
             ids.append(np.insert(got.astype(kind), upto, end_id))
             sizes.append(np.diff(upto, prepend=0) + 1)
             names.append(rb.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
