@@ -29,7 +29,9 @@ from qanat.llm import common
 PAD, UNIT = 255, 576
 LEAST, MASK_BITS, MOST = 4096, 13, 65536
 MAGIC = b"QGC1"
-LEVEL = 6
+LEVEL = 9
+#: A chunk that more payloads list is read by several tasks, each for so many of them.
+HOT_LISTS = 4096
 GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -132,8 +134,17 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     """One row per recipe: its payload is rebuilt from the store and verified."""
     n = (F.octet_length("recipe") / 32).cast("int")
     name = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("recipe"), i * 32 + F.lit(1), F.lit(32)))
-    entries = lists.select("recipe_id", n.alias("n"), F.posexplode(name).alias("seq", "name"))
-    found = entries.join(store, "name").select("recipe_id", "n", F.struct("seq", "name", "blob").alias("chunk"))
+    entries = common.staged(lists.select("recipe_id", n.alias("n"), F.posexplode(name).alias("seq", "name")), "entries")
+    hot = common.staged(entries.groupBy("name").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > HOT_LISTS), "hot")
+    if hot.limit(1).count():
+        parts = F.ceil(F.col("__c") / HOT_LISTS).cast("int")
+        salted = entries.join(hot, "name").withColumn("__salt", F.pmod(F.hash("recipe_id", "seq"), parts)).drop("__c")
+        copies = store.join(hot, "name").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__c")
+        found = entries.join(hot, "name", "left_anti").join(store, "name")
+        found = found.unionByName(salted.join(copies, ["name", "__salt"]).drop("__salt"))
+    else:
+        found = entries.join(store, "name")
+    found = found.select("recipe_id", "n", F.struct("seq", "name", "blob").alias("chunk"))
     single = found.where("n = 1").select("recipe_id", "n", F.array("chunk").alias("chunks"))
     several = found.where("n > 1").groupBy("recipe_id", "n").agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
 
@@ -177,7 +188,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.tune(spark)
     named = common.staged(recipes(docs), "recipes")
-    store = common.staged(chunks(docs).dropDuplicates(["name"]), "chunks")
+    store = common.bucketed(chunks(docs).dropDuplicates(["name"]), "chunks", "name")
     common.release(spark)
     lists = named.groupBy("recipe_id").agg(F.first("recipe").alias("recipe"))
     return named.select("doc_id", "n_bytes", "recipe_id").join(rebuild(lists, store), "recipe_id").drop("recipe_id")

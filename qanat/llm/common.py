@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -76,11 +77,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``staged``, as a table bucketed by ``key``: later joins on it do not shuffle it again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "qanat_" + path.rpartition("-")[2]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished stages now, rather
-    than when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    than when the driver next happens to collect its garbage.  The first pass frees
+    what only Python still held, the second what that held in the JVM."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def id_text(col: str | Column) -> Column:
