@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from qanat.llm import chunking, decontamination, langid, mixing, near_dup, sharding, token_files, toxicity
+from qanat.llm import chunking, decontamination, hmm, langid, mixing, near_dup, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_chunked_media": chunking.op1_chunked_media,
+    "op10_hmm_scores": hmm.op10_hmm_scores,
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_language_id": langid.op3_language_id,
     "op4_probminhash_near_dup": near_dup.op4_probminhash_near_dup,
