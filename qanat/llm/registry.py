@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from qanat.llm import chunking, decontamination, hmm, langid, mixing, near_dup, sharding, token_files, toxicity
+from qanat.llm import chunking, decontamination, hmm, langid, mixing, near_dup, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_chunked_media": chunking.op1_chunked_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_language_id": langid.op3_language_id,
     "op4_probminhash_near_dup": near_dup.op4_probminhash_near_dup,
+    "op5_fm_substring_dedup": substring_dedup.op5_fm_substring_dedup,
     "op6_qgram_decontamination": decontamination.op6_qgram_decontamination,
     "op7_token_files": token_files.op7_token_files,
     "op8_sainte_lague_mix": mixing.op8_sainte_lague_mix,
