@@ -258,6 +258,25 @@ def matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows, all columns unchanged, in which no benchmark item is found."""
+    spark = docs.sparkSession
+    common.tune(spark)
+    out = docs
+    for run in passes(items):
+        shared = spark.sparkContext.broadcast(build(run, **options))
+
+        def task(batches, shared=shared):
+            index = shared.value
+            for rb, data, offs in common.blocks(batches):
+                good = np.ones(rb.num_rows, bool)
+                good[scan(index, data, offs)[0]] = False
+                yield rb.filter(pa.array(good))
+
+        out = out.mapInArrow(task, docs.schema)
+    return out
+
+
 def op6_qgram_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -189,6 +189,30 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
     return d.mapInArrow(task, f"{kinds}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = MIN_SCORE) -> DataFrame:
+    """The rows, all columns unchanged, whose language is known with at least ``least``
+    calibrated probability; text without a letter is rejected, and without a model
+    nothing else is."""
+    spark = docs.sparkSession
+    common.tune(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def task(batches):
+        model = shared.value
+        for rb, data, offs in common.blocks(batches):
+            good = np.zeros(rb.num_rows, bool)
+            if model is not None:
+                v, sq = model.idf[:, None] * model.weights, (model.idf**2)[:, None]
+            for a, m, has in counts(data, offs):
+                p = np.ones((len(m), 1))
+                if model is not None:
+                    p = _probabilities((m @ v) / np.maximum(np.sqrt((m * m) @ sq), 1e-9) + model.bias, model.temperature)
+                good[a : a + len(m)] = has & (p.max(1) >= least)
+            yield rb.filter(pa.array(good))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, common.fold_of("doc_id", 3) != 1)

@@ -147,6 +147,15 @@ def mix(
     return dealt.withColumn("taken", taken).select(*base.columns, "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows, all columns unchanged: every document as often as its taken words
+    are its size, rounded (0 to ``passes`` times); documents without words go."""
+    m = mix(docs, **options)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).otherwise(0).cast("int")
+    m = m.withColumn("__times", times).where("__times > 0")
+    return m.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 def op8_sainte_lague_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
