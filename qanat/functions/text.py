@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.config import ChunkConfig
@@ -72,13 +72,15 @@ def metric_tokens(text: Column, folding: Folding = ARABIC) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
-def windows(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
-    """Overlapping word windows as an array of strings.
+def windows(df: DataFrame, column: str, out: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Adds ``out``: the overlapping word windows of a text column as an array of strings.
 
     Window s exists if the one before ended short of the last word, that is for
     s = 0, stride, 2 stride ... up to the number of words less the overlap less 1.
+    The words are a projection of their own, so that they are made once a row
+    and not once a window.
     """
-    stride = config.size - config.overlap
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - config.overlap - 1), F.lit(stride))
-    return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(config.size)), " "))
+    w = F.col("__words")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - config.overlap - 1), F.lit(config.size - config.overlap))
+    made = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(config.size)), " "))
+    return df.withColumn("__words", words(F.col(column))).withColumn(out, made).drop("__words")

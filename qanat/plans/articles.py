@@ -50,7 +50,8 @@ def chunk_text(title, kind, section, league, teams, day, body, index, total, lab
 
 def chunks(kept: DataFrame, folding: text.Folding = text.ARABIC, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """One row a word window of the folded body."""
-    w = kept.withColumn("__w", text.windows(text.fold(F.col("body_clean"), folding), config))
+    folded = kept.withColumn("__folded", text.fold(F.col("body_clean"), folding))
+    w = text.windows(folded, "__folded", "__w", config).drop("__folded")
     c = w.select("*", F.size("__w").alias("total_chunks"), F.posexplode("__w").alias("chunk_index", "__body")).drop("__w")
     body = chunk_text(
         F.coalesce("title_norm", "title"), F.col("article_type"), F.col("section"), F.col("league"), F.col("teams"),

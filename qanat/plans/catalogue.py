@@ -13,7 +13,7 @@ from qanat.plans import evaluation, oracle
 from qanat.plans import stand_ins as si
 from qanat.plans.retrieval import retrieve
 from qanat.sources import html
-from qanat.sources.tables import first_wins, not_done, scan_plan, table
+from qanat.sources.tables import first_wins, not_done, scan_plan, spread, table
 from qanat.streaming import incremental
 
 def _now():
@@ -23,7 +23,7 @@ K = 10
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return si.documents(spark, d)
 
 
 def doc_normalize_fold(spark, d):
@@ -44,7 +44,7 @@ def term_df_idf(spark, d):
 
 
 def doc_chunks(spark, d):
-    w = _docs(spark, d).select("doc_id", text.windows(F.col("text")).alias("w"))
+    w = text.windows(_docs(spark, d).select("doc_id", "text"), "text", "w")
     return w.select("doc_id", F.size("w").cast("long").alias("total_chunks"), F.posexplode("w").alias("chunk_index", "part")).select(
         F.concat_ws("_", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks",
         F.size(text.words(F.col("part"))).cast("long").alias("n_words"), F.md5("part").alias("part_md5"),
@@ -55,7 +55,7 @@ LABELS = {"title": "title", "type": "type", "section": "section", "league": "lea
 
 
 def chunk_text_prefix(spark, d):
-    w = si.articles(spark, d).withColumn("w", text.windows(F.col("text")))
+    w = text.windows(si.articles(spark, d), "text", "w")
     w = w.select("*", F.size("w").alias("total"), F.posexplode("w").alias("i", "part"))
     title = F.substring("text", 1, 60)
     made = art.chunk_text(
@@ -122,7 +122,7 @@ flagship = hybrid_retrieve
 def clean_markup_steps(spark, d):
     steps = [(r"(?s)<script.*?</script>", ""), (r"(?s)<style.*?</style>", ""), (r"https?://\S+", ""), (r"<[^>]+>", " "), (r"&[a-z]+;", " "), (r"[ \t]{2,}", " ")]
     cleaned = F.trim(clean.replace_all(F.col("html"), steps))
-    return table(spark, d, "pages").select("page_id", F.length(cleaned).cast("long").alias("n"), F.md5(cleaned).alias("clean_md5"))
+    return spread(table(spark, d, "pages")).select("page_id", F.length(cleaned).cast("long").alias("n"), F.md5(cleaned).alias("clean_md5"))
 
 
 def clean_adjacent_dup(spark, d):
@@ -264,7 +264,7 @@ def html_title_links(spark, d):
 
 
 def html_article_body(spark, d):
-    return html.parse_pages(table(spark, d, "pages"), path="").select(
+    return html.parse_pages(spread(table(spark, d, "pages")), path="").select(
         "page_id", "title", F.length("body").cast("long").alias("n"), F.md5("body").alias("body_md5"), F.size("tags").cast("long").alias("n_tags"), "source_url"
     )
 

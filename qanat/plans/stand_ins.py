@@ -7,19 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.functions import text
-from qanat.sources.tables import table
+from qanat.sources.tables import spread, table
 
 NOW = "2025-01-01"
 CHUNKS = 1000  # units of a document are doc_id * CHUNKS + chunk number
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def pub_day():
     return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "text", F.col("lang").alias("league"), F.col("source").alias("article_type"), pub_day().alias("pub_date"))
+    return documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("league"), F.col("source").alias("article_type"), pub_day().alias("pub_date"))
 
 
 def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,8 @@ def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word windows as units."""
-    c = articles(spark, sf_dir).select("doc_id", "pub_date", "league", "article_type", F.posexplode(text.windows(F.col("text"))).alias("i", "part"))
+    c = text.windows(articles(spark, sf_dir), "text", "w")
+    c = c.select("doc_id", "pub_date", "league", "article_type", F.posexplode("w").alias("i", "part"))
     return c.select(
         (F.col("doc_id") * CHUNKS + F.col("i")).alias("unit"), F.col("doc_id").alias("doc"), text.plain_tokens(F.col("part")).alias("tokens"), "pub_date", "league", "article_type"
     )

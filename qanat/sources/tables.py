@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores where the source is fewer splits than that (a small file
+    of one row group); larger sources keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE) -> DataFrame:
     """JSON lines with an order column (``file``, ``line``).  Blank and malformed lines go,
     as do rows whose first field is null or 0.  Lines of a file keep their order."""

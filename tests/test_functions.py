@@ -32,13 +32,14 @@ def test_tokens(spark):
 @pytest.mark.parametrize("n, starts", [(0, [0]), (10, [0]), (300, [0]), (301, [0, 240]), (540, [0, 240]), (541, [0, 240, 480]), (700, [0, 240, 480])])
 def test_windows(spark, n, starts):
     words = [f"w{i}" for i in range(n)]
-    got = one(spark, text.windows(F.col("t")), t=" ".join(words))
+    got = text.windows(spark.createDataFrame([(" ".join(words),)], "t string"), "t", "w").first().w
     assert got == [" ".join(words[s : s + 300]) for s in starts]
 
 
 def test_windows_overlap(spark):
     words = [str(i) for i in range(95)]
-    got = [w.split() for w in one(spark, text.windows(F.col("t"), ChunkConfig(30, 10)), t=" ".join(words))]
+    df = spark.createDataFrame([(" ".join(words),)], "t string")
+    got = [w.split() for w in text.windows(df, "t", "w", ChunkConfig(30, 10)).first().w]
     assert set(sum(got, [])) == set(words)
     assert all(a[-10:] == b[:10] for a, b in zip(got, got[1:]))
 
