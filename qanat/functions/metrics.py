@@ -19,6 +19,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def text_similarity(a_text: Column, b_text: Column, a: Column, b: Column) -> Column:
+    """Cosine of the texts' unit vectors; 0 if either text is empty."""
+    full = (F.coalesce(a_text, F.lit("")) != "") & (F.coalesce(b_text, F.lit("")) != "")
+    return F.when(full, cosine(a, b)).otherwise(0.0)
+
+
 def keyword_hit(texts: Column, keywords: Column, k: int | None = None) -> Column:
     """Share of the keywords contained in the first k texts (all: None); 1 without keywords."""
     joined = F.lower(F.array_join(texts if k is None else F.slice(texts, 1, k), " "))

@@ -290,17 +290,8 @@ def _cases(spark, d):
 def _experiments(spark, d):
     """Hits of three retrievers, five a case, with their texts."""
     q = _cases(spark, d)
-    units, v = si.doc_units(spark, d), si.vectors(spark, d)
-    sparse, near = bm25.search(units, q, 50), dense.search(v, q, 50)
-    cfg = RetrievalConfig(k_final=5)
-    meta = _meta(spark, d)
-    runs = {"1_sparse": (sparse, None), "2_dense": (None, near), "3_hybrid": (sparse, near)}
-    hits = None
-    for name, (s, n) in runs.items():
-        one = fusion.finish(fusion.fuse(s, n), meta, _now(), {}, cfg).select(F.lit(name).alias("experiment"), "qid", "unit", "rank")
-        hits = one if hits is None else hits.unionByName(one)
     texts = _docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
-    return hits.join(texts, "unit"), q
+    return evaluation.ablation(si.doc_units(spark, d), si.vectors(spark, d), q, _now(), texts), q
 
 
 def metric_retrieval(spark, d):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qanat.config import RetrievalConfig
 from qanat.functions import metrics as m
 from qanat.functions.text import ARABIC, Folding
+from qanat.operators import bm25, dense, fusion
 
 METRICS = ["rouge1", "keyword_hit", "hit_at_1", "recall_at_3", "mrr"]
 
@@ -38,6 +40,52 @@ def winner(summaries: DataFrame) -> DataFrame:
     return summaries.orderBy(F.col("mrr").desc(), "experiment").limit(1)
 
 
+def ablation(units: DataFrame, vectors: DataFrame | None, cases: DataFrame, now, texts: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
+    """Hits (experiment, qid, unit, rank, text) of the sparse, dense and hybrid retriever for
+    every case (qid, tokens, vector).  Both ranked pools are made once and shared."""
+    config = RetrievalConfig(k_final=k, pool=pool)
+    sparse = bm25.search(units, cases, pool)
+    near = dense.search(vectors, cases, pool) if vectors is not None else None
+    runs = {"1_sparse": (sparse, None), **({"2_dense": (None, near), "3_hybrid": (sparse, near)} if near is not None else {})}
+    hits = None
+    for name, (s, n) in runs.items():
+        one = fusion.finish(fusion.fuse(s, n, config), units.drop("tokens"), now, {}, config).select(F.lit(name).alias("experiment"), "qid", "unit", "rank")
+        hits = one if hits is None else hits.unionByName(one)
+    return hits.join(texts, "unit")
+
+
+CASES = "question string, reference string, intent string, difficulty string, keywords array<string>, expected_refusal boolean"
+
+
+def load_cases(spark: SparkSession, path: str, default: DataFrame | None = None) -> DataFrame:
+    """The evaluation set at ``path``; where there is none, ``default`` is written there first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(CASES).json(path).fillna({"expected_refusal": False})
+    except AnalysisException:
+        if default is None:
+            raise
+        default.write.mode("errorifexists").json(path)
+        return spark.read.schema(CASES).json(path).fillna({"expected_refusal": False})
+
+
+def evaluate_answers(engine, cases: DataFrame, stem: str, error: str) -> DataFrame:
+    """Asks every case (one after the other, streamed from the cluster) and returns one row a
+    case for ``answers_summary``.  Keywords are looked for in the answer and its source titles."""
+    spark = cases.sparkSession
+    rows = []
+    for c in cases.toLocalIterator():
+        a = engine.ask(c["question"])
+        rows.append((a["answer"], c["reference"], [a["answer"], *[s["title"] for s in a["sources"]]], c["keywords"] or [], a["intent"], c["intent"], bool(c["expected_refusal"])))
+    got = spark.createDataFrame(rows, "answer string, reference string, texts array<string>, keywords array<string>, intent string, expected string, refusal boolean")
+    return got.select(
+        F.contains("answer", F.lit(error)).alias("failed"), "refusal", "expected", m.rouge1_f1(F.col("answer"), F.col("reference")).alias("similarity"),
+        m.keyword_hit(F.col("texts"), F.col("keywords")).alias("keyword_hit"), m.intent_accuracy(F.col("intent"), F.col("expected"), F.col("refusal")).alias("intent_ok"),
+        F.contains("answer", F.lit(stem)).cast("int").alias("refused"),
+    )
+
+
 def answers_summary(rows: DataFrame) -> DataFrame:
     """Counts and means of generated answers (failed, refusal, similarity, keyword_hit,
     intent_ok, refused).  Failures are not scored; content means leave refusal cases

@@ -226,3 +226,32 @@ def test_stream(spark, tmp_path):
     batch = rows.withColumn("at", F.to_timestamp("ts"))
     n = incremental.over_limit(incremental.request_counts(batch, "article_id", "at"), 1).orderBy("article_id", "window_start").collect()
     assert [(r.article_id, r.n, r.rejected) for r in n] == [(1, 2, 1), (2, 1, 0)]
+
+
+def test_cli_and_answer_evaluation(spark, tmp_path):
+    import json
+
+    from qanat import cli
+    from qanat.engine import source_cards
+    from qanat.functions import answering
+
+    body = " ".join(f"تشكيل الزمالك الكامل{i}" for i in range(40))
+    raw = [{"article_id": 7, "title": "تشكيل الزمالك", "body": body, "section": "x", "tags": [], "article_type": "lineup", "pub_date": "2024-05-05", "source_url": "u"}]
+    (tmp_path / "raw.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in raw))
+    out = str(tmp_path / "out")
+    assert cli.run_articles(spark, str(tmp_path / "none.jsonl"), out) is None
+    assert cli.run_articles(spark, str(tmp_path / "raw.jsonl"), out)["articles_processed"] == 1
+    a = cli.ask(spark, out + "/chunks", "ما هو تشكيل الزمالك")
+    assert a["n_chunks"] == 1 and a["sources"][0]["chunk_id"] == "7_0"
+    assert source_cards(a["sources"]).count("<a href=") == 1
+    pages = spark.createDataFrame([(12345, "http://s/articles/12345", PAGE)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    for _ in range(2):
+        cli.parse_pages(spark, str(tmp_path / "pages"), str(tmp_path / "parsed"), "/articles/", str(tmp_path / "parsed"))
+    assert spark.read.json(str(tmp_path / "parsed")).count() == 1
+    rows = [("ما هو تشكيل الزمالك", "خبر", "lineup", "easy", ["التشكيل"], None), ("كيف الطقس اليوم", "", "general_football", "easy", [], True)]
+    cases = evaluation.load_cases(spark, str(tmp_path / "cases"), spark.createDataFrame(rows, evaluation.CASES))
+    s = evaluation.answers_summary(evaluation.evaluate_answers(engine(spark), cases, ar.REFUSAL_STEM, ar.ERROR_ANSWER)).first()
+    assert (s.n_cases, s.n_refusal, s.keyword_hit, s.intent_accuracy, s.refusal_accuracy) == (2, 1, 1.0, 1.0, 1.0)
+    prompt = spark.range(1).select(answering.user_prompt(F.lit("ctx"), F.lit("<|q")), answering.plain_entry(F.lit(1), F.lit("t"), F.lit("2024-01-02T"), F.lit("l"), F.lit("b"))).first()
+    assert prompt[0] == engine(spark).prompt("ctx", "q") and prompt[1] == "[1] t (2024-01-02) — l\nb"
