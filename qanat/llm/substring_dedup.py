@@ -7,7 +7,8 @@ Every window has an anchor: its four-word gram of least hash, the leftmost of
 equals.  Equal windows have equal anchors, so passages are routed to shards by
 anchor and no window is compared across shards.  Only anchors that occur in
 more than one text are routed.  The windows of a document that share an anchor
-form a passage; equal passages are merged first, keeping the least id.  Each
+form a passage; equal passages are merged first, keeping the least id.  Windows
+of an anchor that is very frequent have a longer anchor (ten words) instead.  Each
 shard builds an FM-index over its passages and streams them through it:
 backward search keeps the windows found in full more than once and the least
 document id of their interval.  Texts equal to one with a lesser id are not
@@ -27,11 +28,25 @@ from qanat.llm.fm_index import FmIndex
 
 WINDOW = 13
 GRAM = 4
-#: Anchors with more occurrences are routed by their windows' hashes, one window a passage.
-HOT = 16384
+#: Windows whose anchor occurs more often have a longer anchor instead, of ``LONG`` words.
+HOT = 2048
+LONG = 10
 _POS = 26
 
 
+def least_gram(words: np.ndarray, at: np.ndarray, gram: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Position and hash of the gram of least hash, the leftmost of equals, in the windows that start at ``at``."""
+    v = common.mix64(common.gram_hashes(words, gram), 70 + gram)
+    low = ((v >> np.uint64(_POS)) << np.uint64(_POS)) | np.arange(len(v), dtype=np.uint64)
+    span, width = window - gram + 1, 1
+    while width < span:
+        k = min(width, span - width)
+        low = np.minimum(low[:-k], low[k:])
+        width += k
+    pos = (low[at] & np.uint64((1 << _POS) - 1)).astype(np.int64)
+    return pos, v[pos]
+
+
 def anchored(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """Words (hashes), document ranges, and for every window its start, document, anchor position and hash."""
     starts, ends, first = common.spans(data, offs)
@@ -43,16 +58,12 @@ def anchored(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int
     if not len(at):
         z = np.zeros(0, np.int64)
         return words, first, z, z, z, np.zeros(0, np.uint64)
-    v = common.mix64(common.gram_hashes(words, gram), 77)
-    key = ((v >> np.uint64(_POS)) << np.uint64(_POS)) | np.arange(len(v), dtype=np.uint64)
-    span, width = window - gram + 1, 1
-    low = key
-    while width < span:
-        k = min(width, span - width)
-        low = np.minimum(low[:-k], low[k:])
-        width += k
-    pos = (low[at] & np.uint64((1 << _POS) - 1)).astype(np.int64)
-    return words, first, at, doc, pos, v[pos]
+    return words, first, at, doc, *least_gram(words, at, gram, window)
+
+
+def names(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every run of words: the name of a passage."""
+    return common.run_hashes(words, a, b).view(np.int64), common.run_hashes(common.mix64(words, 9), a, b).view(np.int64)
 
 
 def runs(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -75,54 +86,52 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(route, words, doc_id, start) of the passages around the listed anchors of every document."""
+    """(route, words, h1, h2, doc_id, start) of the passages around the listed anchors of every document."""
 
     def task(batches):
         for rb, data, offs in common.blocks(batches):
             words, first, at, doc, pos, v = anchored(data, offs)
-            if not len(at):
-                continue
             lists = rb.column(2)
             flat = lists.flatten()
+            if not len(at) or not len(flat):
+                continue
             own = np.repeat(np.arange(rb.num_rows), np.diff(np.asarray(lists.offsets)))
             code = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
             hot = flat.field(1).to_numpy(zero_copy_only=False).astype(bool)
-            r = runs(doc, pos)
-            stop = np.append(r[1:], len(at))
-            # a listed anchor of the same document
-            order = np.lexsort((code, own))
-            own, code, hot = own[order], code[order], hot[order]
+            # windows whose anchor is listed for their document
             mixed = common.mix64(code ^ common.mix64(own.astype(np.uint64), 5), 6)
             back = np.argsort(mixed)
+            r = runs(doc, pos)
             want = common.mix64(v[r] ^ common.mix64(doc[r].astype(np.uint64), 5), 6)
-            if not len(mixed):
-                continue
-            f = np.minimum(np.searchsorted(mixed, want, sorter=back), len(mixed) - 1)
-            hit = mixed[back[f]] == want
-            r, stop, is_hot = r[hit], stop[hit], hot[back[f[hit]]]
-            a, b, d, route = at[r], at[stop - 1] + WINDOW, doc[r], v[r]
+            f = back[np.minimum(np.searchsorted(mixed, want, sorter=back), len(mixed) - 1)]
+            hit = mixed[f] == want
+            n = np.diff(np.append(r, len(at)))
+            listed, is_hot = np.repeat(hit, n), np.repeat(hit & hot[f], n)
             if is_hot.any():
-                n = np.where(is_hot, stop - r, 1)
-                step = common.repeats(n)
-                a, b, d, route, is_hot = (np.repeat(x, n) for x in (a, b, d, route, is_hot))
-                a = np.where(is_hot, a + step, a)
-                b = np.where(is_hot, a + WINDOW, b)
-                route[is_hot] = common.run_hashes(words, a[is_hot], b[is_hot])
+                again = np.flatnonzero(is_hot)
+                long_pos, long_v = least_gram(words, at[again], LONG)
+                pos[again], v[again] = -1 - long_pos, long_v
+            use = np.flatnonzero(listed)
+            at, doc, pos, v = at[use], doc[use], pos[use], v[use]
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (at[1:] != at[:-1] + 1)
+            r = np.flatnonzero(new)
+            a, b, d = at[r], at[np.append(r[1:], len(at)) - 1] + WINDOW, doc[r]
+            h1, h2 = names(words, a, b)
             raw = words.tobytes()
             body = pa.array([raw[8 * x : 8 * y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), body, rb.column(0).take(pa.array(d)), pa.array(a - first[d])],
-                ["route", "words", "doc_id", "start"],
+                [pa.array(v[r].view(np.int64)), body, pa.array(h1), pa.array(h2), rb.column(0).take(pa.array(d)), pa.array(a - first[d])],
+                ["route", "words", "h1", "h2", "doc_id", "start"],
             )
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(task, "route long, words binary, doc_id long, start long")
+    return docs.select("doc_id", "text", "anchors").mapInArrow(task, "route long, words binary, h1 long, h2 long, doc_id long, start long")
 
 
-def search(words: list[np.ndarray], doc: np.ndarray, window: int = WINDOW):
+def search(words: np.ndarray, size: np.ndarray, doc: np.ndarray, window: int = WINDOW):
     """Least document id of every window of every passage of a shard, where the window occurs
-    more than once; else the passage's own."""
-    size = np.array([len(w) for w in words])
-    _, code = np.unique(np.concatenate(words), return_inverse=True)
+    more than once; else the passage's own.  Passages lie one after the other in ``words``."""
+    _, code = np.unique(words, return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.zeros(at[-1], np.int64)
     text[np.repeat(at[:-1], size) + common.repeats(size)] = code + 1
@@ -142,22 +151,32 @@ def search(words: list[np.ndarray], doc: np.ndarray, window: int = WINDOW):
 
 
 def searched(distinct: DataFrame, shards: int) -> DataFrame:
-    """(words, least) for the passages with a window that a lesser id shares; one shard a task."""
+    """(h1, h2, least) of the passages that several documents have or with a window found
+    elsewhere; one shard a task."""
 
     def task(batches):
-        held = [(rb.column(1).to_pylist(), rb.column(2).to_numpy(zero_copy_only=False)) for rb in batches]
-        body = [w for x, _ in held for w in x]
-        if not body:
+        raw, size, docs, many = [], [], [], []
+        for rb in batches:
+            data, offs = common.utf8(rb.column(1))
+            raw.append(np.frombuffer(data.tobytes(), np.uint64))
+            size.append(np.diff(offs) // 8)
+            docs.append(rb.column(2).to_numpy(zero_copy_only=False))
+            many.append(rb.column(3).to_numpy(zero_copy_only=False))
+        if not raw or not sum(map(len, size)):
             return
-        least, cut = search([np.frombuffer(w, np.uint64) for w in body], np.concatenate([d for _, d in held]))
-        for i in range(0, len(body), 4096):
-            part = range(i, min(i + 4096, len(body)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([body[k] for k in part], pa.binary()), pa.array([least[cut[k] : cut[k + 1]].tobytes() for k in part], pa.binary())],
-                ["words", "least"],
-            )
+        words, size, docs, many = (np.concatenate(x) for x in (raw, size, docs, many))
+        cut = np.concatenate([[0], np.cumsum(size)])
+        least, ends = search(words, size, docs)
+        h1, h2 = names(words, cut[:-1], cut[1:])
+        lower = np.concatenate([[0], np.cumsum(least != np.repeat(docs, np.diff(ends)))])
+        keep = np.flatnonzero((many > docs) | (lower[ends[1:]] > lower[ends[:-1]]))
+        body = least.astype("<i8").tobytes()
+        for i in range(0, len(keep), 8192):
+            k = keep[i : i + 8192]
+            parts = [body[8 * x : 8 * y] for x, y in zip(ends[k].tolist(), ends[k + 1].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h1[k]), pa.array(h2[k]), pa.array(parts, pa.binary())], ["h1", "h2", "least"])
 
-    return distinct.select("route", "words", "doc_id").repartition(shards, "route").mapInArrow(task, "words binary, least binary")
+    return distinct.select("route", "words", "doc_id", "last").repartition(shards, "route").mapInArrow(task, "h1 long, h2 long, least binary")
 
 
 def covered(found: DataFrame) -> DataFrame:
@@ -165,15 +184,21 @@ def covered(found: DataFrame) -> DataFrame:
 
     def task(batches):
         for rb in batches:
-            docs, lo, hi = [], [], []
-            for d, s, raw in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
-                bad = np.concatenate([[0], np.frombuffer(raw, np.int64) < d, [0]])
-                edge = np.diff(bad)
-                a = np.flatnonzero(edge == 1) + s
-                docs += [d] * len(a)
-                lo += a.tolist()
-                hi += (np.flatnonzero(edge == -1) + s + WINDOW - 1).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "a", "b"])
+            if not rb.num_rows:
+                continue
+            data, offs = common.utf8(rb.column(2))
+            least, cut = np.frombuffer(data.tobytes(), "<i8"), offs // 8
+            doc, start = (rb.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            row = np.repeat(np.arange(rb.num_rows), np.diff(cut))
+            bad = least < doc[row]
+            edge = np.ones(len(bad) + 1, bool)
+            edge[1:-1] = row[1:] != row[:-1]
+            opens = np.flatnonzero(bad & (edge[:-1] | ~np.concatenate([[False], bad[:-1]])))
+            closes = np.flatnonzero(bad & (edge[1:] | ~np.concatenate([bad[1:], [False]])))
+            at = lambda i: start[row[i]] + i - cut[row[i]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[row[opens]]), pa.array(at(opens)), pa.array(at(closes) + WINDOW)], ["doc_id", "a", "b"]
+            )
 
     return found.select("doc_id", "start", "least").mapInArrow(task, "doc_id long, a long, b long")
 
@@ -229,9 +254,9 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     common.release(spark)
     parts = common.staged(passages(d.join(todo.hint("shuffle_hash"), ["doc_id", "key"])), "passages")
     common.release(spark)
-    found = searched(parts.groupBy("route", "words").agg(F.min("doc_id").alias("doc_id")), shards)
-    found = common.staged(found, "least")
-    ranges = covered(parts.select("words", "doc_id", "start").join(found, "words"))
+    distinct = parts.groupBy("route", "words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    found = common.staged(searched(distinct, shards), "least")
+    ranges = covered(parts.select("h1", "h2", "doc_id", "start").join(found, ["h1", "h2"]))
     cuts = common.staged(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("cuts")), "cuts")
 
     fate = known.join(texts, "key").select("doc_id", "key", (F.col("rep") < F.col("doc_id")).alias("copy"))
