@@ -388,13 +388,25 @@ def test_decontamination_is_the_alignment(spark):
             starts = sorted({*range(0, max(len(x) - 120, 0) + 1, 60), max(len(x) - 120, 0)})
             for s in starts:
                 part = x[s : s + 120]
-                if len(part) >= 12 and edits(part, fold(t)) <= min(int(0.05 * len(part)), (len(part) - 12) // 12):
+                q, e = decontamination.Q, decontamination.ERROR
+                if len(part) >= q and edits(part, fold(t)) <= min(int(e * len(part)), (len(part) - q) // q):
                     want.add((i, j))
     assert got == want and 20 < len(want) < 60
     clean = {r.doc_id for r in decontamination.clean(d, b).collect()}
     assert clean == set(range(60)) - {i for i, _ in want}
 
 
+def test_gram_hashes(monkeypatch):
+    c = np.random.default_rng(0).integers(0, 4, 300).astype(np.uint32)
+    for q in (1, 2, 3, 7, 8, 10, 12):
+        monkeypatch.setattr(decontamination, "Q", q)
+        h = decontamination.grams(c)
+        names = {}
+        assert len(h) == 301 - q
+        assert all(names.setdefault(tuple(c[i : i + q].tolist()), x) == x for i, x in enumerate(h.tolist()))
+        assert len(set(names.values())) == len(names)
+
+
 def test_decontamination_awkward(spark):
     docs = awkward(spark)
     rng = random.Random(7)
@@ -428,10 +440,10 @@ def test_token_files(spark, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
-    docs = awkward(spark).where("doc_id is not null")
-    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    docs = awkward(spark)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     parts = token_files.write(docs, tokenizer, str(tmp_path / "t"), rows_per_part=4)
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(parts).collect())
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(parts).collect()), key=lambda r: r[0])
     at, want = 0, []
     for i, t in rows:
         ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
