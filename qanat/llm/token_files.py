@@ -23,6 +23,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from qanat.llm import common
 
 MAGIC = b"QTOKIDX1"
 END_ID = 1
+#: Stands for a null document id in the index.
+NO_ID = -(1 << 63)
 #: Distinct words whose ids one Python worker remembers.
 MEMO_WORDS = 3 << 19
 PARTS = "pid int, path string, n_docs long, n_ids long"
@@ -161,8 +164,8 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, rows_per_part: int = 1 << 14) -> DataFrame:
     """Writes the files and returns one row per partition: pid, path, n_docs, n_ids, base.
 
-    Null text is empty: its ids are the end id alone.  Rows that repeat an id
-    are ordered by their text.  An empty table writes no file.
+    Null text is empty: its ids are the end id alone.  Rows without id come first;
+    rows that repeat an id are ordered by their text.  An empty table writes no file.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -182,7 +185,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, ro
             upto = np.concatenate([[0], np.cumsum(size)])[count]
             ids.append(np.insert(got.astype(kind), upto, end_id))
             sizes.append(np.diff(upto, prepend=0) + 1)
-            names.append(rb.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            names.append(pc.fill_null(rb.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
         if not sizes:
             return
         base = f"{folder}/{pid:05d}"
@@ -215,7 +218,7 @@ def read(parts: DataFrame) -> DataFrame:
                 ids = _get(f"{path}.ids", f"<u{width}")
                 crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(names)), pa.array(base + offs[:-1]), pa.array(np.diff(offs)), pa.array(crcs, pa.int64())],
+                    [pa.array(np.array(names), mask=np.array(names) == NO_ID), pa.array(base + offs[:-1]), pa.array(np.diff(offs)), pa.array(crcs, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
