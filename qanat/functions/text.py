@@ -72,15 +72,18 @@ def metric_tokens(text: Column, folding: Folding = ARABIC) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
-def windows(df: DataFrame, column: str, out: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Adds ``out``: the overlapping word windows of a text column as an array of strings.
+def windows(df: DataFrame, column: str, out: str, config: ChunkConfig = ChunkConfig(), joined: bool = True) -> DataFrame:
+    """Adds ``out``: the overlapping word windows of a text column, an array of strings
+    (of word arrays unless ``joined``).
 
     Window s exists if the one before ended short of the last word, that is for
     s = 0, stride, 2 stride ... up to the number of words less the overlap less 1.
     The words are a projection of their own, so that they are made once a row
-    and not once a window.
+    and not once a window.  There is always a window: explode with the outer form,
+    else the optimizer infers a filter that makes the windows a second time.
     """
     w = F.col("__words")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - config.overlap - 1), F.lit(config.size - config.overlap))
-    made = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(config.size)), " "))
+    part = lambda s: F.slice(w, s + 1, F.lit(config.size))
+    made = F.transform(starts, lambda s: F.array_join(part(s), " ") if joined else part(s))
     return df.withColumn("__words", words(F.col(column))).withColumn(out, made).drop("__words")

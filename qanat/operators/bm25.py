@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ def postings(units: DataFrame) -> DataFrame:
 def vocabulary(units: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
     """(term, df, idf): idf = ln(N - df + 1/2) - ln(df + 1/2); negatives become
     epsilon times the mean over the whole vocabulary, negatives included."""
-    df = units.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = units.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = units.agg(F.count(F.lit(1)).alias("n_units"))
     raw = df.crossJoin(n).withColumn("raw", F.log(F.col("n_units") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     # one row: the mean comes from the few distinct document frequencies
@@ -27,34 +32,94 @@ def vocabulary(units: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(units: DataFrame, queries: DataFrame, k: int, config: Bm25Config = Bm25Config(), pad: bool = False) -> DataFrame:
+#: Queries that are scored in one pass over the units: what is sent to tasks is bounded.
+BLOCK = 1024
+#: Units of one scoring step.
+STEP = 512
+
+
+def search(
+    units: DataFrame, queries: DataFrame, k: int, config: Bm25Config = Bm25Config(), pad: bool = False, block: int = BLOCK
+) -> DataFrame:
     """(qid, unit, score, rank) of the k best units of every query (qid, tokens).
 
     Repeated query tokens count as often as they occur.  Units without a query
     token are left out unless ``pad`` (they then fill up to k, least unit first).
-    Only the postings of query terms are grouped and joined; ties go to the
-    lesser unit.
+    Ties go to the lesser unit.
+
+    A block of queries travels to the units: each step scores its units against
+    all of them by one matrix product and keeps k a query, so neither postings
+    nor (query, unit) pairs of common terms are ever shuffled.
     """
-    sized = units.select("unit", "tokens", F.size("tokens").alias("dl"))
-    mean = sized.agg((F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct().join(vocabulary(units, config).select("term", "idf"), "term")
-    hits = (
-        sized.select("unit", "dl", F.explode("tokens").alias("term"))
-        .join(wanted, "term")
-        .groupBy("unit", "dl", "term", "idf")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
-    part = hits.crossJoin(mean).withColumn("part", F.col("idf") * F.col("tf") * (config.k1 + 1) / norm)
-    scored = part.join(asked, "term").groupBy("qid", "unit").agg(F.round(F.sum(F.col("part") * F.col("qtf")), config.digits).alias("score"))
+    asked = [(r["qid"], r["tokens"]) for r in queries.select("qid", "tokens").orderBy("qid").toLocalIterator()]
+    known, mean = statistics(units, queries.select(F.explode("tokens").alias("term")).distinct(), config)
+    scored = None
+    for a in range(0, max(len(asked), 1), block):
+        got = _scored(units, asked[a : a + block], known, mean, k, config)
+        scored = got if scored is None else scored.unionByName(got)
     if pad:
-        least = units.select("unit").orderBy("unit").limit(k)
-        fill = queries.select("qid").distinct().crossJoin(least).join(scored, ["qid", "unit"], "left_anti")
+        least = units.select(F.col("unit").cast("long")).orderBy("unit").limit(k)
+        fill = queries.select(F.col("qid").cast("long")).distinct().crossJoin(least).join(scored, ["qid", "unit"], "left_anti")
         scored = scored.unionByName(fill.withColumn("score", F.lit(0.0)))
     return ranked(scored, k)
 
 
+def statistics(units: DataFrame, terms: DataFrame, config: Bm25Config) -> tuple[dict[str, float], float]:
+    """idf of the given terms and the mean length of a unit, from one pass over the units: a
+    null term stands for the unit itself and carries its length."""
+    marked = F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))
+    seen = units.select(F.size("tokens").alias("dl"), F.explode_outer(marked).alias("term")).groupBy("term")
+    seen = seen.agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")).persist()
+    try:
+        whole = seen.where("term is null").first()
+        if whole is None:
+            return {}, 1.0
+        raw = lambda df: math.log(whole["df"] - df + 0.5) - math.log(df + 0.5)
+        hist = seen.where("term is not null").groupBy("df").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()
+        parts = [(r["n"], r["n"] * raw(r["df"])) for r in hist]
+        floor = config.epsilon * sum(x for _, x in parts) / max(1, sum(n for n, _ in parts))
+        found = {r["term"]: raw(r["df"]) for r in seen.join(terms, "term").select("term", "df").toLocalIterator()}
+        return {t: floor if x < 0 else x for t, x in found.items()}, (whole["dl"] or 0) / whole["df"] or 1.0
+    finally:
+        seen.unpersist()
+
+
+def _scored(units: DataFrame, asked: list, known: dict, mean: float, k: int, config: Bm25Config) -> DataFrame:
+    words = sorted({w for _, t in asked for w in t or [] if w in known})
+    place = {w: i for i, w in enumerate(words)}
+    wanted = np.zeros((len(words), len(asked)))
+    for j, (_, t) in enumerate(asked):
+        for w in t or []:
+            if w in place:
+                wanted[place[w], j] += 1
+    qid, idf = np.array([q for q, _ in asked], np.int64), np.array([known[w] for w in words])
+    names = pa.array(words, pa.string())
+
+    def task(batches):
+        for rb in batches:
+            for a in range(0, rb.num_rows if len(words) else 0, STEP):
+                part = rb.slice(a, STEP)
+                unit, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
+                n = len(unit)
+                size = np.diff(np.asarray(lists.offsets))
+                at = pc.index_in(lists.flatten(), value_set=names)
+                at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(n), size)
+                hit = at >= 0
+                tf = np.bincount(row[hit] * len(words) + at[hit], minlength=n * len(words)).reshape(n, -1)
+                norm = config.k1 * (1 - config.b + config.b * size / mean)
+                weight = idf * tf * (config.k1 + 1) / (tf + norm[:, None])
+                s = np.round(weight @ wanted, config.digits) + 0.0
+                s[(tf > 0).astype(np.float32) @ wanted.astype(np.float32) == 0] = -np.inf
+                m = min(k, n)
+                edge = np.partition(s, n - m, axis=0)[n - m]  # whole ties at the edge stay
+                i, j = np.nonzero((s >= edge) & np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[j]), pa.array(unit[i]), pa.array(s[i, j])], ["qid", "unit", "score"])
+
+    full = units.select(F.col("unit").cast("long"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    return full.mapInArrow(task, "qid long, unit long, score double")
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("unit"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

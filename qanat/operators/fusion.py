@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qanat.config import RetrievalConfig
+from qanat.session import guard
 
 
 def fuse(sparse: DataFrame | None, dense: DataFrame | None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -16,6 +17,7 @@ def fuse(sparse: DataFrame | None, dense: DataFrame | None, config: RetrievalCon
             sides.append(hits.select("qid", "unit", (F.lit(w) / (config.k_rrf + F.col("rank"))).alias("part")))
     if not sides:
         raise ValueError("at least one ranked list is needed")
+    guard(sides[0].sparkSession)
     both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     return both.groupBy("qid", "unit").agg(F.sum("part").alias("rrf"))
 

@@ -52,7 +52,7 @@ def chunks(kept: DataFrame, folding: text.Folding = text.ARABIC, config: ChunkCo
     """One row a word window of the folded body."""
     folded = kept.withColumn("__folded", text.fold(F.col("body_clean"), folding))
     w = text.windows(folded, "__folded", "__w", config).drop("__folded")
-    c = w.select("*", F.size("__w").alias("total_chunks"), F.posexplode("__w").alias("chunk_index", "__body")).drop("__w")
+    c = w.select("*", F.size("__w").alias("total_chunks"), F.posexplode_outer("__w").alias("chunk_index", "__body")).drop("__w")
     body = chunk_text(
         F.coalesce("title_norm", "title"), F.col("article_type"), F.col("section"), F.col("league"), F.col("teams"),
         F.col("pub_date"), F.col("__body"), F.col("chunk_index"), F.col("total_chunks"),

@@ -45,7 +45,7 @@ def term_df_idf(spark, d):
 
 def doc_chunks(spark, d):
     w = text.windows(_docs(spark, d).select("doc_id", "text"), "text", "w")
-    return w.select("doc_id", F.size("w").cast("long").alias("total_chunks"), F.posexplode("w").alias("chunk_index", "part")).select(
+    return w.select("doc_id", F.size("w").cast("long").alias("total_chunks"), F.posexplode_outer("w").alias("chunk_index", "part")).select(
         F.concat_ws("_", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks",
         F.size(text.words(F.col("part"))).cast("long").alias("n_words"), F.md5("part").alias("part_md5"),
     )
@@ -56,7 +56,7 @@ LABELS = {"title": "title", "type": "type", "section": "section", "league": "lea
 
 def chunk_text_prefix(spark, d):
     w = text.windows(si.articles(spark, d), "text", "w")
-    w = w.select("*", F.size("w").alias("total"), F.posexplode("w").alias("i", "part"))
+    w = w.select("*", F.size("w").alias("total"), F.posexplode_outer("w").alias("i", "part"))
     title = F.substring("text", 1, 60)
     made = art.chunk_text(
         title, F.when(F.col("doc_id") % 2 == 0, F.col("article_type")).otherwise("article"), F.col("article_type"), F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("league")),

@@ -34,10 +34,10 @@ def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word windows as units."""
-    c = text.windows(articles(spark, sf_dir), "text", "w")
-    c = c.select("doc_id", "pub_date", "league", "article_type", F.posexplode("w").alias("i", "part"))
+    a = articles(spark, sf_dir).withColumn("text", F.lower("text"))
+    c = text.windows(a, "text", "w", joined=False).select("doc_id", "pub_date", "league", "article_type", F.posexplode_outer("w").alias("i", "part"))
     return c.select(
-        (F.col("doc_id") * CHUNKS + F.col("i")).alias("unit"), F.col("doc_id").alias("doc"), text.plain_tokens(F.col("part")).alias("tokens"), "pub_date", "league", "article_type"
+        (F.col("doc_id") * CHUNKS + F.col("i")).alias("unit"), F.col("doc_id").alias("doc"), F.filter("part", lambda t: F.length(t) >= 2).alias("tokens"), "pub_date", "league", "article_type"
     )
 
 
