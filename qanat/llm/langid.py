@@ -28,7 +28,7 @@ EPOCHS = 4
 LEARNER = {"alpha": 2.0, "beta": 1.0, "l1": 0.05, "l2": 0.001}
 UNKNOWN = "und"
 #: Pipeline: documents whose calibrated probability is below this are rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 _fold: list[np.ndarray] = []
 
