@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_fm_substring_dedup": substring_dedup.OP5_SQL,
     "op8_sainte_lague_mix": mixing.OP8_SQL,
 }
 
