@@ -185,7 +185,7 @@ DEMO_RULES = rules.RuleSet(
 
 
 def _turns(spark, d):
-    return table(spark, d, "conversations")
+    return spread(table(spark, d, "conversations"))
 
 
 def intent_route(spark, d):
