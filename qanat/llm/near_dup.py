@@ -8,14 +8,14 @@ Two slots agree with the probability Jaccard similarity of the weighted sets.
 Slots are cut into bands; documents that share a band are candidates, and the
 similarity of a candidate pair is then computed exactly.
 
-No large bucket is expanded into all its pairs.  Equal texts are one node.  In a
-bucket of at most ``SMALL`` nodes all pairs are candidates.  In a larger one every
-node is compared with the bucket's most central node (the one that shares most
-buckets with others: of a group of edited copies, the text nearest to all), and
-those whose class is another after that with the most central among themselves.
-So the work of a bucket is linear in its nodes.  A link between two nodes of a
-large bucket that neither of those nodes is like, and that no other band, path
-of links or small bucket shows, is not seen; the README has measured figures.
+No bucket is expanded into rows of pairs beyond a small size.  Equal texts are one
+node.  In a bucket of at most ``SMALL`` nodes all pairs are candidates.  In a larger
+one every node is first compared with the bucket's most central node (the one that
+shares most buckets with others).  What then is not of one class is dealt into groups
+of about ``CELL`` nodes, and a task holds two groups at a time and compares all their
+pairs that are not of one class yet, through the shingles they share.  So every pair
+of a bucket has been compared or is of one class already, and a task gives at most as
+many links as it has nodes.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 #: Buckets up to this size have all their pairs compared.
 SMALL = 16
+#: Nodes of a large bucket that make a group; a task compares two groups.
+CELL = 512
 _LOW = (1 << 44) - 1
 
 
@@ -185,6 +187,73 @@ def _star(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return got.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """(band, i, j, id, part, comp): the nodes of every bucket in groups ``part``, once for
+    each group (i <= j) that they meet.  Buckets of one class are left out."""
+    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    size = size.where("lo < hi").select("band", F.ceil(F.col("n") / CELL).cast("int").alias("g"))
+    part = F.pmod(F.xxhash64(F.lit("cell"), "id"), F.col("g")).cast("int")
+    met = rows.select("band", "id", "comp").join(size, "band").withColumn("part", part)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return met.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "comp")
+
+
+def cell_links(left: list[int], right: list[int], label: np.ndarray, bags: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Positions (a, b) of enough links to join all nodes of ``left`` and ``right`` that
+    similar pairs (one of each side) join.  Pairs of one ``label`` are of one class."""
+    label = label.copy()
+    some = [_unpack(x) for x in bags]
+    total = np.array([w.sum() for _, w in some])
+    flat = np.array([bool((w == 1).all()) for _, w in some])
+    right_at = np.array(right)
+    size = np.array([len(some[b][0]) for b in right])
+    item = np.concatenate([some[b][0] for b in right])
+    order = np.argsort(item, kind="stable")
+    keys, first = np.unique(item[order], return_index=True)
+    first = np.append(first, len(item))
+    owner = np.repeat(np.arange(len(right)), size)[order]
+    mass = np.concatenate([some[b][1] for b in right])[order]
+    out = []
+    for a in left:
+        if (label[right_at] == label[a]).all():
+            continue
+        mine, x = some[a]
+        at = np.searchsorted(keys, mine)
+        at[at == len(keys)] = 0
+        same = keys[at] == mine
+        n = (first[at + 1] - first[at])[same]
+        met = np.repeat(first[at[same]], n) + common.repeats(n)
+        who = owner[met]
+        if flat[a] and flat[right_at].all():
+            shared = np.bincount(who, minlength=len(right))
+            good = shared / (len(mine) + size - shared) >= least
+        else:  # the shared mass of either side bounds the similarity
+            ours = np.bincount(who, np.repeat(x[same], n), len(right))
+            theirs = np.bincount(who, mass[met], len(right))
+            good = np.minimum(ours / total[a], theirs / total[right_at]) >= least - 1e-9
+        for k in np.flatnonzero(good & (label[right_at] != label[a])).tolist():
+            b = right[k]
+            if label[a] != label[b] and probability_jaccard(mine, x, *some[b]) >= least:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def compared(cells: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of the nodes that meet in a cell."""
+
+    def task(table):
+        table = table.sort_by("id")
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        part, ids = table["part"].to_numpy(), table["id"].to_numpy()
+        left, right = np.flatnonzero(part == i).tolist(), np.flatnonzero(part == j).tolist()
+        got = cell_links(left, right, table["comp"].to_numpy(), table["bag"].to_pylist(), least) if left and right else []
+        a, b = (np.array([x[k] for x in got], np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b]))})
+
+    return cells.join(bags, "id").groupBy("band", "i", "j").applyInArrow(task, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row: equal and near-equal texts share a class,
     whose id is its least doc_id.
@@ -216,12 +285,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = common.staged(verified(tried, bags, least).select("a", "b"), "links")
     comp = components(links)
     if heads.limit(1).count():
-        of = comp.select(F.col("id").alias("head"), F.col("comp").alias("taken"))
-        taken = common.staged(heads.join(of, "head", "left").select("band", F.coalesce("taken", "head").alias("taken")), "taken")
-        rest = large.join(comp, "id", "left").join(taken, "band").where(F.coalesce("comp", "id") != F.col("taken"))
-        rest = common.staged(rest.select("band", "id", "weight"), "rest")
-        more = _star(rest, _heads(rest)).distinct().join(tried, ["a", "b"], "left_anti")
-        more = common.staged(verified(more, bags, least).select("a", "b"), "links")
+        rest = large.join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+        more = common.staged(compared(_cells(common.staged(rest, "rest")), bags, least), "links")
         if more.limit(1).count():
             comp = components(links.unionByName(more))
 

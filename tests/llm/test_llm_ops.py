@@ -268,6 +268,27 @@ def test_near_dup_large_group(spark):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("cell", [512, 7])
+def test_near_dup_families_in_a_bucket(spark, monkeypatch, cell):
+    """One large bucket of several families, of which the central nodes show two at most:
+    every pair of the bucket is compared or is of one class already."""
+    monkeypatch.setattr(near_dup, "CELL", cell, raising=False)
+    monkeypatch.setattr(near_dup, "band_keys", lambda sig: np.tile(np.arange(near_dup.BANDS), (len(sig), 1)))
+    rng = random.Random(3)
+    rows = []
+    for f in range(5):
+        base = sentence(rng, 60).split()
+        for i in range(12 if f % 2 else 7):
+            w = list(base)
+            w[rng.randrange(60)] = f"e{rng.random()}"
+            if i > 8:
+                w[5:15] = w[:10]  # repeated shingles
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_dup_awkward(spark):
     docs = awkward(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
