@@ -6,8 +6,12 @@ a document that matches a segment of m characters with at most k edits shares
 at least ``m - q + 1 - k q`` q-grams with it, all on diagonals at most k apart.
 So a document's q-gram hits are counted in diagonal bands 2 k + 2 wide that
 overlap by half, bands that reach the bound are retained, and each retained region is
-verified by alignment in its band.  A document is contaminated if a segment
-(a short item whole) is found with at most ``ERROR`` edits a character.
+verified by alignment in its band.  The segments on a grid of ``STRIDE`` are looked
+for first.  Where none of them is found, the q-gram hits of whole items are counted
+in the same bands over windows of ``SEGMENT`` characters from every start, and the
+windows that reach the bound are aligned.  So a document is contaminated if any
+``SEGMENT`` characters of an item (a short item whole) are found with at most
+``ERROR`` edits a character.
 """
 
 from __future__ import annotations
@@ -93,11 +97,16 @@ class Index(NamedTuple):
     gram_seg: np.ndarray
     gram_pos: np.ndarray  # in the segment
     seen: np.ndarray  # bitmap over the leading bits
+    whole: list[np.ndarray]  # items longer than a segment
+    whole_seg: np.ndarray  # their first segments
+    whole_gram: np.ndarray  # sorted hashes
+    whole_of: np.ndarray
+    whole_pos: np.ndarray  # in the item
 
 
 def build(items: list[tuple[int, str]], segment: int = SEGMENT, stride: int = STRIDE, error: float = ERROR) -> Index:
     """Items shorter than Q folded characters, or null, cannot be looked for and are left out."""
-    meta, codes, g, seg, pos = [], [], [], [], []
+    meta, codes, g, seg, pos, whole, whole_seg = [], [], [], [], [], [], []
     for key, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         c, at = folded(data, np.array([0, len(data)]))
@@ -106,6 +115,9 @@ def build(items: list[tuple[int, str]], segment: int = SEGMENT, stride: int = ST
         starts = list(range(0, max(len(c) - segment, 0) + 1, stride))
         if len(c) > segment and starts[-1] + segment < len(c):
             starts.append(len(c) - segment)
+        if len(c) > segment >= Q:
+            whole.append(c)
+            whole_seg.append(len(codes))
         for s in starts:
             part = c[s : s + segment]
             m = len(part)
@@ -124,7 +136,14 @@ def build(items: list[tuple[int, str]], segment: int = SEGMENT, stride: int = ST
     seen = np.zeros(1 << BITS, bool)
     seen[(gram >> np.uint64(64 - BITS)).astype(np.int64)] = True
     join = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-    return Index(*cols, codes, gram[order], join(seg), join(pos), seen)
+    wide = [grams(c) for c in whole]
+    wide_gram = np.concatenate(wide) if wide else np.zeros(0, np.uint64)
+    wide_order = np.argsort(wide_gram, kind="stable")
+    size = np.array([len(x) for x in wide], np.int64)
+    return Index(
+        *cols, codes, gram[order], join(seg), join(pos), seen, whole, np.array(whole_seg, np.int64),
+        wide_gram[wide_order], np.repeat(np.arange(len(wide)), size)[wide_order], common.repeats(size)[wide_order],
+    )
 
 
 def align(index: Index, seg: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, diag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,26 +181,22 @@ def align(index: Index, seg: np.ndarray, c: np.ndarray, low: np.ndarray, high: n
     return best, end
 
 
-def scan(index: Index, data: np.ndarray, offs: np.ndarray):
-    """(document number, segment, edits, end in folded text) of the verified regions of a block."""
-    c, at = folded(data, offs)
-    h = grams(c)
-    none = np.zeros(0, np.int64)
-    hit = np.flatnonzero(index.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-    lo = np.searchsorted(index.gram, h[hit], "left")
-    n = np.searchsorted(index.gram, h[hit], "right") - lo
+def hits(keys: np.ndarray, h: np.ndarray, hit: np.ndarray, at: np.ndarray):
+    """(document number, place, entry of ``keys``) of the q-grams at ``hit`` that lie whole in a document."""
+    lo = np.searchsorted(keys, h[hit], "left")
+    n = np.searchsorted(keys, h[hit], "right") - lo
     hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
     doc = np.searchsorted(at, hit, "right") - 1
     whole = hit + Q <= at[doc + 1]
     hit, lo, n, doc = hit[whole], lo[whole], n[whole], doc[whole]
-    if not len(hit):
-        return none, none, none, none
-    entry = np.repeat(lo, n) + common.repeats(n)
-    p, doc = np.repeat(hit, n), np.repeat(doc, n)
-    seg, j = index.gram_seg[entry], index.gram_pos[entry]
-    diag = p - j
-    # band b holds diagonals from b * w to b * w + 2 w - 1 (w = k + 1): each diagonal lies in two
-    w = index.budget[seg] + 1
+    return np.repeat(doc, n), np.repeat(hit, n), np.repeat(lo, n) + common.repeats(n)
+
+
+def banded(doc: np.ndarray, seg: np.ndarray, j: np.ndarray, diag: np.ndarray, w: np.ndarray | int):
+    """The hits in their two diagonal bands each, sorted, and where a (document, segment, band) or a place in it is new.
+
+    Band b holds diagonals from b * w to b * w + 2 w - 1 (w = k + 1): each diagonal lies in two.
+    """
     b = diag // w
     doc, seg, j, b = (np.concatenate([x, x]) for x in (doc, seg, j, b))
     b[len(b) // 2 :] -= 1
@@ -191,21 +206,100 @@ def scan(index: Index, data: np.ndarray, offs: np.ndarray):
     fresh[1:] = (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1]) | (b[1:] != b[:-1])
     unique = fresh.copy()
     unique[1:] |= j[1:] != j[:-1]
+    return doc, seg, j, b, fresh, unique
+
+
+def aligned(index: Index, seg: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, diag: np.ndarray):
+    """``align`` in steps of bounded size."""
+    steps = [slice(a, a + 4096) for a in range(0, len(seg), 4096)]
+    found = [align(index, seg[s], c, low[s], high[s], diag[s]) for s in steps]
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+
+
+def scan(index: Index, data: np.ndarray, offs: np.ndarray):
+    """(document number, segment, edits, end in folded text) of the verified regions of a block."""
+    c, at = folded(data, offs)
+    h = grams(c)
+    none = np.zeros(0, np.int64)
+    hit = np.flatnonzero(index.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+    doc, p, entry = hits(index.gram, h, hit, at)
+    if not len(doc):
+        return none, none, none, none
+    seg, j = index.gram_seg[entry], index.gram_pos[entry]
+    doc, seg, j, b, fresh, unique = banded(doc, seg, j, p - j, index.budget[seg] + 1)
     first = np.flatnonzero(fresh)
     shared = np.add.reduceat(unique.astype(np.int64), first)
-    keep = shared >= index.least[seg[first]]
-    first = first[keep]
-    if not len(first):
-        return none, none, none, none
+    first = first[shared >= index.least[seg[first]]]
     doc, seg, b = doc[first], seg[first], b[first]
-    found = []
-    for a in range(0, len(doc), 4096):
-        s = slice(a, a + 4096)
-        edits, end = align(index, seg[s], c, at[doc[s]], at[doc[s] + 1], b[s] * (index.budget[seg[s]] + 1))
-        found.append((edits, end))
-    edits, end = (np.concatenate(x) for x in zip(*found))
+    diag = b * (index.budget[seg] + 1)
+    edits, end = aligned(index, seg, c, at[doc], at[doc + 1], diag)
     good = edits <= index.budget[seg]
-    return doc[good], seg[good], edits[good], end[good] - at[doc[good]]
+    grid = doc[good], seg[good], edits[good], end[good] - at[doc[good]]
+    more = windows(index, c, at, h, hit, grid[0], grid[1], diag[good])
+    return tuple(np.concatenate([x, y]) for x, y in zip(grid, more))
+
+
+def windows(index: Index, c: np.ndarray, at: np.ndarray, h: np.ndarray, hit: np.ndarray, known_doc: np.ndarray, known_seg: np.ndarray, known_diag: np.ndarray):
+    """What ``scan`` gives, for windows from every start of the long items, save where a
+    verified segment (``known``, with its band's least diagonal) lies over them.
+
+    A window that is found with k edits is found from a start ``k`` further with at
+    most 2 k.  So every ``2 k + 1``-th window is aligned with that budget, and those
+    near one that is found with their own.  The best window of a run is the region.
+    """
+    none = np.zeros(0, np.int64)
+    doc, p, entry = hits(index.whole_gram, h, hit, at)
+    if not len(doc):
+        return none, none, none, none
+    of, j = index.whole_of[entry], index.whole_pos[entry]
+    some = index.whole_seg[0]
+    m, k, least = (int(x[some]) for x in (index.length, index.budget, index.least))
+    doc, of, j, b, fresh, unique = banded(doc, of, j, p - j, k + 1)
+    group = (np.cumsum(fresh) - 1)[unique]
+    doc, of, j, b = doc[unique], of[unique], j[unique], b[unique]
+    i = np.arange(max(len(j) - least + 1, 0))
+    last = i + least - 1
+    i = i[(group[last] == group[i]) & (j[last] - j[i] <= m - Q)]
+    if not len(i):
+        return none, none, none, none
+    top = np.array([len(x) - m for x in index.whole])
+    lo, hi = np.maximum(j[i + least - 1] - (m - Q), 0), np.minimum(j[i], top[of[i]])
+    # both bounds rise within a group: runs of starts that touch are one
+    new = np.ones(len(i), bool)
+    new[1:] = (group[i[1:]] != group[i[:-1]]) | (lo[1:] > hi[:-1] + 1)
+    first = np.flatnonzero(new)
+    lo, hi = lo[first], hi[np.append(first[1:], len(i)) - 1]
+    doc, of, diag = doc[i[first]], of[i[first]], b[i[first]] * (k + 1)
+
+    known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, s, x in zip(known_doc.tolist(), known_seg.tolist(), known_diag.tolist()):
+        known.setdefault((d, int(index.item[s])), []).append((int(index.start[s]), x - int(index.start[s])))
+    item = index.item[index.whole_seg[of]]
+    bare = [
+        not any(abs(y - x) <= 4 * k + 2 and a - m < s < z + m for s, y in known.get((d, t), ()))
+        for d, t, a, z, x in zip(doc.tolist(), item.tolist(), lo.tolist(), hi.tolist(), diag.tolist())
+    ]
+    doc, of, diag, lo, hi = (x[np.array(bare)] for x in (doc, of, diag, lo, hi))
+
+    def tried(run, start, budget):
+        parts = [index.whole[w][s : s + m] for w, s in zip(of[run].tolist(), start.tolist())]
+        of_run = index._replace(codes=parts, length=np.full(len(run), m), budget=np.full(len(run), budget))
+        return aligned(of_run, np.arange(len(run)), c, at[doc[run]], at[doc[run] + 1], diag[run] + start)
+
+    n = (hi - lo) // (2 * k + 1) + 1
+    run = np.repeat(np.arange(len(n)), n)
+    start = np.minimum(lo[run] + common.repeats(n) * (2 * k + 1) + k, hi[run])
+    near = tried(run, start, 2 * k)[0] <= 2 * k
+    run, start = run[near], start[near]
+    a, z = np.maximum(start - k, lo[run]), np.minimum(start + k, hi[run])
+    run, start = np.repeat(run, z - a + 1), np.repeat(a, z - a + 1) + common.repeats(z - a + 1)
+    run, start = np.unique(np.stack([run, start], 1), axis=0).T if len(run) else (run, start)
+    edits, end = tried(run, start, k)
+    order = np.lexsort((end, edits, run))
+    order = order[edits[order] <= k]
+    order = order[np.unique(run[order], return_index=True)[1]]
+    run = run[order]
+    return doc[run], index.whole_seg[of[run]], edits[order], end[order] - at[doc[run]]
 
 
 PAIRS = "doc_id long, item_id long, n_regions int, edits int, doc_end long"

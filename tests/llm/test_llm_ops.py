@@ -417,6 +417,28 @@ def test_decontamination_is_the_alignment(spark):
     assert clean == set(range(60)) - {i for i, _ in want}
 
 
+def test_decontamination_from_every_start(spark):
+    """Excerpts off the grid of segments, whole and with edits, are found; shorter ones are not."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, text(400)) for i in range(3)]
+    docs, want = [], set()
+    for i in range(120):
+        a, size, edited = rng.randrange(260), rng.choice([100, 120, 121, 130, 140]), rng.choice([0, 0, 5, 10, 14])
+        t = list(items[i % 3][1][a : a + size])
+        for k in rng.sample(range(len(t)), edited):
+            t[k] = rng.choice(["Z", "", t[k] + "y"])
+        docs.append((i, text(50) + "".join(t) + text(60), "en", "s", 0))
+        x, low = items[i % 3][1], docs[-1][1].lower()
+        if min(edits(x[s : s + 120], low) for s in range(max(a - 20, 0), min(a + size - 90, 281))) <= 10:
+            want.add((i, i % 3))
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.matches(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and 40 < len(want) < 110
+    assert all(r.edits <= 10 and r.n_regions >= 1 for r in rows)
+    assert {r.doc_id for r in decontamination.clean(d, b).collect()} == set(range(120)) - {i for i, _ in want}
+
+
 def test_gram_hashes(monkeypatch):
     c = np.random.default_rng(0).integers(0, 4, 300).astype(np.uint32)
     for q in (1, 2, 3, 7, 8, 10, 12):
