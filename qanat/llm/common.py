@@ -127,6 +127,21 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
             a = b
 
 
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block of texts and the documents' offsets in them.  Bytes that are
+    not UTF-8 become U+FFFD, document by document."""
+    raw = data.tobytes()
+    try:
+        codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        inside = offs[:-1][offs[:-1] < len(data)]
+        if not ((data[inside] & 0xC0) == 0x80).any():
+            return codes, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+    except UnicodeDecodeError:
+        pass
+    parts = [raw[a:b].decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+    return np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int64)
+
+
 #: Bytes that end a word: space and 0x09 to 0x0D.
 WS = np.zeros(256, bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True

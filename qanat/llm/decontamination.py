@@ -12,6 +12,10 @@ in the same bands over windows of ``SEGMENT`` characters from every start, and t
 windows that reach the bound are aligned.  So a document is contaminated if any
 ``SEGMENT`` characters of an item (a short item whole) are found with at most
 ``ERROR`` edits a character.
+
+Short items take a shorter q, so that the lemma holds for their full edit budget.
+Items of fewer than ``Q`` folded characters have no budget: they are looked for as
+they are, as whole words.
 """
 
 from __future__ import annotations
@@ -29,9 +33,12 @@ Q = 10
 SEGMENT = 120
 STRIDE = 60
 ERROR = 0.085
-#: Folded benchmark characters that one pass over the documents looks for; a
-#: larger benchmark takes several passes, so what is sent to tasks is bounded.
-PASS_CHARS = 8 << 20
+#: Folded benchmark characters that one pass over the documents looks for (about 50
+#: bytes each in a task); a larger benchmark takes several passes, so what is sent to
+#: tasks is bounded.
+PASS_CHARS = 4 << 20
+#: Pairs of a document's q-gram and an equal one of the benchmark that are held at once.
+HITS = 1 << 21
 BITS = 22
 
 _fold: list[np.ndarray] = []
@@ -56,8 +63,7 @@ def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if (data < 128).all():
         codes, at = data, offs
     else:
-        codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+        codes, at = common.code_points(data, offs)
     c = fold_table()[codes]
     keep = c != 0x20
     solid = keep.copy()
@@ -65,85 +71,107 @@ def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """Hash of the Q characters from every position on, put together from hashes of 1, 2, 4 ..."""
-    if len(c) < Q:
+def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the q characters from every position on, put together from hashes of 1, 2, 4 ..."""
+    if len(c) < q:
         return np.zeros(0, np.uint64)
     base = 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
         part, size, out, done = c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1, None, 0
         while True:
-            if Q & size:
+            if q & size:
                 out = part if out is None else part[: len(part) - done] * np.uint64(pow(base, done, 1 << 64)) + out[size:]
                 done += size
-            if done == Q:
+            if done == q:
                 break
             part = part[:-size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
             size *= 2
-        out = out[: len(c) - Q + 1]
+        out = out[: len(c) - q + 1]
         return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Index(NamedTuple):
-    """Segments of some benchmark items and where their q-grams lie."""
+    """Distinct segments that take one q, where their q-grams lie, and the items they are of."""
 
-    item: np.ndarray  # of every segment
-    start: np.ndarray  # in its item
-    length: np.ndarray
+    q: int
+    length: np.ndarray  # of every segment
     budget: np.ndarray  # edits allowed
     least: np.ndarray  # q-grams to share
     codes: list[np.ndarray]
+    owned: np.ndarray  # range of every segment's owners
+    item: np.ndarray  # owners: a distinct folded item
+    start: np.ndarray  # owners: where the segment starts in it
     gram: np.ndarray  # sorted hashes
     gram_seg: np.ndarray
     gram_pos: np.ndarray  # in the segment
     seen: np.ndarray  # bitmap over the leading bits
     whole: list[np.ndarray]  # items longer than a segment
-    whole_seg: np.ndarray  # their first segments
+    whole_item: np.ndarray
     whole_gram: np.ndarray  # sorted hashes
     whole_of: np.ndarray
     whole_pos: np.ndarray  # in the item
 
 
-def build(items: list[tuple[int, str]], segment: int = SEGMENT, stride: int = STRIDE, error: float = ERROR) -> Index:
-    """Items shorter than Q folded characters, or null, cannot be looked for and are left out."""
-    meta, codes, g, seg, pos, whole, whole_seg = [], [], [], [], [], [], []
+class Benchmark(NamedTuple):
+    """Indexes of the distinct folded items, one for each q, and the ids of each item."""
+
+    parts: list[Index]
+    ids: list[list]
+
+
+def _sorted_grams(codes: list[np.ndarray], q: int):
+    """Hashes of all q-grams in order, with the sequence and the place of each."""
+    g = [grams(c, q) for c in codes]
+    gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
+    size = np.array([len(x) for x in g], np.int64)
+    order = np.argsort(gram, kind="stable")
+    return gram[order], np.repeat(np.arange(len(g)), size)[order].astype(np.int32), common.repeats(size)[order].astype(np.int32)
+
+
+def _index(q: int, found: dict[bytes, list[tuple[int, int]]], error: float, whole: list[tuple[int, np.ndarray]]) -> Index:
+    codes = [np.frombuffer(x, np.uint32) for x in found]
+    m = np.array([len(c) for c in codes], np.int64)
+    k = (error * m).astype(np.int64)
+    k[m < Q] = 0
+    owners = list(found.values())
+    gram, seg, pos = _sorted_grams(codes, q)
+    seen = np.zeros(1 << BITS, bool)
+    wide = _sorted_grams([c for _, c in whole], q)
+    for x in (gram, wide[0]):
+        seen[(x >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return Index(
+        q, m, k, m - q + 1 - k * q, codes, np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64),
+        *(np.array([x[i] for own in owners for x in own], np.int64) for i in (0, 1)), gram, seg, pos, seen,
+        [c for _, c in whole], np.array([i for i, _ in whole], np.int64), *wide,
+    )
+
+
+def build(items: list[tuple[int | None, str]], segment: int = SEGMENT, stride: int = STRIDE, error: float = ERROR) -> Benchmark:
+    """Items that are null or have no letter or digit cannot be looked for and are left out.
+    Items that fold to the same text are one; so are equal segments of several items."""
+    distinct: dict[bytes, list] = {}
     for key, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        c, at = folded(data, np.array([0, len(data)]))
+        c, _ = folded(data, np.array([0, len(data)]))
         if len(c) and c[-1] == 0x20:
             c = c[:-1]
+        if len(c):
+            distinct.setdefault(c.astype(np.uint32).tobytes(), []).append(key)
+    groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+    whole: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, raw in enumerate(distinct):
+        c = np.frombuffer(raw, np.uint32)
         starts = list(range(0, max(len(c) - segment, 0) + 1, stride))
         if len(c) > segment and starts[-1] + segment < len(c):
             starts.append(len(c) - segment)
-        if len(c) > segment >= Q:
-            whole.append(c)
-            whole_seg.append(len(codes))
+        m = min(len(c), segment)
+        k = int(error * m) if m >= Q else 0
+        q = min(Q, m // (k + 1))
         for s in starts:
-            part = c[s : s + segment]
-            m = len(part)
-            k = min(int(error * m), max(0, (m - Q) // Q))
-            if m < Q:
-                continue
-            h = grams(part)
-            meta.append((key, s, m, k, m - Q + 1 - k * Q))
-            g.append(h)
-            seg.append(np.full(len(h), len(codes)))
-            pos.append(np.arange(len(h)))
-            codes.append(part)
-    cols = [np.array(x) for x in zip(*meta)] if meta else [np.zeros(0, np.int64)] * 5
-    gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
-    order = np.argsort(gram, kind="stable")
-    seen = np.zeros(1 << BITS, bool)
-    seen[(gram >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    join = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-    wide = [grams(c) for c in whole]
-    wide_gram = np.concatenate(wide) if wide else np.zeros(0, np.uint64)
-    wide_order = np.argsort(wide_gram, kind="stable")
-    size = np.array([len(x) for x in wide], np.int64)
-    return Index(
-        *cols, codes, gram[order], join(seg), join(pos), seen, whole, np.array(whole_seg, np.int64),
-        wide_gram[wide_order], np.repeat(np.arange(len(wide)), size)[wide_order], common.repeats(size)[wide_order],
-    )
+            groups.setdefault(q, {}).setdefault(c[s : s + segment].tobytes(), []).append((i, s))
+        if len(c) > segment:
+            whole.setdefault(q, []).append((i, c))
+    return Benchmark([_index(q, groups[q], error, whole.get(q, [])) for q in sorted(groups)], list(distinct.values()))
 
 
 def align(index: Index, seg: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, diag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +209,38 @@ def align(index: Index, seg: np.ndarray, c: np.ndarray, low: np.ndarray, high: n
     return best, end
 
 
-def hits(keys: np.ndarray, h: np.ndarray, hit: np.ndarray, at: np.ndarray):
-    """(document number, place, entry of ``keys``) of the q-grams at ``hit`` that lie whole in a document."""
+def hits(keys: np.ndarray, owner: np.ndarray, n_owners: int, q: int, h: np.ndarray, hit: np.ndarray, at: np.ndarray):
+    """Yields (document number, place, entry of ``keys``) of the q-grams at ``hit`` that lie whole
+    in a document, at most about ``HITS`` at once, all of a document and owner together."""
+    doc = np.searchsorted(at, hit, "right") - 1
+    whole = hit + q <= at[doc + 1]
+    hit, doc = hit[whole], doc[whole]
     lo = np.searchsorted(keys, h[hit], "left")
     n = np.searchsorted(keys, h[hit], "right") - lo
-    hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-    doc = np.searchsorted(at, hit, "right") - 1
-    whole = hit + Q <= at[doc + 1]
-    hit, lo, n, doc = hit[whole], lo[whole], n[whole], doc[whole]
-    return np.repeat(doc, n), np.repeat(hit, n), np.repeat(lo, n) + common.repeats(n)
+    hit, lo, n, doc = hit[n > 0], lo[n > 0], n[n > 0], doc[n > 0]
+    total = np.concatenate([[0], np.cumsum(n)])
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(doc):
+        fit = ends[(total[ends] <= total[a] + HITS) & (ends > a)]
+        b = int(fit[-1]) if len(fit) else int(ends[ends > a][0])
+        size = int(total[b] - total[a])
+        rounds = -(-size // HITS)
+        for r in range(rounds):  # one document with more: some owners at a time
+            low, high = n_owners * r // rounds, n_owners * (r + 1) // rounds
+            parts = []
+            i = a
+            while i < b:
+                j = min(max(int(np.searchsorted(total, total[i] + HITS, "right")) - 1, i + 1), b)
+                entry = np.repeat(lo[i:j], n[i:j]) + common.repeats(n[i:j])
+                d, p = np.repeat(doc[i:j], n[i:j]), np.repeat(hit[i:j], n[i:j])
+                if rounds > 1:
+                    own = (owner[entry] >= low) & (owner[entry] < high)
+                    d, p, entry = d[own], p[own], entry[own]
+                parts.append((d, p, entry))
+                i = j
+            yield tuple(np.concatenate(x) for x in zip(*parts))
+        a = b
 
 
 def banded(doc: np.ndarray, seg: np.ndarray, j: np.ndarray, diag: np.ndarray, w: np.ndarray | int):
@@ -216,16 +267,41 @@ def aligned(index: Index, seg: np.ndarray, c: np.ndarray, low: np.ndarray, high:
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
 
 
-def scan(index: Index, data: np.ndarray, offs: np.ndarray):
-    """(document number, segment, edits, end in folded text) of the verified regions of a block."""
+NONE = np.zeros(0, np.int64)
+
+
+def _joined(found: list) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*found)] if found else [NONE] * 5
+
+
+def scan(bench: Benchmark, data: np.ndarray, offs: np.ndarray):
+    """(document number, item, edits, end in the folded text) of the verified regions of a block."""
     c, at = folded(data, offs)
-    h = grams(c)
-    none = np.zeros(0, np.int64)
-    hit = np.flatnonzero(index.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-    doc, p, entry = hits(index.gram, h, hit, at)
+    out = [(NONE, NONE, NONE, NONE)]
+    for index in bench.parts:
+        h = grams(c, index.q)
+        hit = np.flatnonzero(index.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+        groups = hits(index.gram, index.gram_seg, len(index.codes), index.q, h, hit, at)
+        doc, seg, edits, end, diag = _joined([segments(index, c, at, *g) for g in groups])
+        n = np.diff(index.owned)[seg]
+        own = np.repeat(index.owned[seg], n) + common.repeats(n)
+        doc, edits, end, diag = (np.repeat(x, n) for x in (doc, edits, end, diag))
+        item, start = index.item[own], index.start[own]
+        out.append((doc, item, edits, end))
+        if index.whole:
+            known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for d, i, s, x in zip(doc.tolist(), item.tolist(), start.tolist(), diag.tolist()):
+                known.setdefault((d, i), []).append((s, x - s))
+            groups = hits(index.whole_gram, index.whole_of, len(index.whole), index.q, h, hit, at)
+            out += [windows(index, c, at, known, *g) for g in groups]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def segments(index: Index, c: np.ndarray, at: np.ndarray, doc: np.ndarray, p: np.ndarray, entry: np.ndarray):
+    """(document, segment, edits, end in it, least diagonal of the band) of the segments that are verified."""
     if not len(doc):
-        return none, none, none, none
-    seg, j = index.gram_seg[entry], index.gram_pos[entry]
+        return [NONE] * 5
+    seg, j = index.gram_seg[entry].astype(np.int64), index.gram_pos[entry].astype(np.int64)
     doc, seg, j, b, fresh, unique = banded(doc, seg, j, p - j, index.budget[seg] + 1)
     first = np.flatnonzero(fresh)
     shared = np.add.reduceat(unique.astype(np.int64), first)
@@ -234,36 +310,38 @@ def scan(index: Index, data: np.ndarray, offs: np.ndarray):
     diag = b * (index.budget[seg] + 1)
     edits, end = aligned(index, seg, c, at[doc], at[doc + 1], diag)
     good = edits <= index.budget[seg]
-    grid = doc[good], seg[good], edits[good], end[good] - at[doc[good]]
-    more = windows(index, c, at, h, hit, grid[0], grid[1], diag[good])
-    return tuple(np.concatenate([x, y]) for x, y in zip(grid, more))
+    if index.q < Q and len(good):  # items shorter than Q are whole words
+        left, right, gap = end - index.length[seg], end, np.append(c, 0x20) == 0x20
+        words = (index.length[seg] >= Q) | (((left == at[doc]) | gap[left - 1]) & ((right == at[doc + 1]) | gap[right]))
+        good &= words
+    return doc[good], seg[good], edits[good], end[good] - at[doc[good]], diag[good]
 
 
-def windows(index: Index, c: np.ndarray, at: np.ndarray, h: np.ndarray, hit: np.ndarray, known_doc: np.ndarray, known_seg: np.ndarray, known_diag: np.ndarray):
+def windows(index: Index, c: np.ndarray, at: np.ndarray, known: dict, doc: np.ndarray, p: np.ndarray, entry: np.ndarray):
     """What ``scan`` gives, for windows from every start of the long items, save where a
-    verified segment (``known``, with its band's least diagonal) lies over them.
+    verified segment lies over them (``known``: start and least diagonal of those of a
+    document and item).
 
     A window that is found with k edits is found from a start ``k`` further with at
     most 2 k.  So every ``2 k + 1``-th window is aligned with that budget, and those
     near one that is found with their own.  The best window of a run is the region.
     """
-    none = np.zeros(0, np.int64)
-    doc, p, entry = hits(index.whole_gram, h, hit, at)
+    none = NONE, NONE, NONE, NONE
     if not len(doc):
-        return none, none, none, none
-    of, j = index.whole_of[entry], index.whole_pos[entry]
-    some = index.whole_seg[0]
+        return none
+    of, j = index.whole_of[entry].astype(np.int64), index.whole_pos[entry].astype(np.int64)
+    some, q = int(index.length.argmax()), index.q  # the segments of long items are the longest
     m, k, least = (int(x[some]) for x in (index.length, index.budget, index.least))
     doc, of, j, b, fresh, unique = banded(doc, of, j, p - j, k + 1)
     group = (np.cumsum(fresh) - 1)[unique]
     doc, of, j, b = doc[unique], of[unique], j[unique], b[unique]
     i = np.arange(max(len(j) - least + 1, 0))
     last = i + least - 1
-    i = i[(group[last] == group[i]) & (j[last] - j[i] <= m - Q)]
+    i = i[(group[last] == group[i]) & (j[last] - j[i] <= m - q)]
     if not len(i):
-        return none, none, none, none
+        return none
     top = np.array([len(x) - m for x in index.whole])
-    lo, hi = np.maximum(j[i + least - 1] - (m - Q), 0), np.minimum(j[i], top[of[i]])
+    lo, hi = np.maximum(j[i + least - 1] - (m - q), 0), np.minimum(j[i], top[of[i]])
     # both bounds rise within a group: runs of starts that touch are one
     new = np.ones(len(i), bool)
     new[1:] = (group[i[1:]] != group[i[:-1]]) | (lo[1:] > hi[:-1] + 1)
@@ -271,10 +349,7 @@ def windows(index: Index, c: np.ndarray, at: np.ndarray, h: np.ndarray, hit: np.
     lo, hi = lo[first], hi[np.append(first[1:], len(i)) - 1]
     doc, of, diag = doc[i[first]], of[i[first]], b[i[first]] * (k + 1)
 
-    known: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, s, x in zip(known_doc.tolist(), known_seg.tolist(), known_diag.tolist()):
-        known.setdefault((d, int(index.item[s])), []).append((int(index.start[s]), x - int(index.start[s])))
-    item = index.item[index.whole_seg[of]]
+    item = index.whole_item[of]
     bare = [
         not any(abs(y - x) <= 4 * k + 2 and a - m < s < z + m for s, y in known.get((d, t), ()))
         for d, t, a, z, x in zip(doc.tolist(), item.tolist(), lo.tolist(), hi.tolist(), diag.tolist())
@@ -299,7 +374,7 @@ def windows(index: Index, c: np.ndarray, at: np.ndarray, h: np.ndarray, hit: np.
     order = order[edits[order] <= k]
     order = order[np.unique(run[order], return_index=True)[1]]
     run = run[order]
-    return doc[run], index.whole_seg[of[run]], edits[order], end[order] - at[doc[run]]
+    return doc[run], index.whole_item[of[run]], edits[order], end[order] - at[doc[run]]
 
 
 PAIRS = "doc_id long, item_id long, n_regions int, edits int, doc_end long"
@@ -309,9 +384,7 @@ def passes(items: DataFrame, limit: int = PASS_CHARS):
     """The benchmark in runs of items of at most ``limit`` characters together (a longer
     item is a run of its own), streamed to the driver one run at a time."""
     run, size = [], 0
-    rows = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long"), F.col("text").cast("string")
-    ).distinct().sort("item_id", "text")
+    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().sort("item_id", "text")
     for r in rows.toLocalIterator():
         if run and size + len(r[1]) > limit:
             yield run
@@ -326,8 +399,11 @@ def matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Contaminated (doc_id, item_id) pairs with the number of verified regions, the
     least edits and where in the folded document the first of those ends.
 
-    Null and empty texts match nothing; an empty benchmark or table gives no
-    rows; rows that repeat a pair are merged.
+    Null and empty texts match nothing; a document of any length is searched whole; an
+    empty benchmark or table gives no rows.  Rows that repeat a pair are merged, those
+    without id too (as one document); an item without id is looked for like any other.
+    Items of equal text are found together, one row each.  Of equally good regions the
+    first counts.  Other columns are ignored.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -337,12 +413,14 @@ def matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         shared = spark.sparkContext.broadcast(build(run, **options))
 
         def task(batches, shared=shared):
-            index = shared.value
+            bench = shared.value
             for rb, data, offs in common.blocks(batches):
-                doc, seg, edits, end = scan(index, data, offs)
+                doc, item, edits, end = scan(bench, data, offs)
+                ids = [bench.ids[i] for i in item.tolist()]
+                n = np.array([len(x) for x in ids], np.int64)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays(
-                        [rb.column(0).take(pa.array(doc)), pa.array(index.item[seg]), pa.array(edits), pa.array(end)],
+                        [rb.column(0).take(pa.array(np.repeat(doc, n))), pa.array([x for own in ids for x in own], pa.int64()), pa.array(np.repeat(edits, n)), pa.array(np.repeat(end, n))],
                         ["doc_id", "item_id", "edits", "doc_end"],
                     )
 
@@ -357,7 +435,9 @@ def matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows, all columns unchanged, in which no benchmark item is found."""
+    """The rows, all columns unchanged, in which no benchmark item is found (as in
+    ``matches``, items without id included).  Null and empty texts, rows without id and
+    repeated rows stay or go by their text alone."""
     spark = docs.sparkSession
     common.tune(spark)
     out = docs
@@ -365,10 +445,10 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         shared = spark.sparkContext.broadcast(build(run, **options))
 
         def task(batches, shared=shared):
-            index = shared.value
+            bench = shared.value
             for rb, data, offs in common.blocks(batches):
                 good = np.ones(rb.num_rows, bool)
-                good[scan(index, data, offs)[0]] = False
+                good[scan(bench, data, offs)[0]] = False
                 yield rb.filter(pa.array(good))
 
         out = out.mapInArrow(task, docs.schema)

@@ -49,8 +49,7 @@ def fold_table() -> np.ndarray:
 
 def counts(data: np.ndarray, offs: np.ndarray, docs: int = 64):
     """Yields (first document, float32 counts [documents x DIMS], has a letter [documents])."""
-    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs] if len(data) else np.zeros(len(offs), np.int64)
+    codes, at = common.code_points(data, offs)
     c = fold_table()[codes]
     letter = np.concatenate([[0], np.cumsum(c != 0x20)])
     with np.errstate(over="ignore"):

@@ -409,8 +409,7 @@ def test_decontamination_is_the_alignment(spark):
             starts = sorted({*range(0, max(len(x) - 120, 0) + 1, 60), max(len(x) - 120, 0)})
             for s in starts:
                 part = x[s : s + 120]
-                q, e = decontamination.Q, decontamination.ERROR
-                if len(part) >= q and edits(part, fold(t)) <= min(int(e * len(part)), (len(part) - q) // q):
+                if edits(part, fold(t)) <= int(decontamination.ERROR * len(part)):
                     want.add((i, j))
     assert got == want and 20 < len(want) < 60
     clean = {r.doc_id for r in decontamination.clean(d, b).collect()}
@@ -439,11 +438,64 @@ def test_decontamination_from_every_start(spark):
     assert {r.doc_id for r in decontamination.clean(d, b).collect()} == set(range(120)) - {i for i, _ in want}
 
 
-def test_gram_hashes(monkeypatch):
+@pytest.mark.parametrize("held", [decontamination.HITS, 7])
+def test_decontamination_short_items(spark, monkeypatch, held):
+    """Items of every length with their whole edit budget are found, those with one edit more are not."""
+    monkeypatch.setattr(decontamination, "HITS", held)
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    sizes = [10, 11, 12, 14, 18, 25, 38, 49, 59, 80, 100, 119, 120, 150]
+    items = [(i, text(n)) for i, n in enumerate(sizes)]
+    docs = []
+    for i, n in enumerate(sizes):
+        for more in (0, 1):
+            m = min(n, 120)
+            t = list(items[i][1])
+            part = rng.sample(range(len(t)), int(decontamination.ERROR * m) + more) if n <= 120 else []
+            for k in part:
+                t[k] = "7"
+            docs.append((2 * i + more, text(40) + "".join(t) + text(30), "en", "s", 0))
+    bench = decontamination.build(items)
+    raw = [d[1].encode() for d in docs]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    doc, item, e, _ = decontamination.scan(bench, data, offs)
+    got = {(d, bench.ids[i][0]) for d, i in zip(doc.tolist(), item.tolist())}
+    fold = lambda t: t.lower()
+    want = {(d, i) for d, t, *_ in docs for i, x in items if min(edits(x[s : s + 120], fold(t)) for s in range(max(1, len(x) - 119))) <= int(decontamination.ERROR * min(len(x), 120))}
+    assert got == want and {(2 * i, i) for i in range(len(sizes))} <= want and len(want) < 2 * len(sizes)
+
+
+def test_decontamination_tiny_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "Cat!"), (2, "a b"), (3, "...")], "item_id long, text string")
+    docs = [(1, "category"), (2, "the cat."), (3, "CAT"), (4, "concat"), (5, "cat-fish"), (6, "a, b"), (7, "xa b"), (8, "x a b")]
+    d = spark.createDataFrame([(*x, "en", "s", 0) for x in docs], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(d, items).collect()}
+    assert got == {(2, 1), (3, 1), (5, 1), (6, 2), (8, 2)}
+
+
+def test_decontamination_shared_stem(spark, monkeypatch):
+    """A stem that all items begin with is one segment; all its items are found with it."""
+    monkeypatch.setattr(decontamination, "HITS", 64)
+    rng = random.Random(8)
+    stem = sentence(rng, 40)
+    items = [(i, stem + " " + sentence(rng, 20)) for i in range(30)]
+    bench = decontamination.build(items)
+    assert max(np.diff(x.owned).max() for x in bench.parts) == 30
+    d = spark.createDataFrame([(1, "x " + stem, "en", "s", 0), (2, sentence(rng, 80), "en", "s", 0)], SCHEMA)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(d, b).collect()} == {(1, i) for i in range(30)}
+
+
+def test_bytes_that_are_not_text():
+    raw = [b"ab\xff\xfecd", "naïve".encode(), b"\xc3", b"\xa9x", b""]
+    codes, at = common.code_points(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert ["".join(map(chr, codes[a:b])) for a, b in zip(at[:-1], at[1:])] == [x.decode("utf-8", "replace") for x in raw]
+
+
+def test_gram_hashes():
     c = np.random.default_rng(0).integers(0, 4, 300).astype(np.uint32)
     for q in (1, 2, 3, 7, 8, 10, 12):
-        monkeypatch.setattr(decontamination, "Q", q)
-        h = decontamination.grams(c)
+        h = decontamination.grams(c, q)
         names = {}
         assert len(h) == 301 - q
         assert all(names.setdefault(tuple(c[i : i + q].tolist()), x) == x for i, x in enumerate(h.tolist()))
@@ -456,7 +508,9 @@ def test_decontamination_awkward(spark):
     base = sentence(rng, 60)
     items = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, base), (4, base), (None, base)], "item_id long, text string")
     got = decontamination.matches(docs, items).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(5, 4), (6, 4), (None, 4)} and all(r.edits == 0 for r in got)
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i in (5, 6, None) for k in (4, None)} and all(r.edits == 0 for r in got)
+    only = items.where("item_id is null")
+    assert {r.doc_id for r in decontamination.clean(docs, only).collect()}.isdisjoint({5, 6})
     assert decontamination.matches(empty(spark), items).count() == 0
     assert decontamination.matches(docs, items.limit(0)).count() == 0
     assert decontamination.clean(docs, items).columns == docs.columns
