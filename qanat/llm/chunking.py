@@ -7,14 +7,14 @@ stored once (Spark deduplicates the names), and each distinct payload is an
 ordered list of names.  Reading back joins the lists with the store, checks
 every chunk against its name and rebuilds the payload and its media form.
 
-Media form of a payload (little-endian): ``QGC1``, uint32 number of chunks,
-then for every chunk in order uint32 length and its bytes (8-bit samples).
+The media form of a payload is what the store holds of it: the zstd frames of its
+chunks (8-bit samples), one after another in the order of its list.  That is one
+zstd stream of several frames; decompressed it is the payload.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 
 import numpy as np
@@ -28,7 +28,6 @@ from qanat.llm import common
 #: Payloads are padded with this byte to a positive multiple of UNIT bytes.
 PAD, UNIT = 255, 576
 LEAST, MASK_BITS, MOST = 4096, 13, 65536
-MAGIC = b"QGC1"
 LEVEL = 9
 #: A chunk that more payloads list is read by several tasks, each for so many of them.
 HOT_LISTS = 4096
@@ -153,22 +152,20 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
         for rb in batches:
             rows = []
             for key, n, got in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2)):
-                parts = []
+                parts, stored, media = [], 0, hashlib.sha256()
                 for c in got.as_py():
                     piece = unpack.decompress(c["blob"])
+                    media.update(c["blob"])
+                    stored += len(c["blob"])
                     if hashlib.sha256(piece).digest() != c["name"]:
                         raise ValueError(f"chunk {c['name'].hex()} differs from its name")
                     parts.append(piece)
                 if len(parts) != n:
                     raise ValueError(f"{n - len(parts)} chunks of {key.hex()} are missing")
                 payload = b"".join(parts)
-                media = hashlib.sha256(MAGIC + struct.pack("<I", n))
-                for p in parts:
-                    media.update(struct.pack("<I", len(p)))
-                    media.update(p)
                 hist = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                 feature = f"chunks={n};sum={int(hist @ np.arange(256))};distinct={np.count_nonzero(hist)};mode={int(hist.argmax())}"
-                rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), 8 + len(payload) + 4 * n, media.hexdigest(), feature, n))
+                rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), stored, media.hexdigest(), feature, n))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()))],
@@ -181,9 +178,11 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
 def store_and_read(docs: DataFrame) -> DataFrame:
     """Stores every text's payload as chunks, reads it back and describes it.
 
-    Null text is empty (one unit of padding).  Equal texts share one recipe and
-    are rebuilt once; rows that repeat an id keep their own.  An empty table
-    gives no rows.  Extra columns are ignored.
+    ``payload_*``, ``tail_crc32`` and ``feature`` are computed from the payload as read
+    back; ``media_bytes`` and ``media_sha256`` are those of the stored frames.  Null
+    text is empty (one unit of padding).  Equal texts share one recipe and are rebuilt
+    once; rows that repeat an id keep their own.  A text of any length is cut whole.
+    An empty table gives no rows.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     common.tune(spark)

@@ -84,6 +84,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ... in order, so that no name an operator adds can
+    clash with them, and what each (exact or lower-case) name has become."""
+    names: dict[str, str] = {}
+    for i, c in enumerate(df.columns):
+        names.setdefault(c.lower(), f"c{i}")
+    names |= {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), names
+
+
+def row_hash(df: DataFrame, *columns: str) -> Column:
+    """A 64-bit hash of the columns (all: none given), maps by their JSON."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    odd = lambda c: "map<" in kinds[c] or "variant" in kinds[c]
+    return F.xxhash64(*[F.to_json(F.struct(F.col(c))) if odd(c) else F.col(c) for c in columns or df.columns])
+
+
 def id_text(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 

@@ -115,7 +115,13 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epochs: int = EPOCHS, **learner) -> Model | None:
     """Learns from text and lang of the rows where ``learn`` holds and lang is not
-    null; None if there is none.  A null text counts as empty and is not sampled."""
+    null; None if there is none (an empty table, say).
+
+    A null text is not learned from.  The sample is thinned by a hash of id and text,
+    so rows without id are drawn like all others; of drawn rows equal in id, text and
+    lang one is learned from.  Texts of any length are taken whole; other columns are
+    ignored.
+    """
     common.tune(docs.sparkSession)
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")
@@ -136,9 +142,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
                     got.append(at.astype("<i4").tobytes() + row[at].astype("<f4").tobytes() if ok else b"")
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(got, pa.binary())], ["doc_id", "lang", "f"])
 
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30))
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
     quota = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / size[k]) * (1 << 30)))])
-    sample = known.where(drawn < quota[F.col("lang")]).mapInArrow(task, "doc_id long, lang string, f binary")
+    sample = known.where(drawn < quota[F.col("lang")]).distinct().mapInArrow(task, "doc_id long, lang string, f binary")
     rows = []
     for r in sorted(sample.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["f"]))):
         if r["f"]:
@@ -159,8 +165,13 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
 
 def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score (calibrated probability) of every row, with the
-    ``extra`` columns (simple types) unchanged.  Text that is null or has no letter: ``und``,
-    score 0; without a model every row is.  Equal probabilities: the lesser language."""
+    ``extra`` columns (simple types) unchanged.
+
+    Text that is null or has no letter: ``und``, score 0; without a model every row is.
+    Equal probabilities: the lesser language.  Rows that repeat an id, or have none,
+    are judged one by one; texts of any length are judged whole; an empty table gives
+    no rows; other columns, whatever their names, are ignored.
+    """
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -190,8 +201,9 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
 
 def accepted(docs: DataFrame, model: Model | None, least: float = MIN_SCORE) -> DataFrame:
     """The rows, all columns unchanged, whose language is known with at least ``least``
-    calibrated probability; text without a letter is rejected, and without a model
-    nothing else is."""
+    calibrated probability; null text and text without a letter are rejected, and without
+    a model nothing else is.  Every row is judged by its own text, read whole, so
+    repeated and missing ids do not matter; an empty table gives no rows."""
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)

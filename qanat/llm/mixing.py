@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qanat.llm import common
+
 #: Weights of the sources in code-point order, repeating; null source last.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix over words of the input.
@@ -25,6 +27,8 @@ BLOCK_WORDS = 64
 #: Documents in a shard, on average.
 SHARD_ROWS = 1024
 SEED = "mix-1"
+#: Rows of the source table that are broadcast at most (about 50 bytes each).
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,6 +97,66 @@ def sainte_lague(parties: DataFrame, group: list[str], name: str, weight: str, s
     )
 
 
+def _described(docs: DataFrame, seed: str) -> DataFrame:
+    """The masked table with source, size and the place ``mark`` of every row in the seeded order."""
+    d, name = common.masked(docs)
+    text = F.coalesce(F.col(name["text"]).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(name["doc_id"]).cast("string"), F.lit(""))
+    mark = F.md5(F.concat(F.lit(seed + ":"), key, F.lit(":"), F.md5(text)))
+    return d.select("*", F.col(name["source"]).alias("source"), word_count(F.col(name["text"])).alias("size"), mark.alias("mark"))
+
+
+def _place(shards: str) -> Column:
+    return F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % F.col(shards)
+
+
+def _plan(slim: DataFrame, weights: Sequence[float], share: float, passes: int, block: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Sources (source, source_size, target, shards) and shards (source, shard, m blocks, q of them dealt) from (source, size, mark)."""
+    src = targets(
+        slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, passes
+    )
+    src = src.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("long"))
+    src = src.withColumn("all", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
+    src = sainte_lague(src.withColumn("g", F.lit(0)), ["g"], "source", "target", "all", "blocks")
+    src = common.staged(src.select(F.col("source").alias("s0"), "source_size", "target", "shards", "blocks"), "sources")
+    placed = slim.join(src, F.col("source").eqNullSafe(F.col("s0"))).withColumn("shard", _place("shards"))
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("seats"))
+    shards = sainte_lague(shards, ["source"], "shard", "words", "seats", "quota")
+    full = F.ceil(F.col("words") / block).cast("long")
+    q = F.least(F.col("quota"), passes * full).cast("long")
+    return src, common.staged(shards.select(F.col("source").alias("s1"), F.col("shard").alias("s2"), full.alias("m"), q.alias("q")), "shards")
+
+
+def _dealt(rows: DataFrame, src: DataFrame, shards: DataFrame, block: int, *ties: Column) -> DataFrame:
+    """Adds source_size, target and taken to (source, size, mark) rows of any other columns."""
+    placed = rows.join(F.broadcast(src), F.col("source").eqNullSafe(F.col("s0"))) if src.count() <= BROADCAST_SOURCES else rows.join(src, F.col("source").eqNullSafe(F.col("s0")))
+    placed = placed.withColumn("shard", _place("shards"))
+    upto = Window.partitionBy("source", "shard").orderBy("mark", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("fin", F.sum("size").over(upto))
+    dealt = placed.join(shards, F.col("source").eqNullSafe(F.col("s1")) & (F.col("shard") == F.col("s2")))
+    whole = F.when(F.col("m") > 0, F.floor(F.col("q") / F.greatest(F.col("m"), F.lit(1)))).otherwise(0).cast("long")
+    rest = (F.col("q") - whole * F.col("m")) * block
+    piece = F.greatest(F.lit(0), F.least(F.col("fin"), rest) - (F.col("fin") - F.col("size")))
+    return dealt.withColumn("taken", (whole * F.col("size") + piece).cast("long"))
+
+
+def shares(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    passes: int = PASSES,
+    block: int = BLOCK_WORDS,
+    shard_rows: int = SHARD_ROWS,
+    seed: str = SEED,
+) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document: ``mix`` without the
+    other columns.  Every text is read once; what follows works on its number of words."""
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
+    slim = common.staged(_described(slim, seed).select(F.col("c0").alias("doc_id"), "source", "size", "mark"), "sizes")
+    src, shards = _plan(slim, weights, share, passes, block, shard_rows)
+    return _dealt(slim, src, shards, block).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -106,63 +170,42 @@ def mix(
 
     ``taken`` counts the words of the document in the mix, repeats counted; it
     is at most ``passes * size``.  Null text has no words; a null source is a
-    source of its own, last in order.  Rows that repeat an id are mixed apart.
-    Input columns with an added name are replaced.  A source's shards hold
-    about ``shard_rows`` documents each however large the source is, so a hot
-    source is many window partitions.
+    source of its own, last in order.  Texts of any length count whole.  Rows that
+    repeat an id are mixed apart, in an order that a hash of their text and then of
+    all their columns decides; rows equal in everything are interchangeable.  Input
+    columns with an added name are replaced, all others pass through whatever their
+    name.  An empty table gives no rows.  A source's shards hold about
+    ``shard_rows`` documents each however large the source is, so a hot source is
+    many window partitions.
     """
-    added = {"size", "source_size", "target", "taken"}
+    added = ["size", "source_size", "target", "taken"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    base = base.withColumn("size", word_count(F.col("text")))
-    src = targets(
-        base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows")), weights, share, passes
-    )
-    src = src.withColumn("__shards", F.ceil(F.col("__rows") / shard_rows).cast("long"))
-    src = src.withColumn("__all", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
-    src = sainte_lague(src.withColumn("__g", F.lit(0)), ["__g"], "source", "target", "__all", "__blocks")
-    src = src.select(F.col("source").alias("__source"), "source_size", "target", "__shards", "__blocks")
-
-    mark = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = base.join(src, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__mark", mark)
-    placed = placed.withColumn("__shard", F.conv(F.substring("__mark", 1, 8), 16, 10).cast("long") % F.col("__shards"))
-
-    shards = placed.groupBy("__source", "__shard").agg(
-        F.sum("size").alias("__words"), F.first("__blocks").alias("__seats")
-    )
-    shards = sainte_lague(shards, ["__source"], "__shard", "__words", "__seats", "__quota")
-    full = F.ceil(F.col("__words") / block)
-    shards = shards.select(
-        F.col("__source").alias("__s1"), F.col("__shard").alias("__s2"), full.cast("long").alias("__m"),
-        F.least(F.col("__quota"), passes * full).cast("long").alias("__q"),
-    )
-    upto = (
-        Window.partitionBy("__source", "__shard").orderBy("__mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = placed.withColumn("__end", F.sum("size").over(upto))
-    dealt = placed.join(shards, F.col("__source").eqNullSafe(F.col("__s1")) & (F.col("__shard") == F.col("__s2")))
-    whole = F.when(F.col("__m") > 0, F.floor(F.col("__q") / F.greatest(F.col("__m"), F.lit(1)))).otherwise(0).cast("long")
-    rest = (F.col("__q") - whole * F.col("__m")) * block
-    piece = F.greatest(F.lit(0), F.least(F.col("__end"), rest) - (F.col("__end") - F.col("size")))
-    taken = (whole * F.col("size") + piece).cast("long")
-    return dealt.withColumn("taken", taken).select(*base.columns, "source_size", "target", "taken")
+    rows = _described(base, seed)
+    slim = common.staged(rows.select("source", "size", "mark"), "sizes")
+    src, shards = _plan(slim, weights, share, passes, block, shard_rows)
+    payload = [f"c{i}" for i in range(len(base.columns))]
+    return _dealt(rows, src, shards, block, common.row_hash(rows, *payload)).select(*payload, *added).toDF(*base.columns, *added)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows, all columns unchanged: every document as often as its taken words
-    are its size, rounded (0 to ``passes`` times); documents without words go."""
-    m = mix(docs, **options)
+    are its size, rounded (0 to ``passes`` times); documents without words go.  Repeats,
+    nulls, ties, clashing names and empty tables as in ``mix``."""
+    d, name = common.masked(docs)
+    inner = d.select("*", *[F.col(name[c]).alias(c) for c in ("doc_id", "source", "text")])
+    m = mix(inner, **options)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).otherwise(0).cast("int")
-    m = m.withColumn("__times", times).where("__times > 0")
-    return m.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    m = m.withColumn("times", times).where("times > 0")
+    return m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*d.columns).toDF(*docs.columns)
 
 
 def op8_sainte_lague_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return shares(docs)
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS body, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
 s1 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, row_number() OVER o AS pos,
@@ -175,7 +218,7 @@ s5 AS (SELECT *, ceil(n / 1024.0)::BIGINT AS shards, round(sum(target) OVER () /
 q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source NULLS LAST, j) AS r, seats
   FROM s5, LATERAL (SELECT unnest(range(0, (target / 64)::BIGINT + 64)) AS j)),
 b AS (SELECT source, count(*) FILTER (r <= seats) AS blocks FROM q GROUP BY source),
-p AS (SELECT d.*, s5.source_size, s5.target, b.blocks, md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')) AS mark, s5.shards
+p AS (SELECT d.*, s5.source_size, s5.target, b.blocks, md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.body) AS mark, s5.shards
   FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 p2 AS (SELECT *, ('0x' || substr(mark, 1, 8))::BIGINT % shards AS shard FROM p),
 h AS (SELECT source, shard, sum(size)::BIGINT AS words, any_value(blocks) AS seats FROM p2 GROUP BY source, shard),
@@ -184,7 +227,7 @@ hq AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER
 hb AS (SELECT source, shard, count(*) FILTER (r <= seats) AS quota FROM hq GROUP BY source, shard),
 hh AS (SELECT h.source, h.shard, ceil(h.words / 64.0)::BIGINT AS m, least(hb.quota, 2 * ceil(h.words / 64.0)::BIGINT) AS q
   FROM h JOIN hb ON h.source IS NOT DISTINCT FROM hb.source AND h.shard = hb.shard),
-r AS (SELECT p2.*, sum(size) OVER (PARTITION BY source, shard ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM p2)
+r AS (SELECT p2.*, sum(size) OVER (PARTITION BY source, shard ORDER BY mark, size ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM p2)
 SELECT r.doc_id, r.size, r.source_size, r.target,
  (CASE WHEN m > 0 THEN (q // m) * r.size + greatest(0, least(fin, (q % m) * 64) - (fin - r.size)) ELSE 0 END)::BIGINT AS taken
 FROM r JOIN hh ON r.source IS NOT DISTINCT FROM hh.source AND r.shard = hh.shard

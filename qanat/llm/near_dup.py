@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qanat.llm import common
@@ -34,8 +34,9 @@ BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 #: Buckets up to this size have all their pairs compared.
 SMALL = 16
-#: Nodes of a large bucket that make a group; a task compares two groups.
+#: Nodes of a large bucket that make a group, and bytes of their shingles; a task compares two groups.
 CELL = 512
+CELL_BYTES = 24 << 20
 _LOW = (1 << 44) - 1
 
 
@@ -138,7 +139,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def weighted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, bag) of the documents in ``ids``: their weighted shingles, packed."""
+    """(id, bag, bytes) of the documents in ``ids``: their weighted shingles, packed."""
 
     def task(batches):
         for rb, data, offs in common.blocks(batches):
@@ -148,10 +149,10 @@ def weighted(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 flat = weight[a:b].max(initial=0) <= 1
                 bags.append(np.int64(b - a).tobytes() + item[a:b].tobytes() + (b"" if flat else weight[a:b].astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(bags, pa.binary())], ["id", "bag"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(bags, pa.binary()), pa.array([len(x) for x in bags], pa.int64())], ["id", "bag", "bytes"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    return d.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(task, "id long, bag binary")
+    return d.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(task, "id long, bag binary, bytes long")
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +189,13 @@ def _star(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """(band, i, j, id, part, comp): the nodes of every bucket in groups ``part``, once for
-    each group (i <= j) that they meet.  Buckets of one class are left out."""
-    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    size = size.where("lo < hi").select("band", F.ceil(F.col("n") / CELL).cast("int").alias("g"))
+    """(band, i, j, id, part, comp): the nodes (band, id, bytes, comp) of every bucket in groups
+    ``part``, once for each group (i <= j) that they meet.  Buckets of one class are left out."""
+    size = rows.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    groups = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("bytes") / CELL_BYTES))
+    size = size.where("lo < hi").select("band", groups.cast("int").alias("g"))
     part = F.pmod(F.xxhash64(F.lit("cell"), "id"), F.col("g")).cast("int")
     met = rows.select("band", "id", "comp").join(size, "band").withColumn("part", part)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -251,7 +255,7 @@ def compared(cells: DataFrame, bags: DataFrame, least: float) -> DataFrame:
         a, b = (np.array([x[k] for x in got], np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b]))})
 
-    return cells.join(bags, "id").groupBy("band", "i", "j").applyInArrow(task, "a long, b long").distinct()
+    return cells.join(bags.select("id", "bag"), "id").groupBy("band", "i", "j").applyInArrow(task, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -259,8 +263,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     whose id is its least doc_id.
 
     Null text is empty; texts without words are near nothing but equal texts.
-    Rows that repeat an id count as one document.  A row without id gets a null
-    class.  An empty table gives no rows.
+    Texts of any length are taken whole.  Rows that repeat an id count as one
+    document (their texts are of one class).  A row without id gets a null class.
+    Ties do not matter: a class is a connected set and its least id names it.  Other
+    columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -285,7 +291,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = common.staged(verified(tried, bags, least).select("a", "b"), "links")
     comp = components(links)
     if heads.limit(1).count():
-        rest = large.join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+        rest = large.join(comp, "id", "left").join(bags.select("id", "bytes"), "id").select("band", "id", "bytes", F.coalesce("comp", "id").alias("comp"))
         more = common.staged(compared(_cells(common.staged(rest, "rest")), bags, least), "links")
         if more.limit(1).count():
             comp = components(links.unionByName(more))
@@ -297,15 +303,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def survivors(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of every class, all columns unchanged: the document whose id names the
-    class (of rows that repeat this id, the one of least text).  Rows without id stay."""
-    found = classes(docs, least)
-    ids = found.where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    key = F.col("doc_id").cast("long")
-    one = docs.where("doc_id is not null").join(ids.hint("shuffle_hash"), key == F.col("__id"), "left_semi")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in sorted(docs.columns, key=lambda c: c != "text")])
-        one = one.withColumn("__at", F.row_number().over(first)).where("__at = 1").drop("__at")
-    return one.unionByName(docs.where("doc_id is null"))
+    class.  Of rows that repeat this id the one of least text stays, then of least JSON
+    form.  Rows without id stay.  Columns of any name pass through."""
+    d, name = common.masked(docs)
+    key = F.col(name["doc_id"]).cast("long")
+    found = classes(docs.select("doc_id", "text"), least)
+    ids = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = common.staged(ids, "survivors")
+    once, often = (ids.where(x).select("id").hint("shuffle_hash") for x in ("n = 1", "n > 1"))
+    out = d.join(once, key == F.col("id"), "left_semi")
+    if ids.where("n > 1").limit(1).count():
+        order = F.struct(F.col(name["text"]).cast("string"), F.to_json(F.struct(*d.columns)))
+        one = d.join(often, key == F.col("id"), "left_semi").groupBy(key.alias("id")).agg(F.min_by(F.struct(*d.columns), order).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out.unionByName(d.where(F.col(name["doc_id"]).isNull())).toDF(*docs.columns)
 
 
 def op4_probminhash_near_dup(spark, sf_dir: str) -> DataFrame:

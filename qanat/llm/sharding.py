@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qanat.llm import common
+
 LAW = "key"
 #: Rows that share one numbering bin, on average.
 BIN_ROWS = 16384
@@ -46,35 +48,34 @@ def shard(
     ``size`` is the text's UTF-8 bytes plus 1 (null text: 1; its crc is that of
     the empty text).  ``slot`` numbers the rows of a shard from 0 without gaps:
     rows are numbered inside hash bins of a shard and the bins' bases come from
-    prefix sums of their counts, so no task ever sorts a whole shard.  Rows that
-    repeat a key share a shard and get a slot each.  Columns of the input that
-    carry one of the added names are replaced.  An empty table gives none.
+    prefix sums of their counts.  A bin is drawn from key, size and checksum, so
+    rows that repeat a key (or have none) spread over the bins; only rows equal in
+    all three share one, and their order among themselves is open.  Rows that repeat
+    a key share a shard and get a slot each.  Texts of any length are read once and
+    not sorted.  Columns of the input that carry one of the added names are replaced,
+    all others pass through whatever their name.  An empty table gives none.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    out = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    out = out.select(
+    base = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    d, name = common.masked(base)
+    raw = F.coalesce(F.col(name[text]).cast("string"), F.lit("")).cast("binary")
+    key_of = F.col(name[key])
+    out = d.select(
         "*",
         (F.octet_length(raw) + 1).cast("long").alias("size"),
-        F.crc32(raw).cast("long").alias("text_crc32"),
-        F.lit(LAW).alias("law"),
-        shard_of(F.col(key), weights).cast("int").alias("shard"),
-        shard_of(F.col(key), [*weights, grown_weight]).cast("int").alias("grown_shard"),
+        F.crc32(raw).cast("long").alias("crc"),
+        shard_of(key_of, weights).cast("int").alias("shard"),
+        shard_of(key_of, [*weights, grown_weight]).cast("int").alias("grown"),
     )
     n_bins = max(1, -(-docs.select(key).count() // (bin_rows * len(weights))))
-    out = out.withColumn("__bin", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(n_bins)))
-    filled = out.groupBy("shard", "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = filled.select(
-        F.col("shard").alias("__s"), F.col("__bin").alias("__b"), (F.sum("__n").over(upto) - F.col("__n")).alias("__base")
-    )
-    inside = Window.partitionBy("shard", "__bin").orderBy(key, "size", "text_crc32")
-    numbered = out.withColumn("__at", F.row_number().over(inside))
-    return (
-        numbered.join(bases, (F.col("shard") == F.col("__s")) & (F.col("__bin") == F.col("__b")))
-        .withColumn("slot", F.col("__base") + F.col("__at") - 1)
-        .drop("__s", "__b", "__bin", "__base", "__at", "__n")
-    )
+    out = out.withColumn("bin", F.pmod(F.xxhash64(F.lit("slot"), key_of, "size", "crc"), F.lit(n_bins)))
+    filled = out.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bases = filled.select("shard", "bin", (F.sum("n").over(upto) - F.col("n")).alias("base"))
+    inside = Window.partitionBy("shard", "bin").orderBy(key_of, "size", "crc")
+    numbered = out.withColumn("at", F.row_number().over(inside)).join(bases, ["shard", "bin"])
+    slot = F.col("base") + F.col("at") - 1
+    return numbered.select(*d.columns, "size", "crc", F.lit(LAW), "shard", slot, "grown").toDF(*base.columns, *added)
 
 
 def op2_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:

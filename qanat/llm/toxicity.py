@@ -52,8 +52,9 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column, rows: int) -> Da
     """A bounded sample (doc_id, text, y) of the rows that may be learned from.
 
     An id with several labels counts as toxic if any of them says so; null
-    labels and ids are left out.  The sample is thinned by a hash of the id,
-    so it does not depend on partitions; its ids are few enough to broadcast.
+    labels and ids are left out.  Of several documents of one id the least text is
+    learned from.  The sample is thinned by a hash of the id, so it does not depend on
+    partitions; its ids are few enough to broadcast.
     """
     y = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
@@ -63,7 +64,8 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column, rows: int) -> Da
     n = y.count()
     if n > rows:
         y = y.where(F.pmod(F.xxhash64(F.lit("toxicity"), "__id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(y), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), F.col("doc_id") == F.col("__id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, **learner):
@@ -91,7 +93,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted for every row.  Null and empty texts get the bias alone."""
+    """doc_id, score, predicted for every row.
+
+    Null and empty texts get the bias alone.  Rows that repeat an id, or have none, are
+    scored one by one; texts of any length are read whole; a score equal to the
+    threshold is predicted 1; an empty table gives no rows; other columns are ignored.
+    """
     common.tune(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(weights), weights[weights != 0], bias))
 
