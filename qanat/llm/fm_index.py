@@ -38,12 +38,15 @@ class FmIndex:
 
     Suffixes are ordered by their first 16 symbols, by prefix doubling: rows of a
     pattern that short are one interval, and backward search steps from the
-    interval of P to that of cP by C[c] + rank_c.
+    interval of P to that of cP by C[c] + rank_c.  What stays is the wavelet matrix of
+    the BWT (log2 sigma bits a symbol and its rank directory), C, and for every row the
+    owner of its suffix (``owner`` gives that of every text position) in 32 bits; the
+    suffix array itself is dropped.
     """
 
     DEPTH = 16
 
-    def __init__(self, text: np.ndarray, sigma: int):
+    def __init__(self, text: np.ndarray, sigma: int, owner: np.ndarray):
         n = len(text)
         rank = text.astype(np.int64)
         sa = np.argsort(rank, kind="stable")
@@ -57,7 +60,8 @@ class FmIndex:
             rank = np.empty(n, np.int64)
             rank[sa] = np.cumsum(new) - 1
             h *= 2
-        self.sa, self.n = sa, n
+        self.n = n
+        self.owner = owner.astype(np.int32)[sa]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.bwt = Wavelet(text[sa - 1], sigma)
         every = np.arange(sigma)
@@ -68,18 +72,29 @@ class FmIndex:
         base = self.first[symbol] - self.origin[symbol]
         return base + self.bwt.ends(symbol, lo), base + self.bwt.ends(symbol, hi)
 
-    def repeated(self, text: np.ndarray, at: np.ndarray, length: int):
-        """Matching statistics of the passages ``text[i : i + length]`` up to ``length``:
-        (which of ``at``, lo, hi) of those that occur in full more than once.  A passage whose
-        interval has shrunk to one row has no other occurrence and is dropped there."""
-        which = np.arange(len(at))
-        last = text[at + length - 1]
-        lo, hi = self.first[last], self.first[last + 1]
-        for k in range(length - 2, -1, -1):
-            live = hi - lo > 1
-            which, lo, hi = which[live], lo[live], hi[live]
-            if not len(which):
+    def matching(self, text: np.ndarray, ends: np.ndarray, limit: int, least: int = 2):
+        """Matching statistics at the positions ``ends`` (exclusive) of a streamed ``text``: the
+        length of the longest ``text[e - length : e]``, ``limit`` at most, that occurs ``least``
+        times in the index, and its interval [lo, hi).  A symbol the index lacks is -1."""
+        size = np.zeros(len(ends), np.int64)
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
+        live, a, b = np.arange(len(ends)), lo, hi
+        for k in range(1, limit + 1):
+            symbol = text[ends[live] - k]
+            known = symbol >= 0
+            live, a, b, symbol = live[known], a[known], b[known], symbol[known]
+            a, b = self.step(symbol, a, b) if k > 1 else (self.first[symbol], self.first[symbol + 1])
+            more = b - a >= least
+            live, a, b = live[more], a[more], b[more]
+            size[live], lo[live], hi[live] = k, a, b
+            if not len(live):
                 break
-            lo, hi = self.step(text[at[which] + k], lo, hi)
-        live = hi - lo > 1
-        return which[live], lo[live], hi[live]
+        return size, lo, hi
+
+    def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least owner in each of the non-empty intervals (sorted, disjoint or equal)."""
+        u, back = np.unique(lo, return_inverse=True)
+        top = np.zeros(len(u), np.int64)
+        top[back] = hi
+        rows = np.append(self.owner, np.iinfo(np.int32).max)
+        return np.minimum.reduceat(rows, np.stack([u, top], 1).ravel())[::2][back]

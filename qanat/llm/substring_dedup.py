@@ -8,11 +8,14 @@ equals.  Equal windows have equal anchors, so passages are routed to shards by
 anchor and no window is compared across shards.  Only anchors that occur in
 more than one text are routed.  The windows of a document that share an anchor
 form a passage; equal passages are merged first, keeping the least id.  Windows
-of an anchor that is very frequent have a longer anchor (ten words) instead.  Each
+of an anchor that is very frequent have a longer anchor (ten words) instead, and
+those of a long anchor with more than ``ROUTE_BYTES`` of passages are routed window
+by window, where equal ones merge into one.  So no anchor is more than a small part of
+a shard, and there are as many shards as passages of ``SHARD_BYTES`` need.  Each
 shard builds an FM-index over its passages and streams them through it:
-backward search keeps the windows found in full more than once and the least
-document id of their interval.  Texts equal to one with a lesser id are not
-searched: each of their windows is in that one.
+backward search gives the matching statistics, the intervals at the threshold of a
+window are reported, and the least document of an interval decides.  Texts equal to
+one with a lesser id are not searched: each of their windows is in that one.
 """
 
 from __future__ import annotations
@@ -31,6 +34,12 @@ GRAM = 4
 #: Windows whose anchor occurs more often have a longer anchor instead, of ``LONG`` words.
 HOT = 2048
 LONG = 10
+#: Passages of a long anchor that make it be split into its windows, in bytes (8 a word).
+ROUTE_BYTES = 4 << 20
+#: Passages of a shard before equal ones are merged, about.
+SHARD_BYTES = 96 << 20
+#: Windows of one step of a search.
+STEP = 1 << 19
 _POS = 26
 
 
@@ -86,7 +95,8 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(route, words, h1, h2, doc_id, start) of the passages around the listed anchors of every document."""
+    """(route, long, words, h1, h2, doc_id, start) of the passages around the listed anchors of
+    every document; ``long`` marks those of long anchors."""
 
     def task(batches):
         for rb, data, offs in common.blocks(batches):
@@ -121,11 +131,49 @@ def passages(docs: DataFrame) -> DataFrame:
             raw = words.tobytes()
             body = pa.array([raw[8 * x : 8 * y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v[r].view(np.int64)), body, pa.array(h1), pa.array(h2), rb.column(0).take(pa.array(d)), pa.array(a - first[d])],
-                ["route", "words", "h1", "h2", "doc_id", "start"],
+                [pa.array(v[r].view(np.int64)), pa.array(pos[r] < 0), body, pa.array(h1), pa.array(h2), rb.column(0).take(pa.array(d)), pa.array(a - first[d])],
+                ["route", "long", "words", "h1", "h2", "doc_id", "start"],
             )
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(task, "route long, words binary, h1 long, h2 long, doc_id long, start long")
+    return docs.select("doc_id", "text", "anchors").mapInArrow(task, PASSAGES)
+
+
+PASSAGES = "route long, long boolean, words binary, h1 long, h2 long, doc_id long, start long"
+
+
+def single_windows(parts: DataFrame) -> DataFrame:
+    """Every window of the passages as a passage of its own, routed by all its words."""
+
+    def task(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            raw, offs = common.utf8(rb.column(0))
+            words, cut = np.frombuffer(raw.tobytes(), np.uint64), offs // 8
+            n = np.diff(cut) - WINDOW + 1
+            row = np.repeat(np.arange(rb.num_rows), n)
+            inside = common.repeats(n)
+            a = cut[row] + inside
+            h1, h2 = names(words, a, a + WINDOW)
+            data = words.tobytes()
+            body = pa.array([data[8 * x : 8 * (x + WINDOW)] for x in a.tolist()], pa.binary())
+            doc, start = (rb.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h1), pa.array(np.ones(len(a), bool)), body, pa.array(h1), pa.array(h2), pa.array(doc[row]), pa.array(start[row] + inside)],
+                ["route", "long", "words", "h1", "h2", "doc_id", "start"],
+            )
+
+    return parts.select("words", "doc_id", "start").mapInArrow(task, PASSAGES)
+
+
+def routed(parts: DataFrame, limit: int = ROUTE_BYTES) -> DataFrame:
+    """``parts`` with the passages of overlarge long anchors split into windows."""
+    size = parts.where("long").groupBy("route").agg(F.sum(F.octet_length("words")).alias("n"))
+    heavy = common.staged(size.where(F.col("n") > limit).select("route"), "heavy")
+    if not heavy.limit(1).count():
+        return parts
+    is_heavy = parts.where("long").join(heavy, "route", "left_semi")
+    return parts.where("not long").unionByName(parts.where("long").join(heavy, "route", "left_anti")).unionByName(single_windows(is_heavy))
 
 
 def search(words: np.ndarray, size: np.ndarray, doc: np.ndarray, window: int = WINDOW):
@@ -135,24 +183,23 @@ def search(words: np.ndarray, size: np.ndarray, doc: np.ndarray, window: int = W
     at = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.zeros(at[-1], np.int64)
     text[np.repeat(at[:-1], size) + common.repeats(size)] = code + 1
-    index = FmIndex(text, int(code.max()) + 2)
-    owner = np.repeat(doc, size + 1)
+    ids, rank = np.unique(doc, return_inverse=True)
+    index = FmIndex(text, int(code.max()) + 2, np.repeat(rank, size + 1))
     n_win = size - window + 1
-    q = np.repeat(at[:-1], n_win) + common.repeats(n_win)
+    ends = np.repeat(at[:-1], n_win) + common.repeats(n_win) + window
     least = np.repeat(doc, n_win)
-    which, lo, hi = index.repeated(text, q, window)
-    if len(which):
-        u, back = np.unique(lo, return_inverse=True)
-        top = np.zeros(len(u), np.int64)
-        top[back] = hi
-        rows = np.append(owner[index.sa], np.iinfo(np.int64).max)
-        least[which] = np.minimum.reduceat(rows, np.stack([u, top], 1).ravel())[::2][back]
+    for i in range(0, len(ends), STEP):
+        found, lo, hi = index.matching(text, ends[i : i + STEP], window)
+        hit = np.flatnonzero(found == window)
+        if len(hit):
+            least[i + hit] = ids[index.least_owner(lo[hit], hi[hit])]
     return least, np.concatenate([[0], np.cumsum(n_win)])
 
 
 def searched(distinct: DataFrame, shards: int) -> DataFrame:
     """(h1, h2, least) of the passages that several documents have or with a window found
-    elsewhere; one shard a task."""
+    elsewhere; one shard a task.  A shard holds about ``SHARD_BYTES`` at most, of anchors that
+    are each a small part of it."""
 
     def task(batches):
         raw, size, docs, many = [], [], [], []
@@ -229,16 +276,16 @@ def cut_out(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "copy", "cuts").mapInArrow(task, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT, route_bytes: int = ROUTE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept of every row.
 
     Null text has no words.  Rows that repeat an id are one document: none of
     them counts as lesser than another.  A row without id loses nothing and
-    takes nothing from others.  An empty table gives no rows.
+    takes nothing from others.  A text of any length is one document, its passages
+    lie in many shards.  Other columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.tune(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     known = common.staged(d.where("doc_id is not null").select("doc_id", "key").distinct(), "ids")
@@ -254,6 +301,9 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     common.release(spark)
     parts = common.staged(passages(d.join(todo.hint("shuffle_hash"), ["doc_id", "key"])), "passages")
     common.release(spark)
+    parts = routed(parts, route_bytes)
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     distinct = parts.groupBy("route", "words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     found = common.staged(searched(distinct, shards), "least")
     ranges = covered(parts.select("h1", "h2", "doc_id", "start").join(found, ["h1", "h2"]))
