@@ -6,8 +6,9 @@ Spark.  States emit the ``VOCAB`` most frequent tokens (seen ``LEAST`` times or
 rarer ones; inside the class a token has its smoothed share, so the model is a
 proper distribution over tokens.  Baum-Welch starts from a fit on a bounded
 sample (``INIT_ROWS`` documents), then every pass sums expected counts over all
-training documents, partition by partition, and re-estimates.  Scores come from
-the scaled forward recursion over the whole text, in double precision.
+training documents, partition by partition, and re-estimates, until a pass gains less
+than ``GAIN`` a token (``PASSES`` at most).  Scores come from the scaled forward
+recursion over the whole text, in double precision.
 
 Counts of the ``TABLE`` most frequent tokens at most travel to the tasks (a
 proven bound); all others are looked up by a join on the token.
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from qanat.llm import common
 
 STATES = 6
-VOCAB = 1 << 15
+VOCAB = 1 << 19
 #: Tokens seen less often have no symbol of their own: their split over states would be chance.
 LEAST = 3
 TABLE = 1 << 19
-PASSES = 2
+PASSES = 6
+#: Natural log likelihood a token that a pass must gain for another one to follow.
+GAIN = 0.002
 INIT_ROWS = 1000
 INIT_PASSES = 12
 PRIOR = 200.0
@@ -101,10 +104,10 @@ def most_frequent(table: DataFrame, limit: int) -> Counted:
             break
         room, least = room - n, g
     top = table.where(grade >= least) if least is not None else table.limit(0)
-    got = top.toPandas()
-    h = got["h"].to_numpy(np.int64).view(np.uint64)
+    got = top.toArrow()
+    h = got["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Counted(h[order], got["c"].to_numpy(np.int64)[order], sum(s for *_, s in hist), sum(n for _, n, _ in hist))
+    return Counted(h[order], got["c"].to_numpy().astype(np.int64)[order], sum(s for *_, s in hist), sum(n for _, n, _ in hist))
 
 
 def find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -181,8 +184,9 @@ def forward(model: Hmm, symbols: np.ndarray, offs: np.ndarray, keep: bool = Fals
     return (loglik, order, base, e, scale) if keep else loglik
 
 
-def expected(model: Hmm, symbols: np.ndarray, offs: np.ndarray):
-    """Baum-Welch expected counts of a block: start, moves, emissions; and its log likelihood."""
+def expected(model: Hmm, symbols: np.ndarray, offs: np.ndarray, emit: np.ndarray):
+    """Baum-Welch expected counts of a block: start and moves, and its log likelihood; those of
+    emissions are added to ``emit``."""
     loglik, order, base, alpha, scale = forward(model, symbols, offs, True)
     k = len(model.start)
     moves = np.zeros((k, k))
@@ -199,9 +203,12 @@ def expected(model: Hmm, symbols: np.ndarray, offs: np.ndarray):
             beta = np.ones_like(x)
         later = model.emit[sym[base[t] : base[t + 1]]] * beta / scale[base[t] : base[t + 1], None]
         x *= beta  # alpha becomes the posterior
-    emit = np.stack([np.bincount(sym, alpha[:, i], len(model.emit)) for i in range(k)], 1)
+    if len(sym):
+        by = np.argsort(sym, kind="stable")
+        new = np.flatnonzero(np.append(True, sym[by][1:] != sym[by][:-1]))
+        emit[sym[by][new]] += np.add.reduceat(alpha[by], new, axis=0)
     first = alpha[: base[1]].sum(0) if len(base) > 1 else np.zeros(k)
-    return first, moves * model.move, emit, float(loglik.sum())
+    return first, moves * model.move, float(loglik.sum())
 
 
 def estimate(first: np.ndarray, moves: np.ndarray, emit: np.ndarray, share: np.ndarray, prior: float = PRIOR) -> Hmm:
@@ -220,7 +227,9 @@ def initial(share: np.ndarray, states: int, sample: list[np.ndarray], passes: in
     if sample:
         symbols, offs = np.concatenate(sample), np.concatenate([[0], np.cumsum([len(x) for x in sample])])
         for _ in range(passes):
-            model = estimate(*expected(model, symbols, offs)[:3], share)
+            emit = np.zeros((len(share), states))
+            first, moves, _ = expected(model, symbols, offs, emit)
+            model = estimate(first, moves, emit, share)
     return model
 
 
@@ -289,35 +298,42 @@ def _joined(held, column, kind):
 
 
 def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSES, init_rows: int = INIT_ROWS, init_passes: int = INIT_PASSES) -> Hmm:
-    """Trains on the rows that are not held out."""
+    """Trains on the rows that are not held out.  The starting point comes from texts drawn
+    by a hash of id and text (equal ones once); every pass after it sees all training rows."""
     spark = rows.sparkSession
     train = rows.where("not held_out").select("uid", "symbols")
     kind = np.uint16 if len(codes.h) < 1 << 16 else np.uint32
-    n = train.count()
+    n, n_tokens = rows.where("not held_out").agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     part = int(min(1.0, init_rows / max(n, 1)) * (1 << 30))
-    drawn = rows.where("not held_out").where(F.pmod(F.xxhash64(F.lit("hmm"), "doc_id", "n_tokens"), F.lit(1 << 30)) < part)
-    sample = sorted(bytes(r["symbols"]) for r in drawn.select("symbols").toLocalIterator())
+    drawn = rows.where("not held_out").where(F.pmod(F.xxhash64(F.lit("hmm"), "doc_id", "symbols"), F.lit(1 << 30)) < part)
+    sample = sorted(bytes(r["symbols"]) for r in drawn.select("symbols").distinct().toLocalIterator())
     model = initial(codes.share, states, [np.frombuffer(x, kind).astype(np.int64) for x in sample], init_passes)
     names = [f"s{i}" for i in range(states)]
     size = len(codes.share)
+    before = None
     for _ in range(passes if n else 0):
         shared = spark.sparkContext.broadcast(model)
 
         def task(batches, shared=shared):
             model = shared.value
-            total = np.zeros((size + 1 + states, states))
+            total = np.zeros((size + 2 + states, states))  # emissions, starts, moves, likelihood
             for _, symbols, offs in sequences(batches, "symbols", kind):
-                first, moves, emit, _ = expected(model, symbols, offs)
-                total[:size] += emit
+                first, moves, loglik = expected(model, symbols, offs, total[:size])
                 total[size] += first
-                total[size + 1 :] += moves
+                total[size + 1 : -1] += moves
+                total[-1, 0] += loglik
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, i]) for i in range(states)]], ["at", *names])
 
-        got = train.mapInArrow(task, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
-        total = np.zeros((size + 1 + states, states))
-        total[got["at"].to_numpy()] = got[names].to_numpy()
-        model = estimate(total[size], total[size + 1 :], total[:size], codes.share)
+        got = train.mapInArrow(task, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        total = np.zeros((size + 2 + states, states))
+        total[got["at"].to_numpy()] = np.stack([got[x].to_numpy() for x in names], 1)
+        shared.unpersist()
+        model = estimate(total[size], total[size + 1 : -1], total[:size], codes.share)
+        loglik = float(total[-1, 0]) / max(1, n_tokens)
+        if before is not None and loglik - before < GAIN:
+            break
+        before = loglik
     return model
 
 
@@ -325,8 +341,10 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Learns from the rows where ``held_out`` is false.  Null text is empty: its
-    one token is the end.  Rows that repeat an id are scored apart.  Without
-    training rows every token is unknown.  An empty table gives no rows.
+    one token is the end.  Rows that repeat an id, or have none, are scored apart.
+    Without training rows every token is unknown.  A text of any length is scored
+    whole.  Tokens of equal count are ranked by their hash.  Other columns, whatever
+    their names, are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.tune(spark)
