@@ -7,14 +7,15 @@ Format of one partition ``NNNNN``, little-endian throughout:
 * ``NNNNN.idx``: magic ``QTOKIDX1``, int64 width in bytes, int64 n, then n + 1
   int64 offsets (in ids, from 0 in this file), then n int64 document ids.
 
-Partitions are ranges of ascending document id.  Each task writes under a name
-of its own and renames when whole, so a retried task replaces equal files.
+Partitions are ranges of ascending document id (of the text among equal ids), small in rows and in bytes of text.  Each task streams its ids to a file of its
+own name and renames it when whole, so a retried task replaces equal files.
 Prefix sums of the partitions' counts give the base of each partition in the
 whole id sequence.  Readers map the files into memory.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -36,6 +37,13 @@ END_ID = 1
 NO_ID = -(1 << 63)
 #: Distinct words whose ids one Python worker remembers.
 MEMO_WORDS = 3 << 19
+#: Rows and bytes of text of one partition, about.
+PART_ROWS, PART_BYTES = 1 << 14, 64 << 20
+#: Characters of a text that range bounds hold: all that a sort by text needs to divide it.
+HEAD = 64
+# Steps before the model under which a text's ids are those of its words.
+WORDWISE_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+WORDWISE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PARTS = "pid int, path string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -75,12 +83,29 @@ def _get(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype)
 
 
+def wordwise(config: dict) -> bool:
+    """Whether the ids of a text are those of its words: the tokenizer lower-cases, its
+    pre-tokens are the matches of the known pattern (none holds white space, a letter never
+    joins a comma or full stop) and white space between them is dropped."""
+    steps = (config.get("normalizer") or {}).get("normalizers") or []
+    cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    spaces = [x for x in steps if x["type"] == "Replace"]
+    return (
+        sorted(x["type"] for x in steps) == sorted(WORDWISE_NORMALIZERS)
+        and all(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in spaces)
+        and cuts[0].get("type") == "Split"
+        and cuts[0].get("pattern") == {"Regex": WORDWISE_PATTERN}
+        and (cuts[0].get("behavior"), cuts[0].get("invert")) == ("Removed", True)
+        and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in cuts[1:])
+    )
+
+
 class Encoder:
     """The tokenizer behind a memo of words.
 
-    For a tokenizer whose pre-tokens never cross white space and that drops
-    white space, the ids of a text are those of its words, one after the
-    other; each distinct word goes through the library once.
+    Where its configuration says that the ids of a text are those of its words, one
+    after the other (``wordwise``), each distinct word goes through the library once.
+    Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS):
@@ -88,6 +113,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            self.wordwise = wordwise(json.load(f))
         self.limit = memo
         self.clear()
 
@@ -151,6 +178,19 @@ class Encoder:
         return self.ids[np.repeat(self.ofs[at], size) + common.repeats(size)], size
 
 
+    def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of a block, and how many lie before each document's end."""
+        if self.wordwise:
+            words, count = self.split(data, offs)
+            got, size = self.encode(words)
+            return got, np.concatenate([[0], np.cumsum(size)])[count]
+        raw = data.tobytes()
+        whole = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        found = [e.ids for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]
+        upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(upto[-1]) if len(upto) else 0), upto
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -161,44 +201,51 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, rows_per_part: int = 1 << 14) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, rows_per_part: int = PART_ROWS, bytes_per_part: int = PART_BYTES) -> DataFrame:
     """Writes the files and returns one row per partition: pid, path, n_docs, n_ids, base.
 
     Null text is empty: its ids are the end id alone.  Rows without id come first;
-    rows that repeat an id are ordered by their text.  An empty table writes no file.
+    rows that repeat an id (or have none) are ordered by their text and may lie in several
+    files, divided by the first characters of it.  A text of any length is encoded whole.  Other
+    columns are ignored.  An empty table writes no file.
     """
     spark = docs.sparkSession
     common.tune(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = d.select("doc_id").count()
-    parts = max(1, min(-(-n // rows_per_part), 1 << 20), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    d = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    n, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    least = max(-(-n // rows_per_part), -(-size // bytes_per_part))
+    parts = max(1, min(least, 1 << 20), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    d = d.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
 
     def task(batches):
         pid = TaskContext.get().partitionId()
         enc = encoder(tokenizer)
-        kind = np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32
-        sizes, ids, names = [], [], []
-        for rb, data, offs in common.blocks(batches):
-            words, count = enc.split(data, offs)
-            got, size = enc.encode(words)
-            upto = np.concatenate([[0], np.cumsum(size)])[count]
-            ids.append(np.insert(got.astype(kind), upto, end_id))
-            sizes.append(np.diff(upto, prepend=0) + 1)
-            names.append(pc.fill_null(rb.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-        if not sizes:
+        kind = np.dtype(np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32).newbyteorder("<")
+        sizes, names = [], []
+
+        def encoded():
+            for rb, data, offs in common.blocks(batches):
+                got, upto = enc.texts(data, offs)
+                sizes.append(np.diff(upto, prepend=0) + 1)
+                names.append(pc.fill_null(rb.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                yield np.insert(got.astype(kind), upto, end_id).tobytes()
+
+        stream = encoded()
+        first = next(stream, None)
+        if first is None:
             return
         base = f"{folder}/{pid:05d}"
+        _put(f"{base}.ids", chain([first], stream))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
-        _put(f"{base}.ids", [np.concatenate(ids).astype(np.dtype(kind).newbyteorder("<")).tobytes()])
         n = len(offsets) - 1
-        head = np.array([np.dtype(kind).itemsize, n], "<i8")
+        head = np.array([kind.itemsize, n], "<i8")
         _put(f"{base}.idx", [MAGIC, head.tobytes(), offsets.tobytes(), np.concatenate(names).tobytes()])
         yield pa.RecordBatch.from_pydict(
             {"pid": pa.array([pid], pa.int32()), "path": [base], "n_docs": [n], "n_ids": [int(offsets[-1])]}
         )
 
-    done = common.staged(d.mapInArrow(task, PARTS), "token-parts")
+    done = common.staged(d.select("doc_id", "text").mapInArrow(task, PARTS), "token-parts")
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return done.withColumn("base", F.sum("n_ids").over(before) - F.col("n_ids"))
 

@@ -339,26 +339,56 @@ def brute_removed(rows, n=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT, 1])
-def test_substring_dedup(spark, hot):
+@pytest.mark.parametrize("hot, route, shard", [(substring_dedup.HOT, substring_dedup.ROUTE_BYTES, substring_dedup.SHARD_BYTES), (1, substring_dedup.ROUTE_BYTES, 500), (1, 1, 5000)])
+def test_substring_dedup(spark, hot, route, shard):
     for rows, docs in (synthetic(spark), ([(r.doc_id, r.text) for r in awkward(spark).collect()], awkward(spark))):
-        got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs, hot).collect())
+        got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs, hot, route, shard).collect())
         assert got == brute_removed(rows)
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_substring_shards_are_bounded(spark, monkeypatch):
+    """One passage in every document, each time in another context: its anchor is split until
+    no anchor holds more than the bound, and no shard is much larger than its own."""
+    rng = random.Random(12)
+    line = sentence(rng, 13)
+    rows = [(i, " ".join([f"a{i}b{rng.random()}", line, f"c{i}d{rng.random()}", *(f"u{rng.random()}" for _ in range(8))])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {}
+
+    def spy(distinct, shards):
+        own = distinct.groupBy("route").agg(F.sum(F.octet_length("words")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        seen.update(route=own[0], total=own[1], shards=shards)
+        return real(distinct, shards)
+
+    real = substring_dedup.searched
+    monkeypatch.setattr(substring_dedup, "searched", spy)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs, 16, 4000, 20_000).collect())
+    assert got == brute_removed(rows)
+    assert 0 < seen["route"] <= 4000 and seen["total"] <= 20_000 * seen["shards"]
+
+
 def test_fm_index():
+    """Matching statistics of the indexed text and of a streamed one against brute force."""
     rng = np.random.default_rng(0)
     text = np.append(rng.integers(1, 5, 400), 0)
-    index = fm_index.FmIndex(text, 6)
+    owner = rng.integers(0, 50, 401)
+    index = fm_index.FmIndex(text, 6, owner)
     s = text.tolist()
-    for n in (1, 2, 5, 9, 13):
-        at = np.arange(len(text) - n)
-        which, lo, hi = index.repeated(text, at, n)
-        found = {int(at[w]): set(index.sa[a:b].tolist()) for w, a, b in zip(which, lo, hi)}
-        for i in at.tolist():
-            same = {j for j in range(len(s) - n + 1) if s[j : j + n] == s[i : i + n]}
-            assert (found.get(i) == same) if len(same) > 1 else i not in found
+    other = np.concatenate([text[50:90], rng.integers(1, 5, 60), [-1], text[200:230]])
+    for stream, least in ((text[:-1], 2), (other, 1)):
+        for limit in (1, 2, 5, 13):
+            ends = np.arange(limit, len(stream) + 1)
+            size, lo, hi = index.matching(stream, ends, limit, least)
+            q = stream.tolist()
+            places = lambda e, n: [j for j in range(len(s) - n + 1) if s[j : j + n] == q[e - n : e]]
+            for e, n, a, b in zip(ends.tolist(), size.tolist(), lo.tolist(), hi.tolist()):
+                found = places(e, n) if n else []
+                assert n == 0 or len(found) >= least and sorted(index.owner[a:b].tolist()) == sorted(owner[found].tolist())
+                assert n == limit or len(places(e, n + 1)) < least
+            hit = size > 0
+            if hit.any():
+                assert index.least_owner(lo[hit], hi[hit]).tolist() == [index.owner[a:b].min() for a, b in zip(lo[hit], hi[hit])] or limit > 1
 
 
 def test_wavelet_rank():
@@ -678,11 +708,13 @@ def test_forward_is_exact():
 
     want = [by_paths(sym[a:b]) for a, b in zip(offs[:-1], offs[1:])]
     assert np.allclose(hmm.forward(m, sym, offs), want)
-    first, moves, emit, total = hmm.expected(m, sym, offs)
+    emit = np.zeros_like(m.emit)
+    first, moves, total = hmm.expected(m, sym, offs, emit)
     assert np.allclose([first.sum(), moves.sum(), emit.sum(), total], [6, sum(n - 1 for n in size), offs[-1], sum(want)])
     seen = []
     for _ in range(6):
-        first, moves, emit, total = hmm.expected(m, sym, offs)
+        emit = np.zeros_like(m.emit)
+        first, moves, total = hmm.expected(m, sym, offs, emit)
         seen.append(total)
         m = hmm.estimate(first - 0.1, moves - 0.1, emit, np.full(v, 1 / v), 1e-9)
     assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:]))
