@@ -167,7 +167,9 @@ def in_step(offs: np.ndarray):
 def forward(model: Hmm, symbols: np.ndarray, offs: np.ndarray, keep: bool = False):
     """Natural log likelihood of every sequence; with ``keep`` also what backward needs."""
     order, base, rank = in_step(offs)
-    e = model.emit[symbols[order]]
+    sym = symbols[order]
+    e = model.emit[sym]
+    kept = e.copy() if keep else None
     scale = np.empty(len(order))
     a = None
     for t in range(len(base) - 1):
@@ -181,16 +183,16 @@ def forward(model: Hmm, symbols: np.ndarray, offs: np.ndarray, keep: bool = Fals
     where[rank] = np.arange(len(rank))
     seq = common.repeats(np.diff(base))
     loglik = np.bincount(seq, np.log(scale), minlength=len(offs) - 1)[where] if len(order) else np.zeros(len(offs) - 1)
-    return (loglik, order, base, e, scale) if keep else loglik
+    return (loglik, sym, base, e, kept, scale) if keep else loglik
 
 
 def expected(model: Hmm, symbols: np.ndarray, offs: np.ndarray, emit: np.ndarray):
     """Baum-Welch expected counts of a block: start and moves, and its log likelihood; those of
-    emissions are added to ``emit``."""
-    loglik, order, base, alpha, scale = forward(model, symbols, offs, True)
+    emissions are added to ``emit`` (states x symbols)."""
+    loglik, sym, base, alpha, seen, scale = forward(model, symbols, offs, True)
     k = len(model.start)
     moves = np.zeros((k, k))
-    sym = symbols[order]
+    seen /= scale[:, None]
     later = None
     for t in range(len(base) - 2, -1, -1):
         x = alpha[base[t] : base[t + 1]]
@@ -201,12 +203,11 @@ def expected(model: Hmm, symbols: np.ndarray, offs: np.ndarray, emit: np.ndarray
             beta[: len(later)] = later @ model.move.T
         else:
             beta = np.ones_like(x)
-        later = model.emit[sym[base[t] : base[t + 1]]] * beta / scale[base[t] : base[t + 1], None]
+        later = seen[base[t] : base[t + 1]]
+        later *= beta
         x *= beta  # alpha becomes the posterior
-    if len(sym):
-        by = np.argsort(sym, kind="stable")
-        new = np.flatnonzero(np.append(True, sym[by][1:] != sym[by][:-1]))
-        emit[sym[by][new]] += np.add.reduceat(alpha[by], new, axis=0)
+    for i in range(k):
+        emit[i] += np.bincount(sym, alpha[:, i], emit.shape[1])
     first = alpha[: base[1]].sum(0) if len(base) > 1 else np.zeros(k)
     return first, moves * model.move, float(loglik.sum())
 
@@ -227,9 +228,9 @@ def initial(share: np.ndarray, states: int, sample: list[np.ndarray], passes: in
     if sample:
         symbols, offs = np.concatenate(sample), np.concatenate([[0], np.cumsum([len(x) for x in sample])])
         for _ in range(passes):
-            emit = np.zeros((len(share), states))
+            emit = np.zeros((states, len(share)))
             first, moves, _ = expected(model, symbols, offs, emit)
-            model = estimate(first, moves, emit, share)
+            model = estimate(first, moves, emit.T, share)
     return model
 
 
@@ -301,7 +302,8 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
     """Trains on the rows that are not held out.  The starting point comes from texts drawn
     by a hash of id and text (equal ones once); every pass after it sees all training rows."""
     spark = rows.sparkSession
-    train = rows.where("not held_out").select("uid", "symbols")
+    # a task a core: what a task sums up is as large as the model, however little it reads
+    train = rows.where("not held_out").select("uid", "symbols").coalesce(max(1, spark.sparkContext.defaultParallelism))
     kind = np.uint16 if len(codes.h) < 1 << 16 else np.uint32
     n, n_tokens = rows.where("not held_out").agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     part = int(min(1.0, init_rows / max(n, 1)) * (1 << 30))
@@ -316,14 +318,16 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
 
         def task(batches, shared=shared):
             model = shared.value
-            total = np.zeros((size + 2 + states, states))  # emissions, starts, moves, likelihood
+            total = np.zeros((states, size + 2 + states))  # emissions, starts, moves, likelihood
             for _, symbols, offs in sequences(batches, "symbols", kind):
-                first, moves, loglik = expected(model, symbols, offs, total[:size])
-                total[size] += first
-                total[size + 1 : -1] += moves
-                total[-1, 0] += loglik
-            at = np.flatnonzero(total.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, i]) for i in range(states)]], ["at", *names])
+                first, moves, loglik = expected(model, symbols, offs, total[:, :size])
+                total[:, size] += first
+                total[:, size + 1 : -1] += moves.T
+                total[0, -1] += loglik
+            at = np.flatnonzero(total.any(0))
+            for i in range(0, len(at), 1 << 16):
+                some = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some]) for x in total]], ["at", *names])
 
         got = train.mapInArrow(task, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
         total = np.zeros((size + 2 + states, states))

@@ -708,15 +708,15 @@ def test_forward_is_exact():
 
     want = [by_paths(sym[a:b]) for a, b in zip(offs[:-1], offs[1:])]
     assert np.allclose(hmm.forward(m, sym, offs), want)
-    emit = np.zeros_like(m.emit)
+    emit = np.zeros(m.emit.shape[::-1])
     first, moves, total = hmm.expected(m, sym, offs, emit)
     assert np.allclose([first.sum(), moves.sum(), emit.sum(), total], [6, sum(n - 1 for n in size), offs[-1], sum(want)])
     seen = []
     for _ in range(6):
-        emit = np.zeros_like(m.emit)
+        emit = np.zeros(m.emit.shape[::-1])
         first, moves, total = hmm.expected(m, sym, offs, emit)
         seen.append(total)
-        m = hmm.estimate(first - 0.1, moves - 0.1, emit, np.full(v, 1 / v), 1e-9)
+        m = hmm.estimate(first - 0.1, moves - 0.1, emit.T, np.full(v, 1 / v), 1e-9)
     assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:]))
 
 
