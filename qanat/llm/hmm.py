@@ -327,12 +327,13 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
             at = np.flatnonzero(total.any(0))
             for i in range(0, len(at), 1 << 16):
                 some = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some]) for x in total]], ["at", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some].astype(np.float32)) for x in total]], ["at", *names])
 
-        got = train.mapInArrow(task, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        got = train.mapInArrow(task, "at long, " + ", ".join(f"{x} float" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
         total = np.zeros((size + 2 + states, states))
         total[got["at"].to_numpy()] = np.stack([got[x].to_numpy() for x in names], 1)
         shared.unpersist()
+        common.release(spark)  # the shuffle of this pass, which is as large as the model times the cores
         model = estimate(total[size], total[size + 1 : -1], total[:size], codes.share)
         loglik = float(total[-1, 0]) / max(1, n_tokens)
         if before is not None and loglik - before < GAIN:
