@@ -38,6 +38,8 @@ INIT_ROWS = 1000
 INIT_PASSES = 12
 PRIOR = 200.0
 SMOOTH = 0.1
+#: Symbols whose expected counts make one row of the exchange between tasks.
+SLICE = 1 << 13
 #: Text bytes whose sequences run in step.
 STEP_BYTES = 8 << 20
 LOWER = np.arange(256)
@@ -310,8 +312,12 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
     drawn = rows.where("not held_out").where(F.pmod(F.xxhash64(F.lit("hmm"), "doc_id", "symbols"), F.lit(1 << 30)) < part)
     sample = sorted(bytes(r["symbols"]) for r in drawn.select("symbols").distinct().toLocalIterator())
     model = initial(codes.share, states, [np.frombuffer(x, kind).astype(np.int64) for x in sample], init_passes)
-    names = [f"s{i}" for i in range(states)]
     size = len(codes.share)
+
+    def added(table):
+        sums = sum(np.frombuffer(x, "<f4").astype(float) for x in table["sums"].to_pylist())
+        return pa.table({"at": table["at"][:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
     before = None
     for _ in range(passes if n else 0):
         shared = spark.sparkContext.broadcast(model)
@@ -324,14 +330,17 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
                 total[:, size] += first
                 total[:, size + 1 : -1] += moves.T
                 total[0, -1] += loglik
-            at = np.flatnonzero(total.any(0))
-            for i in range(0, len(at), 1 << 16):
-                some = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some].astype(np.float32)) for x in total]], ["at", *names])
-
-        got = train.mapInArrow(task, "at long, " + ", ".join(f"{x} float" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
-        total = np.zeros((size + 2 + states, states))
-        total[got["at"].to_numpy()] = np.stack([got[x].to_numpy() for x in names], 1)
+            for i in range(0, total.shape[1], SLICE):
+                part = total[:, i : i + SLICE]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype("<f4").tobytes()], pa.binary())], ["at", "sums"])
+
+        got = train.mapInArrow(task, "at long, sums binary").groupBy("at").applyInArrow(added, "at long, sums binary").toLocalIterator()
+        total = np.zeros((states, size + 2 + states))
+        for r in got:
+            part = np.frombuffer(bytes(r["sums"]), "<f8").reshape(states, -1)
+            total[:, r["at"] : r["at"] + part.shape[1]] = part
+        total = total.T
         shared.unpersist()
         common.release(spark)  # the shuffle of this pass, which is as large as the model times the cores
         model = estimate(total[size], total[size + 1 : -1], total[:size], codes.share)
@@ -356,7 +365,8 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES,
     all_counts = common.staged(counts(docs.where(~held_out)), "counts")
     known = most_frequent(all_counts, table)
     codes = coded(known, vocab)
-    rows = common.staged(encoded(docs, held_out, known, codes), "symbols")
+    # by length, so that the sequences of a step end together
+    rows = common.staged(encoded(docs, held_out, known, codes).sortWithinPartitions("n_tokens"), "symbols")
     common.release(spark)
     model = fit(rows, codes, states, passes)
     kind = np.uint16 if len(codes.h) < 1 << 16 else np.uint32
