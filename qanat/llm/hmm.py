@@ -41,7 +41,7 @@ SMOOTH = 0.1
 #: Symbols whose expected counts make one row of the exchange between tasks.
 SLICE = 1 << 13
 #: Text bytes whose sequences run in step.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 6 << 20
 LOWER = np.arange(256)
 LOWER[65:91] += 32
 #: The end token's name among the 64-bit hashes of words.
@@ -280,14 +280,22 @@ def encoded(docs: DataFrame, held_out, known: Counted, codes: Codes) -> DataFram
 
 
 def sequences(batches, column: str, kind, limit: int = STEP_BYTES // 3):
-    """Yields (batch slice, symbols, offsets) of many sequences at once."""
+    """Yields (batch slice, symbols, offsets) of many sequences at once, about ``limit`` bytes of
+    symbols (a longer sequence is a step of its own)."""
     held, size = [], 0
     for rb in batches:
-        held.append(rb)
-        size += rb.column(rb.schema.get_field_index(column)).nbytes
-        if size >= limit:
-            yield from _joined(held, column, kind)
-            held, size = [], 0
+        _, offs = common.utf8(rb.column(rb.schema.get_field_index(column)))
+        a = 0
+        while a < rb.num_rows:
+            b = int(np.searchsorted(offs, offs[a] + limit - size, side="right")) - 1
+            b = min(max(b, a if held else a + 1), rb.num_rows)
+            if b > a:
+                held.append(rb.slice(a, b - a))
+                size += int(offs[b] - offs[a])
+            if b < rb.num_rows:
+                yield from _joined(held, column, kind)
+                held, size = [], 0
+            a = b
     if held:
         yield from _joined(held, column, kind)
 
