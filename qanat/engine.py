@@ -5,16 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qanat.config import AnswerConfig, RetrievalConfig
-from qanat.functions import answering, rules, text
+from qanat.functions import answering, prompts, rules, text
 from qanat.functions import arabic_rules as ar
 from qanat.operators import dense
+from qanat.plans import index as search_index
 from qanat.plans.retrieval import retrieve
 
 
@@ -31,18 +34,57 @@ def extractive(model: str, system: str, user: str) -> str:
 
 
 class AnswerCache:
-    """Answers by key with the time they were written; ``clock`` is replaceable."""
+    """Answers by key with the time they were written, the ``limit`` latest ones; ``clock`` is replaceable."""
 
-    def __init__(self, clock: Callable[[], float] = time.time):
+    def __init__(self, clock: Callable[[], float] = time.time, limit: int = 10_000):
         self.rows: dict[str, tuple[float, str]] = {}
-        self.clock = clock
+        self.clock, self.limit = clock, limit
 
     def get(self, key: str, ttl: int) -> str | None:
         found = self.rows.get(key)
         return found[1] if found and self.clock() - found[0] < ttl else None
 
-    def put(self, key: str, answer: str) -> None:
+    def put(self, key: str, answer: str, **facts) -> None:
+        self.rows.pop(key, None)
         self.rows[key] = (self.clock(), answer)
+        while len(self.rows) > self.limit:
+            del self.rows[next(iter(self.rows))]
+
+
+class FolderCache:
+    """The same in a folder, a JSON file a key: it outlives the process.  Files that cannot be
+    read count as absent."""
+
+    def __init__(self, folder: str, clock: Callable[[], float] = time.time):
+        self.folder, self.clock = Path(folder), clock
+        self.folder.mkdir(parents=True, exist_ok=True)
+
+    def get(self, key: str, ttl: int) -> str | None:
+        try:
+            row = json.loads((self.folder / f"{key}.json").read_text(encoding="utf-8"))
+        except (OSError, ValueError):
+            return None
+        return row.get("answer") if self.clock() - row.get("ts", 0) < ttl else None
+
+    def put(self, key: str, answer: str, **facts) -> None:
+        part = self.folder / f"{key}.{uuid.uuid4().hex}.part"
+        part.write_text(json.dumps({"ts": self.clock(), "answer": answer} | facts, ensure_ascii=False), encoding="utf-8")
+        part.replace(self.folder / f"{key}.json")
+
+
+class Limiter:
+    """At most ``limit`` requests of a caller in each window of ``every`` seconds."""
+
+    def __init__(self, limit: int = 20, every: float = 60.0, clock: Callable[[], float] = time.time):
+        self.limit, self.every, self.clock = limit, every, clock
+        self.window, self.seen = -1, {}
+
+    def allow(self, caller: str) -> bool:
+        now = int(self.clock() // self.every)
+        if now != self.window:
+            self.window, self.seen = now, {}
+        self.seen[caller] = self.seen.get(caller, 0) + 1
+        return self.seen[caller] <= self.limit
 
 
 def cache_key(model: str, intent: str, chunk_ids: list[str], query: str, config: AnswerConfig = AnswerConfig()) -> str:
@@ -53,7 +95,11 @@ def cache_key(model: str, intent: str, chunk_ids: list[str], query: str, config:
 
 @dataclass
 class Engine:
-    """``chunks`` has unit, doc, chunk_id, tokens, title, body_clean, text, pub_date, article_type, league, teams, source_url."""
+    """``chunks`` has unit, doc, chunk_id, tokens, title, body_clean, text, pub_date, article_type, league, teams, source_url.
+
+    With an ``index`` of them (``qanat.plans.index``) questions read postings of their own
+    terms and ``tokens`` is not needed; ``Engine.over`` makes an engine from an index alone.
+    """
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -63,12 +109,17 @@ class Engine:
     generate: Callable[[str, str, str], str] = extractive
     small: str = "small"
     big: str = "big"
-    system: str = ""
-    prompts: dict[str, str] = field(default_factory=dict)
+    system: str = prompts.RULES
+    prompts: dict[str, str] = field(default_factory=lambda: dict(prompts.INTENTS))
     config: AnswerConfig = AnswerConfig()
     retrieval: RetrievalConfig = RetrievalConfig(k_final=6)
-    cache: AnswerCache = field(default_factory=AnswerCache)
+    cache: AnswerCache | FolderCache = field(default_factory=AnswerCache)
     now: str | None = None
+    index: search_index.Index | None = None
+
+    @classmethod
+    def over(cls, index: search_index.Index, **more) -> Engine:
+        return cls(index.units, index.vectors, index=index, **more)
 
     def _query(self, query: str) -> DataFrame:
         spark = self.chunks.sparkSession
@@ -79,11 +130,31 @@ class Engine:
             q = q.withColumn("vector", encode(F.lit("query: " + query)))
         return q
 
-    def health(self) -> bool:
-        return bool(self.chunks.limit(1).count())
-
-    def ask(self, query: str, article_type: str | None = None, league: str | None = None, team: str | None = None) -> dict:
-        """Answer, intent, sources, model, fallback, cache state, timings, number of chunks."""
+    def _hits(self, q: DataFrame, filters: dict, config: RetrievalConfig) -> DataFrame:
+        now = F.lit(self.now).cast("date") if self.now else F.current_date()
+        return retrieve(self.chunks, q, now, self.vectors, filters, config=config, index=self.index)
+
+    def health(self, probe: str) -> dict:
+        """The state of the engine by one real retrieval: ok with the number of chunks, or what failed."""
+        try:
+            found = len(self._hits(self._query(probe), {}, replace(self.retrieval, k_final=1)).collect())
+            n = self.index.n_units if self.index else self.chunks.count()
+        except Exception as e:  # a health check reports whatever goes wrong
+            return {"status": "error", "reason": str(e).splitlines()[0] if str(e) else type(e).__name__}
+        return {"status": "ok", "chunks": n} if found else {"status": "error", "reason": "no results"}
+
+    def ask(self, query: str, article_type: str | None = None, league: str | None = None, team: str | None = None, request_id: str | None = None) -> dict:
+        """Answer, intent, sources, model, fallback, cache state, timings, number of chunks and
+        the request's id (made where none is given).  A blank query gives no answer."""
+        request_id = request_id or uuid.uuid4().hex[:12]
+        return {"request_id": request_id} | self._ask(query, article_type, league, team)
+
+    def _ask(self, query: str, article_type: str | None, league: str | None, team: str | None) -> dict:
+        if not query.strip():
+            return {
+                "answer": "", "intent": None, "sources": [], "model": None, "model_fallback": False,
+                "cached": False, "cache_reason": "blank", "retrieval_ms": 0, "llm_ms": 0, "n_chunks": 0,
+            }
         if not 2 <= len(query) <= 500:
             raise ValueError("a query has 2 to 500 characters")
         q = self._query(query)
@@ -97,8 +168,7 @@ class Engine:
             return out
         filters = {"article_type": article_type or self.rules.filter_type.get(intent), "league": league, "team": team}
         t0 = time.monotonic()
-        now = F.lit(self.now).cast("date") if self.now else F.current_date()
-        hits = retrieve(self.chunks, q, now, self.vectors, filters, config=self.retrieval)
+        hits = self._hits(q, filters, self.retrieval)
         rows = hits.orderBy("rank").collect()  # at most k_final
         out["retrieval_ms"] = int((time.monotonic() - t0) * 1000)
         if not rows:
@@ -148,7 +218,7 @@ class Engine:
         out = {"llm_ms": int((time.monotonic() - t0) * 1000), "cache_reason": reason, "model_fallback": model != wanted}
         if reason != "miss":
             return out | {"answer": ar.ERROR_ANSWER, "model": None}
-        self.cache.put(cache_key(model, intent, ids, query, self.config), answer)
+        self.cache.put(cache_key(model, intent, ids, query, self.config), answer, query=query, intent=intent, prompt_v=self.config.prompt_version)
         return out | {"answer": answer, "model": model}
 
 

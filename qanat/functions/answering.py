@@ -21,17 +21,31 @@ TTL_SECONDS = {
 }
 
 
-def sanitize(query: Column, passes: int = 4) -> Column:
+def sanitize(query: Column, passes: int | None = None) -> Column:
     """Drops control characters, fences and role markers; strips.
 
-    Markers are removed ``passes`` times in their order, so that one put together
-    by removing another goes too (1: a single pass).
+    Markers are removed in their order, again and again until none is left over, so that one
+    put together by removing another goes too, however deep (``passes``: so many times).
     """
     q = F.regexp_replace(F.coalesce(query, F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
-    for _ in range(passes):
-        for m in [*FENCES, *MARKERS]:
-            q = F.replace(q, F.lit(m), F.lit(""))
-    return trimmed(q)
+    markers = [*FENCES, *MARKERS]
+
+    def once(t: Column) -> Column:
+        for m in markers:
+            t = F.replace(t, F.lit(m), F.lit(""))
+        return t
+
+    if passes is not None:
+        for _ in range(passes):
+            q = once(q)
+        return trimmed(q)
+    q = once(once(q))
+    dirty = F.lit(False)
+    for m in markers:
+        dirty = dirty | F.contains(q, F.lit(m))
+    # a pass that removes anything makes the text shorter by the least marker
+    rounds = F.sequence(F.lit(0), F.floor(F.length(q) / min(map(len, markers))).cast("int"))
+    return trimmed(F.when(dirty, F.aggregate(rounds, q, lambda t, _: once(t))).otherwise(q))
 
 
 def strip_placeholder(answer: Column) -> Column:

@@ -329,9 +329,11 @@ LEAGUES = [
     ('egyptian_league', ['الدوري المصري', 'دوري المحترفين']),
     ('saudi_league', ['الدوري السعودي', 'روشن']),
 ]
+#: A section that the crawled site names after itself: set it to that site's name.
+SAUDI_SECTION = 'سعودي في الجول'
 SECTION_LEAGUES = [
     ('الكرة المصرية', 'egyptian_league'), ('الدوري المصري', 'egyptian_league'), ('الكرة الإفريقية', 'caf_champions'),
-    ('الدوري الإنجليزي', 'premier_league'), ('الكرة الأوروبية', 'champions_league'),
+    (SAUDI_SECTION, 'saudi_league'), ('الدوري الإنجليزي', 'premier_league'), ('الكرة الأوروبية', 'champions_league'),
 ]
 DENIED_SECTIONS = ['كرة يد', 'كرة سلة', 'كرة طائرة', 'رياضات أخرى']
 

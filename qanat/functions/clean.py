@@ -93,16 +93,27 @@ def collapse_repeats(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\b(\S{4,})\s+\1\b", "$1")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean_body(text: Column, title: Column | None = None, rules: CleanRules = CleanRules()) -> Column:
     """The readable body.  Null gives ''."""
-    t = replace_all(F.coalesce(text, F.lit("")), before_cuts(rules))
-    cut = F.regexp_replace(t, r"(?Us)(?:" + TICKER + r").*$", "")
-    t = F.when(cut != t, trimmed(cut)).otherwise(t)
-    at = F.instr(t, RELATED) - 1
-    t = F.when(at > rules.least_cut, trimmed(F.substr(t, F.lit(1), at))).otherwise(t)
-    t = trimmed(replace_all(t, AFTER_CUTS))
-    if title is None:
-        return t
-    head = F.substring(title, 1, rules.title_head)
-    starts = (F.length(title) > rules.title_min) & F.startswith(t, trimmed(head))
-    return F.when(starts, trimmed(F.substr(t, F.length(head) + 1))).otherwise(t)
+
+    def without_ticker(t: Column) -> Column:
+        cut = F.regexp_replace(t, r"(?Us)(?:" + TICKER + r").*$", "")
+        return bound(cut, lambda c: F.when(c != t, trimmed(c)).otherwise(t))
+
+    def without_related(t: Column) -> Column:
+        at = F.instr(t, RELATED) - 1
+        return F.when(at > rules.least_cut, trimmed(F.substr(t, F.lit(1), at))).otherwise(t)
+
+    def without_title(t: Column) -> Column:
+        head = F.substring(title, 1, rules.title_head)
+        starts = (F.length(title) > rules.title_min) & F.startswith(t, trimmed(head))
+        return F.when(starts, trimmed(F.substr(t, F.length(head) + 1))).otherwise(t)
+
+    t = bound(replace_all(F.coalesce(text, F.lit("")), before_cuts(rules)), without_ticker)
+    t = trimmed(replace_all(bound(t, without_related), AFTER_CUTS))
+    return t if title is None else bound(t, without_title)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, bloc
 
 def encoder(embed: Callable[[list[str]], np.ndarray]) -> Callable:
     """A pandas UDF text -> unit vector around any batch encoder (queries take the prefix ``query: ``)."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<float>")

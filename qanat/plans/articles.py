@@ -61,20 +61,26 @@ def chunks(kept: DataFrame, folding: text.Folding = text.ARABIC, config: ChunkCo
 
 
 def stats(enriched: DataFrame) -> DataFrame:
-    """One row of counts; lengths are those of kept bodies (0 if there is none)."""
+    """One row of counts; lengths are those of kept bodies (0 if there is none).  With
+    article_type and league columns also how often each occurs among kept rows, as maps."""
     kept = F.col("fate") == "kept"
     size = F.when(kept, F.length("body_clean"))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     stride = ChunkConfig()
     n = F.size(text.words(F.col("body_clean")))
     parts = F.when(kept, F.floor(F.greatest(F.lit(0), n - stride.overlap - 1) / (stride.size - stride.overlap)) + 1)
-    return enriched.agg(
+    row = enriched.agg(
         F.count(F.lit(1)).alias("total_articles"), F.count_if(kept).alias("articles_processed"),
         F.count_if(F.col("fate") == "short").alias("skipped_short_body"),
         F.count_if(F.col("fate") == "section").alias("skipped_by_section"),
         number(F.sum(parts)).alias("total_chunks"), number(F.floor(F.avg(size))).alias("avg_body_length"),
         number(F.min(size)).alias("min_body_length"), number(F.max(size)).alias("max_body_length"),
     )
+    for key, default, out in (("article_type", "article", "article_types"), ("league", "other", "league_coverage")):
+        if key in enriched.columns:
+            named = enriched.where(kept).select(F.coalesce(key, F.lit(default)).alias(key))
+            row = row.crossJoin(counts_map(named, key).withColumnRenamed("counts", out))  # one row each
+    return row
 
 
 def counts_map(rows: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from qanat.config import AnswerConfig, RetrievalConfig
 from qanat.functions import answering, clean, metrics, rules, text
 from qanat.operators import bm25, dense, fusion
 from qanat.plans import articles as art
+from qanat.plans import index as search_index
 from qanat.plans import evaluation, oracle
 from qanat.plans import stand_ins as si
 from qanat.plans.retrieval import retrieve
@@ -66,18 +67,18 @@ def chunk_text_prefix(spark, d):
 
 
 def bm25_topk(spark, d):
-    return bm25.search(si.doc_units(spark, d), si.questions(spark, d), 50).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
+    return search_index.search(si.index(spark, d, "doc"), si.questions(spark, d), 50).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def dense_topk(spark, d):
     v = si.vectors(spark, d)
-    q = v.where("unit < 20").withColumnRenamed("unit", "qid")
+    q = v.where("unit % 100 = 0").withColumnRenamed("unit", "qid")
     return dense.search(v, q, K).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _sides(spark, d):
     q = si.questions(spark, d, vectors=True)
-    return bm25.search(si.doc_units(spark, d), q, 50), dense.search(si.vectors(spark, d), q, 50)
+    return search_index.search(si.index(spark, d, "doc"), q, 50), dense.search(si.vectors(spark, d), q, 50)
 
 
 def _meta(spark, d):
@@ -95,7 +96,7 @@ def recency_boosted_topk(spark, d):
 
 
 def filtered_topk_post(spark, d):
-    out = retrieve(si.doc_units(spark, d), si.questions(spark, d, vectors=True), _now(), si.vectors(spark, d), {"league": "en"})
+    out = retrieve(si.doc_units(spark, d), si.questions(spark, d, vectors=True), _now(), si.vectors(spark, d), {"league": "en"}, index=si.index(spark, d, "doc"))
     return out.select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -105,14 +106,15 @@ def filtered_topk_pre(spark, d):
 
 
 def collapse_best_chunk(spark, d):
-    hits = bm25.search(si.chunk_units(spark, d), si.questions(spark, d), 50)
+    hits = search_index.search(si.index(spark, d, "chunk"), si.questions(spark, d), 50)
     best = evaluation.numbered(hits.withColumn("doc", F.floor(F.col("unit") / si.CHUNKS)).withColumn("key", F.struct("qid", "doc")), "key", F.col("score").desc(), "unit")
     return bm25.ranked(best.where("rn = 1").select("qid", "doc", "unit", "score"), K).select("qid", "doc", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     q = si.questions(spark, d, vectors=True)
-    out = retrieve(si.chunk_units(spark, d), q, _now(), si.vectors(spark, d, si.CHUNKS))
+    index = si.index(spark, d, "chunk")
+    out = retrieve(index.units, q, _now(), si.vectors(spark, d, si.CHUNKS), index=index)
     return out.select("qid", "doc", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -225,7 +227,7 @@ def cache_key(spark, d):
 
 
 def cache_ttl_probe(spark, d):
-    """Each user's last view is a cached answer; later clicks probe it under the event type's lifetime."""
+    """Each user's first view is a cached answer; later clicks probe it under the event type's lifetime."""
     e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     put = e.where("event_type = 'view'").groupBy("user_id").agg(F.min("at").alias("put_at"))
     probe = e.where("event_type <> 'view'").join(put, "user_id", "left")
@@ -278,11 +280,13 @@ def metric_rouge1(spark, d):
 
 
 def _cases(spark, d):
-    """Questions as cases: the intent is a group, the keywords are the two longest query tokens."""
+    """Questions as cases: the expected intent goes by number, the keywords are the two longest query tokens."""
+    got = rules.route(F.col("query"), DEMO_RULES)
     q = si.questions(spark, d, vectors=True)
     longest = F.slice(F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), 1, 2)
     return q.select(
-        "qid", "tokens", "vector", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("qid") % 3 + 1).cast("int")).alias("intent"),
+        "qid", "tokens", "vector", F.element_at(F.array(F.lit("gallic"), F.lit("germanic"), F.lit("general_football")), (F.col("qid") % 3 + 1).cast("int")).alias("intent"),
+        F.when(got == "general", "general_football").otherwise(got).alias("predicted"), (F.col("qid") % 4 == 0).alias("refusal"),
         F.transform(longest, lambda x: x["t"]).alias("keywords"), F.col("query").alias("reference"),
     )
 
@@ -291,7 +295,8 @@ def _experiments(spark, d):
     """Hits of three retrievers, five a case, with their texts."""
     q = _cases(spark, d)
     texts = _docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
-    return evaluation.ablation(si.doc_units(spark, d), si.vectors(spark, d), q, _now(), texts), q
+    index = si.index(spark, d, "doc")
+    return evaluation.ablation(index.units, si.vectors(spark, d), q, _now(), texts, index=index), q
 
 
 def metric_retrieval(spark, d):
@@ -319,20 +324,56 @@ def per_group_summary(spark, d):
     return evaluation.summary(evaluation.case_metrics(*_experiments(spark, d), folding=text.LATIN), "experiment", "intent")
 
 
-def answers_summary(spark, d):
-    t = _turns(spark, d).where("role = 'assistant'")
-    rows = t.select(
-        F.contains("text", F.lit("scum")).alias("failed"), (F.col("conv_id") % 4 == 0).alias("refusal"), (F.length("text") % 100 / 100).alias("similarity"),
-        (F.col("turn") % 3 / 2).alias("keyword_hit"), (F.col("turn") > 1).cast("int").alias("intent_ok"), F.contains("text", F.lit("que")).cast("int").alias("refused"),
+def _answers(spark, d):
+    """Turns as scored answers of an evaluation; roles stand for expected intents."""
+    return _turns(spark, d).select(
+        F.contains("text", F.lit("scum")).alias("failed"), (F.col("conv_id") % 4 == 0).alias("refusal"), F.col("role").alias("expected"),
+        (F.length("text") % 7 / 7).alias("rouge1"), (F.length("text") % 100 / 100).alias("similarity"), (F.col("turn") % 3 / 2).alias("keyword_hit"),
+        (F.col("turn") > 1).cast("int").alias("intent_ok"), F.contains("text", F.lit("que")).cast("int").alias("refused"), (F.length("text") % 50).cast("double").alias("latency_ms"),
     )
-    return evaluation.answers_summary(rows)
+
+
+def answers_summary(spark, d):
+    return evaluation.answers_summary(_answers(spark, d))
+
+
+def answers_by_intent(spark, d):
+    return evaluation.answers_summary(_answers(spark, d), "expected")
+
+
+def metric_similarity(spark, d):
+    """Documents against those of the first fifty numbers: cosine of their vectors, 0 where a text is empty."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    t = _docs(spark, d).select(F.col("doc_id").alias("vec_id"), "text").join(v, "vec_id")
+    other = t.where("vec_id < 50").select(F.col("vec_id").alias("other"), F.col("text").alias("other_text"), F.col("embedding").alias("other_vector"))
+    pairs = t.withColumn("other", F.col("vec_id") % 50).join(other, "other")
+    sim = metrics.text_similarity(F.col("text"), F.col("other_text"), F.col("embedding"), F.col("other_vector"))
+    return pairs.select("vec_id", "other", F.round(sim, 6).alias("similarity"))
 
 
 def seed_union_range_anti(spark, d):
+    """Open orders and viewed events are the seeds, failed events are done; the range is the seeds' own."""
     o, e = table(spark, d, "orders"), table(spark, d, "events")
-    seeds = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id")).union(e.where("event_id % 11 = 0").select(F.col("event_id").alias("id"))).distinct()
-    done = e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"))
-    return scan_plan(seeds, 1, 2000, done).select("id", F.col("priority").cast("long").alias("priority"))
+    seeds = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id")).union(e.where("event_type = 'view'").select(F.col("event_id").alias("id"))).distinct()
+    done = e.where("event_type = 'error'").select(F.col("event_id").alias("id"))
+    return scan_plan(seeds, done=done).select("id", F.col("priority").cast("long").alias("priority"))
+
+
+def link_ids(spark, d):
+    """Article ids among the links of pages, to which links made from their number are added."""
+    made = F.concat(*[x for n in (1, 7, 1) for x in (F.lit('<a class="x" href="https://s/articles/'), (F.lit(10_000) + F.col("page_id") * n).cast("string"), F.lit('?a=1">'))])
+    ids = html.link_ids(F.concat("html", made))
+    return table(spark, d, "pages").select("page_id", F.size(ids).cast("long").alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
+def article_enrich(spark, d):
+    """Documents as articles through the whole batch pipeline: cleaning, filters, tags, folding."""
+    a = _docs(spark, d).select(
+        F.col("doc_id").alias("article_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.col("source").alias("section"), F.col("lang").alias("article_type")
+    )
+    return art.enrich(a, ["src1", "src2"]).select(
+        "article_id", "fate", F.length("body_clean").cast("long").alias("n"), F.md5("body_clean").alias("clean_md5"), F.md5("title_norm").alias("title_md5"), "league", F.array_join("teams", ",").alias("teams")
+    )
 
 
 def resume_anti_join(spark, d):
@@ -346,7 +387,7 @@ def rate_limit_window(spark, d):
 
 
 def conversation_history(spark, d):
-    h = evaluation.last_turns(_turns(spark, d))
+    h = evaluation.last_turns(_turns(spark, d), 4)
     return h.select("conv_id", "n_turns", F.length("history").cast("long").alias("n"), F.md5("history").alias("history_md5"))
 
 
@@ -380,6 +421,7 @@ ALL = [
     short_body_filter_stats, counts_by_facet_map, lexicon_tags, ordered_category, intent_route, intent_route_arabic, sanitize_query,
     strip_trailing_placeholder, token_budget, cache_key, cache_ttl_probe, context_assembly, model_route, html_title_links, html_article_body,
     metric_rouge1, metric_retrieval, metric_intent_accuracy, ablation_summary, ablation_winner, per_group_summary, answers_summary,
+    answers_by_intent, metric_similarity, link_ids, article_enrich,
     seed_union_range_anti, resume_anti_join, rate_limit_window, conversation_history, star_join_agg, semi_anti, topk_per_group,
 ]
 

@@ -14,7 +14,7 @@ PUB = "strftime(date '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d')"
 DOC_UNITS = "units AS (SELECT doc_id AS unit, text AS body FROM documents)"
 CHUNK_W = f"cw AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), cs AS ({PARTS} FROM cw)"
 CHUNK_UNITS = CHUNK_W + ", units AS (SELECT doc_id * 1000 + s // 240 AS unit, array_to_string(w[s + 1 : s + 300], ' ') AS body FROM cs)"
-QUESTIONS = f"qs AS (SELECT item_id AS qid, array_to_string(({WORDS.format('text')})[1:12], ' ') AS query FROM benchmark)"
+QUESTIONS = "qs AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 
 
 def bm25(units: str, k: int, out: str = "sparse", where: str = "") -> str:
@@ -71,29 +71,37 @@ def _experiments() -> str:
     return f"""WITH {bm25(DOC_UNITS, 50)}, {near(50, QV)}, {FUSED}, {hits},
 hits AS (SELECT *, {RANK.replace('PARTITION BY qid', 'PARTITION BY experiment, qid')} AS rank FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)),
 tx AS (SELECT experiment, qid, list(text ORDER BY rank) AS texts FROM hits JOIN documents ON unit = doc_id GROUP BY ALL),
-kw AS (SELECT qid, query, ['a', 'b', 'c'][qid % 3 + 1] AS intent,
-  list_transform(list_sort(list_transform(list_distinct({TOK.format('query')}), lambda t: {{'l': -len(t), 't': t}}))[1:2], lambda x: x.t) AS keywords FROM qs),
+kw AS (SELECT qid, query, ['gallic', 'germanic', 'general_football'][qid % 3 + 1] AS intent, qid % 4 = 0 AS refusal, {INTENT} AS g,
+  list_transform(list_sort(list_transform(list_distinct({TOK.format('query')}), lambda t: {{'l': -len(t), 't': t}}))[1:2], lambda x: x.t) AS keywords FROM (SELECT *, lower(query) AS q FROM qs)),
 cs2 AS (SELECT e.experiment, kw.*, coalesce(tx.texts, []) AS texts FROM (SELECT unnest(['1_sparse', '2_dense', '3_hybrid']) AS experiment) e
   CROSS JOIN kw LEFT JOIN tx ON tx.experiment = e.experiment AND tx.qid = kw.qid),
-mt AS (SELECT experiment, qid, intent, keywords, texts, {MTOK.format("coalesce(texts[1], '')")} AS p, {MTOK.format('query')} AS r FROM cs2),
+mt AS (SELECT *, CASE WHEN g = 'general' THEN 'general_football' ELSE g END AS predicted, {MTOK.format("array_to_string(texts, ' ')")} AS p, {MTOK.format('query')} AS r FROM cs2),
 m AS (SELECT experiment, qid, intent,
   CASE WHEN len(list_intersect(p, r)) > 0 THEN 2.0 * len(list_intersect(p, r)) / (len(p) + len(r)) ELSE 0.0 END AS rouge1,
   CASE WHEN len(keywords) = 0 THEN 1.0 ELSE len(list_filter(keywords, lambda w: contains(lower(array_to_string(texts, ' ')), w))) / len(keywords) END AS keyword_hit,
   CASE WHEN len(texts) > 0 AND len(list_filter(keywords, lambda w: contains(lower(texts[1]), w))) > 0 THEN 1.0 ELSE 0.0 END AS hit_at_1,
   CASE WHEN len(keywords) = 0 THEN 1.0 ELSE len(list_filter(keywords, lambda w: contains(lower(array_to_string(texts[1:3], ' ')), w))) / len(keywords) END AS recall_at_3,
-  coalesce(1.0 / nullif(coalesce(list_position(list_transform(texts, lambda t: len(list_filter(keywords, lambda w: contains(lower(t), w))) > 0), true), 0), 0), 0.0) AS mrr
+  coalesce(1.0 / nullif(coalesce(list_position(list_transform(texts, lambda t: len(list_filter(keywords, lambda w: contains(lower(t), w))) > 0), true), 0), 0), 0.0) AS mrr,
+  CASE WHEN predicted = intent OR (refusal AND predicted IN ('general_football', 'out_of_scope') AND intent IN ('general_football', 'out_of_scope')) THEN 1.0 ELSE 0.0 END AS intent_accuracy
   FROM mt)"""
 
 
-MEANS = ", ".join(f"round(coalesce(avg({x}), 0), 6) AS {x}" for x in ("rouge1", "keyword_hit", "hit_at_1", "recall_at_3", "mrr"))
+MEANS = ", ".join(f"round(coalesce(avg({x}), 0), 6) AS {x}" for x in ("rouge1", "keyword_hit", "hit_at_1", "recall_at_3", "mrr", "intent_accuracy"))
 
 
 def sql() -> dict[str, str]:
     ltok = f"list_transform(list_filter(regexp_extract_all({FOLD.format('lower(text)')}, '{WORD}'), lambda t: len(t) >= 2), lambda t: CASE WHEN len(regexp_replace(t, '^(qu|de)?(la|le)?', '')) >= 2 THEN regexp_replace(t, '^(qu|de)?(la|le)?', '') ELSE t END)"
+    answers = """WITH r AS (SELECT role AS expected, contains(text, 'scum') AS failed, conv_id % 4 = 0 AS refusal, (len(text) % 7) / 7 AS rouge1, (len(text) % 100) / 100 AS similarity, (turn % 3) / 2 AS keyword_hit, turn > 1 AS intent_ok, contains(text, 'que') AS refused, len(text) % 50 AS ms FROM conversations)
+SELECT {by}count(*) AS n_cases, count(*) FILTER (NOT failed) AS n_scored, count(*) FILTER (failed) AS n_failed, coalesce(round(avg(rouge1) FILTER (NOT failed), 6), 0) AS rouge1,
+ coalesce(round(avg(similarity) FILTER (NOT failed AND NOT refusal), 6), 0) AS similarity, count(*) FILTER (NOT failed AND NOT refusal) AS n_similarity, coalesce(round(avg(keyword_hit) FILTER (NOT failed), 6), 0) AS keyword_hit,
+ coalesce(round(avg(intent_ok::INT) FILTER (NOT failed), 6), 0) AS intent_accuracy, round(avg(refused::INT) FILTER (NOT failed AND refusal), 6) AS refusal_accuracy, count(*) FILTER (NOT failed AND refusal) AS n_refusal,
+ coalesce(round(avg(ms) FILTER (NOT failed), 1), 0) AS latency_ms FROM r {group}"""
     out = {
         "doc_normalize_fold": f"SELECT doc_id, len(f)::BIGINT AS n, md5(f) AS folded_md5 FROM (SELECT doc_id, {FOLD_FLAT.format('lower(text)')} AS f FROM documents)",
         "doc_tokens_count": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {ltok} AS t FROM documents)",
-        "term_df_idf": f"WITH {bm25(DOC_UNITS, 50)} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "term_df_idf": f"""WITH df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format('text')})) AS term FROM documents) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS r FROM df), floor AS (SELECT 0.25 * avg(r) AS f FROM raw)
+SELECT term, df, round(CASE WHEN r < 0 THEN f ELSE r END, 6) AS idf FROM raw, floor""",
         "doc_chunks": f"WITH {CHUNK_W} SELECT doc_id || '_' || (s // 240) AS chunk_id, doc_id, (s // 240)::BIGINT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::BIGINT AS total_chunks, len(w[s + 1 : s + 300])::BIGINT AS n_words, md5(array_to_string(w[s + 1 : s + 300], ' ')) AS part_md5 FROM cs",
         "chunk_text_prefix": f"""WITH {CHUNK_W}, c AS (SELECT cs.*, s // 240 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM cs),
 x AS (SELECT c.doc_id, i, concat_ws(' | ', 'title: ' || left(text, 60), CASE WHEN c.doc_id % 2 = 0 THEN 'type: ' || CASE source WHEN 'src0' THEN 'main' ELSE source END END,
@@ -101,7 +109,7 @@ x AS (SELECT c.doc_id, i, concat_ws(' | ', 'title: ' || left(text, 60), CASE WHE
  || chr(10) || chr(10) || CASE WHEN total > 1 THEN '[part ' || (i + 1) || '/' || total || ']' || chr(10) ELSE '' END || array_to_string(w[s + 1 : s + 300], ' ') AS m FROM c JOIN documents USING (doc_id))
 SELECT doc_id, i::BIGINT AS i, len(m)::BIGINT AS n, md5(m) AS text_md5 FROM x""",
         "bm25_topk": f"WITH {bm25(DOC_UNITS, 50)} SELECT qid, unit, score, rank FROM sparse",
-        "dense_topk": f"WITH {near(10, 'SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id < 20')} SELECT qid, unit, score, rank FROM dense",
+        "dense_topk": f"WITH {near(10, 'SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0')} SELECT qid, unit, score, rank FROM dense",
         "rrf_fused_topk": f"WITH {bm25(DOC_UNITS, 50)}, {near(50, QV)}, {FUSED}, z AS (SELECT qid, unit, round(rrf, 8) AS score FROM fused) SELECT qid, unit, score, {RANK} AS rank FROM z QUALIFY rank <= 10",
         "recency_boosted_topk": f"WITH {bm25(DOC_UNITS, 50)}, {near(50, QV)}, {FUSED}, z AS (SELECT qid, unit, {BOOST} AS score FROM fused JOIN documents ON unit = doc_id) SELECT qid, unit, score, {RANK} AS rank FROM z QUALIFY rank <= 8",
         "filtered_topk_post": f"WITH {bm25(DOC_UNITS, 200)}, {near(200, QV)}, {FUSED}, z AS (SELECT qid, unit, {BOOST} AS score FROM fused JOIN documents ON unit = doc_id WHERE lang = 'en') SELECT qid, unit, score, {RANK} AS rank FROM z QUALIFY rank <= 8",
@@ -139,7 +147,7 @@ SELECT article_type, len(c)::BIGINT AS n, md5(c) AS context_md5, sources FROM g"
 SELECT page_id, title, len(l)::BIGINT AS n_links, array_to_string(l, '|') AS links FROM x""",
         "metric_rouge1": f"""WITH x AS (SELECT d.doc_id, b.item_id, {MTOK.format('lower(d.text)')} AS p, {MTOK.format('b.text')} AS r FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, item_id, round(CASE WHEN len(list_intersect(p, r)) > 0 THEN 2.0 * len(list_intersect(p, r)) / (len(p) + len(r)) ELSE 0.0 END, 6) AS rouge1 FROM x""",
-        "metric_retrieval": _experiments() + " SELECT experiment, qid, round(rouge1, 6) AS rouge1, round(keyword_hit, 6) AS keyword_hit, round(hit_at_1, 6) AS hit_at_1, round(recall_at_3, 6) AS recall_at_3, round(mrr, 6) AS mrr FROM m",
+        "metric_retrieval": _experiments() + " SELECT experiment, qid, round(rouge1, 6) AS rouge1, round(keyword_hit, 6) AS keyword_hit, round(hit_at_1, 6) AS hit_at_1, round(recall_at_3, 6) AS recall_at_3, round(mrr, 6) AS mrr, intent_accuracy FROM m",
         "ablation_summary": _experiments() + f" SELECT experiment, {MEANS}, count(*) AS n_cases FROM m GROUP BY experiment",
         "ablation_winner": _experiments() + ", s AS (SELECT experiment, round(avg(mrr), 6) AS mrr FROM m GROUP BY experiment) SELECT experiment, mrr FROM s ORDER BY mrr DESC, experiment LIMIT 1",
         "per_group_summary": _experiments() + f" SELECT experiment, intent, {MEANS}, count(*) AS n_cases FROM m GROUP BY experiment, intent",
@@ -147,16 +155,21 @@ SELECT doc_id, item_id, round(CASE WHEN len(list_intersect(p, r)) > 0 THEN 2.0 *
 x AS (SELECT role, refusal, CASE WHEN g = 'general' THEN 'general_football' ELSE g END AS p, CASE WHEN refusal THEN 'out_of_scope' WHEN role = 'user' THEN 'gallic' ELSE 'germanic' END AS want FROM i),
 y AS (SELECT *, CASE WHEN p = want OR (refusal AND p IN ('general_football', 'out_of_scope') AND want IN ('general_football', 'out_of_scope')) THEN 1.0 ELSE 0.0 END AS ok FROM x)
 SELECT role, round(avg(ok), 6) AS accuracy, round(avg(ok) FILTER (refusal), 6) AS refusal_accuracy, count(*) AS n FROM y GROUP BY role""",
-        "answers_summary": """WITH r AS (SELECT contains(text, 'scum') AS failed, conv_id % 4 = 0 AS refusal, (len(text) % 100) / 100 AS similarity, (turn % 3) / 2 AS keyword_hit, turn > 1 AS intent_ok, contains(text, 'que') AS refused FROM conversations WHERE role = 'assistant')
-SELECT count(*) AS n_cases, count(*) FILTER (NOT failed) AS n_scored, count(*) FILTER (failed) AS n_failed, count(*) FILTER (NOT failed AND NOT refusal) AS n_content, count(*) FILTER (NOT failed AND refusal) AS n_refusal,
- coalesce(round(avg(similarity) FILTER (NOT failed AND NOT refusal), 6), 0) AS similarity, coalesce(round(avg(keyword_hit) FILTER (NOT failed AND NOT refusal), 6), 0) AS keyword_hit,
- coalesce(round(avg(intent_ok::INT) FILTER (NOT failed), 6), 0) AS intent_accuracy, round(avg(refused::INT) FILTER (NOT failed AND refusal), 6) AS refusal_accuracy FROM r""",
-        "seed_union_range_anti": """WITH seeds AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT event_id FROM events WHERE event_id % 11 = 0),
-p AS (SELECT id, 0::BIGINT AS priority FROM seeds WHERE id BETWEEN 1 AND 2000 UNION ALL SELECT id, 1 FROM (SELECT unnest(range(1, 2001)) AS id) WHERE id NOT IN (SELECT id FROM seeds))
-SELECT id, priority FROM p WHERE id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0)""",
+        "answers_summary": answers.format(by="", group=""),
+        "answers_by_intent": answers.format(by="expected, ", group="GROUP BY expected"),
+        "metric_similarity": """WITH t AS (SELECT vec_id, text, embedding FROM embeddings JOIN documents ON vec_id = doc_id)
+SELECT a.vec_id, b.vec_id AS other, round(CASE WHEN a.text <> '' AND b.text <> '' THEN list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) ELSE 0.0 END, 6) AS similarity
+FROM t a JOIN t b ON b.vec_id = a.vec_id % 50""",
+        "link_ids": """WITH x AS (SELECT page_id, list_reverse_sort(list_distinct(list_transform(regexp_extract_all(html || '<a href="/articles/' || (10000 + page_id) || '"><a href="/articles/' || (10000 + page_id * 7) || '">',
+ 'href="[^"]*/articles/([0-9]{4,})', 1), lambda i: i::BIGINT))) AS l FROM pages) SELECT page_id, len(l)::BIGINT AS n, array_to_string(l, ',') AS ids FROM x""",
+        "seed_union_range_anti": """WITH seeds AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' UNION SELECT event_id FROM events WHERE event_type = 'view'),
+r AS (SELECT unnest(range(min(id) - 500, max(id) + 1)) AS id FROM seeds),
+p AS (SELECT id, 0::BIGINT AS priority FROM seeds UNION ALL SELECT id, 1 FROM r WHERE id NOT IN (SELECT id FROM seeds))
+SELECT id, priority FROM p WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",
         "resume_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "rate_limit_window": "SELECT user_id, strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, greatest(0, count(*) - 1)::BIGINT AS rejected FROM events GROUP BY ALL",
-        "conversation_history": "SELECT conv_id, count(*) AS n_turns, len(h)::BIGINT AS n, md5(h) AS history_md5 FROM (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS h FROM conversations) GROUP BY conv_id, h",
+        "conversation_history": """WITH x AS (SELECT conv_id, role || ': ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role || ': ' || text DESC) AS at, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations)
+SELECT conv_id, n_turns, len(h)::BIGINT AS n, md5(h) AS history_md5 FROM (SELECT conv_id, n_turns, string_agg(line, chr(10) ORDER BY at DESC) AS h FROM x WHERE at <= 4 GROUP BY conv_id, n_turns)""",
         "star_join_agg": """SELECT r_name, l_returnflag, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
         "semi_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",

@@ -1,4 +1,4 @@
-"""Hybrid retrieval as one lazy plan for any number of queries."""
+"""Hybrid retrieval for any number of queries.  Term statistics are looked up when it is called, the rest is one lazy plan."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 
 from qanat.config import Bm25Config, RetrievalConfig
 from qanat.operators import bm25, dense, fusion
+from qanat.plans import index as search_index
 
 
 def retrieve(
@@ -18,16 +19,23 @@ def retrieve(
     config: RetrievalConfig = RetrievalConfig(),
     bm: Bm25Config = Bm25Config(),
     collapse: bool = True,
+    index: search_index.Index | None = None,
 ) -> DataFrame:
     """Ranked hits (qid, unit, doc, score, rank) of queries (qid, tokens[, vector]).
 
     ``units`` has unit, doc, tokens, pub_date and the filter columns.  Order: each
     side's pool, fusion, recency boost, filters, best unit of a document, top k.
     With filters the pools are widened; ``filter_mode="pre"`` filters units first.
+    With an ``index`` of the units their tokens are not read (save for "pre", whose
+    statistics are those of the filtered units).
     """
     filters = {k: v for k, v in (filters or {}).items() if v is not None}
     pool = config.pool * (config.pool_mult if filters else 1)
     searched = units.where(fusion.keep(filters)) if config.filter_mode == "pre" else units
-    sparse = bm25.search(searched, queries, pool, bm, config.pad_zero_scores) if use_sparse else None
+    sparse = None
+    if use_sparse and index is not None and not config.pad_zero_scores and not (filters and config.filter_mode == "pre"):
+        sparse = search_index.search(index, queries, pool, bm)
+    elif use_sparse:
+        sparse = bm25.search(searched, queries, pool, bm, config.pad_zero_scores)
     near = dense.search(vectors, queries, pool) if vectors is not None else None
     return fusion.finish(fusion.fuse(sparse, near, config), units.drop("tokens"), now, filters, config, collapse)

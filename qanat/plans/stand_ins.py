@@ -3,10 +3,14 @@ items are questions, embeddings are document vectors."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.functions import text
+from qanat.plans import index as search_index
+from qanat.session import shared_dir
 from qanat.sources.tables import spread, table
 
 NOW = "2025-01-01"
@@ -41,16 +45,29 @@ def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, n_words: int = 12, vectors: bool = False) -> DataFrame:
-    """The first words of every benchmark item; with the vector of the same number."""
+def questions(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    """The whole text of every benchmark item; with the vector of the same number."""
     b = table(spark, sf_dir, "benchmark")
-    head = F.array_join(F.slice(text.words(F.col("text")), 1, n_words), " ")
-    q = b.select(F.col("item_id").alias("qid"), head.alias("query"), text.plain_tokens(head).alias("tokens"))
+    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"), text.plain_tokens(F.col("text")).alias("tokens"))
     if vectors:
         v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
         q = q.join(v, "qid", "left")
     return q
 
 
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, kind: str) -> search_index.Index:
+    """The index of whole documents (``doc``) or their windows (``chunk``): built in the shared
+    folder where the application first asks for it, then loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _built:
+        path = f"{shared_dir(spark)}/qanat/index-{kind}-{uuid.uuid4().hex}"
+        search_index.build((doc_units if kind == "doc" else chunk_units)(spark, sf_dir), path)
+        _built[key] = path
+    return search_index.load(spark, _built[key])
+
+
 def vectors(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select((F.col("vec_id") * scale).alias("unit"), F.col("embedding").alias("vector"))

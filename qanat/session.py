@@ -10,6 +10,22 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else the checkpoint folder the
+    application has set.  Where there is neither, a temporary one on a local master only: on a
+    cluster, files of one machine would be lost to the others."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="qanat-shared-")
+        found = _local[app]
+    return found.rstrip("/")
 
 
 def guard(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE) -
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of every key in the given order (never an arbitrary one)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The first row of every key in the given order (never an arbitrary one).  Rows are
+    compared under a digest of the key with partial aggregation: a hot key is one row a task
+    before anything moves."""
+    digest = F.sha2(F.col(key).cast("string"), 256)  # a null key is a key of its own
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in order]))
+    return df.groupBy(digest.alias("__digest")).agg(first.alias("__row")).select("__row.*")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -66,12 +69,29 @@ def not_done(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return candidates.join(done.select(key).distinct(), key, "left_anti")
 
 
-def scan_plan(seeds: DataFrame, start: int, end: int, done: DataFrame | None = None) -> DataFrame:
-    """Ids to visit: known seeds first, then the rest of [start, end], both descending, without those done."""
+#: Ids below the least seed that a scan also visits.
+SCAN_MARGIN = 500
+
+
+def scan_range(seeds: DataFrame, start: int | None = None, end: int | None = None, margin: int = SCAN_MARGIN) -> tuple[int, int]:
+    """First and last id of a scan: as given, else ``margin`` below the least seed and the greatest seed."""
+    low, high = seeds.agg(F.min(F.col("id").cast("long")), F.max(F.col("id").cast("long"))).first()
+    if low is None:
+        return (start or 0, end if end is not None else (start or 0) - 1)
+    return (low - margin if start is None else start, high if end is None else end)
+
+
+def scan_plan(
+    seeds: DataFrame, start: int | None = None, end: int | None = None, done: DataFrame | None = None, margin: int = SCAN_MARGIN, limit: int | None = None
+) -> DataFrame:
+    """Ids to visit: known seeds (priority 0), then the rest of [start, end] (1), each
+    descending, without those done; with ``limit`` the first so many."""
     spark = seeds.sparkSession
+    start, end = scan_range(seeds, start, end, margin)
     known = seeds.select(F.col("id").cast("long")).distinct().where(F.col("id").between(start, end))
     rest = spark.range(start, end + 1).select("id").join(known, "id", "left_anti")
     plan = known.withColumn("priority", F.lit(0)).unionByName(rest.withColumn("priority", F.lit(1)))
     if done is not None:
         plan = not_done(plan, done, "id")
-    return plan
+    plan = plan.orderBy("priority", F.col("id").desc())
+    return plan if limit is None else plan.limit(limit)

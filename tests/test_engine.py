@@ -143,15 +143,28 @@ def test_html(spark):
 
 def test_evaluation(spark):
     hits = spark.createDataFrame([("a", 0, 1, "the cat"), ("a", 0, 2, "a dog"), ("b", 0, 1, "a dog")], "experiment string, qid long, rank int, text string")
-    cases = spark.createDataFrame([(0, "i", "the cat", ["cat", "dog"]), (1, "i", "x", ["y"])], "qid long, intent string, reference string, keywords array<string>")
-    scored = evaluation.case_metrics(hits, cases)
+    cases = spark.createDataFrame(
+        [(0, "i", "the cat", ["cat", "dog"], "i", False), (1, "general_football", "x", ["y"], "out_of_scope", True)],
+        "qid long, intent string, reference string, keywords array<string>, predicted string, refusal boolean",
+    )
+    scored = evaluation.case_metrics(hits, cases, experiments=["a", "b"])
     m = {(r.experiment, r.qid): r for r in scored.collect()}
-    assert m["a", 0].keyword_hit == 1.0 and m["a", 0].rouge1 == 1.0 and m["b", 0].keyword_hit == 0.5 and m["b", 1].mrr == 0.0
+    # the reference's two words are both in the two texts' four
+    assert m["a", 0].keyword_hit == 1.0 and m["a", 0].rouge1 == pytest.approx(2 * (2 / 4) / (2 / 4 + 1)) and m["b", 0].keyword_hit == 0.5 and m["b", 1].mrr == 0.0
+    assert all(r.intent_accuracy == 1.0 for r in m.values())
+    assert [(r.experiment, r.intent, r.rouge1, r.n_cases) for r in evaluation.per_intent(scored).collect()][1] == ("a", "i", 0.667, 1)
     s = evaluation.summary(scored, "experiment")
     assert evaluation.winner(s).first().experiment == "a" and "| a |" in evaluation.report(s.orderBy("experiment"))
-    rows = spark.createDataFrame([(True, False, 0.0, 0.0, 0, 0), (False, False, 0.5, 1.0, 1, 0)], "failed boolean, refusal boolean, similarity double, keyword_hit double, intent_ok int, refused int")
+    rows = spark.createDataFrame(
+        [(True, False, 0.0, 0.0, 0.0, 0, 0, 1.0), (False, False, 0.25, 0.5, 1.0, 1, 0, 3.0)],
+        "failed boolean, refusal boolean, rouge1 double, similarity double, keyword_hit double, intent_ok int, refused int, latency_ms double",
+    )
     r = evaluation.answers_summary(rows).first()
-    assert (r.n_scored, r.n_failed, r.similarity, r.refusal_accuracy) == (1, 1, 0.5, None)
+    assert (r.n_scored, r.n_failed, r.rouge1, r.similarity, r.refusal_accuracy, r.latency_ms) == (1, 1, 0.25, 0.5, None, 3.0)
+    # keyword hits and ROUGE count refusal cases, similarity does not
+    more = rows.unionByName(spark.createDataFrame([(False, True, 0.75, None, 0.0, 1, 1, 5.0)], rows.schema))
+    r = evaluation.answers_summary(more).first()
+    assert (r.rouge1, r.similarity, r.n_similarity, r.keyword_hit, r.refusal_accuracy, r.n_refusal) == (0.5, 0.5, 1, 0.5, 1.0, 1)
 
 
 def engine(spark, **more):
@@ -178,7 +191,8 @@ def test_ask(spark):
     assert e.ask("كلمات غريبة")["cache_reason"] == "no_chunks"
     with pytest.raises(ValueError):
         e.ask("x")
-    assert e.health()
+    assert e.health("تشكيل الزمالك") == {"status": "ok", "chunks": 3} and e.health("qqqq")["status"] == "error"
+    assert e.ask("   ")["cache_reason"] == "blank" and e.ask("كيف الطقس اليوم", request_id="r1")["request_id"] == "r1"
 
 
 def test_fallback(spark):
@@ -252,6 +266,91 @@ def test_cli_and_answer_evaluation(spark, tmp_path):
     rows = [("ما هو تشكيل الزمالك", "خبر", "lineup", "easy", ["التشكيل"], None), ("كيف الطقس اليوم", "", "general_football", "easy", [], True)]
     cases = evaluation.load_cases(spark, str(tmp_path / "cases"), spark.createDataFrame(rows, evaluation.CASES))
     s = evaluation.answers_summary(evaluation.evaluate_answers(engine(spark), cases, ar.REFUSAL_STEM, ar.ERROR_ANSWER)).first()
-    assert (s.n_cases, s.n_refusal, s.keyword_hit, s.intent_accuracy, s.refusal_accuracy) == (2, 1, 1.0, 1.0, 1.0)
+    assert (s.n_cases, s.n_refusal, s.keyword_hit, s.intent_accuracy, s.refusal_accuracy, s.n_similarity) == (2, 1, 1.0, 1.0, 1.0, 1)
     prompt = spark.range(1).select(answering.user_prompt(F.lit("ctx"), F.lit("<|q")), answering.plain_entry(F.lit(1), F.lit("t"), F.lit("2024-01-02T"), F.lit("l"), F.lit("b"))).first()
     assert prompt[0] == engine(spark).prompt("ctx", "q") and prompt[1] == "[1] t (2024-01-02) — l\nb"
+
+
+def test_index_gives_what_the_scan_gives(spark, tmp_path, monkeypatch):
+    import random
+
+    from qanat.plans import index as search_index
+
+    monkeypatch.setattr(search_index, "SEGMENT", 16)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, [rng.choice(words[: rng.randint(1, 40)]) for _ in range(rng.randint(0, 30))]) for i in range(90)] + [(99, None)]
+    units = spark.createDataFrame(rows, "unit long, tokens array<string>")
+    asked = spark.createDataFrame([(q, [rng.choice(words) for _ in range(q)] + ["none"]) for q in range(8)], "qid long, tokens array<string>")
+    search_index.build(units, str(tmp_path / "i"), units.select("unit", F.array(F.lit(1.0)).alias("vector")))
+    found = search_index.load(spark, str(tmp_path / "i"))
+    assert found.n_units == 91 and found.vectors.count() == 91 and found.postings.select("segment").distinct().count() == 6
+    key = lambda df: sorted((r.qid, r.unit, r.score, r["rank"]) for r in df.collect())
+    want = key(bm25.search(units, asked, 7))
+    assert want and key(search_index.search(found, asked, 7)) == want and key(search_index.search(found, asked, 7, block=3)) == want
+    monkeypatch.setattr(search_index, "NAMED", 2)
+    assert key(search_index.search(found, asked, 7)) == want
+    assert search_index.search(found, asked.limit(0), 7).count() == 0
+
+
+def test_evaluate_command(spark, tmp_path):
+    import json
+
+    from qanat import cli
+
+    body = " ".join(f"تشكيل الأهلي أمام الزمالك في مباراة القمة رقم{i}" for i in range(20))
+    raw = [{"article_id": 7 + i, "title": t, "body": body, "section": "x", "tags": [], "article_type": "lineup", "pub_date": "2024-05-05", "source_url": "u"} for i, t in enumerate(["تشكيل الأهلي", "تشكيل الزمالك"])]
+    (tmp_path / "raw.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in raw))
+    stats = cli.run_articles(spark, str(tmp_path / "raw.jsonl"), str(tmp_path / "out"))
+    assert stats["article_types"] == {"lineup": 2} and stats["league_coverage"] == {"other": 2}
+    cli.run_index(spark, str(tmp_path / "out/chunks"), str(tmp_path / "index"))
+    found = cli.evaluate(spark, str(tmp_path / "index"), str(tmp_path / "cases"), True, str(tmp_path / "report"), "2024-06-01")
+    assert [r["experiment"] for r in found["ablation"]] == evaluation.EXPERIMENTS and all(r["n_cases"] == 50 for r in found["ablation"])
+    assert len(found["ablation"][0]["per_intent"]) == 5 and found["rag"]["n_cases"] == 50 and set(found["rag"]["per_intent"]) == set(found["ablation"][0]["per_intent"])
+    assert json.loads(spark.read.text(str(tmp_path / "report")).first()[0]) == json.loads(json.dumps(found))
+    assert "Best by mrr" in evaluation.tables_of(found)
+    a = cli.ask(spark, None, "ما هو تشكيل الزمالك", str(tmp_path / "index"), str(tmp_path / "cache"))
+    again = cli.ask(spark, None, "ما هو تشكيل الزمالك", str(tmp_path / "index"), str(tmp_path / "cache"))
+    assert not a["cached"] and again["cached"] and again["answer"] == a["answer"]
+    spark.createDataFrame([(30,), (20,)], "id long").write.parquet(str(tmp_path / "seeds"))
+    cli.plan(spark, str(tmp_path / "seeds"), str(tmp_path / "plan"), None, 18, None, 5)
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "plan")).collect()) == [20, 27, 28, 29, 30]
+
+
+def test_limiter_and_caches(tmp_path):
+    from qanat.engine import FolderCache, Limiter
+
+    now = [0.0]
+    lim = Limiter(2, 60, lambda: now[0])
+    assert [lim.allow("a"), lim.allow("a"), lim.allow("a"), lim.allow("b")] == [True, True, False, True]
+    now[0] = 60.0
+    assert lim.allow("a")
+    c = FolderCache(str(tmp_path / "c"), lambda: now[0])
+    c.put("k", "جواب", query="q")
+    assert c.get("k", 10) == "جواب" and c.get("k", 0) is None and c.get("x", 10) is None
+    (tmp_path / "c" / "bad.json").write_text("{")
+    assert c.get("bad", 10) is None
+    small = AnswerCache(lambda: now[0], limit=2)
+    for k in "abc":
+        small.put(k, k)
+    assert list(small.rows) == ["b", "c"]
+
+
+def test_scan_range_from_seeds(spark):
+    seeds = spark.createDataFrame([(700,), (900,), (900,)], "id long")
+    rows = [r.id for r in scan_plan(seeds).collect()]
+    assert rows[:2] == [900, 700] and rows[2:] == [i for i in range(899, 199, -1) if i != 700]
+    assert [r.id for r in scan_plan(seeds, 699, 701, limit=2).collect()] == [700, 701]
+    assert scan_plan(seeds.limit(0)).count() == 0
+
+
+def test_deep_markers_go(spark):
+    from qanat.functions import answering
+
+    q = "<|"
+    for _ in range(9):
+        q = "<" + q + "|"
+    deep = "<us" * 7 + "<user>" + "er>" * 7
+    rows = spark.createDataFrame([(q + "hello",), (deep + "x",), ("plain",), (None,)], "q string")
+    assert [r[0] for r in rows.select(answering.sanitize(F.col("q"))).collect()] == ["hello", "x", "plain", ""]
+    assert rows.limit(1).select(answering.sanitize(F.col("q"), 1)).first()[0] != "hello"
