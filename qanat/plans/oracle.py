@@ -168,8 +168,8 @@ p AS (SELECT id, 0::BIGINT AS priority FROM seeds UNION ALL SELECT id, 1 FROM r
 SELECT id, priority FROM p WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",
         "resume_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "rate_limit_window": "SELECT user_id, strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, greatest(0, count(*) - 1)::BIGINT AS rejected FROM events GROUP BY ALL",
-        "conversation_history": """WITH x AS (SELECT conv_id, role || ': ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role || ': ' || text DESC) AS at, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations)
-SELECT conv_id, n_turns, len(h)::BIGINT AS n, md5(h) AS history_md5 FROM (SELECT conv_id, n_turns, string_agg(line, chr(10) ORDER BY at DESC) AS h FROM x WHERE at <= 4 GROUP BY conv_id, n_turns)""",
+        "conversation_history": """WITH x AS (SELECT conv_id, role || ': ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role || ': ' || text DESC) AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations)
+SELECT conv_id, n_turns, len(h)::BIGINT AS n, md5(h) AS history_md5 FROM (SELECT conv_id, n_turns, string_agg(line, chr(10) ORDER BY pos DESC) AS h FROM x WHERE pos <= 4 GROUP BY conv_id, n_turns)""",
         "star_join_agg": """SELECT r_name, l_returnflag, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
         "semi_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
