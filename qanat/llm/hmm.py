@@ -27,17 +27,19 @@ from pyspark.sql import functions as F
 from qanat.llm import common
 
 STATES = 6
-VOCAB = 1 << 19
+VOCAB = 1 << 17
 #: Tokens seen less often have no symbol of their own: their split over states would be chance.
 LEAST = 3
 TABLE = 1 << 19
-PASSES = 6
+PASSES = 5
 #: Natural log likelihood a token that a pass must gain for another one to follow.
 GAIN = 0.002
 INIT_ROWS = 1000
 INIT_PASSES = 12
 PRIOR = 200.0
 SMOOTH = 0.1
+#: Tokens of a piece of a long document; its pieces run side by side.
+CUT = 1 << 15
 #: Symbols whose expected counts make one row of the exchange between tasks.
 SLICE = 1 << 13
 #: Text bytes whose sequences run in step.
@@ -153,65 +155,125 @@ class Hmm(NamedTuple):
     emit: np.ndarray  # symbols x K
 
 
-def in_step(offs: np.ndarray):
+def in_step(at: np.ndarray, size: np.ndarray):
     """Sequences side by side, longest first: token order by time, and how many run at each time."""
-    size = np.diff(offs)
     rank = np.argsort(-size, kind="stable")
     s = size[rank]
     n = np.searchsorted(-s, -np.arange(1, (s[0] if len(s) else 0) + 1), side="right")
     base = np.concatenate([[0], np.cumsum(n)])
     t = common.repeats(s)
     order = np.empty(len(t), np.int64)
-    order[base[t] + np.repeat(np.arange(len(s)), s)] = np.repeat(offs[:-1][rank], s) + t
+    order[base[t] + np.repeat(np.arange(len(s)), s)] = np.repeat(at[rank], s) + t
     return order, base, rank
 
 
+def transfers(model: Hmm, symbols: np.ndarray, at: np.ndarray, size: np.ndarray):
+    """What the tokens of each piece do to a distribution over the states at its first token:
+    rows (scaled to sum 1) and the logarithms of their scales."""
+    order, base, rank = in_step(at, size)
+    k = len(model.start)
+    out, logs = np.empty((len(at), k, k)), np.zeros((len(at), k))
+    x = None
+    for t in range(len(base) - 1):
+        n = base[t + 1] - base[t]
+        e = model.emit[symbols[order[base[t] : base[t + 1]]]][:, None, :]
+        x = np.eye(k) * e if x is None else (x[:n] @ model.move) * e
+        s = x.sum(2)
+        x /= s[:, :, None]
+        logs[:n] += np.log(s)
+        done = base[t + 2] - base[t + 1] if t + 2 < len(base) else 0
+        out[rank[done:n]] = x[done:]
+    back = np.empty_like(logs)
+    back[rank] = logs
+    return out, back
+
+
+class Pieces(NamedTuple):
+    """Sequences cut into pieces of at most ``CUT`` tokens that can run side by side: a piece
+    starts from ``init``, which its predecessors give exactly, and ends with ``tail``."""
+
+    at: np.ndarray
+    size: np.ndarray
+    of: np.ndarray  # the sequence
+    init: np.ndarray  # distribution over the states at the first token
+    before: np.ndarray  # at the token before it (zero for the first piece)
+    tail: np.ndarray  # what follows the last token, up to a factor
+
+
+def pieces(model: Hmm, symbols: np.ndarray, offs: np.ndarray) -> Pieces:
+    size = np.diff(offs)
+    n = np.maximum(-(-size // CUT), 1)
+    of = np.repeat(np.arange(len(size)), n)
+    nth = common.repeats(n)
+    at = offs[:-1][of] + nth * CUT
+    own = np.minimum(size[of] - nth * CUT, CUT)
+    k = len(model.start)
+    init, before, tail = np.tile(model.start, (len(of), 1)), np.zeros((len(of), k)), np.ones((len(of), k))
+    long = np.flatnonzero(n[of] > 1)
+    if len(long):
+        out, logs = transfers(model, symbols, at[long], own[long])
+        gain = np.exp(logs - logs.max(1, keepdims=True))
+        ends = np.append(np.flatnonzero(of[long][1:] != of[long][:-1]) + 1, len(long)).tolist()
+        for a, b in zip([0, *ends], ends):
+            for i in range(a + 1, b):
+                v = (init[long[i - 1]] * gain[i - 1]) @ out[i - 1]
+                before[long[i]] = v / v.sum()
+                init[long[i]] = before[long[i]] @ model.move
+            for i in range(b - 1, a, -1):
+                w = model.move @ (gain[i] * (out[i] @ tail[long[i]]))
+                tail[long[i - 1]] = w / w.sum()
+    return Pieces(at, own, of, init, before, tail)
+
+
 def forward(model: Hmm, symbols: np.ndarray, offs: np.ndarray, keep: bool = False):
     """Natural log likelihood of every sequence; with ``keep`` also what backward needs."""
-    order, base, rank = in_step(offs)
+    cut = pieces(model, symbols, offs)
+    order, base, rank = in_step(cut.at, cut.size)
     sym = symbols[order]
     e = model.emit[sym]
     kept = e.copy() if keep else None
-    scale = np.empty(len(order))
+    scale, ones = np.empty(len(order), e.dtype), np.ones(e.shape[1], e.dtype)
     a = None
     for t in range(len(base) - 1):
         x = e[base[t] : base[t + 1]]
-        x *= model.start if a is None else a[: len(x)] @ model.move
-        s = x @ np.ones(x.shape[1])
+        x *= cut.init[rank[: len(x)]] if a is None else a[: len(x)] @ model.move
+        s = x @ ones
         x /= s[:, None]
         scale[base[t] : base[t + 1]] = s
         a = x
-    where = np.empty(len(offs) - 1, np.int64)
-    where[rank] = np.arange(len(rank))
-    seq = common.repeats(np.diff(base))
-    loglik = np.bincount(seq, np.log(scale), minlength=len(offs) - 1)[where] if len(order) else np.zeros(len(offs) - 1)
-    return (loglik, sym, base, e, kept, scale) if keep else loglik
+    seq = cut.of[rank[common.repeats(np.diff(base))]] if len(order) else np.zeros(0, np.int64)
+    loglik = np.bincount(seq, np.log(scale, dtype=float), minlength=len(offs) - 1)
+    return (loglik, cut, rank, sym, base, e, kept, scale) if keep else loglik
 
 
 def expected(model: Hmm, symbols: np.ndarray, offs: np.ndarray, emit: np.ndarray):
     """Baum-Welch expected counts of a block: start and moves, and its log likelihood; those of
     emissions are added to ``emit`` (states x symbols)."""
-    loglik, sym, base, alpha, seen, scale = forward(model, symbols, offs, True)
+    loglik, cut, rank, sym, base, alpha, seen, scale = forward(model, symbols, offs, True)
     k = len(model.start)
     moves = np.zeros((k, k))
     seen /= scale[:, None]
-    later = None
+    tail = cut.tail[rank].astype(alpha.dtype)
+    later = np.zeros((0, k), alpha.dtype)
     for t in range(len(base) - 2, -1, -1):
         x = alpha[base[t] : base[t + 1]]
-        if later is not None and len(later):
-            # later: emission * beta / scale of the next step, for the sequences that have one
-            moves += x[: len(later)].T @ later
-            beta = np.ones_like(x)
-            beta[: len(later)] = later @ model.move.T
-        else:
-            beta = np.ones_like(x)
+        n = len(later)
+        # later: emission * beta / scale of the next step, for the sequences that have one
+        moves += x[:n].T @ later
+        beta = np.empty_like(x)
+        beta[:n] = later @ model.move.T
+        if n < len(x):
+            beta[n:] = tail[n : len(x)] / (x[n:] * tail[n : len(x)]).sum(1, keepdims=True)
         later = seen[base[t] : base[t + 1]]
         later *= beta
         x *= beta  # alpha becomes the posterior
     for i in range(k):
         emit[i] += np.bincount(sym, alpha[:, i], emit.shape[1])
-    first = alpha[: base[1]].sum(0) if len(base) > 1 else np.zeros(k)
-    return first, moves * model.move, float(loglik.sum())
+    head = np.zeros(0, np.int64)
+    if len(base) > 1:
+        moves += cut.before[rank[: len(later)]].T @ later  # from piece to piece
+        head = np.flatnonzero(~cut.before[rank[: len(later)]].any(1))
+    return alpha[head].sum(0) if len(head) else np.zeros(k), moves * model.move, float(loglik.sum())
 
 
 def estimate(first: np.ndarray, moves: np.ndarray, emit: np.ndarray, share: np.ndarray, prior: float = PRIOR) -> Hmm:
@@ -328,7 +390,8 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
 
     before = None
     for _ in range(passes if n else 0):
-        shared = spark.sparkContext.broadcast(model)
+        # training runs in single precision, scores do not
+        shared = spark.sparkContext.broadcast(Hmm(*(x.astype(np.float32) for x in model)))
 
         def task(batches, shared=shared):
             model = shared.value

@@ -109,6 +109,64 @@ def test_chunk_round_trip(spark, monkeypatch, hot):
     assert chunking.store_and_read(empty(spark)).count() == 0
 
 
+def test_media_is_what_the_store_holds(spark):
+    """The media columns against frames made here, chunk by chunk; the stream decompresses to the payload."""
+    import zstandard
+
+    rng = random.Random(13)
+    texts = [sentence(rng, n) for n in (0, 5, 3000, 30_000)] + [None, "naïve 🎉"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in chunking.store_and_read(docs).collect()}
+    pack = zstandard.ZstdCompressor(level=chunking.LEVEL)
+    for i, t in enumerate(texts):
+        _, p = media(t)
+        ends = chunking.cuts(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0]
+        frames = b"".join(pack.compress(p[a:b]) for a, b in zip([0, *ends], ends))
+        r = got[i]
+        assert (r.media_bytes, r.media_sha256, r.n_chunks) == (len(frames), hashlib.sha256(frames).hexdigest(), len(ends))
+        assert b"".join(zstandard.ZstdDecompressor().stream_reader(frames, read_across_frames=True).readall() for _ in [0]) == p
+        c = collections.Counter(p)
+        top = min(b for b in c if c[b] == max(c.values()))
+        assert r.feature == f"chunks={len(ends)};sum={sum(p)};distinct={len(c)};mode={top}"
+
+
+def test_text_beyond_a_block(spark):
+    """A document longer than a block of its own goes through every reader whole."""
+    rng = random.Random(14)
+    long = " ".join([sentence(rng, 1000)] * (common.BLOCK_BYTES // 4000))
+    assert len(long) > common.BLOCK_BYTES
+    item = sentence(rng, 50)
+    docs = spark.createDataFrame([(1, long + " " + item, "en", "s", 0), (2, long + " " + item, "en", "s", 0), (3, item, "en", "s", 0)], SCHEMA)
+    n, p = media(long + " " + item)
+    got = {r.doc_id: r for r in chunking.store_and_read(docs).collect()}
+    assert (got[1].n_bytes, got[1].payload_sha256) == (n, hashlib.sha256(p).hexdigest())
+    b = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(docs, b).collect()} == {1, 2, 3}
+    assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    cut = {r.doc_id: r for r in substring_dedup.dedup(docs).collect()}
+    assert cut[1].n_words == len(long.split()) + 50 and cut[1].n_removed == 0 and cut[2].n_removed == cut[2].n_words and cut[3].n_removed == 50
+    lang = {r.doc_id: r for r in langid.predict(docs, None).collect()}
+    assert len(lang) == 3 and len(toxicity.score(docs, np.zeros(1 << toxicity.BITS, np.float32), 0.0).collect()) == 3
+    size = {r.doc_id: r["size"] for r in mixing.shares(docs).collect()}
+    assert size == {1: cut[1].n_words, 2: cut[2].n_words, 3: 50}
+
+
+INNER = ["__s", "__b", "__bin", "__source", "__shard", "__mark", "__end", "__id", "__at", "__w", "c0", "c1", "bin", "base", "at", "n", "fin", "mark", "m", "q", "times", "copy", "id", "row"]
+
+
+@pytest.mark.parametrize("stage", [sharding.shard, mixing.mix, mixing.mixed, near_dup.survivors])
+def test_names_cannot_clash(spark, stage):
+    """Input columns named like inner ones, and a map column, come out as they went in."""
+    docs = awkward(spark, extra=False)
+    for c in INNER:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    docs = docs.withColumn("facts", F.create_map(F.lit("k"), F.col("doc_id")))
+    out = stage(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == c + str("-" if r.doc_id is None else r.doc_id) for r in rows for c in INNER) and all(r.facts == {"k": r.doc_id} for r in rows)
+
+
 # ---- sharding
 
 
@@ -128,6 +186,34 @@ def test_shard_moves_only_to_the_new_one(spark):
         sharding.shard(docs, weights=(0.0,))
 
 
+def test_shard_is_the_least_bid(spark):
+    """Shards and grown shards from draws made here with another implementation of the hash."""
+    import struct
+
+    import xxhash
+
+    weights = (1.0, 2.0, 0.5, 0.0, 3.0)
+    keys = [*range(300), None]
+    docs = spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string")
+
+    def bid(key, i, w):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(b"" if key is None else str(key).encode(), 42))
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / w
+
+    for r in sharding.shard(docs, weights, grown_weight=1.5).collect():
+        for got, ws in ((r.shard, weights), (r.grown_shard, (*weights, 1.5))):
+            assert got == min((bid(r.doc_id, i, w), i) for i, w in enumerate(ws) if w > 0)[1]
+
+
+def test_hot_key_is_spread(spark):
+    """Rows that share a key, and rows without one, have slots without gaps and many bins."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    rows = sharding.shard(docs, bin_rows=16).collect()
+    for n in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == n)
+        assert slots == list(range(len(slots)))
+
+
 def test_shard_awkward(spark):
     docs = awkward(spark)
     got = sharding.shard(docs).collect()
@@ -187,6 +273,44 @@ def test_language_awkward(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5, 6, 7, 8, 9, None}
 
 
+def plain_grams(text):
+    """Folded characters of a text and its hashed bigrams and trigrams, one by one."""
+    c = [ord(x.lower()) if x.isalpha() and len(x.lower()) == 1 else ord(x) if x.isalpha() else 0x20 for x in text]
+    u, out = 0xFFFFFFFF, collections.Counter()
+    two = [(a * 0x9E3779B1 + b * 0x85EBCA6B) & u for a, b in zip(c, c[1:])]
+    three = [(((x ^ (x >> 15)) * 0xC2B2AE35) + z * 0x27D4EB2F) & u for x, z in zip(two, c[2:])]
+    for x in two + three:
+        out[(((x ^ (x >> 13)) * 0x165667B1) & u) >> (32 - langid.BITS)] += 1
+    if len(c) == 1:
+        out[c[0] % langid.DIMS] = 1
+    return any(x != 0x20 for x in c), out
+
+
+def test_language_predictions_one_by_one(spark):
+    """Every prediction of a trained model recomputed feature by feature, ties included."""
+    rng = random.Random(15)
+    words = {k: [k + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(30)] for k in ("de", "en", "fr")}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(1, 60))), k, "s", 0) for i in range(240) for k in [rng.choice(list(words))]]
+    rows += [(900, "ÄÖ é 12", "de", "s", 0), (901, "x", None, "s", 0), (902, "", None, "s", 0), (903, None, None, "s", 0), (904, "123", None, "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs, common.fold_of("doc_id", 3) != 1)
+    assert model.langs == ["de", "en", "fr"]
+    flat = model._replace(weights=np.zeros_like(model.weights), bias=np.zeros(3, np.float32))  # all equal: the lesser language
+    for m in (model, flat):
+        got = {r.doc_id: r for r in langid.predict(docs, m).collect()}
+        for i, t, *_ in rows:
+            letter, grams = plain_grams(t or "")
+            if not letter:
+                assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+                continue
+            x = {f: n * float(m.idf[f]) for f, n in grams.items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            z = [(sum(v * float(m.weights[f, k]) for f, v in x.items()) / norm + float(m.bias[k])) / m.temperature for k in range(3)]
+            e = [math.exp(v - max(z)) for v in z]
+            assert got[i].score == pytest.approx(max(e) / sum(e), rel=1e-3)
+            assert got[i].lang_pred == m.langs[e.index(max(e))] or max(e) - sorted(e)[-2] < 1e-4
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 4000)
@@ -580,6 +704,24 @@ def test_token_files(spark, tokenizer, tmp_path):
     assert token_files.read(token_files.write(empty(spark), tokenizer, str(tmp_path / "e"))).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    """A byte-level tokenizer, whose tokens hold white space, and more than one file of few bytes."""
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    enc, tok = token_files.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.wordwise and token_files.Encoder(public.path("word_bpe_49k.json")).wordwise
+    docs = awkward(spark)
+    parts = token_files.write(docs, path, str(tmp_path / "b"), bytes_per_part=20_000)
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(parts).collect())
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want[r.doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert got == want and parts.count() > 1
+
+
 def test_words_encode_like_texts(tokenizer):
     from tokenizers import Tokenizer
 
@@ -645,6 +787,20 @@ def test_sainte_lague(spark):
             assert {k: got[g, k] for k, *_ in parties} == {k: won[k] for k, *_ in parties}
 
 
+def test_mix_ties_do_not_depend_on_row_order(spark):
+    """Many rows of one id and one size in two orders: the same rows are taken."""
+    rng = random.Random(17)
+    rows = [(5, f"{sentence(rng, 29)} u{i}", "en", "s", i) for i in range(40)] + [(i, sentence(rng, 50), "en", "t", 0) for i in range(9)]
+    seen = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        seen.append(sorted((r.doc_id, r.text, r.taken) for r in mixing.mix(docs, block=8, shard_rows=16).collect()))
+        again = collections.Counter((r.doc_id, r["size"], r.taken) for r in mixing.shares(docs, block=8, shard_rows=16).collect())
+        assert again == collections.Counter((i, len(t.split()), n) for i, t, n in seen[-1])
+    assert seen[0] == seen[1] and len({n for i, _, n in seen[0] if i == 5}) > 1
+
+
 def test_mix_awkward(spark):
     docs = awkward(spark)
     got = mixing.mix(docs).collect()
@@ -677,6 +833,39 @@ def test_toxicity_held_out(spark):
     assert all((r.score >= 0.7) == (r.predicted == 1) for r in got)
 
 
+def plain_hash(values):
+    """The polynomial hash of a run, in integers of any size."""
+    h, p = 0, 1
+    for v in values:
+        h, p = (h + v * p) & common.M64, p * common._BASE & common.M64
+    h = (h + len(values) * 0xA24BAED4963EE407) & common.M64
+    return plain_mix(h)
+
+
+def plain_mix(h, seed=0):
+    h ^= (seed * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) & common.M64
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & common.M64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & common.M64
+    return h ^ (h >> 31)
+
+
+def test_toxicity_scores_one_by_one(spark):
+    """Every score from features made here: words, neighbours and pairs with one word between."""
+    import re
+
+    rng = np.random.default_rng(16)
+    weights = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    weights[rng.random(len(weights)) < 0.5] = 0
+    texts = ["You are SO so so bad, really-bad!", "", None, "x", "naïve ÜBER 9lives", "a b", sentence(random.Random(1), 300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    for r in toxicity.score(docs, weights, -0.25).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        h = [plain_hash([int(common._BYTE[b]) for b in w.lower()]) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+        f = set(h) | {plain_mix((a * 3 + b) & common.M64, 1) for a, b in zip(h, h[1:])} | {plain_mix((a * 5 + b) & common.M64, 2) for a, b in zip(h, h[2:])}
+        z = -0.25 + sum(float(weights[k]) for k in {x >> (64 - toxicity.BITS) for x in f})
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-5) and r.predicted == (r.score >= toxicity.THRESHOLD)
+
+
 def test_toxicity_awkward(spark):
     docs = awkward(spark)
     marks = spark.createDataFrame([(5, 1, 1), (5, 1, 0), (7, 1, 0), (8, None, None), (None, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
@@ -692,7 +881,9 @@ def test_toxicity_awkward(spark):
 # ---- language model
 
 
-def test_forward_is_exact():
+@pytest.mark.parametrize("cut", [hmm.CUT, 1, 3])
+def test_forward_is_exact(monkeypatch, cut):
+    monkeypatch.setattr(hmm, "CUT", cut)
     rng = np.random.default_rng(3)
     k, v = 3, 7
     m = hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(v), k).T)
@@ -740,6 +931,43 @@ def test_base_scores(spark, table):
     assert got == want
 
 
+def test_score_column_is_the_forward_recursion(spark, monkeypatch):
+    """``score`` of the whole operator, recomputed token by token from the model it trained."""
+    kept = {}
+    real_fit, real_coded = hmm.fit, hmm.coded
+    monkeypatch.setattr(hmm, "fit", lambda *a, **k: kept.setdefault("model", real_fit(*a, **k)))
+    monkeypatch.setattr(hmm, "coded", lambda *a, **k: kept.setdefault("codes", real_coded(*a, **k)))
+    rows, docs = synthetic(spark, 60)
+    docs = docs.select("doc_id", "text")
+    got = {r.doc_id: r for r in hmm.score(docs, common.fold_of("doc_id", 10) == 0, states=3, passes=2, vocab=20, table=30).collect()}
+    model, codes = kept["model"], kept["codes"]
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    name = lambda w: int(hmm.END) if w is None else plain_hash([int(common._BYTE[b]) for b in w])
+    toks = {i: [*t.encode().translate(lower).split(), None] for i, t, *_ in rows}
+    c = collections.Counter(name(w) for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    symbol = {int(h): k for k, h in enumerate(codes.h)}
+    rare = [n for h, n in c.items() if h not in symbol]
+    assert (codes.rare_total, codes.rare_distinct) == (sum(rare), len(rare)) and len(rare) > 5
+    for i, ws in toks.items():
+        a, total = None, 0.0
+        for w in ws:
+            k = symbol.get(name(w), len(symbol))
+            a = (model.start if a is None else a @ model.move) * model.emit[k]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+            if k == len(symbol):
+                total += math.log10((c[name(w)] + 0.1) / (sum(rare) + 0.1 * (len(rare) + 1)))
+        assert got[i].score == pytest.approx(total)
+
+
+def test_extra_columns_do_not_reach_the_model(spark):
+    docs = awkward(spark)
+    plain = hmm.score(docs.select("doc_id", "text"), common.fold_of("doc_id", 10) == 0, states=2, passes=1).collect()
+    clash = hmm.score(docs.withColumn("uid", F.lit(1)).withColumn("symbols", F.lit("x")).withColumn("h", F.lit(2)), common.fold_of("doc_id", 10) == 0, states=2, passes=1).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score)
+    assert [tuple(r) for r in sorted(plain, key=key)] == [tuple(r) for r in sorted(clash, key=key)]
+
+
 def test_model_is_a_distribution():
     """Symbols add up to 1, and so do all tokens of the rare class with one unknown."""
     counts = [9, 7, 5, 4, 3, 2, 1, 1, 2, 2, 2, 2]
