@@ -9,7 +9,6 @@ folder named by ``spark.checkpoint.dir``, which all executors share.
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qanat.session import ship
+from qanat.session import shared_dir, ship
 
 #: Text bytes that one vectorised step looks at; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -37,23 +36,32 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-_local: dict[str, str] = {}
+#: Folders and catalog tables that each application has made here, in order.
+_made: dict[str, list[tuple[str, str | None]]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the checkpoint folder
-    the application has set; a local one only where there is neither (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = "file://" + tempfile.mkdtemp(prefix="qanat-shared-")
-        found = _local[app]
-    return found.rstrip("/")
+def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    path = f"{shared_dir(spark)}/qanat/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append((path, table))
+    return path
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/qanat/{name}-{uuid.uuid4().hex}"
+def mark(spark: SparkSession) -> int:
+    """A point in the application's list of staged folders, for ``drop_since``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes what was staged since ``since`` but for the last ``keep`` folders.  Only for
+    finished work: nothing may still read them."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    gone = made[since : len(made) - keep]
+    made[since:] = made[len(made) - keep :] if keep else []
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -67,8 +75,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``staged``, as a table bucketed by ``key``: later joins on it do not shuffle it again."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    table = "qanat_" + path.rpartition("-")[2]
+    table = "qanat_" + uuid.uuid4().hex
+    path = new_path(spark, name, table)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
     return spark.table(table)
