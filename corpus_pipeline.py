@@ -1,56 +1,17 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
-
-Every stage takes all that its predecessor kept, read back from Parquet.
-"""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding (``qanat.llm.pipeline``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qanat.llm import common, decontamination, langid, mixing, near_dup, sharding
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or of no clear language."""
-    model = langid.train(docs, common.fold_of("doc_id", 3) != 1)
-    return langid.accepted(docs, model)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of every class of equal or near-equal texts."""
-    return near_dup.survivors(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the sources to their target weights; a document may come out twice."""
-    return mixing.mixed(docs)
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot (and size, text_crc32, law, grown_shard)."""
-    return sharding.shard(docs)
-
+from qanat.llm import pipeline
 
-STAGES = [
-    ("language_id", language),
-    ("near_dedup", near_duplicates),
-    ("decontamination", decontaminate),
-    ("mixing", mix),
-    ("sharding", shard),
-]
+#: (name, function) in order; each function takes (spark, docs, sf_dir).
+STAGES = list(pipeline.STAGES)
 
 #: The stages are learned, hashed or aligned: SQL cannot express them; tests/llm compares with brute force.
-ORACLE_SQL = None
+ORACLE_SQL = pipeline.ORACLE_SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
-        common.release(spark)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return pipeline.run(spark, sf_dir, STAGES)
