@@ -31,7 +31,7 @@ VOCAB = 1 << 17
 #: Tokens seen less often have no symbol of their own: their split over states would be chance.
 LEAST = 3
 TABLE = 1 << 19
-PASSES = 5
+PASSES = 4
 #: Natural log likelihood a token that a pass must gain for another one to follow.
 GAIN = 0.002
 INIT_ROWS = 1000
@@ -386,7 +386,7 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
 
     def added(table):
         sums = sum(np.frombuffer(x, "<f4").astype(float) for x in table["sums"].to_pylist())
-        return pa.table({"at": table["at"][:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table({"at": table["at"][:1], "sums": pa.array([sums.astype("<f4").tobytes()], pa.binary())})
 
     before = None
     for _ in range(passes if n else 0):
@@ -409,7 +409,7 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
         got = train.mapInArrow(task, "at long, sums binary").groupBy("at").applyInArrow(added, "at long, sums binary").toLocalIterator()
         total = np.zeros((states, size + 2 + states))
         for r in got:
-            part = np.frombuffer(bytes(r["sums"]), "<f8").reshape(states, -1)
+            part = np.frombuffer(bytes(r["sums"]), "<f4").reshape(states, -1)
             total[:, r["at"] : r["at"] + part.shape[1]] = part
         total = total.T
         shared.unpersist()
