@@ -66,6 +66,18 @@ def chunk_text_prefix(spark, d):
     return w.select("doc_id", F.col("i").cast("long").alias("i"), F.length(made).cast("long").alias("n"), F.md5(made).alias("text_md5"))
 
 
+def index_facts(spark, d):
+    """The persisted indexes of documents and of their windows: units, terms, postings, mean length."""
+    both = None
+    for kind in ("doc", "chunk"):
+        ix = si.index(spark, d, kind)
+        one = ix.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings")).select(
+            F.lit(kind).alias("kind"), F.lit(ix.n_units).cast("long").alias("n_units"), "n_terms", "n_postings", F.lit(round(ix.mean, 6)).alias("mean")
+        )
+        both = one if both is None else both.unionByName(one)
+    return both
+
+
 def bm25_topk(spark, d):
     return search_index.search(si.index(spark, d, "doc"), si.questions(spark, d), 50).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -96,12 +108,14 @@ def recency_boosted_topk(spark, d):
 
 
 def filtered_topk_post(spark, d):
-    out = retrieve(si.doc_units(spark, d), si.questions(spark, d, vectors=True), _now(), si.vectors(spark, d), {"league": "en"}, index=si.index(spark, d, "doc"))
+    index = si.index(spark, d, "doc")
+    out = retrieve(index.units, si.questions(spark, d, vectors=True), _now(), si.vectors(spark, d), {"league": "en"}, index=index)
     return out.select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def filtered_topk_pre(spark, d):
-    out = retrieve(si.doc_units(spark, d), si.questions(spark, d), _now(), None, {"league": "en"}, config=RetrievalConfig(filter_mode="pre"))
+    units = si.index(spark, d, "doc").units
+    out = retrieve(units, si.questions(spark, d), _now(), None, {"league": "en"}, config=RetrievalConfig(filter_mode="pre"))
     return out.select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -416,7 +430,7 @@ def topk_per_group(spark, d):
 
 
 ALL = [
-    doc_normalize_fold, doc_tokens_count, term_df_idf, doc_chunks, chunk_text_prefix, bm25_topk, dense_topk, rrf_fused_topk, recency_boosted_topk,
+    doc_normalize_fold, doc_tokens_count, term_df_idf, doc_chunks, chunk_text_prefix, index_facts, bm25_topk, dense_topk, rrf_fused_topk, recency_boosted_topk,
     filtered_topk_post, filtered_topk_pre, collapse_best_chunk, hybrid_retrieve, clean_markup_steps, clean_adjacent_dup, clean_body_full, first_wins_dedup,
     short_body_filter_stats, counts_by_facet_map, lexicon_tags, ordered_category, intent_route, intent_route_arabic, sanitize_query,
     strip_trailing_placeholder, token_budget, cache_key, cache_ttl_probe, context_assembly, model_route, html_title_links, html_article_body,

@@ -2,7 +2,7 @@
 
 Layout of an index folder:
 
-* ``units``: unit, doc and all other columns of the units but their tokens;
+* ``units``: the units as they were given, tokens included (read only where units are filtered first);
 * ``postings``: bucket, segment, term and the list of (unit, tf, length) of the term in the
   segment, sorted by term in each bucket's files.  A unit lies in one segment, a segment
   holds about ``SEGMENT`` units, so no list is longer;
@@ -28,7 +28,7 @@ from qanat.operators.bm25 import ranked
 from qanat.session import ship
 
 SEGMENT = 1 << 14
-BUCKETS = 64
+BUCKETS = 32
 #: Queries of one pass over the postings, and terms that are named in the scan's filter (more are joined).
 BLOCK = 1024
 NAMED = 256
@@ -52,26 +52,28 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     """Writes the index of units (unit, tokens, any other columns) to ``path``."""
     spark = units.sparkSession
     ship(spark)
-    units.drop("tokens").write.mode("overwrite").parquet(f"{path}/units")
+    units.write.mode("overwrite").parquet(f"{path}/units")
     if vectors is not None:
         vectors.select("unit", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
     tokens = F.coalesce("tokens", F.array().cast("array<string>"))
-    u = units.select(F.col("unit").cast("long").alias("unit"), tokens.alias("tokens"))
+    u = spark.read.parquet(f"{path}/units").select(F.col("unit").cast("long").alias("unit"), tokens.alias("tokens"))
     facts = u.agg(F.count(F.lit(1)).alias("n_units"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean"))
     facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
     n = spark.read.parquet(f"{path}/facts").first()["n_units"]
     segment = F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-n // SEGMENT)))).cast("int")
     tf = u.select(segment.alias("segment"), "unit", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = tf.groupBy("segment", "unit", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lists = tf.groupBy("segment", "term").agg(F.collect_list(F.struct("unit", "tf", "dl")).alias("list"))
-    lists = lists.withColumn("bucket", bucket("term")).repartition("bucket", "segment").sortWithinPartitions("bucket", "term")
+    # one shuffle: both aggregates and the files are by segment and bucket
+    tf = tf.withColumn("bucket", bucket("term")).repartition("segment", "bucket")
+    tf = tf.groupBy("segment", "bucket", "unit", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    lists = tf.groupBy("segment", "bucket", "term").agg(F.collect_list(F.struct("unit", "tf", "dl")).alias("list"))
+    lists = lists.sortWithinPartitions("bucket", "term")
     lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("list")).cast("long").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     hist = raw.groupBy("df").agg(F.count(F.lit(1)).alias("c"), F.first("raw").alias("r")).agg(F.sum(F.col("c") * F.col("r")) / F.sum("c"))
     floor = config.epsilon * (hist.first()[0] or 0.0)
     idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
-    raw.select("bucket", "term", "df", idf.alias("idf")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    raw.select("bucket", "term", "df", idf.alias("idf")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -108,6 +108,11 @@ x AS (SELECT c.doc_id, i, concat_ws(' | ', 'title: ' || left(text, 60), CASE WHE
  'section: ' || source, CASE WHEN c.doc_id % 3 <> 0 THEN 'league: ' || lang END, 'teams: ' || lang || ' - ' || source, 'date: ' || {PUB.replace('doc_id', 'c.doc_id')})
  || chr(10) || chr(10) || CASE WHEN total > 1 THEN '[part ' || (i + 1) || '/' || total || ']' || chr(10) ELSE '' END || array_to_string(w[s + 1 : s + 300], ' ') AS m FROM c JOIN documents USING (doc_id))
 SELECT doc_id, i::BIGINT AS i, len(m)::BIGINT AS n, md5(m) AS text_md5 FROM x""",
+        "index_facts": " UNION ALL ".join(
+            f"""SELECT * FROM (WITH {units}, t AS (SELECT unit, {TOK.format('body')} AS w FROM units), p AS (SELECT DISTINCT unit, unnest(w) AS term FROM t)
+SELECT '{kind}' AS kind, count(*) AS n_units, (SELECT count(DISTINCT term) FROM p) AS n_terms, (SELECT count(*) FROM p)::BIGINT AS n_postings, round(avg(len(w)), 6) AS mean FROM t)"""
+            for kind, units in (("doc", DOC_UNITS), ("chunk", CHUNK_UNITS))
+        ),
         "bm25_topk": f"WITH {bm25(DOC_UNITS, 50)} SELECT qid, unit, score, rank FROM sparse",
         "dense_topk": f"WITH {near(10, 'SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0')} SELECT qid, unit, score, rank FROM dense",
         "rrf_fused_topk": f"WITH {bm25(DOC_UNITS, 50)}, {near(50, QV)}, {FUSED}, z AS (SELECT qid, unit, round(rrf, 8) AS score FROM fused) SELECT qid, unit, score, {RANK} AS rank FROM z QUALIFY rank <= 10",
