@@ -6,6 +6,10 @@ length.  Document frequencies count every learnable document.  The weights come
 from follow-the-regularised-leader with elastic-net penalties on a bounded
 sample (``SAMPLE_ROWS`` a language), and a temperature fitted on a part of that
 sample kept from training calibrates the probabilities.
+
+A probability says which of the learned languages fits best, not whether any does.
+For that ``accepted`` asks how many documents of the predicted language have the
+text's n-grams, whatever the number of languages.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,11 @@ SAMPLE_ROWS = 600
 EPOCHS = 4
 LEARNER = {"alpha": 2.0, "beta": 1.0, "l1": 0.05, "l2": 0.001}
 UNKNOWN = "und"
-#: Pipeline: documents whose calibrated probability is below this are rejected.
-MIN_SCORE = 0.3
+#: Pipeline: documents are rejected whose n-grams occur, in the geometric mean, in a lesser
+#: share than this of the documents of the language predicted.
+MIN_SHARE = 0.02
+#: n-grams of share 1 that every text is given on top: a few odd letters are no evidence.
+PRIOR = 10
 
 _fold: list[np.ndarray] = []
 
@@ -78,24 +86,43 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    known: np.ndarray
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each feature occurs, and the number of documents."""
+def document_frequencies(docs: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents of each language each feature occurs [languages x DIMS], and
+    their numbers [languages]."""
+    wide = DIMS + 1
 
     def task(batches):
-        df, n = np.zeros(DIMS, np.int64), 0
-        for _, data, offs in common.blocks(batches):
-            for _, m, _ in counts(data, offs):
-                df += np.count_nonzero(m, 0)
-                n += len(m)
-        at = np.append(np.flatnonzero(df), DIMS)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(df, n)[at])], ["f", "df"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(task, "f long, df long").groupBy("f").agg(F.sum("df").alias("df")).toPandas()
-    out = np.zeros(DIMS + 1, np.int64)
+        df = np.zeros((len(langs), wide), np.int64)
+        names = pa.array(langs, pa.string())
+        for rb, data, offs in common.blocks(batches):
+            of = pc.index_in(rb.column(1).cast(pa.string()), names).to_numpy(zero_copy_only=False)
+            for a, m, _ in counts(data, offs):
+                own = of[a : a + len(m)]
+                for k in np.unique(own):
+                    df[k, :DIMS] += np.count_nonzero(m[own == k], 0)
+                    df[k, DIMS] += int((own == k).sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df.reshape(-1)[at])], ["f", "df"])
+
+    d = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    rows = d.mapInArrow(task, "f long, df long").groupBy("f").agg(F.sum("df").alias("df")).toPandas()
+    out = np.zeros(len(langs) * wide, np.int64)
     out[rows["f"].to_numpy()] = rows["df"].to_numpy()
-    return out[:DIMS], int(out[DIMS])
+    out = out.reshape(len(langs), wide)
+    return out[:, :DIMS], out[:, DIMS]
+
+
+def knowledge(df: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[DIMS x (languages + 1)]: log10 of the share of a language's documents that have the
+    feature, and 1 for a feature that is evidence (n-grams without a letter are none)."""
+    out = np.log10((df.T + 0.5) / (n + 1.0))
+    ((_, gap, _),) = counts(np.full(3, 0x20, np.uint8), np.array([0, 3]))
+    out = np.column_stack([out, np.ones(DIMS)])
+    out[gap[0] > 0] = 0
+    return out.astype(np.float32)
 
 
 def _probabilities(logits: np.ndarray, temperature: float) -> np.ndarray:
@@ -130,8 +157,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
     if not size:
         return None
     langs = sorted(size)
-    df, n = document_frequencies(known)
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    df, n = document_frequencies(known, langs)
+    idf = (np.log((1 + n.sum()) / (1 + df.sum(0))) + 1).astype(np.float32)
 
     def task(batches):
         for rb, data, offs in common.blocks(batches):
@@ -160,7 +187,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
     w, b = model.weights()
     logits = np.array([x @ w[a] + b for a, x, _ in kept]).reshape(len(kept), -1)[:, : len(langs)]
     t = calibrate(logits, np.array([y for *_, y in kept], np.int64))
-    return Model(langs, idf, w[:, : len(langs)].astype(np.float32), b[: len(langs)], t)
+    return Model(langs, idf, w[:, : len(langs)].astype(np.float32), b[: len(langs)], t, knowledge(df, n))
 
 
 def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -199,14 +226,19 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
     return d.mapInArrow(task, f"{kinds}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model | None, least: float = MIN_SCORE) -> DataFrame:
-    """The rows, all columns unchanged, whose language is known with at least ``least``
-    calibrated probability; null text and text without a letter are rejected, and without
-    a model nothing else is.  Every row is judged by its own text, read whole, so
-    repeated and missing ids do not matter; an empty table gives no rows."""
+def accepted(docs: DataFrame, model: Model | None, least: float = MIN_SHARE) -> DataFrame:
+    """The rows, all columns unchanged, whose language is one of those learned: its documents
+    have the text's n-grams in a share of ``least`` or more (geometric mean over all n-grams
+    with a letter and ``PRIOR`` known ones).
+
+    Null text and text without a letter are rejected, and without a model nothing else is.
+    A language of few documents gives little evidence, so few texts are rejected then.
+    Equal probabilities: the lesser language.  Every row is judged by its own text, read
+    whole, so repeated and missing ids do not matter; an empty table gives no rows."""
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)
+    floor = np.log10(least) if least > 0 else -np.inf
 
     def task(batches):
         model = shared.value
@@ -215,10 +247,12 @@ def accepted(docs: DataFrame, model: Model | None, least: float = MIN_SCORE) ->
             if model is not None:
                 v, sq = model.idf[:, None] * model.weights, (model.idf**2)[:, None]
             for a, m, has in counts(data, offs):
-                p = np.ones((len(m), 1))
+                good[a : a + len(m)] = has
                 if model is not None:
-                    p = _probabilities((m @ v) / np.maximum(np.sqrt((m * m) @ sq), 1e-9) + model.bias, model.temperature)
-                good[a : a + len(m)] = has & (p.max(1) >= least)
+                    logits = (m @ v) / np.maximum(np.sqrt((m * m) @ sq), 1e-9) + model.bias
+                    seen = m @ model.known
+                    logs = seen[np.arange(len(m)), logits.argmax(1)]
+                    good[a : a + len(m)] &= logs / (seen[:, -1] + PRIOR) >= floor
             yield rb.filter(pa.array(good))
 
     return docs.mapInArrow(task, docs.schema)

@@ -251,13 +251,44 @@ def test_language_held_out(spark):
 
 def test_document_frequencies(spark):
     docs = languages(spark, 40)
-    df, n = langid.document_frequencies(docs)
-    want = np.zeros(langid.DIMS, int)
+    langs = ["aa", "bb", "cc", "none"]
+    df, n = langid.document_frequencies(docs, langs)
+    want = np.zeros((4, langid.DIMS), int)
     for r in docs.collect():
         raw = np.frombuffer(r.text.encode(), np.uint8)
         (_, m, _), = langid.counts(raw, np.array([0, len(raw)]))
-        want += m[0] > 0
-    assert n == 40 and (df == want).all()
+        want[langs.index(r.lang)] += m[0] > 0
+    assert n.tolist() == [14, 13, 13, 0] and (df == want).all()
+
+
+def test_language_unknown_is_rejected(spark):
+    """What no learned language knows goes, whatever their number; short and numeric texts stay."""
+    unknown = {
+        "ru": "Быстрая лиса прыгает через ленивую собаку", "zh": "快速的棕色狐狸跳过了懒狗然后跑进森林", "el": "η γρήγορη αλεπού πηδάει πάνω από το σκυλί",
+        "junk": "xqv jzzk wpqx vvqx kqzx jjwq zxvk qqxj", "none": "12 345 !!",
+    }
+    clean = {"short": "Ba.", "name": "Kschtz", "number": "ba 12 345 678 2,00 (9)", "own": "kschtzpfe ungungtz babobi", "odd": "Zq."}
+    learned = languages(spark, 600)
+    for langs in (["aa", "bb", "cc"], ["bb", "aa"], ["aa", "cc"]):
+        few = learned.where(F.col("lang").isin(*langs))
+        # a language of few documents keeps its own, however many the others have
+        few = few.where((F.col("lang") != langs[0]) | (F.col("doc_id") < 60))
+        model = langid.train(few, F.lit(True))
+        texts = spark.createDataFrame([(k, t) for k, t in (unknown | clean).items()], "doc_id string, text string")
+        want = set(clean) - ({"name", "own"} if "bb" not in langs else set()) - ({"short", "number"} if "aa" not in langs else set())
+        got = {r.doc_id for r in langid.accepted(texts, model).collect()}
+        assert want <= got and not got & set(unknown)
+        assert langid.accepted(few, model).count() == few.count()
+        # the rule recomputed from the plain definition
+        df, n = langid.document_frequencies(few, model.langs)
+        pred = {r.doc_id: r.lang_pred for r in langid.predict(texts, model).collect()}
+        for r in texts.collect():
+            ok, grams = plain_grams(r.text)
+            if ok:
+                k = model.langs.index(pred[r.doc_id])
+                held = [(c, (df[k, f] + 0.5) / (n[k] + 1)) for f, c in grams.items() if f not in plain_grams("   ")[1]]
+                share = 10 ** (sum(c * np.log10(x) for c, x in held) / (sum(c for c, _ in held) + langid.PRIOR))
+                assert (share >= langid.MIN_SHARE) == (r.doc_id in got)
 
 
 def test_language_awkward(spark):
