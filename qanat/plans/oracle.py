@@ -164,7 +164,7 @@ SELECT role, round(avg(ok), 6) AS accuracy, round(avg(ok) FILTER (refusal), 6) A
         "answers_by_intent": answers.format(by="expected, ", group="GROUP BY expected"),
         "metric_similarity": """WITH t AS (SELECT vec_id, text, embedding FROM embeddings JOIN documents ON vec_id = doc_id)
 SELECT a.vec_id, b.vec_id AS other, round(CASE WHEN a.text <> '' AND b.text <> '' THEN list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) ELSE 0.0 END, 6) AS similarity
-FROM t a JOIN t b ON b.vec_id = a.vec_id % 50""",
+FROM t a JOIN t b ON b.vec_id = a.vec_id + 1""",
         "link_ids": """WITH x AS (SELECT page_id, list_reverse_sort(list_distinct(list_transform(regexp_extract_all(html || '<a href="/articles/' || (10000 + page_id) || '"><a href="/articles/' || (10000 + page_id * 7) || '">',
  'href="[^"]*/articles/([0-9]{4,})', 1), lambda i: i::BIGINT))) AS l FROM pages) SELECT page_id, len(l)::BIGINT AS n, array_to_string(l, ',') AS ids FROM x""",
         "seed_union_range_anti": """WITH seeds AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' UNION SELECT event_id FROM events WHERE event_type = 'view'),
