@@ -5,7 +5,7 @@ Layout of an index folder:
 * ``units``: the units as they were given, tokens included (read only where units are filtered first);
 * ``postings``: bucket, segment, term and the list of (unit, tf, length) of the term in the
   segment, sorted by term in each bucket's files.  A unit lies in one segment, a segment
-  holds about ``SEGMENT`` units, so no list is longer;
+  holds about ``SEGMENT`` units at most, so no list is longer;
 * ``terms``: bucket, term, df, idf;
 * ``facts``: one row, number of units and their mean length;
 * ``vectors`` (if given): unit, vector.
@@ -28,7 +28,11 @@ from qanat.operators.bm25 import ranked
 from qanat.session import ship
 
 SEGMENT = 1 << 14
+#: Units that a segment holds at least, about, where there are fewer segments than cores.
+LEAST = 1 << 10
 BUCKETS = 32
+#: Tokens that are counted at once (a longer unit is counted alone).
+STEP = 1 << 20
 #: Queries of one pass over the postings, and terms that are named in the scan's filter (more are joined).
 BLOCK = 1024
 NAMED = 256
@@ -48,6 +52,40 @@ def bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+LIST = "array<struct<unit:bigint,tf:int,dl:int>>"
+
+
+def _counted(batches):
+    """(segment, unit, tokens) -> segment, term and the postings of the term in a run of units."""
+    for rb in batches:
+        lists = rb.column(2)
+        at = np.asarray(lists.offsets).astype(np.int64)
+        a = 0
+        while a < rb.num_rows:
+            b = max(a + 1, int(np.searchsorted(at, at[a] + STEP, side="right")) - 1)
+            b = min(b, rb.num_rows)
+            words = lists.values.slice(at[a], at[b] - at[a]).dictionary_encode()
+            n, size = b - a, np.diff(at[a : b + 1])
+            segment = rb.column(0).slice(a, n).to_numpy(zero_copy_only=False).astype(np.int64)
+            unit = np.repeat(np.arange(n), size)
+            distinct = max(1, len(words.dictionary))
+            key = (segment[unit] * distinct + words.indices.to_numpy(zero_copy_only=False)) * n + unit
+            key, tf = np.unique(key, return_counts=True)
+            group, unit = key // n, key % n
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+            posting = pa.StructArray.from_arrays(
+                [rb.column(1).slice(a, n).take(pa.array(unit)), pa.array(tf.astype(np.int32)), pa.array(size[unit].astype(np.int32))], ["unit", "tf", "dl"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((group[first] // distinct).astype(np.int32)), words.dictionary.take(pa.array(group[first] % distinct)),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(group)).astype(np.int32)), posting),
+                ],
+                ["segment", "term", "list"],
+            )
+            a = b
+
+
 def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config: Bm25Config = Bm25Config()) -> None:
     """Writes the index of units (unit, tokens, any other columns) to ``path``."""
     spark = units.sparkSession
@@ -60,12 +98,12 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     facts = u.agg(F.count(F.lit(1)).alias("n_units"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean"))
     facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
     n = spark.read.parquet(f"{path}/facts").first()["n_units"]
-    segment = F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-n // SEGMENT)))).cast("int")
-    tf = u.select(segment.alias("segment"), "unit", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    # one shuffle: both aggregates and the files are by segment and bucket
-    tf = tf.withColumn("bucket", bucket("term")).repartition("segment", "bucket")
-    tf = tf.groupBy("segment", "bucket", "unit", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lists = tf.groupBy("segment", "bucket", "term").agg(F.collect_list(F.struct("unit", "tf", "dl")).alias("list"))
+    n_segments = max(1, -(-n // SEGMENT), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)))
+    segment = F.pmod(F.xxhash64("unit"), F.lit(n_segments)).cast("int")
+    parts = u.select(segment.alias("segment"), "unit", "tokens").mapInArrow(_counted, f"segment int, term string, list {LIST}")
+    # one shuffle, of lists: the aggregate and the files are by segment and bucket
+    parts = parts.withColumn("bucket", bucket("term")).repartition("segment", "bucket")
+    lists = parts.groupBy("segment", "bucket", "term").agg(F.flatten(F.collect_list("list")).alias("list"))
     lists = lists.sortWithinPartitions("bucket", "term")
     lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("list")).cast("long").alias("df"))
