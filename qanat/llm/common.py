@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +37,42 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-#: Folders and catalog tables that each application has made here, in order.
-_made: dict[str, list[tuple[str, str | None]]] = {}
+_run: ContextVar[Run | None] = ContextVar("qanat_run", default=None)
 
 
-def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
-    path = f"{shared_dir(spark)}/qanat/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append((path, table))
-    return path
+class Run:
+    """Knows the folders and catalog tables that are staged inside its ``with`` block, by this
+    thread alone: other operators of the application, in other threads, have their own.  What is left
+    at the end belongs to the run around it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
 
+    def __enter__(self) -> Run:
+        self.token = _run.set(self)
+        return self
 
-def mark(spark: SparkSession) -> int:
-    """A point in the application's list of staged folders, for ``drop_since``."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+    def __exit__(self, *error) -> None:
+        _run.reset(self.token)
+        if (outer := _run.get()) is not None:
+            outer.made += self.made
 
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all but the last ``keep`` folders.  Only for finished work: nothing may still read them."""
+        gone = self.made[: len(self.made) - keep]
+        self.made = self.made[len(gone) :]
+        for path, table in gone:
+            if table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-def drop_since(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes what was staged since ``since`` but for the last ``keep`` folders.  Only for
-    finished work: nothing may still read them."""
-    made = _made.get(spark.sparkContext.applicationId, [])
-    gone = made[since : len(made) - keep]
-    made[since:] = made[len(made) - keep :] if keep else []
-    for path, table in gone:
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    path = f"{shared_dir(spark)}/qanat/{name}-{uuid.uuid4().hex}"
+    if (run := _run.get()) is not None:
+        run.made.append((path, table))
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

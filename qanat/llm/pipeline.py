@@ -77,9 +77,9 @@ def run(spark: SparkSession, sf_dir: str, stages=None) -> DataFrame:
     """The documents through ``stages`` (all by default)."""
     stages = STAGES if stages is None else stages
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    start = common.mark(spark)
-    for name, stage in stages[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
-        common.drop_since(spark, start, keep=1)
-        common.release(spark)
+    with common.Run(spark) as staged:
+        for name, stage in stages[:-1]:
+            docs = common.staged(stage(spark, docs, sf_dir), name)
+            staged.drop(keep=1)
+            common.release(spark)
     return stages[-1][1](spark, docs, sf_dir)

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from test_llm_ops import brute_classes
+from test_llm_round3 import brute_counts, brute_periodic
 
 import __spark_entry__ as entry
-from qanat.llm import registry
+from qanat.llm import quality_rules, registry
 
 DIR = "/root/testdata/sf0.001"
 
@@ -40,15 +41,17 @@ def fold(i, n):
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in registry.queries()} and set(registry.queries()) | {"pipeline"} <= names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in registry.queries()} and set(registry.queries()) | {"pipeline"} <= names
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(run, docs, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
-    got = run(name).sort_values("doc_id").reset_index(drop=True)
-    want = c.sql(registry.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)[got.columns]
+    for table in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
+    key = "vec_id" if name.startswith("op12") else "doc_id"
+    got = run(name).sort_values(key).reset_index(drop=True)
+    want = c.sql(registry.oracle_sql()[name]).df().sort_values(key).reset_index(drop=True)[got.columns]
     assert got.equals(want)
 
 
@@ -122,6 +125,24 @@ def test_op10(run, docs):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_op11(run, docs):
+    got = run("op11_isolation_quality").set_index("doc_id")
+    assert len(got) == len(docs)
+    for i, t in zip(docs.doc_id, docs.text):
+        r = got.loc[i]
+        assert tuple(r[list(quality_rules.COUNTS)]) == brute_counts(t)
+        failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    y = pq.read_table(f"{DIR}/labels.parquet").to_pandas().set_index("doc_id").quality
+    good = [i for i in y[y == 1].index if not got.loc[i]["base_failed"]]
+    assert got.loc[good].kept.mean() > 0.98
+
+
+def test_op13(run, docs):
+    got = run("op13_periodic_runs")
+    assert sorted(tuple(None if x != x else x for x in r) for r in got.itertuples(index=False)) == sorted(brute_periodic(i, t) for i, t in zip(docs.doc_id.tolist(), docs.text))
+
+
 def test_pipeline_query(spark, docs):
     got = entry.queries()["pipeline"](spark, DIR).toPandas()
     classes = brute_classes(list(zip(docs.doc_id, docs.text)))
