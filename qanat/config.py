@@ -51,3 +51,5 @@ class AnswerConfig:
     short_body: int = 800
     prompt_version: int = 3
     default_ttl: int = 30 * 24 * 3600
+    #: Least and greatest number of characters of a query.
+    query_chars: tuple[int, int] = (2, 500)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.config import AnswerConfig, RetrievalConfig
@@ -116,15 +116,20 @@ class Engine:
     cache: AnswerCache | FolderCache = field(default_factory=AnswerCache)
     now: str | None = None
     index: search_index.Index | None = None
+    #: Makes the tokens of a query as those of the chunks were made; folded tokens by default.
+    tokenize: Callable[[Column], Column] | None = None
 
     @classmethod
     def over(cls, index: search_index.Index, **more) -> Engine:
         return cls(index.units, index.vectors, index=index, **more)
 
+    def tokens(self, query: Column) -> Column:
+        return self.tokenize(query) if self.tokenize else text.tokens(query, self.folding)
+
     def _query(self, query: str) -> DataFrame:
         spark = self.chunks.sparkSession
         q = spark.createDataFrame([(0, query)], "qid long, query string")
-        q = q.select("qid", text.tokens(F.col("query"), self.folding).alias("tokens"), rules.route(F.col("query"), self.rules).alias("intent"), answering.sanitize(F.col("query")).alias("safe"))
+        q = q.select("qid", self.tokens(F.col("query")).alias("tokens"), rules.route(F.col("query"), self.rules).alias("intent"), answering.sanitize(F.col("query")).alias("safe"))
         if self.vectors is not None:
             encode = dense.encoder(self.embed or dense.hashing_embedder())
             q = q.withColumn("vector", encode(F.lit("query: " + query)))
@@ -155,8 +160,9 @@ class Engine:
                 "answer": "", "intent": None, "sources": [], "model": None, "model_fallback": False,
                 "cached": False, "cache_reason": "blank", "retrieval_ms": 0, "llm_ms": 0, "n_chunks": 0,
             }
-        if not 2 <= len(query) <= 500:
-            raise ValueError("a query has 2 to 500 characters")
+        low, high = self.config.query_chars
+        if not low <= len(query) <= high:
+            raise ValueError(f"a query has {low} to {high} characters")
         q = self._query(query)
         head = q.select("intent", "safe").first()
         intent, safe = head["intent"], head["safe"]

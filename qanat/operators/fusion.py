@@ -42,14 +42,26 @@ def keep(filters: dict) -> Column:
     return cond
 
 
-def finish(fused: DataFrame, meta: DataFrame, now: Column, filters: dict, config: RetrievalConfig = RetrievalConfig(), collapse: bool = True) -> DataFrame:
+WANTED = {"article_type": "wanted_type", "league": "wanted_league", "team": "wanted_team"}
+
+
+def keep_each() -> Column:
+    """The same by the filters of each row's own query (columns of ``WANTED``); a null filter lets all pass."""
+    cond = F.lit(True)
+    for name, want in WANTED.items():
+        same = F.array_contains("teams", F.col(want)) if name == "team" else F.col(name) == F.col(want)
+        cond = cond & (F.col(want).isNull() | F.coalesce(same, F.lit(False)))
+    return cond
+
+
+def finish(fused: DataFrame, meta: DataFrame, now: Column, filters: dict | Column, config: RetrievalConfig = RetrievalConfig(), collapse: bool = True) -> DataFrame:
     """Boost by recency, filter, keep the best unit of a document, cut to k.
 
     ``meta`` has unit, doc, pub_date and the filter columns.  The order of these
     steps is part of the result: filters come after both ranked pools.
     """
     hits = fused.join(meta, "unit").withColumn("score", F.round(F.col("rrf") * recency(F.col("pub_date"), now, config), config.digits))
-    hits = hits.where(keep(filters))
+    hits = hits.where(keep(filters) if isinstance(filters, dict) else filters)
     by = [F.col("score").desc(), F.col("unit")]
     if collapse:
         hits = hits.withColumn("__best", F.row_number().over(Window.partitionBy("qid", "doc").orderBy(*by))).where("__best = 1").drop("__best")

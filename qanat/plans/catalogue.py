@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qanat.config import AnswerConfig, RetrievalConfig
 from qanat.functions import answering, clean, metrics, rules, text
 from qanat.operators import bm25, dense, fusion
+from qanat.plans import answer_queries
 from qanat.plans import articles as art
 from qanat.plans import index as search_index
 from qanat.plans import evaluation, oracle
@@ -429,6 +430,9 @@ def topk_per_group(spark, d):
     return p.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("p_brand", "p_partkey", "p_retailprice", F.col("rn").cast("long").alias("rn"))
 
 
+#: Modules with queries of their own.
+MORE = [answer_queries]
+
 ALL = [
     doc_normalize_fold, doc_tokens_count, term_df_idf, doc_chunks, chunk_text_prefix, index_facts, bm25_topk, dense_topk, rrf_fused_topk, recency_boosted_topk,
     filtered_topk_post, filtered_topk_pre, collapse_best_chunk, hybrid_retrieve, clean_markup_steps, clean_adjacent_dup, clean_body_full, first_wins_dedup,
@@ -441,8 +445,11 @@ ALL = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in [*ALL, *(q for m in MORE for q in m.QUERIES)]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    found = oracle.sql()
+    for m in MORE:
+        found |= m.oracle_sql()
+    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from qanat.config import Bm25Config, RetrievalConfig
 from qanat.operators import bm25, dense, fusion
@@ -39,3 +40,30 @@ def retrieve(
         sparse = bm25.search(searched, queries, pool, bm, config.pad_zero_scores)
     near = dense.search(vectors, queries, pool) if vectors is not None else None
     return fusion.finish(fusion.fuse(sparse, near, config), units.drop("tokens"), now, filters, config, collapse)
+
+
+def retrieve_each(
+    units: DataFrame, queries: DataFrame, now: Column, vectors: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig(),
+    bm: Bm25Config = Bm25Config(), index: search_index.Index | None = None,
+) -> DataFrame:
+    """``retrieve`` where every query (qid, tokens[, vector], article_type, league, team) has filters of
+    its own, applied after ranking; null: none.  Both sides rank the wide pool once, and a query without filters takes
+    its first places.  Units' other columns are joined to the final hits only."""
+    wide = config.pool * config.pool_mult
+    names = [c for c in fusion.WANTED if c in queries.columns]
+    some = F.lit(False)
+    for c in names:
+        some = some | F.col(c).isNotNull()
+    wants = queries.select(
+        "qid", F.when(some, wide).otherwise(config.pool).alias("pool"),
+        *[(F.col(c) if c in names else F.lit(None)).cast("string").alias(w) for c, w in fusion.WANTED.items()],
+    )
+    cut = lambda hits: hits.join(wants.select("qid", "pool"), "qid").where("rank <= pool")
+    sparse = search_index.search(index, queries, wide, bm) if index is not None else bm25.search(units, queries, wide, bm, config.pad_zero_scores)
+    near = cut(dense.search(vectors, queries, wide)) if vectors is not None else None
+    slim = units.select("unit", "doc", "pub_date", *[c for c in ("article_type", "league", "teams") if c in units.columns])
+    if "teams" not in slim.columns:
+        slim = slim.withColumn("teams", F.array().cast("array<string>"))
+    fused = fusion.fuse(cut(sparse), near, config).join(wants.drop("pool"), "qid")
+    best = fusion.finish(fused, slim, now, fusion.keep_each(), config).select("qid", "unit", "score", "rank")
+    return best.join(units.drop("tokens"), "unit")

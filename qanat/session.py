@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _local: dict[str, str] = {}
@@ -28,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: whatever reads it
+    later does not compute it again."""
+    path = f"{shared_dir(df.sparkSession)}/qanat/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def guard(spark: SparkSession) -> None:
     """A union of equally partitioned sides must not count as partitioned itself: adaptive
     execution may coalesce the sides differently, and an aggregate above then sees a key twice
