@@ -29,6 +29,8 @@ BITS = 15
 DIMS = 1 << BITS
 #: Documents of each language that the learner sees, about; thinned by a hash of the id.
 SAMPLE_ROWS = 600
+#: Values of lang that are learned at most.
+LANGUAGES = 256
 EPOCHS = 4
 LEARNER = {"alpha": 2.0, "beta": 1.0, "l1": 0.05, "l2": 0.001}
 UNKNOWN = "und"
@@ -144,7 +146,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
     """Learns from text and lang of the rows where ``learn`` holds and lang is not
     null; None if there is none (an empty table, say).
 
-    A null text is not learned from.  The sample is thinned by a hash of id and text,
+    Of more than ``LANGUAGES`` values of lang those of most rows are learned (a bound on what a task and the
+    driver count; the others are no classes).  A null text is not learned from.  The sample is thinned by a hash of id and text,
     so rows without id are drawn like all others; of drawn rows equal in id, text and
     lang one is learned from.  Texts of any length are taken whole; other columns are
     ignored.
@@ -153,10 +156,13 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")
     )
-    size = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    size = {r["lang"]: r["n"] for r in n.collect()}
     if not size:
         return None
     langs = sorted(size)
+    if len(langs) == LANGUAGES:
+        known = known.where(F.col("lang").isin(langs))
     df, n = document_frequencies(known, langs)
     idf = (np.log((1 + n.sum()) / (1 + df.sum(0))) + 1).astype(np.float32)
 

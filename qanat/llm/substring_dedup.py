@@ -40,11 +40,22 @@ ROUTE_BYTES = 4 << 20
 SHARD_BYTES = 96 << 20
 #: Windows of one step of a search.
 STEP = 1 << 19
+#: Bits of a position in a block of words.
 _POS = 26
 
 
 def least_gram(words: np.ndarray, at: np.ndarray, gram: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Position and hash of the gram of least hash, the leftmost of equals, in the windows that start at ``at``."""
+    """Position and hash of the gram of least hash, the leftmost of equals, in the windows that start at
+    ``at``.  Positions fill the low bits of a hash, so more words than those count go in pieces."""
+    most = (1 << _POS) - window
+    if len(words) > most + window:
+        pos, h = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+        for a in range(0, len(words), most):
+            mine = np.flatnonzero((at >= a) & (at < a + most))
+            if len(mine):
+                p, h[mine] = least_gram(words[a : a + most + window], at[mine] - a, gram, window)
+                pos[mine] = p + a
+        return pos, h
     v = common.mix64(common.gram_hashes(words, gram), 70 + gram)
     low = ((v >> np.uint64(_POS)) << np.uint64(_POS)) | np.arange(len(v), dtype=np.uint64)
     span, width = window - gram + 1, 1

@@ -31,10 +31,8 @@ from pyspark.sql import functions as F
 
 from qanat.llm import common
 
-MAGIC = b"QTOKIDX1"
+MAGIC = b"QTOKIDX2"
 END_ID = 1
-#: Stands for a null document id in the index.
-NO_ID = -(1 << 63)
 #: Distinct words whose ids one Python worker remembers.
 MEMO_WORDS = 3 << 19
 #: Rows and bytes of text of one partition, about.
@@ -222,13 +220,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, ro
         pid = TaskContext.get().partitionId()
         enc = encoder(tokenizer)
         kind = np.dtype(np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32).newbyteorder("<")
-        sizes, names = [], []
+        sizes, names, nulls = [], [], []
 
         def encoded():
             for rb, data, offs in common.blocks(batches):
                 got, upto = enc.texts(data, offs)
                 sizes.append(np.diff(upto, prepend=0) + 1)
-                names.append(pc.fill_null(rb.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                names.append(pc.fill_null(rb.column(0), 0).to_numpy(zero_copy_only=False).astype("<i8"))
+                nulls.append(rb.column(0).null_count)
                 yield np.insert(got.astype(kind), upto, end_id).tobytes()
 
         stream = encoded()
@@ -239,7 +238,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, ro
         _put(f"{base}.ids", chain([first], stream))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
         n = len(offsets) - 1
-        head = np.array([kind.itemsize, n], "<i8")
+        head = np.array([kind.itemsize, n, sum(nulls)], "<i8")  # rows without id are the first
         _put(f"{base}.idx", [MAGIC, head.tobytes(), offsets.tobytes(), np.concatenate(names).tobytes()])
         yield pa.RecordBatch.from_pydict(
             {"pid": pa.array([pid], pa.int32()), "path": [base], "n_docs": [n], "n_ids": [int(offsets[-1])]}
@@ -260,12 +259,12 @@ def read(parts: DataFrame) -> DataFrame:
                 if idx[:8].tobytes() != MAGIC:
                     raise ValueError(f"not a token index: {path}.idx")
                 nums = idx[8:].view("<i8")
-                width, n = int(nums[0]), int(nums[1])
-                offs, names = nums[2 : n + 3], nums[n + 3 : 2 * n + 3]
+                width, n, n_null = nums[:3].tolist()
+                offs, names = nums[3 : n + 4], nums[n + 4 : 2 * n + 4]
                 ids = _get(f"{path}.ids", f"<u{width}")
                 crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(names), mask=np.array(names) == NO_ID), pa.array(base + offs[:-1]), pa.array(np.diff(offs)), pa.array(crcs, pa.int64())],
+                    [pa.array(np.array(names), mask=np.arange(n) < n_null), pa.array(base + offs[:-1]), pa.array(np.diff(offs)), pa.array(crcs, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

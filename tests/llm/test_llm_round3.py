@@ -9,9 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm_ops import VOCAB, awkward, empty, sentence
 
-from qanat.llm import ball_kmeans, common, periodic_runs, quality_rules
+from qanat.llm import ball_kmeans, common, langid, periodic_runs, quality_rules, substring_dedup, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -311,3 +312,31 @@ def test_nested_runs(spark):
         outer.drop()
     with pytest.raises(Exception):
         inner.count()
+
+
+def test_anchors_of_long_blocks(monkeypatch):
+    words = common.mix64(np.random.default_rng(2).integers(0, 50, 500).astype(np.uint64))
+    at = np.arange(500 - substring_dedup.WINDOW + 1)
+    whole = substring_dedup.least_gram(words, at, substring_dedup.GRAM)
+    v = common.mix64(common.gram_hashes(words, substring_dedup.GRAM), 70 + substring_dedup.GRAM)
+    monkeypatch.setattr(substring_dedup, "_POS", 6)  # pieces of 51 windows
+    pos, h = substring_dedup.least_gram(words, at, substring_dedup.GRAM)
+    assert np.array_equal(h >> np.uint64(6), whole[1] >> np.uint64(6)) and np.array_equal(v[pos], h)
+    assert ((pos >= at) & (pos <= at + substring_dedup.WINDOW - substring_dedup.GRAM)).all()
+
+
+def test_languages_learned_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(9)] + [(i + 20, "der hund und die katze " * 3, "de") for i in range(8)] + [(40 + i, "dirty", f"x{i}") for i in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == ["de", "en"]
+
+
+def test_least_id_is_not_null(spark, tmp_path):
+    import public_tokenizers
+
+    least = -(1 << 63)
+    docs = spark.createDataFrame([(least, "one two"), (None, "three"), (None, None), (5, "four")], "doc_id long, text string")
+    got = token_files.read(token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/t")).collect()
+    ids = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert ids == [None, None, least, 5]
