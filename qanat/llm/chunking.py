@@ -27,7 +27,7 @@ from qanat.llm import common
 
 #: Payloads are padded with this byte to a positive multiple of UNIT bytes.
 PAD, UNIT = 255, 576
-LEAST, MASK_BITS, MOST = 1024, 11, 65536
+LEAST, MASK_BITS, MOST = 2048, 12, 65536
 LEVEL = 9
 #: A chunk that more payloads list is read by several tasks, each for so many of them.
 HOT_LISTS = 4096
