@@ -11,7 +11,7 @@ from qanat.operators import bm25, dense, fusion
 from qanat.plans import answer_queries
 from qanat.plans import articles as art
 from qanat.plans import index as search_index
-from qanat.plans import evaluation, oracle
+from qanat.plans import evaluation, event_queries, oracle
 from qanat.plans import stand_ins as si
 from qanat.plans.retrieval import retrieve
 from qanat.sources import html
@@ -431,7 +431,7 @@ def topk_per_group(spark, d):
 
 
 #: Modules with queries of their own.
-MORE = [answer_queries]
+MORE = [answer_queries, event_queries]
 
 ALL = [
     doc_normalize_fold, doc_tokens_count, term_df_idf, doc_chunks, chunk_text_prefix, index_facts, bm25_topk, dense_topk, rrf_fused_topk, recency_boosted_topk,
