@@ -7,18 +7,23 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.config import AnswerConfig, RetrievalConfig
 from qanat.functions import answering, prompts, rules, text
 from qanat.functions import arabic_rules as ar
-from qanat.operators import dense
+from qanat.operators import bm25, dense, fusion, vector_index
+from qanat.operators.vector_index import VectorIndex
 from qanat.plans import index as search_index
 from qanat.plans.retrieval import retrieve
+from qanat.session import local
 
 
 class RateLimited(Exception):
@@ -102,7 +107,7 @@ class Engine:
     """
 
     chunks: DataFrame
-    vectors: DataFrame | None = None
+    vectors: DataFrame | VectorIndex | None = None
     embed: Callable | None = None
     rules: rules.RuleSet = field(default_factory=rules.arabic_football)
     folding: text.Folding = text.ARABIC
@@ -119,30 +124,94 @@ class Engine:
     #: Makes the tokens of a query as those of the chunks were made; folded tokens by default.
     tokenize: Callable[[Column], Column] | None = None
 
+    _columns: list | None = field(default=None, init=False, repr=False, compare=False)
+    _picked: list | None = field(default=None, init=False, repr=False, compare=False)
+
     @classmethod
     def over(cls, index: search_index.Index, **more) -> Engine:
-        return cls(index.units, index.vectors, index=index, **more)
+        return cls(index.units, index=index, **({"vectors": index.vectors} | more))
+
+    @classmethod
+    def serve(cls, spark, path: str, **more) -> Engine:
+        """An engine for single questions over the index at ``path``, in a session of its own."""
+        return cls.over(search_index.load(search_index.serving(spark), path), **more)
 
     def tokens(self, query: Column) -> Column:
         return self.tokenize(query) if self.tokenize else text.tokens(query, self.folding)
 
-    def _query(self, query: str) -> DataFrame:
+    def _read(self, query: str) -> dict:
+        """Tokens, intent and safe form of a query, evaluated while planning: no job runs."""
+        if self._columns is None:  # made once: the rules are a large expression
+            c = F.col("query")
+            self._columns = [self.tokens(c).alias("tokens"), rules.route(c, self.rules).alias("intent"), answering.sanitize(c).alias("safe")]
+        return local(self.chunks.sparkSession, {"query": [query]}).select(*self._columns).first().asDict()
+
+    def _encoded(self, query: str) -> np.ndarray:
+        v = np.asarray((self.embed or dense.hashing_embedder())(["query: " + query]), float)[0]
+        n = np.linalg.norm(v)
+        return np.float32(v / n if n > 0 else v).astype(float)
+
+    def _sides(self, query: str, tokens: list[str], pool: int) -> list[tuple[float, list]]:
+        """(weight, units in order) of the sparse and the dense side, each one job, side by side."""
         spark = self.chunks.sparkSession
-        q = spark.createDataFrame([(0, query)], "qid long, query string")
-        q = q.select("qid", self.tokens(F.col("query")).alias("tokens"), rules.route(F.col("query"), self.rules).alias("intent"), answering.sanitize(F.col("query")).alias("safe"))
-        if self.vectors is not None:
-            encode = dense.encoder(self.embed or dense.hashing_embedder())
-            q = q.withColumn("vector", encode(F.lit("query: " + query)))
-        return q
 
-    def _hits(self, q: DataFrame, filters: dict, config: RetrievalConfig) -> DataFrame:
-        now = F.lit(self.now).cast("date") if self.now else F.current_date()
-        return retrieve(self.chunks, q, now, self.vectors, filters, config=config, index=self.index)
+        def sparse():
+            if self.index is not None:
+                return [u for u, _ in search_index.best(self.index, tokens, pool)]
+            q = spark.createDataFrame([(0, tokens)], "qid long, tokens array<string>")
+            return [r["unit"] for r in bm25.search(self.chunks, q, pool).orderBy("rank").collect()]
+
+        def near():
+            vector = self._encoded(query)
+            if isinstance(self.vectors, VectorIndex):
+                return [u for u, _ in vector_index.nearest(self.vectors, vector, pool)]
+            q = local(spark, {"qid": [0], "vector": [vector.tolist()]})
+            return [r["unit"] for r in dense.search(self.vectors, q, pool).orderBy("rank").collect()]
+
+        if self.vectors is None:
+            return [(self.retrieval.w_sparse, sparse())]
+        with ThreadPoolExecutor(2) as run:
+            a, b = run.submit(sparse), run.submit(near)
+            return [(self.retrieval.w_sparse, a.result()), (self.retrieval.w_dense, b.result())]
+
+    def _hits(self, query: str, tokens: list[str], filters: dict, config: RetrievalConfig) -> list[dict]:
+        """What ``retrieve`` gives for one query: the pools are fused here, at most two of them, and their units looked up in one job."""
+        filters = {k: v for k, v in filters.items() if v is not None}
+        if config.pad_zero_scores or (filters and config.filter_mode == "pre"):
+            return self._planned(query, tokens, filters, config)
+        fused: dict[int, float] = {}
+        for weight, units in self._sides(query, tokens, config.pool * (config.pool_mult if filters else 1)):
+            for rank, unit in enumerate(units, 1):
+                fused[unit] = fused.get(unit, 0.0) + weight / (config.k_rrf + rank)
+        if not fused:
+            return []
+        if self._picked is None:
+            head = lambda c: F.substring(c, 1, max(self.config.long_body, self.config.short_body)).alias(c)
+            self._picked = [
+                "unit", "doc", fusion.recency(F.col("pub_date"), self._day(), config).alias("boost"), "chunk_id", "title", head("body_clean"), head("text"), "pub_date", "article_type", "league", "source_url",
+            ]
+        rows = self.chunks.where(F.col("unit").isin(list(fused)))
+        rows = (rows.where(fusion.keep(filters)) if filters else rows).select(*self._picked)
+        best: dict[int, dict] = {}
+        found = [r.asDict() for r in rows.collect()]  # at most the pools
+        for r in sorted((r | {"score": _rounded(fused[r["unit"]] * r["boost"], config.digits)} for r in found), key=lambda r: (-r["score"], r["unit"])):
+            best.setdefault(r["doc"], r)
+        return [r | {"rank": i} for i, r in enumerate(list(best.values())[: config.k_final], 1)]
+
+    def _day(self) -> Column:
+        return F.lit(self.now).cast("date") if self.now else F.current_date()
+
+    def _planned(self, query: str, tokens: list[str], filters: dict, config: RetrievalConfig) -> list[dict]:
+        """The same by the batch plan, for settings that need statistics of the filtered units."""
+        spark = self.chunks.sparkSession
+        q = spark.createDataFrame([(0, tokens, self._encoded(query).tolist())], "qid long, tokens array<string>, vector array<double>")
+        hits = retrieve(self.chunks, q, self._day(), self.vectors, filters, config=config, index=self.index)
+        return [r.asDict() for r in hits.orderBy("rank").collect()]  # at most k_final
 
     def health(self, probe: str) -> dict:
         """The state of the engine by one real retrieval: ok with the number of chunks, or what failed."""
         try:
-            found = len(self._hits(self._query(probe), {}, replace(self.retrieval, k_final=1)).collect())
+            found = len(self._hits(probe, self._read(probe)["tokens"], {}, replace(self.retrieval, k_final=1)))
             n = self.index.n_units if self.index else self.chunks.count()
         except Exception as e:  # a health check reports whatever goes wrong
             return {"status": "error", "reason": str(e).splitlines()[0] if str(e) else type(e).__name__}
@@ -163,8 +232,7 @@ class Engine:
         low, high = self.config.query_chars
         if not low <= len(query) <= high:
             raise ValueError(f"a query has {low} to {high} characters")
-        q = self._query(query)
-        head = q.select("intent", "safe").first()
+        head = self._read(query)
         intent, safe = head["intent"], head["safe"]
         out = {
             "answer": ar.OUT_OF_SCOPE_ANSWER, "intent": intent, "sources": [], "model": None, "model_fallback": False,
@@ -174,8 +242,7 @@ class Engine:
             return out
         filters = {"article_type": article_type or self.rules.filter_type.get(intent), "league": league, "team": team}
         t0 = time.monotonic()
-        hits = self._hits(q, filters, self.retrieval)
-        rows = hits.orderBy("rank").collect()  # at most k_final
+        rows = self._hits(query, head["tokens"], filters, self.retrieval)
         out["retrieval_ms"] = int((time.monotonic() - t0) * 1000)
         if not rows:
             return out | {"answer": ar.REFUSAL_ANSWER, "cache_reason": "no_chunks"}
@@ -228,6 +295,11 @@ class Engine:
         return out | {"answer": answer, "model": model}
 
 
+def _rounded(x: float, digits: int) -> float:
+    """As the column function rounds: halves away from zero, by the shortest decimal form."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def strip_placeholder(answer: str) -> str:
     """The driver-side twin of ``functions.answering.strip_placeholder``."""
     import re

@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from qanat.config import Bm25Config
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """(unit, term, tf) of units (unit, tokens)."""
-    return units.select("unit", F.explode("tokens").alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def vocabulary(units: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
     """(term, df, idf): idf = ln(N - df + 1/2) - ln(df + 1/2); negatives become
     epsilon times the mean over the whole vocabulary, negatives included."""
@@ -51,12 +46,13 @@ def search(
     all of them by one matrix product and keeps k a query, so neither postings
     nor (query, unit) pairs of common terms are ever shuffled.
     """
-    asked = [(r["qid"], r["tokens"]) for r in queries.select("qid", "tokens").orderBy("qid").toLocalIterator()]
     known, mean = statistics(units, queries.select(F.explode("tokens").alias("term")).distinct(), config)
     scored = None
-    for a in range(0, max(len(asked), 1), block):
-        got = _scored(units, asked[a : a + block], known, mean, k, config)
+    for asked in blocks(queries.select("qid", "tokens"), block):
+        got = _scored(units, asked, known, mean, k, config)
         scored = got if scored is None else scored.unionByName(got)
+    if scored is None:
+        scored = _scored(units, [], known, mean, k, config)
     if pad:
         least = units.select(F.col("unit").cast("long")).orderBy("unit").limit(k)
         fill = queries.select(F.col("qid").cast("long")).distinct().crossJoin(least).join(scored, ["qid", "unit"], "left_anti")
@@ -64,6 +60,25 @@ def search(
     return ranked(scored, k)
 
 
+#: Tokens of the queries of one block at most (a longer query is a block of its own).
+BLOCK_TOKENS = 1 << 18
+
+
+def blocks(queries: DataFrame, most: int, size: int = BLOCK_TOKENS):
+    """Lists of queries (qid, tokens or vector) in order, of ``most`` rows and about ``size`` items; the
+    driver holds one of them at a time."""
+    held, total = [], 0
+    for r in queries.orderBy(queries.columns[0]).toLocalIterator():
+        n = len(r[1] or [])
+        if held and (len(held) == most or total + n > size):
+            yield held
+            held, total = [], 0
+        held.append((r[0], r[1]))
+        total += n
+    if held:
+        yield held
+
+
 def statistics(units: DataFrame, terms: DataFrame, config: Bm25Config) -> tuple[dict[str, float], float]:
     """idf of the given terms and the mean length of a unit, from one pass over the units: a
     null term stands for the unit itself and carries its length."""
@@ -87,11 +102,15 @@ def statistics(units: DataFrame, terms: DataFrame, config: Bm25Config) -> tuple[
 def _scored(units: DataFrame, asked: list, known: dict, mean: float, k: int, config: Bm25Config) -> DataFrame:
     words = sorted({w for _, t in asked for w in t or [] if w in known})
     place = {w: i for i, w in enumerate(words)}
-    wanted = np.zeros((len(words), len(asked)))
+    # for every term its queries and how often they ask for it: as large as the block's tokens
+    asks: list[dict[int, int]] = [{} for _ in words]
     for j, (_, t) in enumerate(asked):
         for w in t or []:
             if w in place:
-                wanted[place[w], j] += 1
+                own = asks[place[w]]
+                own[j] = own.get(j, 0) + 1
+    first = np.concatenate([[0], np.cumsum([len(x) for x in asks])]).astype(np.int64)
+    query, times = np.array([j for x in asks for j in x], np.int64), np.array([n for x in asks for n in x.values()], float)
     qid, idf = np.array([q for q, _ in asked], np.int64), np.array([known[w] for w in words])
     names = pa.array(words, pa.string())
 
@@ -100,19 +119,23 @@ def _scored(units: DataFrame, asked: list, known: dict, mean: float, k: int, con
             for a in range(0, rb.num_rows if len(words) else 0, STEP):
                 part = rb.slice(a, STEP)
                 unit, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
-                n = len(unit)
                 size = np.diff(np.asarray(lists.offsets))
-                at = pc.index_in(lists.flatten(), value_set=names)
-                at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(n), size)
+                at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(unit)), size)
                 hit = at >= 0
-                tf = np.bincount(row[hit] * len(words) + at[hit], minlength=n * len(words)).reshape(n, -1)
-                norm = config.k1 * (1 - config.b + config.b * size / mean)
-                weight = idf * tf * (config.k1 + 1) / (tf + norm[:, None])
-                s = np.round(weight @ wanted, config.digits) + 0.0
-                s[(tf > 0).astype(np.float32) @ wanted.astype(np.float32) == 0] = -np.inf
-                m = min(k, n)
-                edge = np.partition(s, n - m, axis=0)[n - m]  # whole ties at the edge stay
+                key, tf = np.unique(row[hit] * len(words) + at[hit], return_counts=True)
+                row, term = key // len(words), key % len(words)
+                norm = config.k1 * (1 - config.b + config.b * size[row] / mean)
+                weight = idf[term] * tf * (config.k1 + 1) / (tf + norm)
+                # every posting meets the queries of its term
+                n = first[term + 1] - first[term]
+                own = np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                pair, shape = np.repeat(row, n) * len(qid) + query[own], (len(unit), len(qid))
+                s = np.bincount(pair, np.repeat(weight, n) * times[own], shape[0] * shape[1]).reshape(shape)
+                s = np.round(s, config.digits) + 0.0
+                s[np.bincount(pair, minlength=s.size).reshape(shape) == 0] = -np.inf
+                m = min(k, len(unit))
+                edge = np.partition(s, len(unit) - m, axis=0)[len(unit) - m]  # whole ties at the edge stay
                 i, j = np.nonzero((s >= edge) & np.isfinite(s))
                 yield pa.RecordBatch.from_arrays([pa.array(qid[j]), pa.array(unit[i]), pa.array(s[i, j])], ["qid", "unit", "score"])
 

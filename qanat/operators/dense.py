@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -10,21 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qanat.operators.bm25 import ranked
+from qanat.operators.bm25 import blocks, ranked
 
 #: Queries of one pass over the vectors: what is sent to tasks is bounded.
-BLOCK = 2048
+BLOCK, BLOCK_VALUES = 2048, 1 << 22
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = BLOCK) -> DataFrame:
     """(qid, unit, score, rank): the k vectors (unit, vector) of largest inner product
     with each query (qid, vector).  Each task keeps k a query and batch, so only
     those travel; ties go to the lesser unit.  Null vectors are left out."""
-    q = [(r["qid"], r["vector"]) for r in queries.where("vector is not null").select("qid", "vector").orderBy("qid").toLocalIterator()]
     out = None
-    for a in range(0, max(len(q), 1), block):
-        ids = np.array([x for x, _ in q[a : a + block]], np.int64)
-        m = np.array([v for _, v in q[a : a + block]], float).reshape(len(ids), -1)
+    for q in chain(blocks(queries.where("vector is not null").select("qid", "vector"), block, BLOCK_VALUES), [[]]):
+        if not q and out is not None:
+            break
+        ids = np.array([x for x, _ in q], np.int64)
+        m = np.array([v for _, v in q], float).reshape(len(ids), -1)
 
         def task(batches, ids=ids, m=m):
             for rb in batches:

@@ -134,6 +134,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     few cells.  Null vectors have no hits."""
     spark = queries.sparkSession
     ship(spark)
+    if not index.n:
+        return ranked(spark.createDataFrame([], "qid long, unit long, score double"), k)
     p = min(len(index), index.probes if probes is None else probes)
     sent = spark.sparkContext.broadcast(index.centroids)
 
@@ -194,3 +196,14 @@ def _scored(index: VectorIndex, ids: np.ndarray, m: np.ndarray, wanted: np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(ids[asked[i]]), pa.array(unit[j]), pa.array(s[i, j])], ["qid", "unit", "score"])
 
     return index.vectors.where(F.col("cell").isin(cells)).select("unit", "vector", "cell").mapInArrow(task, "qid long, unit long, score double")
+
+
+def nearest(index: VectorIndex, vector: np.ndarray, k: int, digits: int = 6) -> list[tuple[int, float]]:
+    """(unit, score) of the k best vectors for one query among the cells it reads, in one job."""
+    if not index.n:
+        return []
+    m = np.asarray(vector, float)[None, :]
+    wanted = np.zeros((1, len(index)), bool)
+    wanted[0, np.argsort(-(m @ index.centroids.T)[0], kind="stable")[: index.probes]] = True
+    got = _scored(index, np.zeros(1, np.int64), m, wanted, k, digits).orderBy(F.col("score").desc(), "unit").limit(k)
+    return [(r["unit"], r["score"]) for r in got.select("unit", "score").collect()]

@@ -7,7 +7,7 @@ Layout of an index folder:
   segment, sorted by term in each bucket's files.  A unit lies in one segment, a segment
   holds about ``SEGMENT`` units at most, so no list is longer;
 * ``terms``: bucket, term, df, idf;
-* ``facts``: one row, number of units and their mean length;
+* ``facts``: one row, number of units, their mean length, and number of buckets and terms;
 * ``vectors`` (if given): unit, vector.
 
 A search reads the partitions of its terms' buckets, filters by term in the scan, and scores
@@ -16,7 +16,7 @@ segment by segment; each gives its k best of every query, so no (query, unit) pa
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.config import Bm25Config
-from qanat.operators.bm25 import ranked
-from qanat.session import ship
+from qanat.operators.bm25 import blocks, ranked
+from qanat.session import local, ship
 
 SEGMENT = 1 << 14
 #: Units that a segment holds at least, about, where there are fewer segments than cores.
 LEAST = 1 << 10
-BUCKETS = 32
+#: Buckets of terms at most, and units for each of them in a small index: a question has terms in nearly all buckets, so
+#: few files are read where few are enough, and pages of terms are skipped inside them.
+BUCKETS, BUCKET_UNITS = 32, 1 << 14
 #: Tokens that are counted at once (a longer unit is counted alone).
 STEP = 1 << 20
+#: Bytes of a row group of units.
+ROW_GROUP = 8 << 20
 #: Queries of one pass over the postings, and terms that are named in the scan's filter (more are joined).
 BLOCK = 1024
 NAMED = 256
+#: Terms whose idf an open index remembers.
+KNOWN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -46,10 +52,28 @@ class Index:
     n_units: int
     mean: float
     vectors: DataFrame | None = None
-
-
-def bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    #: idf of terms that questions have asked for, at most ``KNOWN`` of them (None: the index lacks the term).
+    known: dict[str, float | None] = field(default_factory=dict, compare=False, repr=False)
+    n_buckets: int = BUCKETS
+    n_terms: int = 0
+
+    def idf(self, words: list[str]) -> dict[str, float]:
+        """idf of the words that the index has; only those not asked for before are read."""
+        new = sorted({w for w in words if w not in self.known})
+        if new and 2 * self.n_terms <= KNOWN:  # a small vocabulary is read whole, once
+            if not self.known:
+                t = self.terms.select("term", "idf").toArrow()
+                self.known.update(zip(t["term"].to_pylist(), t["idf"].to_pylist()))
+        elif new:
+            found = {r["term"]: r["idf"] for r in _of(self, self.terms, new).select("term", "idf").collect()}
+            while self.known and len(self.known) + len(new) > KNOWN:
+                del self.known[next(iter(self.known))]
+            self.known.update({w: found.get(w) for w in new})
+        return {w: self.known[w] for w in words if self.known.get(w) is not None}
+
+
+def bucket(term, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 LIST = "array<struct<unit:bigint,tf:int,dl:int>>"
@@ -90,19 +114,20 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     """Writes the index of units (unit, tokens, any other columns) to ``path``."""
     spark = units.sparkSession
     ship(spark)
-    units.write.mode("overwrite").parquet(f"{path}/units")
+    # by unit, so that looking up a few of them reads the row groups that hold them
+    units.repartitionByRange("unit").sortWithinPartitions("unit").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/units")
     if vectors is not None:
         vectors.select("unit", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
     tokens = F.coalesce("tokens", F.array().cast("array<string>"))
     u = spark.read.parquet(f"{path}/units").select(F.col("unit").cast("long").alias("unit"), tokens.alias("tokens"))
     facts = u.agg(F.count(F.lit(1)).alias("n_units"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean"))
-    facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
-    n = spark.read.parquet(f"{path}/facts").first()["n_units"]
+    n, mean = facts.first()
+    n_buckets = max(1, min(BUCKETS, n // BUCKET_UNITS))
     n_segments = max(1, -(-n // SEGMENT), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)))
     segment = F.pmod(F.xxhash64("unit"), F.lit(n_segments)).cast("int")
     parts = u.select(segment.alias("segment"), "unit", "tokens").mapInArrow(_counted, f"segment int, term string, list {LIST}")
     # one shuffle, of lists: the aggregate and the files are by segment and bucket
-    parts = parts.withColumn("bucket", bucket("term")).repartition("segment", "bucket")
+    parts = parts.withColumn("bucket", bucket("term", n_buckets)).repartition("segment", "bucket")
     lists = parts.groupBy("segment", "bucket", "term").agg(F.flatten(F.collect_list("list")).alias("list"))
     lists = lists.sortWithinPartitions("bucket", "term")
     lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
@@ -112,43 +137,75 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     floor = config.epsilon * (hist.first()[0] or 0.0)
     idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
     raw.select("bucket", "term", "df", idf.alias("idf")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    n_terms = spark.read.schema("term string").parquet(f"{path}/terms").count()
+    local(spark, {"n_units": [n], "mean": [float(mean)], "n_buckets": [n_buckets], "n_terms": [n_terms]}).write.mode("overwrite").parquet(f"{path}/facts")
 
 
 def load(spark: SparkSession, path: str) -> Index:
     from pyspark.errors import AnalysisException
 
+    # so many units or terms are looked up by the statistics of row groups
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     facts = read("facts").first()
     try:
         vectors = read("vectors")
     except AnalysisException:
         vectors = None
-    return Index(read("units"), read("postings"), read("terms"), facts["n_units"], facts["mean"] or 1.0, vectors)
+    return Index(read("units"), read("postings"), read("terms"), facts["n_units"], facts["mean"] or 1.0, vectors, n_buckets=facts["n_buckets"], n_terms=facts["n_terms"])
+
+
+def serving(spark: SparkSession) -> SparkSession:
+    """A session of the same application for single questions: their plans are small, so stages are not planned anew while
+    they run, and few tasks are enough."""
+    own = spark.newSession()
+    cores = max(1, min(8, spark.sparkContext.defaultParallelism))
+    for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(cores), "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
+        own.conf.set(k, v)
+    return own
+
+
+def _buckets(spark: SparkSession, words: list[str], n: int) -> list[int]:
+    """The buckets of these terms; a local relation, which needs no job."""
+    return sorted({r[0] for r in local(spark, {"term": words}).select(bucket("term", n)).collect()}) if words and n > 1 else [0]
+
+
+def best(index: Index, tokens: list[str], k: int, config: Bm25Config = Bm25Config()) -> list[tuple[int, float]]:
+    """(unit, score) of the k best units for one query's tokens: what ``search`` gives for it, as one job without Python
+    workers.  The terms with their weights are a broadcast row each, so every question runs the same compiled code."""
+    spark = index.postings.sparkSession
+    idf = index.idf(tokens)
+    if not idf:
+        return []
+    terms = local(spark, {"term": sorted(idf), "weight": [idf[w] * tokens.count(w) for w in sorted(idf)]})
+    rows = _of(index, index.postings, sorted(idf)).join(F.broadcast(terms), "term")
+    part = f"weight * p.tf * {config.k1 + 1}D / (p.tf + {config.k1}D * ({1 - config.b}D + {config.b}D * p.dl / {index.mean}D))"
+    scored = rows.selectExpr("weight", "explode(list) AS p").groupBy(F.col("p.unit").alias("unit")).agg(F.expr(f"round(sum({part}), {config.digits})").alias("score"))
+    top = scored.orderBy(F.col("score").desc(), "unit").limit(k)
+    return [(r["unit"], r["score"]) for r in top.collect()]
 
 
-def _of(table: DataFrame, words: list[str]) -> DataFrame:
+def _of(index: Index, table: DataFrame, words: list[str]) -> DataFrame:
     """The rows of these terms: pruned to their buckets, filtered in the scan or joined."""
     spark = table.sparkSession
     if len(words) <= NAMED:
-        wanted = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(bucket("term")).distinct().collect()] if words else []
-        return table.where(F.col("bucket").isin(wanted) & F.col("term").isin(words))
+        return table.where(F.col("bucket").isin(_buckets(spark, words, index.n_buckets)) & F.col("term").isin(words))
     names = spark.createDataFrame([(w,) for w in words], "term string")
-    return table.join(F.broadcast(names.withColumn("bucket", bucket("term"))), ["bucket", "term"])
+    return table.join(F.broadcast(names.withColumn("bucket", bucket("term", index.n_buckets))), ["bucket", "term"])
 
 
 def search(index: Index, queries: DataFrame, k: int, config: Bm25Config = Bm25Config(), block: int = BLOCK) -> DataFrame:
     """What ``bm25.search`` gives for (qid, tokens), read from the index."""
-    asked = [(r["qid"], r["tokens"]) for r in queries.select("qid", "tokens").orderBy("qid").toLocalIterator()]
     out = None
-    for a in range(0, max(len(asked), 1), block):
-        got = _scored(index, asked[a : a + block], k, config)
+    for asked in blocks(queries.select("qid", "tokens"), block):
+        got = _scored(index, asked, k, config)
         out = got if out is None else out.unionByName(got)
-    return ranked(out, k)
+    return ranked(out if out is not None else _scored(index, [], k, config), k)
 
 
 def _scored(index: Index, asked: list, k: int, config: Bm25Config) -> DataFrame:
     words = sorted({w for _, t in asked for w in t or []})
-    idf = {r["term"]: r["idf"] for r in _of(index.terms, words).select("term", "idf").collect()}  # at most the block's terms
+    idf = {r["term"]: r["idf"] for r in _of(index, index.terms, words).select("term", "idf").collect()} if words else {}  # at most the block's terms
     place = {w: i for i, w in enumerate(sorted(idf))}
     counts = []
     for q, t in asked:
@@ -188,5 +245,5 @@ def _scored(index: Index, asked: list, k: int, config: Bm25Config) -> DataFrame:
         qid, unit, score = (np.concatenate(x) for x in zip(*out))
         return pa.table({"qid": pa.array(qid, pa.int64()), "unit": pa.array(unit, pa.int64()), "score": pa.array(score)})
 
-    rows = _of(index.postings, sorted(idf)).select("segment", "term", "list")
+    rows = _of(index, index.postings, sorted(idf)).select("segment", "term", "list")
     return rows.groupBy("segment").applyInArrow(task, "qid long, unit long, score double")

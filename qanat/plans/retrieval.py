@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.config import Bm25Config, RetrievalConfig
-from qanat.operators import bm25, dense, fusion
+from qanat.operators import bm25, dense, fusion, vector_index
+from qanat.operators.vector_index import VectorIndex
 from qanat.plans import index as search_index
 
 
+def _near(vectors: DataFrame | VectorIndex | None, queries: DataFrame, pool: int) -> DataFrame | None:
+    """The dense side: every vector, or those of the cells that an index reads."""
+    if vectors is None:
+        return None
+    return vector_index.search(vectors, queries, pool) if isinstance(vectors, VectorIndex) else dense.search(vectors, queries, pool)
+
+
 def retrieve(
     units: DataFrame,
     queries: DataFrame,
     now: Column,
-    vectors: DataFrame | None = None,
+    vectors: DataFrame | VectorIndex | None = None,
     filters: dict | None = None,
     use_sparse: bool = True,
     config: RetrievalConfig = RetrievalConfig(),
@@ -38,12 +46,12 @@ def retrieve(
         sparse = search_index.search(index, queries, pool, bm)
     elif use_sparse:
         sparse = bm25.search(searched, queries, pool, bm, config.pad_zero_scores)
-    near = dense.search(vectors, queries, pool) if vectors is not None else None
+    near = _near(vectors, queries, pool)
     return fusion.finish(fusion.fuse(sparse, near, config), units.drop("tokens"), now, filters, config, collapse)
 
 
 def retrieve_each(
-    units: DataFrame, queries: DataFrame, now: Column, vectors: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig(),
+    units: DataFrame, queries: DataFrame, now: Column, vectors: DataFrame | VectorIndex | None = None, config: RetrievalConfig = RetrievalConfig(),
     bm: Bm25Config = Bm25Config(), index: search_index.Index | None = None,
 ) -> DataFrame:
     """``retrieve`` where every query (qid, tokens[, vector], article_type, league, team) has filters of
@@ -60,7 +68,8 @@ def retrieve_each(
     )
     cut = lambda hits: hits.join(wants.select("qid", "pool"), "qid").where("rank <= pool")
     sparse = search_index.search(index, queries, wide, bm) if index is not None else bm25.search(units, queries, wide, bm, config.pad_zero_scores)
-    near = cut(dense.search(vectors, queries, wide)) if vectors is not None else None
+    near = _near(vectors, queries, wide)
+    near = cut(near) if near is not None else None
     slim = units.select("unit", "doc", "pub_date", *[c for c in ("article_type", "league", "teams") if c in units.columns])
     if "teams" not in slim.columns:
         slim = slim.withColumn("teams", F.array().cast("array<string>"))

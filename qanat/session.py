@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -29,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def local(spark: SparkSession, columns: dict[str, list], schema: pa.Schema | None = None) -> DataFrame:
+    """A few rows as a local relation: expressions over it are evaluated while planning, without a job."""
+    return spark.createDataFrame(pa.table(columns, schema=schema))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: whatever reads it
     later does not compute it again."""
