@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qanat.config import ChunkConfig
 from qanat.functions import arabic_rules as ar
 from qanat.functions import clean, rules, text
+from qanat.session import staged
 from qanat.sources.tables import first_wins
 
 MIN_BODY = 80
@@ -69,18 +70,34 @@ def stats(enriched: DataFrame) -> DataFrame:
     stride = ChunkConfig()
     n = F.size(text.words(F.col("body_clean")))
     parts = F.when(kept, F.floor(F.greatest(F.lit(0), n - stride.overlap - 1) / (stride.size - stride.overlap)) + 1)
-    row = enriched.agg(
-        F.count(F.lit(1)).alias("total_articles"), F.count_if(kept).alias("articles_processed"),
-        F.count_if(F.col("fate") == "short").alias("skipped_short_body"),
-        F.count_if(F.col("fate") == "section").alias("skipped_by_section"),
-        number(F.sum(parts)).alias("total_chunks"), number(F.floor(F.avg(size))).alias("avg_body_length"),
-        number(F.min(size)).alias("min_body_length"), number(F.max(size)).alias("max_body_length"),
+    facets = [(k, default, out) for k, default, out in (("article_type", "article", "article_types"), ("league", "other", "league_coverage")) if k in enriched.columns]
+    names = [k for k, _, _ in facets]
+    some = enriched.select(kept.alias("kept"), "fate", parts.alias("parts"), size.alias("size"), *[F.when(kept, F.coalesce(k, F.lit(d))).alias(k) for k, d, _ in facets])
+    total = [
+        F.count(F.lit(1)).alias("total_articles"), F.count_if("kept").alias("articles_processed"), F.count_if(F.col("fate") == "short").alias("skipped_short_body"),
+        F.count_if(F.col("fate") == "section").alias("skipped_by_section"), F.sum("parts").alias("total_chunks"), F.sum("size").alias("sum_body_length"),
+        F.min("size").alias("min_body_length"), F.max("size").alias("max_body_length"),
+    ]
+    # one pass over the rows: their combinations of facets are few, and everything else is made of those
+    few = some.groupBy(*names).agg(*total)
+    entry = F.struct(*names, *[c for c in few.columns if c not in names])
+    rows = F.collect_list(entry).alias("rows")
+    row = few.agg(
+        *[number(F.sum(c)).alias(c) for c in ("total_articles", "articles_processed", "skipped_short_body", "skipped_by_section", "total_chunks")],
+        number(F.floor(F.sum("sum_body_length") / F.sum("articles_processed"))).alias("avg_body_length"),
+        number(F.min("min_body_length")).alias("min_body_length"), number(F.max("max_body_length")).alias("max_body_length"), *([rows] if facets else []),
     )
-    for key, default, out in (("article_type", "article", "article_types"), ("league", "other", "league_coverage")):
-        if key in enriched.columns:
-            named = enriched.where(kept).select(F.coalesce(key, F.lit(default)).alias(key))
-            row = row.crossJoin(counts_map(named, key).withColumnRenamed("counts", out))  # one row each
-    return row
+    for key, _, out in facets:
+        row = row.withColumn(out, _counted(key))
+    return row.drop("rows")
+
+
+def _counted(key: str):
+    """Map of a facet's values, in order, to their kept articles, from the combinations listed in ``rows``."""
+    own = F.filter("rows", lambda x: x[key].isNotNull())
+    values = F.array_sort(F.array_distinct(F.transform(own, lambda x: x[key])))
+    n = lambda v: F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + F.when(x[key] == v, x["articles_processed"]).otherwise(0))
+    return F.map_from_entries(F.transform(values, lambda v: F.struct(v.alias("k"), n(v).alias("n"))))
 
 
 def counts_map(rows: DataFrame, key: str) -> DataFrame:
@@ -91,5 +108,5 @@ def counts_map(rows: DataFrame, key: str) -> DataFrame:
 
 def run(raw: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(chunks, stats) of raw articles; the first row of an id in ``order`` wins."""
-    done = enrich(first_wins(raw, "article_id", *order))
+    done = staged(enrich(first_wins(raw, "article_id", *order)), "articles")  # cleaned once, read by both
     return chunks(done.where("fate = 'kept'")), stats(done)

@@ -13,6 +13,7 @@ from qanat.functions import rules, text
 from qanat.functions.text import ARABIC, Folding
 from qanat.operators import bm25, dense, fusion
 from qanat.plans import index as search_index
+from qanat.session import staged
 
 METRICS = ["rouge1", "keyword_hit", "hit_at_1", "recall_at_3", "mrr", "intent_accuracy"]
 #: Names of the retrievers that an ablation compares.
@@ -86,19 +87,20 @@ def load_cases(spark: SparkSession, path: str, default: DataFrame | None = None)
 SCORED = "answer string, reference string, texts array<string>, keywords array<string>, intent string, expected string, refusal boolean, latency_ms double"
 
 
-def evaluate_answers(engine, cases: DataFrame, stem: str, error: str, folding: Folding = ARABIC) -> DataFrame:
-    """Asks every case (one after the other, streamed from the cluster) and returns one row a
-    case for ``answers_summary``.  Keywords are looked for in the answer and its source titles;
-    similarity is the cosine of the texts' vectors (both encoded as queries)."""
-    spark = cases.sparkSession
-    rows = []
-    for c in cases.toLocalIterator():
-        t0 = time.monotonic()
-        a = engine.ask(c["question"])
-        ms = (time.monotonic() - t0) * 1000
-        titles = [s["title"] for s in a["sources"]]
-        rows.append((a["answer"], c["reference"], [a["answer"], *titles], c["keywords"] or [], a["intent"], c["intent"] or DEFAULT_INTENT, bool(c["expected_refusal"]), ms))
-    return scored_answers(spark.createDataFrame(rows, SCORED), stem, error, engine.embed or dense.hashing_embedder(), folding)
+def evaluate_answers(engine, cases: DataFrame, stem: str, error: str, folding: Folding = ARABIC, store=None) -> DataFrame:
+    """Answers all cases as one batch and returns one row a case for ``answers_summary``.  Keywords are looked
+    for in the answer and its source titles; similarity is the cosine of the texts' vectors (both encoded as
+    queries); latency is what the batch took for the question."""
+    from qanat.plans.answers import answer_batch
+
+    numbered = staged(cases.withColumn("qid", F.monotonically_increasing_id()), "cases")
+    got = answer_batch(engine, numbered.select("qid", F.col("question").alias("query")), store)
+    rows = got.withColumnRenamed("intent", "found").join(numbered, "qid").select(
+        "answer", "reference", F.concat(F.array("answer"), F.transform("sources", lambda s: s["title"])).alias("texts"),
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.col("found").alias("intent"), F.coalesce("intent", F.lit(DEFAULT_INTENT)).alias("expected"),
+        F.coalesce("expected_refusal", F.lit(False)).alias("refusal"), (F.col("retrieval_ms") + F.col("llm_ms")).cast("double").alias("latency_ms"),
+    )
+    return scored_answers(rows, stem, error, engine.embed or dense.hashing_embedder(), folding)
 
 
 def scored_answers(got: DataFrame, stem: str, error: str, embed, folding: Folding = ARABIC) -> DataFrame:

@@ -11,6 +11,7 @@ from qanat.operators import dense, dictionary, rollup, temporal, vector_index
 from qanat.plans import oracle as sql
 from qanat.plans import stand_ins as si
 from qanat.session import shared_dir, staged
+from qanat.sources import frontier
 from qanat.sources.tables import spread, table
 
 #: Lifetime of what a view has cached, in hours, by its number.
@@ -103,7 +104,22 @@ def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n_names"), F.md5(F.array_join(F.sort_array(F.collect_list("name")), "|")).alias("names_md5"))
 
 
+ROUNDS = 4
+
+
+def frontier_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Four rounds from three pages over links made from the pages' numbers; some lead nowhere, every eleventh page is done."""
+    p = spread(table(spark, d, "pages")).select("page_id", "html")
+    n = p.count() + 40
+    made = F.concat(*[x for k, more in ((7, 2), (3, 1)) for x in (F.lit('<a href="https://s/articles/'), (F.lit(10_000) + (F.col("page_id") * k + more) % n).cast("string"), F.lit('">'))])
+    pages = p.select((F.col("page_id") + 10_000).alias("id"), F.concat("html", made).alias("html"))
+    seeds = pages.where("id < 10003").select("id")
+    done = pages.where("id % 11 = 0").select("id")
+    return frontier.crawl(seeds, frontier.stored(pages), done, ROUNDS).select("id", F.col("round").cast("long").alias("round"), "outcome")
+
+
 QUERIES = [
+    frontier_rounds,
     asof_last_view, interval_cache_hits, event_sessions, type_week_sums, user_popularity, event_cube, event_cube_estimates,
     clustered_topk, clustered_recall, dictionary_hits,
 ]
@@ -126,6 +142,12 @@ FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY a
         "event_cube": """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, user_id % 4 AS bucket, grouping(event_type, strftime(ts, '%Y-%m-%d'), user_id % 4)::BIGINT AS level, count(*) AS n,
  sum(value::DECIMAL(28,6))::DOUBLE AS total, min(value) AS low, max(value) AS high FROM events GROUP BY CUBE (event_type, strftime(ts, '%Y-%m-%d'), user_id % 4)""",
         "clustered_topk": f"WITH {sql.near(10, 'SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0')} SELECT qid, unit, score, rank FROM dense",
+        "frontier_rounds": f"""WITH RECURSIVE l AS (SELECT page_id + 10000 AS src, unnest(list_transform(regexp_extract_all(html || '<a href="https://s/articles/' || (10000 + (page_id * 7 + 2) % (SELECT count(*) + 40 FROM pages)) ||
+ '"><a href="https://s/articles/' || (10000 + (page_id * 3 + 1) % (SELECT count(*) + 40 FROM pages)) || '">', 'href="[^"]*/articles/([0-9]{{4,}})', 1), lambda i: i::BIGINT)) AS dst FROM pages),
+done AS (SELECT page_id + 10000 AS id FROM pages WHERE (page_id + 10000) % 11 = 0),
+r AS (SELECT page_id + 10000 AS id, 0::BIGINT AS round FROM pages WHERE page_id < 3 AND page_id + 10000 NOT IN (SELECT id FROM done)
+ UNION SELECT dst, round + 1 FROM r JOIN l ON src = r.id WHERE round < {ROUNDS - 1} AND dst NOT IN (SELECT id FROM done))
+SELECT id, min(round) AS round, CASE WHEN id - 10000 IN (SELECT page_id FROM pages) THEN 'ok' ELSE 'missing' END AS outcome FROM r GROUP BY id""",
         "dictionary_hits": """WITH n AS (SELECT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE len(name) >= 5 AND NOT contains(name, chr(10)) UNION SELECT p_name FROM part),
 t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations),
 h AS (SELECT kind, id, name FROM t JOIN n ON contains(text, name))
