@@ -8,14 +8,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qanat.engine import Engine, FolderCache
+from qanat.engine import Engine, StoreCache
 from qanat.functions import arabic_rules as ar
 from qanat.functions import text
 from qanat.operators import dense
-from qanat.plans import articles, evaluation
+from qanat.plans import answers, articles, evaluation
 from qanat.plans import index as search_index
 from qanat.plans.default_cases import default_cases
 from qanat.sources import html, tables
+from qanat.sources.keyed_store import KeyedStore
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -23,11 +24,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def run_articles(spark: SparkSession, source: str, out: str) -> dict | None:
-    """Articles (JSON lines) to ``out``/chunks and ``out``/stats; None without input."""
+def run_articles(spark: SparkSession, source: str, out: str, own_section: str | None = None) -> dict | None:
+    """Articles (JSON lines) to ``out``/chunks and ``out``/stats; None without input.  ``own_section``: see ``rules.league``."""
     if not exists(spark, source):
         return None
-    chunks, stats = articles.run(tables.read_jsonl(spark, source), ("file", "block", "line"))
+    chunks, stats = articles.run(tables.read_jsonl(spark, source), ("file", "block", "line"), own_section)
     chunks.drop("file", "block", "line").write.mode("overwrite").parquet(f"{out}/chunks")
     tables.write_json(stats.withColumn("processed_at", F.current_timestamp()), f"{out}/stats")
     return stats.first().asDict()
@@ -64,8 +65,8 @@ def run_index(spark: SparkSession, chunks: str, out: str, vectors: bool = True)
 
 def engine(spark: SparkSession, chunks: str | None, index: str | None, cache: str | None = None, **more) -> Engine:
     if cache:
-        more["cache"] = FolderCache(cache)
-    return Engine.over(search_index.load(spark, index), **more) if index else Engine(units_of(spark.read.parquet(chunks)), **more)
+        more["cache"] = StoreCache(KeyedStore(spark, cache, answers.STORE))
+    return Engine.serve(spark, index, **more) if index else Engine(units_of(spark.read.parquet(chunks)), **more)
 
 
 def ask(spark: SparkSession, chunks: str | None, query: str, index: str | None = None, cache: str | None = None, **filters) -> dict:
@@ -94,6 +95,7 @@ def main(argv: list[str] | None = None) -> None:
     a = sub.add_parser("articles", help="clean, tag and chunk raw articles")
     a.add_argument("--input", required=True)
     a.add_argument("--out", required=True)
+    a.add_argument("--own-section")
     a = sub.add_parser("parse", help="articles of stored pages")
     a.add_argument("--pages", required=True)
     a.add_argument("--out", required=True)
@@ -128,7 +130,7 @@ def main(argv: list[str] | None = None) -> None:
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("qanat").getOrCreate()
     if args.what == "articles":
-        print(json.dumps(run_articles(spark, args.input, args.out), ensure_ascii=False))
+        print(json.dumps(run_articles(spark, args.input, args.out, args.own_section), ensure_ascii=False))
     elif args.what == "parse":
         parse_pages(spark, args.pages, args.out, args.path, None if args.no_resume else args.out, args.max)
     elif args.what == "plan":

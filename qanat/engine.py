@@ -77,6 +77,34 @@ class FolderCache:
         part.replace(self.folder / f"{key}.json")
 
 
+class StoreCache:
+    """The same over a ``KeyedStore``, which all machines share.  Answers are appended in segments of ``every``
+    (``flush`` writes what is held); more than ``most`` segments are merged."""
+
+    def __init__(self, store, clock: Callable[[], float] = time.time, every: int = 1, most: int = 64):
+        self.store, self.clock, self.every, self.most = store, clock, every, most
+        self.held: dict[str, tuple] = {}
+
+    def get(self, key: str, ttl: int) -> str | None:
+        row = self.held.get(key)
+        found = (row[1], row[2]) if row else None
+        if found is None and (old := self.store.get(key)) is not None:
+            found = (old["ts"], old["answer"])
+        return found[1] if found and self.clock() - found[0] < ttl else None
+
+    def put(self, key: str, answer: str, query: str = "", intent: str = "", prompt_v: int = 0, model: str = "") -> None:
+        self.held[key] = (key, self.clock(), answer, query, intent, model, prompt_v)
+        if len(self.held) >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.store.append(self.store.spark.createDataFrame(list(self.held.values()), self.store.schema).coalesce(1))
+            self.held = {}
+            if len(self.store.segments()) > self.most:
+                self.store.compact()
+
+
 class Limiter:
     """At most ``limit`` requests of a caller in each window of ``every`` seconds."""
 
@@ -92,6 +120,12 @@ class Limiter:
         return self.seen[caller] <= self.limit
 
 
+NO_ANSWER = {
+    "answer": "", "intent": None, "sources": [], "model": None, "model_fallback": False,
+    "cached": False, "cache_reason": "blank", "retrieval_ms": 0, "llm_ms": 0, "n_chunks": 0,
+}
+
+
 def cache_key(model: str, intent: str, chunk_ids: list[str], query: str, config: AnswerConfig = AnswerConfig()) -> str:
     """The same digest as ``functions.answering.cache_key``."""
     body = "\x1f".join([",".join(sorted(chunk_ids)), intent, model, str(config.prompt_version), query.strip().lower()])
@@ -118,9 +152,11 @@ class Engine:
     prompts: dict[str, str] = field(default_factory=lambda: dict(prompts.INTENTS))
     config: AnswerConfig = AnswerConfig()
     retrieval: RetrievalConfig = RetrievalConfig(k_final=6)
-    cache: AnswerCache | FolderCache = field(default_factory=AnswerCache)
+    cache: AnswerCache | FolderCache | StoreCache = field(default_factory=AnswerCache)
     now: str | None = None
     index: search_index.Index | None = None
+    #: Refuses callers that ask too often.
+    limiter: Limiter | None = None
     #: Makes the tokens of a query as those of the chunks were made; folded tokens by default.
     tokenize: Callable[[Column], Column] | None = None
 
@@ -217,27 +253,24 @@ class Engine:
             return {"status": "error", "reason": str(e).splitlines()[0] if str(e) else type(e).__name__}
         return {"status": "ok", "chunks": n} if found else {"status": "error", "reason": "no results"}
 
-    def ask(self, query: str, article_type: str | None = None, league: str | None = None, team: str | None = None, request_id: str | None = None) -> dict:
+    def ask(self, query: str, article_type: str | None = None, league: str | None = None, team: str | None = None, request_id: str | None = None, caller: str | None = None) -> dict:
         """Answer, intent, sources, model, fallback, cache state, timings, number of chunks and
-        the request's id (made where none is given).  A blank query gives no answer."""
+        the request's id (made where none is given).  A blank query gives no answer; a ``caller`` over the
+        limiter's limit gets none either (``rate_limited``)."""
         request_id = request_id or uuid.uuid4().hex[:12]
+        if self.limiter is not None and caller is not None and not self.limiter.allow(caller):
+            return {"request_id": request_id} | NO_ANSWER | {"cache_reason": "rate_limited"}
         return {"request_id": request_id} | self._ask(query, article_type, league, team)
 
     def _ask(self, query: str, article_type: str | None, league: str | None, team: str | None) -> dict:
         if not query.strip():
-            return {
-                "answer": "", "intent": None, "sources": [], "model": None, "model_fallback": False,
-                "cached": False, "cache_reason": "blank", "retrieval_ms": 0, "llm_ms": 0, "n_chunks": 0,
-            }
+            return dict(NO_ANSWER)
         low, high = self.config.query_chars
         if not low <= len(query) <= high:
             raise ValueError(f"a query has {low} to {high} characters")
         head = self._read(query)
         intent, safe = head["intent"], head["safe"]
-        out = {
-            "answer": ar.OUT_OF_SCOPE_ANSWER, "intent": intent, "sources": [], "model": None, "model_fallback": False,
-            "cached": False, "cache_reason": "out_of_scope", "retrieval_ms": 0, "llm_ms": 0, "n_chunks": 0,
-        }
+        out = NO_ANSWER | {"answer": ar.OUT_OF_SCOPE_ANSWER, "intent": intent, "cache_reason": "out_of_scope"}
         if intent == "out_of_scope":
             return out
         filters = {"article_type": article_type or self.rules.filter_type.get(intent), "league": league, "team": team}
@@ -291,7 +324,7 @@ class Engine:
         out = {"llm_ms": int((time.monotonic() - t0) * 1000), "cache_reason": reason, "model_fallback": model != wanted}
         if reason != "miss":
             return out | {"answer": ar.ERROR_ANSWER, "model": None}
-        self.cache.put(cache_key(model, intent, ids, query, self.config), answer, query=query, intent=intent, prompt_v=self.config.prompt_version)
+        self.cache.put(cache_key(model, intent, ids, query, self.config), answer, query=query, intent=intent, model=model, prompt_v=self.config.prompt_version)
         return out | {"answer": answer, "model": model}
 
 

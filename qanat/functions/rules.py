@@ -96,11 +96,15 @@ def article_type(title: Column) -> Column:
     return ordered_category(F.coalesce(title, F.lit("")), ARTICLE_TYPES, "article")
 
 
-def league(title: Column, section: Column, body: Column, keywords=None, sections=None) -> Column:
-    """First league with a keyword in title, section or the body's first 300 characters; else by section; else other."""
+def league(title: Column, section: Column, body: Column, keywords=None, sections=None, own_section: str | None = None) -> Column:
+    """First league with a keyword in title, section or the body's first 300 characters; else by section; else other.
+    ``own_section`` is a section that a crawled site names after itself and fills with the Saudi league: it is configuration."""
     s = F.coalesce(section, F.lit(""))
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), s, F.substring(F.coalesce(body, F.lit("")), 1, 300))
-    by_section = ordered_category(s, [(v, [k]) for k, v in (ar.SECTION_LEAGUES if sections is None else sections)], "other")
+    known = list(ar.SECTION_LEAGUES if sections is None else sections)
+    if own_section:
+        known.insert(3, (own_section, "saudi_league"))
+    by_section = ordered_category(s, [(v, [k]) for k, v in known], "other")
     return ordered_category(text, ar.LEAGUES if keywords is None else keywords, by_section)
 
 

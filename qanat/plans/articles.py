@@ -14,7 +14,7 @@ from qanat.sources.tables import first_wins
 MIN_BODY = 80
 
 
-def enrich(articles: DataFrame, denied: list[str] = ar.DENIED_SECTIONS, folding: text.Folding = text.ARABIC, clean_rules=clean.CleanRules()) -> DataFrame:
+def enrich(articles: DataFrame, denied: list[str] = ar.DENIED_SECTIONS, folding: text.Folding = text.ARABIC, clean_rules=clean.CleanRules(), own_section: str | None = None) -> DataFrame:
     """Marks every article ``fate``: section, short or kept; adds the computed columns.
 
     The section filter comes before cleaning, so denied rows are not cleaned.
@@ -25,7 +25,7 @@ def enrich(articles: DataFrame, denied: list[str] = ar.DENIED_SECTIONS, folding:
     return a.select(
         "*", fate.alias("fate"), text.fold(F.col("title"), folding).alias("title_norm"),
         rules.lexicon_tags(F.concat_ws(" ", "title", "body_clean")).alias("teams"),
-        rules.league(F.col("title"), F.col("section"), F.col("body_clean")).alias("league"),
+        rules.league(F.col("title"), F.col("section"), F.col("body_clean"), own_section=own_section).alias("league"),
     )
 
 
@@ -106,7 +106,7 @@ def counts_map(rows: DataFrame, key: str) -> DataFrame:
     return n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
 
 
-def run(raw: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def run(raw: DataFrame, order: tuple[str, ...], own_section: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, stats) of raw articles; the first row of an id in ``order`` wins."""
-    done = staged(enrich(first_wins(raw, "article_id", *order)), "articles")  # cleaned once, read by both
+    done = staged(enrich(first_wins(raw, "article_id", *order), own_section=own_section), "articles")  # cleaned once, read by both
     return chunks(done.where("fate = 'kept'")), stats(done)

@@ -42,7 +42,10 @@ def doc_tokens_count(spark, d):
 
 
 def term_df_idf(spark, d):
-    return bm25.vocabulary(si.doc_units(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    """The whole vocabulary by document frequency: its terms' number and a sum of their hashes, and their idf."""
+    hashed = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
+    v = bm25.vocabulary(si.doc_units(spark, d)).groupBy("df").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(hashed).alias("terms_hash"), F.min("idf").alias("low"), F.max("idf").alias("high"))
+    return v.select("df", "n_terms", "terms_hash", F.round("low", 6).alias("idf"), (F.col("high") - F.col("low") < 1e-9).alias("one_idf"))
 
 
 def doc_chunks(spark, d):
@@ -209,10 +212,17 @@ def intent_route(spark, d):
     return _turns(spark, d).select("conv_id", "turn", rules.route(F.col("text"), DEMO_RULES).alias("intent"))
 
 
+ARABIC_PHRASES = [
+    "", "ماذا قال مدرب الأهلي بعد الفوز ", "لاعب اسمه زيزو صفقة ", "تشكيل الزمالك ", "نتيجة مباراة أمس ", "كيف الطقس ", "أخبار المران ", "سعر الذهب اليوم ", "إصابة لاعب ", "أي شيء آخر ",
+]
+
+
 def intent_route_arabic(spark, d):
-    """The Arabic rule set over all turns (no turn is Arabic: scope and default rules decide)."""
+    """The Arabic rule set over all turns, each behind a phrase chosen by its conversation (the turns themselves are not Arabic)."""
     r = rules.arabic_football()
-    return _turns(spark, d).select("conv_id", "turn", rules.route(F.col("text"), r).alias("intent"), rules.article_type(F.col("text")).alias("article_type"))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in ARABIC_PHRASES]), (F.col("conv_id") % len(ARABIC_PHRASES) + 1).cast("int"))
+    t = F.concat(phrase, F.col("text"))
+    return _turns(spark, d).select("conv_id", "turn", rules.route(t, r).alias("intent"), rules.article_type(t).alias("article_type"))
 
 
 def sanitize_query(spark, d):

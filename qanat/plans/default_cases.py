@@ -1,4 +1,4 @@
-"""The built-in evaluation set: fifty questions made from five templates and ten teams."""
+"""The built-in evaluation set: sixty questions made from six templates and ten teams."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ TEMPLATES = {
     "match_result": ("ما نتيجة مباراة {t} و{o}؟", "انتهت مباراة {t} و{o}."),
     "transfer_news": ("ما أحدث صفقات {t} في الانتقالات؟", "تعاقد {t} مع لاعب جديد."),
     "team_news": ("ما آخر أخبار مران {t}؟", "واصل {t} مرانه استعدادا للمباراة المقبلة."),
+    "general_football": ("ما الجديد عن {t} هذا الموسم؟", "يستعد {t} لمبارياته المقبلة هذا الموسم."),
     "player_info": ("ما موقف إصابة لاعب {t}؟", "يواصل لاعب {t} برنامجه العلاجي."),
 }
 LEVELS = ["easy", "medium", "hard"]

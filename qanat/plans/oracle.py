@@ -101,7 +101,7 @@ SELECT {by}count(*) AS n_cases, count(*) FILTER (NOT failed) AS n_scored, count(
         "doc_tokens_count": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {ltok} AS t FROM documents)",
         "term_df_idf": f"""WITH df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format('text')})) AS term FROM documents) GROUP BY term),
 raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS r FROM df), floor AS (SELECT 0.25 * avg(r) AS f FROM raw)
-SELECT term, df, round(CASE WHEN r < 0 THEN f ELSE r END, 6) AS idf FROM raw, floor""",
+SELECT df, count(*) AS n_terms, sum(('0x' || left(md5(term), 8))::BIGINT)::BIGINT AS terms_hash, round(min(CASE WHEN r < 0 THEN f ELSE r END), 6) AS idf, true AS one_idf FROM raw, floor GROUP BY df""",
         "doc_chunks": f"WITH {CHUNK_W} SELECT doc_id || '_' || (s // 240) AS chunk_id, doc_id, (s // 240)::BIGINT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::BIGINT AS total_chunks, len(w[s + 1 : s + 300])::BIGINT AS n_words, md5(array_to_string(w[s + 1 : s + 300], ' ')) AS part_md5 FROM cs",
         "chunk_text_prefix": f"""WITH {CHUNK_W}, c AS (SELECT cs.*, s // 240 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM cs),
 x AS (SELECT c.doc_id, i, concat_ws(' | ', 'title: ' || left(text, 60), CASE WHEN c.doc_id % 2 = 0 THEN 'type: ' || CASE source WHEN 'src0' THEN 'main' ELSE source END END,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qanat.config import AnswerConfig
-from qanat.engine import AnswerCache, RateLimited
+from qanat.engine import AnswerCache, Limiter, RateLimited, StoreCache
 from qanat.functions import arabic_rules as ar
 from qanat.plans import answer_queries, answers
 from qanat.sources.keyed_store import KeyedStore
@@ -104,6 +104,27 @@ def test_store_latest_wins(spark, store):
     assert rows_of(other.all()) == [("a", 2.0, "new"), ("b", 5.0, "b5")] and other.get("a")["answer"] == "new"
 
 
+def test_store_as_the_cache_of_an_engine(spark, store):
+    now = [100.0]
+    c = StoreCache(store, lambda: now[0], every=2, most=2)
+    c.put("a", "1", query="q", intent="i", prompt_v=3)
+    assert c.get("a", 10) == "1" and store.segments() == []
+    c.put("b", "2")
+    assert len(store.segments()) == 1 and StoreCache(store, lambda: now[0]).get("a", 10) == "1" and c.get("zz", 10) is None
+    now[0] = 110.0
+    assert c.get("a", 10) is None
+    for x in "cdef":
+        c.put(x, x)
+    c.flush()
+    assert len(store.segments()) <= 2 and c.get("b", 99) == "2" and c.get("f", 99) == "f"
+
+
+def test_callers_are_limited(engine):
+    e = replace(engine, limiter=Limiter(1, 60, lambda: 0.0))
+    assert e.ask("wea", caller="x")["cache_reason"] == "out_of_scope"
+    assert e.ask("wea", caller="x")["cache_reason"] == "rate_limited" and e.ask("wea", caller="y")["cache_reason"] == "out_of_scope" and e.ask("wea")["cache_reason"] == "out_of_scope"
+
+
 def test_store_two_writers(spark, store):
     def write(n):
         for i in range(3):

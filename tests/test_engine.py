@@ -305,8 +305,8 @@ def test_evaluate_command(spark, tmp_path):
     assert stats["article_types"] == {"lineup": 2} and stats["league_coverage"] == {"other": 2}
     cli.run_index(spark, str(tmp_path / "out/chunks"), str(tmp_path / "index"))
     found = cli.evaluate(spark, str(tmp_path / "index"), str(tmp_path / "cases"), True, str(tmp_path / "report"), "2024-06-01")
-    assert [r["experiment"] for r in found["ablation"]] == evaluation.EXPERIMENTS and all(r["n_cases"] == 50 for r in found["ablation"])
-    assert len(found["ablation"][0]["per_intent"]) == 5 and found["rag"]["n_cases"] == 50 and set(found["rag"]["per_intent"]) == set(found["ablation"][0]["per_intent"])
+    assert [r["experiment"] for r in found["ablation"]] == evaluation.EXPERIMENTS and all(r["n_cases"] == 60 for r in found["ablation"])
+    assert len(found["ablation"][0]["per_intent"]) == 6 and found["rag"]["n_cases"] == 60 and set(found["rag"]["per_intent"]) == set(found["ablation"][0]["per_intent"])
     assert json.loads(spark.read.text(str(tmp_path / "report")).first()[0]) == json.loads(json.dumps(found))
     assert "Best by mrr" in evaluation.tables_of(found)
     a = cli.ask(spark, None, "ما هو تشكيل الزمالك", str(tmp_path / "index"), str(tmp_path / "cache"))
