@@ -55,13 +55,21 @@ def questions(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFr
     return q
 
 
-_built: dict[tuple[str, str, str], str] = {}
+_built: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and latest change of a table's files: another content under the same path is another state."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(f.getLen(), f.getModificationTime()) for f in ([fs.getFileStatus(at)] if fs.getFileStatus(at).isFile() else fs.listStatus(at))]
+    return sum(n for n, _ in found), max((t for _, t in found), default=0)
 
 
 def index(spark: SparkSession, sf_dir: str, kind: str) -> search_index.Index:
     """The index of whole documents (``doc``) or their windows (``chunk``): built in the shared
     folder where the application first asks for it, then loaded."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _built:
         path = f"{shared_dir(spark)}/qanat/index-{kind}-{uuid.uuid4().hex}"
         search_index.build((doc_units if kind == "doc" else chunk_units)(spark, sf_dir), path)
