@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import threading
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_ops import VOCAB, awkward, empty, sentence
 
-from qanat.llm import ball_kmeans, common, langid, periodic_runs, quality_rules, substring_dedup, token_files
+from qanat.llm import ball_kmeans, common, ftrl, hmm, langid, periodic_runs, quality_rules, substring_dedup, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -340,3 +341,55 @@ def test_least_id_is_not_null(spark, tmp_path):
     got = token_files.read(token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/t")).collect()
     ids = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert ids == [None, None, least, 5]
+
+
+def test_ftrl_steps_by_hand():
+    """Two steps of one coordinate and the bias, from the published update rule."""
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.1, 0.2
+    model = ftrl.Ftrl(3, 1, alpha, beta, l1, l2)
+    z, n = {1: 0.0, "b": 0.0}, {1: 0.0, "b": 0.0}
+
+    def weight(k):
+        free = 0.0 if k == "b" else l1
+        return 0.0 if abs(z[k]) <= free else -(z[k] - np.sign(z[k]) * free) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    for value, y in ((2.0, 1.0), (-1.0, 0.0), (0.5, 1.0)):
+        w = {k: weight(k) for k in z}
+        p = 1 / (1 + np.exp(-(w[1] * value + w["b"])))
+        for k, x in ((1, value), ("b", 1.0)):
+            g = (p - y) * x
+            sigma = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
+            z[k] += g - sigma * w[k]
+            n[k] += g * g
+        model.step(np.array([1]), np.array([value]), np.array([y]))
+        w, b = model.weights()
+        assert np.isclose(w[1, 0], weight(1)) and np.isclose(b[0], weight("b")) and w[0, 0] == w[2, 0] == 0
+
+
+def test_expected_counts_by_enumeration():
+    """Baum-Welch counts of short sequences against all paths of states."""
+    rng = np.random.default_rng(9)
+    start, move, emit = rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet([1, 1, 1], 2).T
+    model = hmm.Hmm(start, move, emit)
+    seqs = [[0, 2, 1, 1], [2], [1, 0, 0]]
+    first, moves, seen, total = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3)), 0.0
+    for s in seqs:
+        paths = {}
+        for path in itertools.product(range(2), repeat=len(s)):
+            p = start[path[0]] * emit[s[0], path[0]]
+            for t in range(1, len(s)):
+                p *= move[path[t - 1], path[t]] * emit[s[t], path[t]]
+            paths[path] = p
+        whole = sum(paths.values())
+        total += np.log(whole)
+        for path, p in paths.items():
+            first[path[0]] += p / whole
+            for t, k in enumerate(path):
+                seen[k, s[t]] += p / whole
+                if t:
+                    moves[path[t - 1], k] += p / whole
+    got_emit = np.zeros((2, 3))
+    got_first, got_moves, loglik = hmm.expected(model, np.array(sum(seqs, [])), np.cumsum([0, *map(len, seqs)]), got_emit)
+    assert np.allclose(got_first, first) and np.allclose(got_moves, moves) and np.allclose(got_emit, seen) and np.isclose(loglik, total)
+    again = hmm.estimate(first, moves, seen.T, np.full(3, 1 / 3), prior=0.0)
+    assert np.allclose(again.move, (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)) and np.allclose(again.emit, seen.T / seen.T.sum(0))
