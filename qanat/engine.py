@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from datetime import date
 from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from qanat.config import AnswerConfig, RetrievalConfig
 from qanat.functions import answering, prompts, rules, text
 from qanat.functions import arabic_rules as ar
+from qanat.memo import Memo
 from qanat.operators import bm25, dense, fusion, vector_index
 from qanat.operators.vector_index import VectorIndex
 from qanat.plans import index as search_index
@@ -26,6 +28,10 @@ from qanat.plans.retrieval import retrieve
 from qanat.session import local
 
 
+#: Bytes of chunk rows that an engine remembers.
+ROWS_BYTES = 64 << 20
+
+
 class RateLimited(Exception):
     """A generator's model has no quota left."""
 
@@ -162,6 +168,9 @@ class Engine:
 
     _columns: list | None = field(default=None, init=False, repr=False, compare=False)
     _picked: list | None = field(default=None, init=False, repr=False, compare=False)
+    _boost: tuple | None = field(default=None, init=False, repr=False, compare=False)
+    #: Rows of units that questions have met lately.
+    _seen: Memo = field(default_factory=lambda: Memo(ROWS_BYTES), init=False, repr=False, compare=False)
 
     @classmethod
     def over(cls, index: search_index.Index, **more) -> Engine:
@@ -221,19 +230,29 @@ class Engine:
                 fused[unit] = fused.get(unit, 0.0) + weight / (config.k_rrf + rank)
         if not fused:
             return []
-        if self._picked is None:
-            head = lambda c: F.substring(c, 1, max(self.config.long_body, self.config.short_body)).alias(c)
-            self._picked = [
-                "unit", "doc", fusion.recency(F.col("pub_date"), self._day(), config).alias("boost"), "chunk_id", "title", head("body_clean"), head("text"), "pub_date", "article_type", "league", "source_url",
-            ]
-        rows = self.chunks.where(F.col("unit").isin(list(fused)))
-        rows = (rows.where(fusion.keep(filters)) if filters else rows).select(*self._picked)
+        found = [r for r in self._rows(list(fused), config) if all(v in (r["teams"] or []) if c == "team" else r[c] == v for c, v in filters.items())]
         best: dict[int, dict] = {}
-        found = [r.asDict() for r in rows.collect()]  # at most the pools
         for r in sorted((r | {"score": _rounded(fused[r["unit"]] * r["boost"], config.digits)} for r in found), key=lambda r: (-r["score"], r["unit"])):
             best.setdefault(r["doc"], r)
         return [r | {"rank": i} for i, r in enumerate(list(best.values())[: config.k_final], 1)]
 
+    def _rows(self, units: list[int], config: RetrievalConfig) -> list[dict]:
+        """The rows of these units with their recency; those not in memory are read by one job."""
+        day = self.now or str(date.today())
+        held = self._seen.found((day, u) for u in units)
+        new = [u for u in units if (day, u) not in held]
+        if new:
+            if self._picked is None:
+                head = lambda c: F.substring(c, 1, max(self.config.long_body, self.config.short_body)).alias(c)
+                self._picked = ["unit", "doc", "chunk_id", "title", head("body_clean"), head("text"), "pub_date", "article_type", "league", "teams", "source_url"]
+            if self._boost is None or self._boost[0] != (day, config):
+                self._boost = (day, config), fusion.recency(F.col("pub_date"), F.lit(day).cast("date"), config).alias("boost")
+            wanted = self.chunks.where(f"unit in ({', '.join(map(str, new))})")
+            for r in wanted.select(*self._picked, self._boost[1]).collect():  # at most the pools
+                held[day, r["unit"]] = r.asDict()
+                self._seen.put((day, r["unit"]), held[day, r["unit"]], 2 * sum(len(x) for x in r if isinstance(x, str)) + 500)
+        return [held[day, u] for u in units if (day, u) in held]
+
     def _day(self) -> Column:
         return F.lit(self.now).cast("date") if self.now else F.current_date()
 

@@ -13,13 +13,14 @@ all vectors are found wherever their cell is read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qanat.memo import Memo
 from qanat.operators.bm25 import ranked
 from qanat.session import ship
 
@@ -29,6 +30,8 @@ SAMPLE, CELLS = 1 << 16, 1 << 12
 LEAST = 32
 #: Share of the ten nearest of a sampled vector that its probes must hold in the sample.
 RECALL, NEAREST, TRIED = 0.97, 10, 512
+#: Vectors that one question brings to the driver at most, and bytes of cells that are remembered there.
+READ, CELL_BYTES = 1 << 17, 256 << 20
 STORED = "unit long, vector array<double>, far double, cell int"
 #: Queries of one pass.
 BLOCK = 2048
@@ -41,6 +44,9 @@ class VectorIndex:
     radius: np.ndarray
     probes: int
     n: int
+    sizes: np.ndarray
+    #: Cells that single questions have read lately: units and vectors.
+    cells: Memo = field(default_factory=lambda: Memo(CELL_BYTES), compare=False, repr=False)
 
     def __len__(self) -> int:
         return len(self.centroids)
@@ -125,7 +131,7 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
     facts = spark.read.parquet(f"{path}/facts").first()
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # at most ``CELLS`` rows
     vectors = spark.read.schema(STORED).parquet(f"{path}/vectors")
-    return VectorIndex(vectors, np.array([r["centroid"] for r in cells]), np.array([r["radius"] for r in cells]), facts["probes"], facts["n"])
+    return VectorIndex(vectors, np.array([r["centroid"] for r in cells]), np.array([r["radius"] for r in cells]), facts["probes"], facts["n"], np.array([r["n"] for r in cells]))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, digits: int = 6, block: int = BLOCK) -> DataFrame:
@@ -199,11 +205,29 @@ def _scored(index: VectorIndex, ids: np.ndarray, m: np.ndarray, wanted: np.ndarr
 
 
 def nearest(index: VectorIndex, vector: np.ndarray, k: int, digits: int = 6) -> list[tuple[int, float]]:
-    """(unit, score) of the k best vectors for one query among the cells it reads, in one job."""
+    """(unit, score) of the k best vectors for one query among the cells it reads.  Cells that are not in memory are read
+    by one job of one stage and scored here, if they hold at most ``READ`` vectors; else in the cluster."""
     if not index.n:
         return []
     m = np.asarray(vector, float)[None, :]
     wanted = np.zeros((1, len(index)), bool)
     wanted[0, np.argsort(-(m @ index.centroids.T)[0], kind="stable")[: index.probes]] = True
-    got = _scored(index, np.zeros(1, np.int64), m, wanted, k, digits).orderBy(F.col("score").desc(), "unit").limit(k)
-    return [(r["unit"], r["score"]) for r in got.select("unit", "score").collect()]
+    cells = [int(c) for c in np.flatnonzero(wanted[0]) if index.sizes[c]]
+    if index.sizes[cells].sum() > READ:
+        got = _scored(index, np.zeros(1, np.int64), m, wanted, k, digits).orderBy(F.col("score").desc(), "unit").limit(k)
+        return [(r["unit"], r["score"]) for r in got.select("unit", "score").collect()]
+    held = index.cells.found(cells)
+    missing = [c for c in cells if c not in held]
+    if missing:
+        t = index.vectors.where(F.col("cell").isin(missing)).select("unit", "vector", "cell").toArrow()
+        unit, x, cell = t["unit"].to_numpy(), _rows(t["vector"].combine_chunks()), t["cell"].to_numpy()
+        for c in missing:
+            own = np.flatnonzero(cell == c)
+            held[c] = (unit[own], x[own])
+            index.cells.put(c, held[c], x[own].nbytes + 8 * len(own) + 200)
+    if not cells:
+        return []
+    unit, x = (np.concatenate([held[c][j] for c in cells]) for j in range(2))
+    score = np.round(x @ m[0], digits) + 0.0
+    first = np.lexsort((unit, -score))[:k]
+    return list(zip(unit[first].tolist(), score[first].tolist()))

@@ -10,7 +10,8 @@ Layout of an index folder:
 * ``facts``: one row, number of units, their mean length, and number of buckets and terms;
 * ``vectors`` (if given): unit, vector.
 
-A search reads the partitions of its terms' buckets, filters by term in the scan, and scores
+A single question (``best``) brings the postings of its terms to the driver where they are few, and keeps them there for
+the next ones.  A search for many reads the partitions of its terms' buckets, filters by term in the scan, and scores
 segment by segment; each gives its k best of every query, so no (query, unit) pairs are shuffled.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.config import Bm25Config
+from qanat.memo import Memo
 from qanat.operators.bm25 import blocks, ranked
 from qanat.session import local, ship
 
@@ -35,13 +37,16 @@ LEAST = 1 << 10
 BUCKETS, BUCKET_UNITS = 32, 1 << 14
 #: Tokens that are counted at once (a longer unit is counted alone).
 STEP = 1 << 20
-#: Bytes of a row group of units.
-ROW_GROUP = 8 << 20
+#: Sizes of row groups and pages: rows are sorted by what is looked up, and small pages let a scan skip all others.
+UNIT_PAGES = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "64"}
+TERM_PAGES = {"parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "256"}
 #: Queries of one pass over the postings, and terms that are named in the scan's filter (more are joined).
 BLOCK = 1024
 NAMED = 256
 #: Terms whose idf an open index remembers.
 KNOWN = 1 << 20
+#: Postings that one question brings to the driver at most, and bytes of postings that are remembered there.
+READ, LISTS_BYTES = 1 << 21, 256 << 20
 
 
 @dataclass(frozen=True)
@@ -52,20 +57,22 @@ class Index:
     n_units: int
     mean: float
     vectors: DataFrame | None = None
-    #: idf of terms that questions have asked for, at most ``KNOWN`` of them (None: the index lacks the term).
-    known: dict[str, float | None] = field(default_factory=dict, compare=False, repr=False)
+    #: (idf, df) of terms that questions have asked for, at most ``KNOWN`` of them (None: the index lacks the term).
+    known: dict[str, tuple[float, int] | None] = field(default_factory=dict, compare=False, repr=False)
+    #: Postings that single questions have read lately.
+    lists: Memo = field(default_factory=lambda: Memo(LISTS_BYTES), compare=False, repr=False)
     n_buckets: int = BUCKETS
     n_terms: int = 0
 
-    def idf(self, words: list[str]) -> dict[str, float]:
-        """idf of the words that the index has; only those not asked for before are read."""
+    def facts(self, words: list[str]) -> dict[str, tuple[float, int]]:
+        """(idf, df) of the words that the index has; only those not asked for before are read."""
         new = sorted({w for w in words if w not in self.known})
         if new and 2 * self.n_terms <= KNOWN:  # a small vocabulary is read whole, once
             if not self.known:
-                t = self.terms.select("term", "idf").toArrow()
-                self.known.update(zip(t["term"].to_pylist(), t["idf"].to_pylist()))
+                t = self.terms.select("term", "idf", "df").toArrow()
+                self.known.update(zip(t["term"].to_pylist(), zip(t["idf"].to_pylist(), t["df"].to_pylist())))
         elif new:
-            found = {r["term"]: r["idf"] for r in _of(self, self.terms, new).select("term", "idf").collect()}
+            found = {r["term"]: (r["idf"], r["df"]) for r in _of(self, self.terms, new).select("term", "idf", "df").collect()}
             while self.known and len(self.known) + len(new) > KNOWN:
                 del self.known[next(iter(self.known))]
             self.known.update({w: found.get(w) for w in new})
@@ -115,7 +122,7 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     spark = units.sparkSession
     ship(spark)
     # by unit, so that looking up a few of them reads the row groups that hold them
-    units.repartitionByRange("unit").sortWithinPartitions("unit").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/units")
+    units.repartitionByRange("unit").sortWithinPartitions("unit").write.mode("overwrite").options(**UNIT_PAGES).parquet(f"{path}/units")
     if vectors is not None:
         vectors.select("unit", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
     tokens = F.coalesce("tokens", F.array().cast("array<string>"))
@@ -130,7 +137,7 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     parts = parts.withColumn("bucket", bucket("term", n_buckets)).repartition("segment", "bucket")
     lists = parts.groupBy("segment", "bucket", "term").agg(F.flatten(F.collect_list("list")).alias("list"))
     lists = lists.sortWithinPartitions("bucket", "term")
-    lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lists.write.mode("overwrite").options(**TERM_PAGES).partitionBy("bucket").parquet(f"{path}/postings")
     df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("list")).cast("long").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     hist = raw.groupBy("df").agg(F.count(F.lit(1)).alias("c"), F.first("raw").alias("r")).agg(F.sum(F.col("c") * F.col("r")) / F.sum("c"))
@@ -171,25 +178,60 @@ def _buckets(spark: SparkSession, words: list[str], n: int) -> list[int]:
 
 
 def best(index: Index, tokens: list[str], k: int, config: Bm25Config = Bm25Config()) -> list[tuple[int, float]]:
-    """(unit, score) of the k best units for one query's tokens: what ``search`` gives for it, as one job without Python
-    workers.  The terms with their weights are a broadcast row each, so every question runs the same compiled code."""
-    spark = index.postings.sparkSession
-    idf = index.idf(tokens)
-    if not idf:
+    """(unit, score) of the k best units for one query's tokens: what ``search`` gives for it.
+
+    Postings of its terms that are not in memory are read by one job of one stage and scored here, if their document
+    frequencies say that they are at most ``READ``; else they are scored in the cluster."""
+    facts = index.facts(tokens)
+    if not facts:
         return []
-    terms = local(spark, {"term": sorted(idf), "weight": [idf[w] * tokens.count(w) for w in sorted(idf)]})
-    rows = _of(index, index.postings, sorted(idf)).join(F.broadcast(terms), "term")
+    weight = {w: facts[w][0] * tokens.count(w) for w in sorted(facts)}
+    held = index.lists.found(weight)
+    missing = [w for w in weight if w not in held]
+    if sum(facts[w][1] for w in weight) > READ:
+        return _best_there(index, weight, k, config)
+    if missing:
+        got = _of(index, index.postings, missing).select("term", "list").toArrow()  # at most ``READ`` postings
+        lists = got["list"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
+        parts: dict[str, list] = {}
+        for i, w in enumerate(got["term"].to_pylist()):
+            one = lists[i].values
+            parts.setdefault(w, []).append([one.field(j).to_numpy(zero_copy_only=False) for j in range(3)])
+        for w, several in parts.items():
+            held[w] = tuple(np.concatenate([p[j] for p in several]) for j in range(3))
+            index.lists.put(w, held[w], sum(a.nbytes for a in held[w]) + 200)
+    unit, tf, dl = (np.concatenate([held[w][j] for w in weight]) for j in range(3))
+    part = np.repeat([weight[w] for w in weight], [len(held[w][0]) for w in weight]) * tf * (config.k1 + 1)
+    part /= tf + config.k1 * (1 - config.b + config.b * dl / index.mean)
+    ids, at = np.unique(unit, return_inverse=True)
+    score = np.round(np.bincount(at, part), config.digits) + 0.0
+    first = np.lexsort((ids, -score))[:k]
+    return list(zip(ids[first].tolist(), score[first].tolist()))
+
+
+def _best_there(index: Index, weight: dict[str, float], k: int, config: Bm25Config) -> list[tuple[int, float]]:
+    """The same as one native plan; the terms and their weights are a broadcast row each, so every question runs the same compiled code."""
+    terms = local(index.postings.sparkSession, {"term": list(weight), "weight": list(weight.values())})
+    rows = _of(index, index.postings, list(weight)).join(F.broadcast(terms), "term")
     part = f"weight * p.tf * {config.k1 + 1}D / (p.tf + {config.k1}D * ({1 - config.b}D + {config.b}D * p.dl / {index.mean}D))"
     scored = rows.selectExpr("weight", "explode(list) AS p").groupBy(F.col("p.unit").alias("unit")).agg(F.expr(f"round(sum({part}), {config.digits})").alias("score"))
     top = scored.orderBy(F.col("score").desc(), "unit").limit(k)
     return [(r["unit"], r["score"]) for r in top.collect()]
 
 
+def _quoted(word: str) -> str:
+    """A SQL string literal: one text for the parser is much quicker than a call for each literal.  A dollar sign could
+    start a variable of the parser's."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
 def _of(index: Index, table: DataFrame, words: list[str]) -> DataFrame:
     """The rows of these terms: pruned to their buckets, filtered in the scan or joined."""
     spark = table.sparkSession
+    if not words:
+        return table.where("false")
     if len(words) <= NAMED:
-        return table.where(F.col("bucket").isin(_buckets(spark, words, index.n_buckets)) & F.col("term").isin(words))
+        return table.where(f"bucket in ({', '.join(map(str, _buckets(spark, words, index.n_buckets)))}) and term in ({', '.join(map(_quoted, words))})")
     names = spark.createDataFrame([(w,) for w in words], "term string")
     return table.join(F.broadcast(names.withColumn("bucket", bucket("term", index.n_buckets))), ["bucket", "term"])
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from qanat.config import AnswerConfig
 from qanat.engine import AnswerCache, Limiter, RateLimited, StoreCache
 from qanat.functions import arabic_rules as ar
+from qanat.functions import text
+from qanat.memo import Memo
 from qanat.plans import answer_queries, answers
+from qanat.plans import index as search_index
 from qanat.sources.keyed_store import KeyedStore
 
 DIR = "/root/testdata/sf0.001"
@@ -49,8 +52,8 @@ def test_batch_is_ask_row_by_row(spark, engine, store):
 
 
 def test_filters_of_each_question(spark, engine):
-    text = spark.read.parquet(f"{DIR}/documents.parquet").where("lang = 'es' and length(text) > 300").orderBy("doc_id").first()["text"]
-    query = " ".join(text.split()[:12])
+    body = spark.read.parquet(f"{DIR}/documents.parquet").where("lang = 'es' and length(text) > 300").orderBy("doc_id").first()["text"]
+    query = " ".join(body.split()[:12])
     rows = [(1, query, None, None), (2, query, None, "es"), (3, query, "src0", None), (4, query, "none", "es")]
     df = spark.createDataFrame(rows, "qid long, query string, article_type string, league string")
     got = {r["qid"]: r for r in answers.answer_batch(engine, df).collect()}
@@ -80,6 +83,39 @@ def test_generator_outcomes():
     assert got == [("a", "ok"), (None, "rate_limit"), (None, "error")]
 
 
+def test_words_as_literals(spark):
+    for w in ("a'b", "a\\b", "\\'", "%_", '"x"', "مباراة", "a\\nb", "${x}", "$", "`", "a\nb"):
+        assert spark.sql(f"SELECT {search_index._quoted(w)} AS x").first()[0] == w
+
+
+def test_single_question_is_the_batch_search(spark, engine, monkeypatch):
+    """From memory, read for the question, and scored in the cluster: the same hits as a search for many."""
+    q = spark.read.parquet(f"{DIR}/benchmark.parquet").limit(6).select(F.col("item_id").alias("qid"), text.plain_tokens(F.col("text")).alias("tokens")).persist()
+    index = search_index.load(spark, engine.index.postings.inputFiles()[0].split("/postings/")[0])
+    want: dict = {}
+    for r in search_index.search(index, q, 30).orderBy("qid", "rank").collect():
+        want.setdefault(r["qid"], []).append((r["unit"], r["score"]))
+    for read in (1 << 21, 0):
+        monkeypatch.setattr(search_index, "READ", read)
+        for r in q.collect():
+            got = search_index.best(index, r["tokens"], 30)
+            assert [s for _, s in got] == pytest.approx([s for _, s in want[r["qid"]]], abs=2e-6) and len({u for u, _ in got} & {u for u, _ in want[r["qid"]]}) >= 29
+            assert search_index.best(index, r["tokens"], 30) == got
+    assert search_index.best(index, ["not-a-term"], 3) == [] and search_index.best(index, [], 3) == []
+
+
+def test_memory_is_bounded():
+    m = Memo(100)
+    for i in range(10):
+        m.put(i, str(i), 30)
+    assert m.found(range(10)) == {7: "7", 8: "8", 9: "9"} and m.size == 90
+    m.found([7])
+    m.put(10, "10", 30)
+    assert set(m.found(range(11))) == {7, 9, 10}
+    m.put(11, "x", 101)
+    assert 11 not in m.found([11])
+
+
 def rows_of(df):
     return sorted((r["key"], r["ts"], r["answer"]) for r in df.collect())
 
