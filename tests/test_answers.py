@@ -11,8 +11,11 @@ from qanat.engine import AnswerCache, Limiter, RateLimited, StoreCache
 from qanat.functions import arabic_rules as ar
 from qanat.functions import text
 from qanat.memo import Memo
+from qanat.operators import vector_index
 from qanat.plans import answer_queries, answers
 from qanat.plans import index as search_index
+from qanat.plans import stand_ins as si
+from qanat.plans.retrieval import retrieve
 from qanat.sources.keyed_store import KeyedStore
 
 DIR = "/root/testdata/sf0.001"
@@ -200,3 +203,16 @@ def test_probe_does_not_shuffle_the_store(spark, store):
     scan = next(i for i, x in enumerate(lines) if "Scan parquet" in x and "qanat_store" in x)
     join = next(i for i in range(scan, -1, -1) if "Join" in lines[i])
     assert not any("Exchange" in x for x in lines[join:scan]), plan
+
+
+def test_hybrid_question_is_the_batch_plan(spark, engine, tmp_path):
+    """One question over the clustered index, with and without filters, against ``retrieve`` for it."""
+    vector_index.build(si.vectors(spark, DIR), f"file://{tmp_path}/v")
+    e = replace(engine, vectors=vector_index.load(spark, f"file://{tmp_path}/v"))
+    for r in spark.read.parquet(f"{DIR}/benchmark.parquet").limit(3).collect():
+        tokens = e._read(r["text"])["tokens"]
+        for filters in ({}, {"league": "en"}):
+            q = spark.createDataFrame([(0, tokens, e._encoded(r["text"]).tolist())], "qid long, tokens array<string>, vector array<double>")
+            want = retrieve(e.chunks, q, F.lit(e.now).cast("date"), e.vectors, filters, config=e.retrieval, index=e.index)
+            got = e._hits(r["text"], tokens, filters, e.retrieval)
+            assert [(x["rank"], x["unit"], x["score"]) for x in got] == [(x["rank"], x["unit"], x["score"]) for x in want.orderBy("rank").collect()]
