@@ -2,16 +2,17 @@
 
 Tokens are words (runs of bytes outside space and 0x09-0x0D, A-Z in lower case)
 and one end token a document.  Counts of all training tokens are aggregated in
-Spark.  States emit the ``VOCAB`` most frequent tokens (seen ``LEAST`` times or more) and one class for all
-rarer ones; inside the class a token has its smoothed share, so the model is a
-proper distribution over tokens.  Baum-Welch starts from a fit on a bounded
+Spark.  The ``VOCAB`` most frequent tokens (seen ``LEAST`` times or more) are symbols whose emissions travel to
+the tasks (a proven bound); all others are one class there.  Baum-Welch starts from a fit on a bounded
 sample (``INIT_ROWS`` documents), then every pass sums expected counts over all
 training documents, partition by partition, and re-estimates, until a pass gains less
-than ``GAIN`` a token (``PASSES`` at most).  Scores come from the scaled forward
-recursion over the whole text, in double precision.
+than ``GAIN`` a token (``PASSES`` at most).
 
-Counts of the ``TABLE`` most frequent tokens at most travel to the tasks (a
-proven bound); all others are looked up by a join on the token.
+Inside the class every token seen ``LEAST`` times or more has emissions of its own, however many there
+are: one more pass sums the expected counts of each by its states in a shuffle and writes them as a table,
+which neither the driver nor a task holds whole.  Tokens seen less often share the split of all of them, inside which each
+has its smoothed share, so the model is a proper distribution over tokens.  Scores come from the scaled forward
+recursion over the whole text, in double precision; a document's tokens of the class meet the table in a join.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ STATES = 6
 VOCAB = 1 << 17
 #: Tokens seen less often have no symbol of their own: their split over states would be chance.
 LEAST = 3
+#: Tokens from which the most frequent ones are picked at the driver.
 TABLE = 1 << 19
 PASSES = 4
 #: Natural log likelihood a token that a pass must gain for another one to follow.
@@ -37,6 +40,8 @@ GAIN = 0.002
 INIT_ROWS = 1000
 INIT_PASSES = 12
 PRIOR = 200.0
+#: Tokens' worth of the class's own split over the states that a token of the class starts from.
+LEAN = 1.0
 SMOOTH = 0.1
 #: Tokens of a piece of a long document; its pieces run side by side.
 CUT = 1 << 15
@@ -124,16 +129,22 @@ def find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Codes(NamedTuple):
-    """Which tokens have symbols of their own: symbol i is ``h[i]``, the last symbol is the rare class."""
+    """Which tokens have symbols of their own: symbol i is ``h[i]``, the last symbol is the class of all others."""
 
     h: np.ndarray
+    c: np.ndarray
     share: np.ndarray  # smoothed share of every symbol among training tokens
     rare_total: int
     rare_distinct: int
 
+    @property
+    def weight(self) -> float:
+        """What the smoothed counts of the class add up to, a token never seen among them."""
+        return self.rare_total + SMOOTH * (self.rare_distinct + 1)
+
     def inside(self, c):
-        """log10 share of a token of count ``c`` inside the rare class."""
-        return np.log10((c + SMOOTH) / (self.rare_total + SMOOTH * (self.rare_distinct + 1)))
+        """log10 smoothed share of a token of count ``c`` inside the class."""
+        return np.log10((c + SMOOTH) / self.weight)
 
 
 def coded(known: Counted, vocab: int) -> Codes:
@@ -146,7 +157,7 @@ def coded(known: Counted, vocab: int) -> Codes:
     c = known.c[order]
     rare = known.total - int(c.sum())
     share = np.append(c, rare) + SMOOTH
-    return Codes(known.h[order], share / share.sum(), rare, known.distinct - len(order))
+    return Codes(known.h[order], c, share / share.sum(), rare, known.distinct - len(order))
 
 
 class Hmm(NamedTuple):
@@ -299,46 +310,36 @@ def initial(share: np.ndarray, states: int, sample: list[np.ndarray], passes: in
 
 
 def encoded(docs: DataFrame, held_out, known: Counted, codes: Codes) -> DataFrame:
-    """Every document as symbols, with what the broadcast table says of its tokens, and the
-    tokens that the table lacks (``other``) for the join.  ``uid`` names the row."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, codes))
+    """Every document as symbols, what they add to its base score, and the hashes of its tokens of
+    the class in their order (``rare``).  ``uid`` names the row."""
+    shared = docs.sparkSession.sparkContext.broadcast((codes.h, known.base(codes.c)))
 
     def task(batches):
-        known, codes = shared.value
-        rare = len(codes.h)
-        place = find(codes.h, known.h)
-        place[place < 0] = rare
-        base, inside = known.base(known.c), np.where(place == rare, codes.inside(known.c), 0.0)
+        keys, base = shared.value
+        rare = len(keys)
         uid = TaskContext.get().partitionId() << 36
         kind = np.uint16 if rare < 1 << 16 else np.uint32
         for rb, data, offs in common.blocks(batches):
             h, at = tokens(data, offs)
-            f = find(known.h, h)
-            seen = f >= 0
+            f = find(keys, h)
             seq = np.repeat(np.arange(rb.num_rows), np.diff(at))
-            total = lambda v: np.bincount(seq, v, rb.num_rows)
-            sym = np.where(seen, place[f] if len(place) else rare, rare).astype(kind)
-            raw = sym.tobytes()
-            w = sym.itemsize
-            lost = np.flatnonzero(~seen)
+            own = np.bincount(seq, np.append(base, 0.0)[f], rb.num_rows)
+            f[f < 0] = rare
+            raw, w = f.astype(kind).tobytes(), np.dtype(kind).itemsize
+            lost = np.flatnonzero(f == rare)
             cut = np.searchsorted(lost, at)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uid + np.arange(rb.num_rows)), rb.column(0), rb.column(2), pa.array(np.diff(at)), pa.array(total(seen).astype(np.int64)),
-                    pa.array(total(np.where(seen, base[f], 0.0) if len(base) else np.zeros(len(f)))),
-                    pa.array(total(np.where(seen, inside[f], 0.0) if len(base) else np.zeros(len(f)))),
+                    pa.array(uid + np.arange(rb.num_rows)), rb.column(0), rb.column(2), pa.array(np.diff(at)), pa.array(own),
                     pa.array([raw[a * w : b * w] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[lost].view(np.int64))),
                 ],
-                ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "symbols", "other"],
+                ["uid", "doc_id", "held_out", "n_tokens", "base", "symbols", "rare"],
             )
             uid += rb.num_rows
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), held_out.alias("held_out"))
-    return d.mapInArrow(
-        task,
-        "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, symbols binary, other array<long>",
-    )
+    return d.mapInArrow(task, "uid long, doc_id long, held_out boolean, n_tokens long, base double, symbols binary, rare array<long>")
 
 
 def sequences(batches, column: str, kind, limit: int = STEP_BYTES // 3):
@@ -422,6 +423,83 @@ def fit(rows: DataFrame, codes: Codes, states: int = STATES, passes: int = PASSE
     return model
 
 
+def listed(rb: pa.RecordBatch, column: str) -> pa.Array:
+    """The items of a list column, all rows in a line."""
+    return rb.column(rb.schema.get_field_index(column)).flatten()
+
+
+def apart(symbols: np.ndarray, rare: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of the class in a step (hashes ``h`` in text order), and the symbols with
+    each of them as one more symbol after ``rare``."""
+    u, at = np.unique(h, return_inverse=True)
+    out = symbols.copy()
+    out[symbols == rare] = rare + 1 + at
+    return u, out
+
+
+def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
+    """(h, c, n0, n1, ...): how often each token of the class occurs in training, and its expected
+    counts by state."""
+    shared = rows.sparkSession.sparkContext.broadcast(Hmm(*(x.astype(np.float32) for x in model)))
+    rare, states = len(codes.h), len(model.start)
+    kind = np.uint16 if rare < 1 << 16 else np.uint32
+    names = [f"n{i}" for i in range(states)]
+
+    def batch(u, n):
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x) for x in n.T)], ["h", "c", *names])
+
+    def task(batches):
+        held, size = [], 0
+
+        def merged():
+            u, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            n = np.concatenate([x for _, x in held])
+            return u, np.stack([np.bincount(at, x, len(u)) for x in n.T], 1)
+
+        for rb, symbols, offs in sequences(batches, "symbols", kind):
+            h = listed(rb, "rare").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if not len(h):
+                continue
+            model = shared.value
+            u, own = apart(symbols, rare, h)
+            emit = np.concatenate([model.emit, np.repeat(model.emit[rare:], len(u), 0)])
+            sums = np.zeros((states, len(emit)))
+            expected(model._replace(emit=emit), own, offs, sums)
+            held.append((u, np.column_stack([np.bincount(own, minlength=len(emit))[rare + 1 :], sums[:, rare + 1 :].T])))
+            size += len(u)
+            if size > 1 << 20:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1 << 19:
+                    yield batch(*held[0])
+                    held, size = [], 0
+        if held:
+            yield batch(*merged())
+
+    train = rows.where("not held_out").select("uid", "symbols", "rare")
+    sums = train.mapInArrow(task, "h long, c double, " + ", ".join(f"{x} double" for x in names)).groupBy("h")
+    return sums.agg(F.sum("c").cast("long").alias("c"), *(F.sum(x).cast("float").alias(x) for x in names))
+
+
+def leanings(counted: DataFrame, codes: Codes, states: int, lean: float = LEAN) -> tuple[DataFrame, np.ndarray]:
+    """(h, c, r0, r1, ...): by what factor a state's share of a token inside the class differs from the
+    token's smoothed share, null for those seen less than ``LEAST`` times, which share one set
+    of factors, returned beside (also that of a token never seen).  In every state the shares add up to 1."""
+    own = F.col("c") >= LEAST
+    names = [f"n{i}" for i in range(states)]
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    got = counted.agg(*(total(x) for x in names), *(total(F.when(~own, F.col(x))) for x in names)).first()
+    everywhere, others = np.array(got[:states]) + 1e-3, np.array(got[states:])
+    usual = everywhere / everywhere.sum()
+    rest = (others + lean * usual) / (others.sum() + lean) / usual
+    factor = [(F.col(x) / F.lit(float(u)) + F.lit(lean)) / (F.col("c") + F.lit(lean)) for x, u in zip(names, usual)]
+    share = (F.col("c") + F.lit(SMOOTH)) / F.lit(codes.weight)
+    got = counted.where(own).agg(total(share), *(total(share * f) for f in factor)).first()
+    mass = np.array(got[1:]) + (1 - got[0]) * rest
+    table = counted.select("h", "c", *(F.when(own, f / F.lit(float(m))).cast("float").alias(f"r{i}") for i, (f, m) in enumerate(zip(factor, mass))))
+    return table, rest / mass
+
+
 def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES, vocab: int = VOCAB, table: int = TABLE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -433,34 +511,50 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES,
     """
     spark = docs.sparkSession
     common.tune(spark)
-    all_counts = common.staged(counts(docs.where(~held_out)), "counts")
-    known = most_frequent(all_counts, table)
+    known = most_frequent(common.staged(counts(docs.where(~held_out)), "counts"), table)
     codes = coded(known, vocab)
     # by length, so that the sequences of a step end together
     rows = common.staged(encoded(docs, held_out, known, codes).sortWithinPartitions("n_tokens"), "symbols")
     common.release(spark)
     model = fit(rows, codes, states, passes)
-    kind = np.uint16 if len(codes.h) < 1 << 16 else np.uint32
+    words, rest = leanings(common.staged(split(rows, model, codes), "split"), codes, states)
+    common.release(spark)
+    rare = len(codes.h)
+    kind = np.uint16 if rare < 1 << 16 else np.uint32
+    names = [f"r{i}" for i in range(states)]
     shared = spark.sparkContext.broadcast(model)
+    weight, train, unseen = codes.weight, known.total, known.total + SMOOTH * (known.distinct + 1)
 
     def task(batches):
         for rb, symbols, offs in sequences(batches, "symbols", kind):
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(forward(shared.value, symbols, offs) / np.log(10.0))], ["uid", "path"])
-
-    paths = rows.select("uid", "symbols").mapInArrow(task, "uid long, path double")
-    c = F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH)
-    lost = rows.select("uid", F.explode("other").alias("h")).join(all_counts, "h", "left").groupBy("uid").agg(
-        F.count("c").alias("k2"),
-        F.sum(F.log10(c / (known.total + SMOOTH * (known.distinct + 1)))).alias("b2"),
-        F.sum(F.log10(c / (codes.rare_total + SMOOTH * (codes.rare_distinct + 1)))).alias("i2"),
-    )
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    return (
-        rows.drop("symbols", "other").join(paths, "uid").join(lost, "uid", "left").select(
-            "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).cast("long").alias("n_known"),
-            F.lit(known.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b2")).alias("base_score"),
-            (F.col("path") + F.col("inside") + zero("i2")).alias("score"),
-        )
+            h = listed(rb, "rare").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            met = listed(rb, "met")
+            keys, first = np.unique(met.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+            u, own = apart(symbols, rare, h)
+            at = find(keys, u)
+            column = lambda x: np.append(met.field(x).to_numpy(zero_copy_only=False).astype(float)[first], np.nan)[at]  # noqa: E731, B023
+            factor = np.stack([column(x) for x in names], 1)
+            factor = np.where(np.isnan(factor), rest, factor)
+            c = np.nan_to_num(column("c"))
+            emit = np.concatenate([shared.value.emit, shared.value.emit[rare:] * factor])
+            log = forward(shared.value._replace(emit=emit), own, offs) / np.log(10.0)
+            lost = own > rare
+            seq = np.repeat(np.arange(rb.num_rows), np.diff(offs))[lost]
+            total = lambda v: np.bincount(seq, v[own[lost] - rare - 1], rb.num_rows)  # noqa: E731, B023
+            unknown = total((c == 0).astype(float)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(rb.column(rb.schema.get_field_index(x)) for x in ("doc_id", "held_out", "n_tokens")),
+                    pa.array(np.diff(offs) - unknown), pa.array(np.full(rb.num_rows, train)), pc.add(rb.column(rb.schema.get_field_index("base")), pa.array(total(np.log10((c + SMOOTH) / unseen)))),
+                    pa.array(log + total(np.log10((c + SMOOTH) / weight))),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    met = rows.select("uid", F.explode(F.array_distinct("rare")).alias("h")).join(words, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "c", *names)).alias("met"))
+    whole = rows.join(met, "uid", "left").sortWithinPartitions("n_tokens")
+    return whole.mapInArrow(
+        task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 

@@ -968,8 +968,8 @@ def test_score_column_is_the_forward_recursion(spark, monkeypatch):
     real_fit, real_coded = hmm.fit, hmm.coded
     monkeypatch.setattr(hmm, "fit", lambda *a, **k: kept.setdefault("model", real_fit(*a, **k)))
     monkeypatch.setattr(hmm, "coded", lambda *a, **k: kept.setdefault("codes", real_coded(*a, **k)))
-    rows, docs = synthetic(spark, 60)
-    docs = docs.select("doc_id", "text")
+    rows = [(i, f"{t} odd{i % 20}") for i, t, *_ in synthetic(spark, 60)[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in hmm.score(docs, common.fold_of("doc_id", 10) == 0, states=3, passes=2, vocab=20, table=30).collect()}
     model, codes = kept["model"], kept["codes"]
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -979,16 +979,38 @@ def test_score_column_is_the_forward_recursion(spark, monkeypatch):
     symbol = {int(h): k for k, h in enumerate(codes.h)}
     rare = [n for h, n in c.items() if h not in symbol]
     assert (codes.rare_total, codes.rare_distinct) == (sum(rare), len(rare)) and len(rare) > 5
+    # expected counts by state of every token of the class, token by token
+    emission = lambda w: model.emit[symbol.get(name(w), len(symbol))]
+    counted = collections.defaultdict(lambda: np.zeros(3))
+    for i, ws in toks.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            ahead, back = [model.start * emission(ws[0])], [np.ones(3)]
+            for w in ws[1:]:
+                x = (ahead[-1] / ahead[-1].sum()) @ model.move * emission(w)
+                ahead.append(x)
+            for w in ws[:0:-1]:
+                x = model.move @ (emission(w) * back[-1])
+                back.append(x / x.sum())
+            for w, x, y in zip(ws, ahead, back[::-1]):
+                if name(w) not in symbol:
+                    counted[name(w)] += x * y / (x * y).sum()
+    own = {h for h in counted if c[h] >= hmm.LEAST}
+    assert own and len(own) < len(counted)
+    usual = sum(counted.values()) / sum(sum(counted.values()))
+    others = sum((counted[h] for h in counted if h not in own), np.zeros(3))
+    weight = sum(rare) + 0.1 * (len(rare) + 1)
+    lean = lambda n: (n + hmm.LEAN * usual) / (n.sum() + hmm.LEAN) * (usual.sum() / usual)
+    inside = {h: (c[h] + 0.1) / weight * lean(counted[h] if h in own else others) for h in counted}
+    unseen = 0.1 / weight * lean(others)
+    mass = sum(inside.values()) + unseen
     for i, ws in toks.items():
         a, total = None, 0.0
         for w in ws:
-            k = symbol.get(name(w), len(symbol))
-            a = (model.start if a is None else a @ model.move) * model.emit[k]
+            e = emission(w) if name(w) in symbol else emission(w) * inside.get(name(w), unseen) / mass
+            a = (model.start if a is None else a @ model.move) * e
             total += math.log10(a.sum())
             a = a / a.sum()
-            if k == len(symbol):
-                total += math.log10((c[name(w)] + 0.1) / (sum(rare) + 0.1 * (len(rare) + 1)))
-        assert got[i].score == pytest.approx(total)
+        assert got[i].score == pytest.approx(total, rel=1e-4)
 
 
 def test_extra_columns_do_not_reach_the_model(spark):
