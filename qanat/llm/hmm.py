@@ -42,6 +42,9 @@ INIT_PASSES = 12
 PRIOR = 200.0
 #: Tokens' worth of the class's own split over the states that a token of the class starts from.
 LEAN = 1.0
+#: Steps of 1 in which expected counts of tokens of the class are summed: whole numbers, whose sums do not
+#: depend on the order and whose bytes are few.
+GRAIN = 1 << 12
 SMOOTH = 0.1
 #: Tokens of a piece of a long document; its pieces run side by side.
 CUT = 1 << 15
@@ -439,7 +442,7 @@ def apart(symbols: np.ndarray, rare: int, h: np.ndarray) -> tuple[np.ndarray, np
 
 def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
     """(h, c, n0, n1, ...): how often each token of the class occurs in training, and its expected
-    counts by state."""
+    counts by state in steps of 1 / ``GRAIN``."""
     shared = rows.sparkSession.sparkContext.broadcast(Hmm(*(x.astype(np.float32) for x in model)))
     rare, states = len(codes.h), len(model.start)
     kind = np.uint16 if rare < 1 << 16 else np.uint32
@@ -454,7 +457,7 @@ def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
         def merged():
             u, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             n = np.concatenate([x for _, x in held])
-            return u, np.stack([np.bincount(at, x, len(u)) for x in n.T], 1)
+            return u, np.stack([np.bincount(at, x, len(u)) for x in n.T], 1).astype(np.int64)
 
         for rb, symbols, offs in sequences(batches, "symbols", kind):
             h = listed(rb, "rare").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -465,7 +468,8 @@ def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
             emit = np.concatenate([model.emit, np.repeat(model.emit[rare:], len(u), 0)])
             sums = np.zeros((states, len(emit)))
             expected(model._replace(emit=emit), own, offs, sums)
-            held.append((u, np.column_stack([np.bincount(own, minlength=len(emit))[rare + 1 :], sums[:, rare + 1 :].T])))
+            n = np.rint(sums[:, rare + 1 :].T * GRAIN).astype(np.int64)
+            held.append((u, np.column_stack([np.bincount(own, minlength=len(emit))[rare + 1 :], n])))
             size += len(u)
             if size > 1 << 20:
                 held = [merged()]
@@ -477,27 +481,35 @@ def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
             yield batch(*merged())
 
     train = rows.where("not held_out").select("uid", "symbols", "rare")
-    sums = train.mapInArrow(task, "h long, c double, " + ", ".join(f"{x} double" for x in names)).groupBy("h")
-    return sums.agg(F.sum("c").cast("long").alias("c"), *(F.sum(x).cast("float").alias(x) for x in names))
+    sums = train.mapInArrow(task, ", ".join(f"{x} long" for x in ["h", "c", *names])).groupBy("h")
+    return sums.agg(*(F.sum(x).alias(x) for x in ["c", *names]))
 
 
-def leanings(counted: DataFrame, codes: Codes, states: int, lean: float = LEAN) -> tuple[DataFrame, np.ndarray]:
-    """(h, c, r0, r1, ...): by what factor a state's share of a token inside the class differs from the
-    token's smoothed share, null for those seen less than ``LEAST`` times, which share one set
-    of factors, returned beside (also that of a token never seen).  In every state the shares add up to 1."""
+class Leanings(NamedTuple):
+    """How the states' shares of a token inside the class differ from its smoothed share."""
+
+    usual: np.ndarray  # the class's own split over the states
+    rest: np.ndarray  # factors of all tokens seen less than LEAST times, or never
+    mass: np.ndarray  # what the shares of every state add up to before they are divided by it
+
+    def factors(self, c, n):
+        """One row a token; ``n`` is not a number where the token has no split of its own."""
+        own = (n / GRAIN / self.usual + LEAN) / (c[:, None] + LEAN)
+        return np.where(np.isnan(own), self.rest, own) / self.mass
+
+
+def leanings(counted: DataFrame, codes: Codes, states: int) -> Leanings:
     own = F.col("c") >= LEAST
     names = [f"n{i}" for i in range(states)]
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("double")
     got = counted.agg(*(total(x) for x in names), *(total(F.when(~own, F.col(x))) for x in names)).first()
-    everywhere, others = np.array(got[:states]) + 1e-3, np.array(got[states:])
+    everywhere, others = np.array(got[:states]) / GRAIN + 1e-3, np.array(got[states:]) / GRAIN
     usual = everywhere / everywhere.sum()
-    rest = (others + lean * usual) / (others.sum() + lean) / usual
-    factor = [(F.col(x) / F.lit(float(u)) + F.lit(lean)) / (F.col("c") + F.lit(lean)) for x, u in zip(names, usual)]
+    rest = (others + LEAN * usual) / (others.sum() + LEAN) / usual
     share = (F.col("c") + F.lit(SMOOTH)) / F.lit(codes.weight)
+    factor = [(F.col(x) / F.lit(float(u * GRAIN)) + F.lit(LEAN)) / (F.col("c") + F.lit(LEAN)) for x, u in zip(names, usual)]
     got = counted.where(own).agg(total(share), *(total(share * f) for f in factor)).first()
-    mass = np.array(got[1:]) + (1 - got[0]) * rest
-    table = counted.select("h", "c", *(F.when(own, f / F.lit(float(m))).cast("float").alias(f"r{i}") for i, (f, m) in enumerate(zip(factor, mass))))
-    return table, rest / mass
+    return Leanings(usual, rest, np.array(got[1:]) + (1 - got[0]) * rest)
 
 
 def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES, vocab: int = VOCAB, table: int = TABLE) -> DataFrame:
@@ -517,11 +529,12 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES,
     rows = common.staged(encoded(docs, held_out, known, codes).sortWithinPartitions("n_tokens"), "symbols")
     common.release(spark)
     model = fit(rows, codes, states, passes)
-    words, rest = leanings(common.staged(split(rows, model, codes), "split"), codes, states)
+    counted = common.staged(split(rows, model, codes), "split")
+    lean = leanings(counted, codes, states)
     common.release(spark)
     rare = len(codes.h)
     kind = np.uint16 if rare < 1 << 16 else np.uint32
-    names = [f"r{i}" for i in range(states)]
+    names = [f"n{i}" for i in range(states)]
     shared = spark.sparkContext.broadcast(model)
     weight, train, unseen = codes.weight, known.total, known.total + SMOOTH * (known.distinct + 1)
 
@@ -533,10 +546,9 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES,
             u, own = apart(symbols, rare, h)
             at = find(keys, u)
             column = lambda x: np.append(met.field(x).to_numpy(zero_copy_only=False).astype(float)[first], np.nan)[at]  # noqa: E731, B023
-            factor = np.stack([column(x) for x in names], 1)
-            factor = np.where(np.isnan(factor), rest, factor)
             c = np.nan_to_num(column("c"))
-            emit = np.concatenate([shared.value.emit, shared.value.emit[rare:] * factor])
+            factors = lean.factors(c, np.stack([column(x) for x in names], 1))
+            emit = np.concatenate([shared.value.emit, shared.value.emit[rare:] * factors])
             log = forward(shared.value._replace(emit=emit), own, offs) / np.log(10.0)
             lost = own > rare
             seq = np.repeat(np.arange(rb.num_rows), np.diff(offs))[lost]
@@ -551,6 +563,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES,
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
+    words = counted.select("h", "c", *(F.when(F.col("c") >= LEAST, F.col(x)).alias(x) for x in names))
     met = rows.select("uid", F.explode(F.array_distinct("rare")).alias("h")).join(words, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "c", *names)).alias("met"))
     whole = rows.join(met, "uid", "left").sortWithinPartitions("n_tokens")
     return whole.mapInArrow(
