@@ -448,8 +448,9 @@ def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
     kind = np.uint16 if rare < 1 << 16 else np.uint32
     names = [f"n{i}" for i in range(states)]
 
-    def batch(u, n):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x) for x in n.T)], ["h", "c", *names])
+    def batches_of(u, n):
+        for a in range(0, len(u), 1 << 15):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 15)]) for x in (u.view(np.int64), *n.T)], ["h", "c", *names])
 
     def task(batches):
         held, size = [], 0
@@ -471,14 +472,11 @@ def split(rows: DataFrame, model: Hmm, codes: Codes) -> DataFrame:
             n = np.rint(sums[:, rare + 1 :].T * GRAIN).astype(np.int64)
             held.append((u, np.column_stack([np.bincount(own, minlength=len(emit))[rare + 1 :], n])))
             size += len(u)
-            if size > 1 << 20:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 1 << 19:
-                    yield batch(*held[0])
-                    held, size = [], 0
+            if size > 1 << 18:
+                yield from batches_of(*merged())
+                held, size = [], 0
         if held:
-            yield batch(*merged())
+            yield from batches_of(*merged())
 
     train = rows.where("not held_out").select("uid", "symbols", "rare")
     sums = train.mapInArrow(task, ", ".join(f"{x} long" for x in ["h", "c", *names])).groupBy("h")
