@@ -42,10 +42,8 @@ def doc_tokens_count(spark, d):
 
 
 def term_df_idf(spark, d):
-    """The whole vocabulary by document frequency: its terms' number and a sum of their hashes, and their idf."""
-    hashed = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
-    v = bm25.vocabulary(si.doc_units(spark, d)).groupBy("df").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(hashed).alias("terms_hash"), F.min("idf").alias("low"), F.max("idf").alias("high"))
-    return v.select("df", "n_terms", "terms_hash", F.round("low", 6).alias("idf"), (F.col("high") - F.col("low") < 1e-9).alias("one_idf"))
+    """The whole vocabulary, a row each: term, document frequency and idf."""
+    return bm25.vocabulary(si.doc_units(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def doc_chunks(spark, d):

@@ -188,5 +188,13 @@ def test_query(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_vocabulary_is_given_term_by_term(spark, duck):
+    """One row for every distinct term (it was one for every document frequency)."""
+    got = catalogue.queries()["term_df_idf"](spark, DIR)
+    assert got.columns == ["term", "df", "idf"]
+    terms = duck.sql("SELECT count(DISTINCT t) FROM (SELECT unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f\\x0B]+')) AS t FROM documents) WHERE len(t) >= 2").fetchall()[0][0]
+    assert got.count() == got.select("term").distinct().count() == terms
+
+
 def test_names():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
