@@ -3,11 +3,11 @@
 Layout of an index folder:
 
 * ``units``: the units as they were given, tokens included (read only where units are filtered first);
-* ``postings``: bucket, segment, term and the list of (unit, tf, length) of the term in the
-  segment, sorted by term in each bucket's files.  A unit lies in one segment, a segment
-  holds about ``SEGMENT`` units at most, so no list is longer;
-* ``terms``: bucket, term, df, idf;
-* ``facts``: one row, number of units, their mean length, and number of buckets and terms;
+* ``postings``: bucket, segment, term, the number n of units of the segment that have the term, and their numbers,
+  tf and lengths as three arrays, sorted by term in each bucket's files.  A unit lies in one segment, a segment
+  holds ``SEGMENT`` units or about ``STEP`` tokens at most, so no list is longer;
+* ``terms``: bucket, term, df, raw (the idf before the floor of negative ones);
+* ``facts``: one row, number of units, their mean length, number of buckets and terms, and that floor;
 * ``vectors`` (if given): unit, vector.
 
 A single question (``best``) brings the postings of its terms to the driver where they are few, and keeps them there for
@@ -35,8 +35,10 @@ LEAST = 1 << 10
 #: Buckets of terms at most, and units for each of them in a small index: a question has terms in nearly all buckets, so
 #: few files are read where few are enough, and pages of terms are skipped inside them.
 BUCKETS, BUCKET_UNITS = 32, 1 << 14
-#: Tokens that are counted at once (a longer unit is counted alone).
-STEP = 1 << 20
+#: Tokens of a segment at most (a longer unit is one of its own).
+STEP = 1 << 21
+#: Rows of postings that a task gives at once.
+ROWS = 1 << 14
 #: Sizes of row groups and pages: rows are sorted by what is looked up, and small pages let a scan skip all others.
 UNIT_PAGES = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "64"}
 TERM_PAGES = {"parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "256"}
@@ -83,46 +85,71 @@ def bucket(term, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-LIST = "array<struct<unit:bigint,tf:int,dl:int>>"
-
-
-def _counted(batches):
-    """(segment, unit, tokens) -> segment, term and the postings of the term in a run of units."""
-    for rb in batches:
-        lists = rb.column(2)
-        at = np.asarray(lists.offsets).astype(np.int64)
-        a = 0
-        while a < rb.num_rows:
-            b = max(a + 1, int(np.searchsorted(at, at[a] + STEP, side="right")) - 1)
-            b = min(b, rb.num_rows)
-            words = lists.values.slice(at[a], at[b] - at[a]).dictionary_encode()
-            n, size = b - a, np.diff(at[a : b + 1])
-            segment = rb.column(0).slice(a, n).to_numpy(zero_copy_only=False).astype(np.int64)
-            unit = np.repeat(np.arange(n), size)
-            distinct = max(1, len(words.dictionary))
-            key = (segment[unit] * distinct + words.indices.to_numpy(zero_copy_only=False)) * n + unit
-            key, tf = np.unique(key, return_counts=True)
-            group, unit = key // n, key % n
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-            posting = pa.StructArray.from_arrays(
-                [rb.column(1).slice(a, n).take(pa.array(unit)), pa.array(tf.astype(np.int32)), pa.array(size[unit].astype(np.int32))], ["unit", "tf", "dl"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((group[first] // distinct).astype(np.int32)), words.dictionary.take(pa.array(group[first] % distinct)),
-                    pa.ListArray.from_arrays(pa.array(np.append(first, len(group)).astype(np.int32)), posting),
-                ],
-                ["segment", "term", "list"],
-            )
-            a = b
-
-
-def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config: Bm25Config = Bm25Config()) -> None:
-    """Writes the index of units (unit, tokens, any other columns) to ``path``."""
+POSTINGS = "segment long, term string, n int, unit array<bigint>, tf array<int>, dl array<int>"
+
+
+def _counted(table: pa.Table, segment: int):
+    """The postings of a segment from its (part, unit, tokens), term by term."""
+    lists, units = table.column(2).combine_chunks(), table.column(1).combine_chunks()
+    size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    words, n = lists.flatten().dictionary_encode(), len(units)
+    at = np.repeat(np.arange(n), size)
+    key, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + at, return_counts=True)
+    group, at = key // max(1, n), key % max(1, n)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(group))
+    columns = [units.take(pa.array(at)), pa.array(tf.astype(np.int32)), pa.array(size[at].astype(np.int32))]
+    terms = words.dictionary.take(pa.array(group[first]))
+    for a in range(0, len(first), ROWS):
+        b = min(a + ROWS, len(first))
+        low, high = int(first[a]), int(last[b - 1])
+        offsets = pa.array(np.append(first[a:b], high).astype(np.int32) - np.int32(low))
+        lists_of = [pa.ListArray.from_arrays(offsets, c.slice(low, high - low)) for c in columns]
+        head = [pa.array(np.full(b - a, segment, np.int64)), terms.slice(a, b - a), pa.array((last[a:b] - first[a:b]).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*head, *lists_of], ["segment", "term", "n", "unit", "tf", "dl"])
+
+
+def _segments(size: int, most: int):
+    """(part, unit, tokens) -> ``POSTINGS``: every ``size`` units of a task (or ``most`` tokens) in turn are a segment,
+    so that the lists of a segment are whole where they are made and nothing is merged."""
+
+    def task(batches):
+        held, n, tokens, run = [], 0, 0, 0
+
+        def done():
+            nonlocal held, n, tokens, run
+            table = pa.Table.from_batches(held)
+            segment = (table.column(0)[0].as_py() << 32) | run
+            held, n, tokens, run = [], 0, 0, run + 1
+            return _counted(table, segment)
+
+        for rb in batches:
+            at = np.asarray(rb.column(2).offsets).astype(np.int64)
+            a = 0
+            while a < rb.num_rows:
+                b = min(rb.num_rows, a + size - n, int(np.searchsorted(at, at[a] + most - tokens, side="right")) - 1)
+                if b <= a and held:
+                    yield from done()
+                    continue
+                b = max(b, a + 1)
+                held.append(rb.slice(a, b - a))
+                n, tokens, a = n + b - a, tokens + int(at[b] - at[a]), b
+                if n >= size or tokens >= most:
+                    yield from done()
+        if held:
+            yield from done()
+
+    return task
+
+
+def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config: Bm25Config = Bm25Config(), ordered: bool = False) -> None:
+    """Writes the index of units (unit, tokens, any other columns) to ``path``.  ``ordered``: their partitions are
+    sorted ranges of units already."""
     spark = units.sparkSession
     ship(spark)
     # by unit, so that looking up a few of them reads the row groups that hold them
-    units.repartitionByRange("unit").sortWithinPartitions("unit").write.mode("overwrite").options(**UNIT_PAGES).parquet(f"{path}/units")
+    rows = units if ordered else units.repartitionByRange("unit").sortWithinPartitions("unit")
+    rows.write.mode("overwrite").options(**UNIT_PAGES).parquet(f"{path}/units")
     if vectors is not None:
         vectors.select("unit", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
     tokens = F.coalesce("tokens", F.array().cast("array<string>"))
@@ -131,21 +158,19 @@ def build(units: DataFrame, path: str, vectors: DataFrame | None = None, config:
     n, mean = facts.first()
     n_buckets = max(1, min(BUCKETS, n // BUCKET_UNITS))
     n_segments = max(1, -(-n // SEGMENT), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)))
-    segment = F.pmod(F.xxhash64("unit"), F.lit(n_segments)).cast("int")
-    parts = u.select(segment.alias("segment"), "unit", "tokens").mapInArrow(_counted, f"segment int, term string, list {LIST}")
-    # one shuffle, of lists: the aggregate and the files are by segment and bucket
-    parts = parts.withColumn("bucket", bucket("term", n_buckets)).repartition("segment", "bucket")
-    lists = parts.groupBy("segment", "bucket", "term").agg(F.flatten(F.collect_list("list")).alias("list"))
-    lists = lists.sortWithinPartitions("bucket", "term")
+    part = F.spark_partition_id().cast("long").alias("part")
+    lists = u.select(part, "unit", "tokens").mapInArrow(_segments(max(1, -(-n // n_segments)), STEP), POSTINGS)
+    # no shuffle: the lists are whole, and each task writes its own segments by bucket
+    lists = lists.withColumn("bucket", bucket("term", n_buckets)).sortWithinPartitions("bucket", "term")
     lists.write.mode("overwrite").options(**TERM_PAGES).partitionBy("bucket").parquet(f"{path}/postings")
-    df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("list")).cast("long").alias("df"))
+    df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("n").cast("long").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    hist = raw.groupBy("df").agg(F.count(F.lit(1)).alias("c"), F.first("raw").alias("r")).agg(F.sum(F.col("c") * F.col("r")) / F.sum("c"))
-    floor = config.epsilon * (hist.first()[0] or 0.0)
-    idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
-    raw.select("bucket", "term", "df", idf.alias("idf")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    n_terms = spark.read.schema("term string").parquet(f"{path}/terms").count()
-    local(spark, {"n_units": [n], "mean": [float(mean)], "n_buckets": [n_buckets], "n_terms": [n_terms]}).write.mode("overwrite").parquet(f"{path}/facts")
+    raw.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    # the mean comes from the few distinct document frequencies
+    hist = spark.read.schema("df long, raw double").parquet(f"{path}/terms").groupBy("df").agg(F.count(F.lit(1)).alias("c"), F.first("raw").alias("r"))
+    total, n_terms = hist.agg(F.sum(F.col("c") * F.col("r")) / F.sum("c"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    floor = config.epsilon * (total or 0.0)
+    local(spark, {"n_units": [n], "mean": [float(mean)], "n_buckets": [n_buckets], "n_terms": [n_terms], "floor": [float(floor)]}).write.mode("overwrite").parquet(f"{path}/facts")
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -159,7 +184,8 @@ def load(spark: SparkSession, path: str) -> Index:
         vectors = read("vectors")
     except AnalysisException:
         vectors = None
-    return Index(read("units"), read("postings"), read("terms"), facts["n_units"], facts["mean"] or 1.0, vectors, n_buckets=facts["n_buckets"], n_terms=facts["n_terms"])
+    idf = F.when(F.col("raw") < 0, F.lit(facts["floor"])).otherwise(F.col("raw")).alias("idf")
+    return Index(read("units"), read("postings"), read("terms").select("bucket", "term", "df", idf), facts["n_units"], facts["mean"] or 1.0, vectors, n_buckets=facts["n_buckets"], n_terms=facts["n_terms"])
 
 
 def serving(spark: SparkSession) -> SparkSession:
@@ -191,12 +217,11 @@ def best(index: Index, tokens: list[str], k: int, config: Bm25Config = Bm25Confi
     if sum(facts[w][1] for w in weight) > READ:
         return _best_there(index, weight, k, config)
     if missing:
-        got = _of(index, index.postings, missing).select("term", "list").toArrow()  # at most ``READ`` postings
-        lists = got["list"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
+        got = _of(index, index.postings, missing).select("term", "unit", "tf", "dl").toArrow()  # at most ``READ`` postings
+        lists = [got[c].combine_chunks() if got.num_rows else [] for c in ("unit", "tf", "dl")]
         parts: dict[str, list] = {}
         for i, w in enumerate(got["term"].to_pylist()):
-            one = lists[i].values
-            parts.setdefault(w, []).append([one.field(j).to_numpy(zero_copy_only=False) for j in range(3)])
+            parts.setdefault(w, []).append([c[i].values.to_numpy(zero_copy_only=False) for c in lists])
         for w, several in parts.items():
             held[w] = tuple(np.concatenate([p[j] for p in several]) for j in range(3))
             index.lists.put(w, held[w], sum(a.nbytes for a in held[w]) + 200)
@@ -214,7 +239,7 @@ def _best_there(index: Index, weight: dict[str, float], k: int, config: Bm25Conf
     terms = local(index.postings.sparkSession, {"term": list(weight), "weight": list(weight.values())})
     rows = _of(index, index.postings, list(weight)).join(F.broadcast(terms), "term")
     part = f"weight * p.tf * {config.k1 + 1}D / (p.tf + {config.k1}D * ({1 - config.b}D + {config.b}D * p.dl / {index.mean}D))"
-    scored = rows.selectExpr("weight", "explode(list) AS p").groupBy(F.col("p.unit").alias("unit")).agg(F.expr(f"round(sum({part}), {config.digits})").alias("score"))
+    scored = rows.selectExpr("weight", "explode(arrays_zip(unit, tf, dl)) AS p").groupBy(F.col("p.unit").alias("unit")).agg(F.expr(f"round(sum({part}), {config.digits})").alias("score"))
     top = scored.orderBy(F.col("score").desc(), "unit").limit(k)
     return [(r["unit"], r["score"]) for r in top.collect()]
 
@@ -259,10 +284,8 @@ def _scored(index: Index, asked: list, k: int, config: Bm25Config) -> DataFrame:
     weight_of, mean = np.array([idf[w] for w in sorted(idf)]), index.mean
 
     def task(table):
-        lists = table["list"].combine_chunks()
-        size = np.diff(np.asarray(lists.offsets))
-        flat = lists.flatten()
-        unit, tf, dl = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        size = table["n"].to_numpy()
+        unit, tf, dl = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("unit", "tf", "dl"))
         term = np.array([place[w] for w in table["term"].to_pylist()], np.int64)
         of = np.repeat(term, size)
         ids, at = np.unique(unit, return_inverse=True)
@@ -287,5 +310,5 @@ def _scored(index: Index, asked: list, k: int, config: Bm25Config) -> DataFrame:
         qid, unit, score = (np.concatenate(x) for x in zip(*out))
         return pa.table({"qid": pa.array(qid, pa.int64()), "unit": pa.array(unit, pa.int64()), "score": pa.array(score)})
 
-    rows = _of(index, index.postings, sorted(idf)).select("segment", "term", "list")
+    rows = _of(index, index.postings, sorted(idf)).select("segment", "term", "n", "unit", "tf", "dl")
     return rows.groupBy("segment").applyInArrow(task, "qid long, unit long, score double")

@@ -25,20 +25,21 @@ def pub_day():
     return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("league"), F.col("source").alias("article_type"), pub_day().alias("pub_date"))
+def articles(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = documents(spark, sf_dir) if docs is None else docs
+    return docs.select("doc_id", "text", F.col("lang").alias("league"), F.col("source").alias("article_type"), pub_day().alias("pub_date"))
 
 
-def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_units(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Whole documents as units."""
-    return articles(spark, sf_dir).select(
+    return articles(spark, sf_dir, docs).select(
         F.col("doc_id").alias("unit"), F.col("doc_id").alias("doc"), text.plain_tokens(F.col("text")).alias("tokens"), "pub_date", "league", "article_type"
     )
 
 
-def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_units(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Word windows as units."""
-    a = articles(spark, sf_dir).withColumn("text", F.lower("text"))
+    a = articles(spark, sf_dir, docs).withColumn("text", F.lower("text"))
     c = text.windows(a, "text", "w", joined=False).select("doc_id", "pub_date", "league", "article_type", F.posexplode_outer("w").alias("i", "part"))
     return c.select(
         (F.col("doc_id") * CHUNKS + F.col("i")).alias("unit"), F.col("doc_id").alias("doc"), F.filter("part", lambda t: F.length(t) >= 2).alias("tokens"), "pub_date", "league", "article_type"
@@ -72,7 +73,9 @@ def index(spark: SparkSession, sf_dir: str, kind: str) -> search_index.Index:
     key = (spark.sparkContext.applicationId, sf_dir, kind, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _built:
         path = f"{shared_dir(spark)}/qanat/index-{kind}-{uuid.uuid4().hex}"
-        search_index.build((doc_units if kind == "doc" else chunk_units)(spark, sf_dir), path)
+        # texts are dealt by number, not their tokens: these are made once, in order
+        docs = table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        search_index.build((doc_units if kind == "doc" else chunk_units)(spark, sf_dir, docs), path, ordered=True)
         _built[key] = path
     return search_index.load(spark, _built[key])
 

@@ -293,6 +293,31 @@ def test_index_gives_what_the_scan_gives(spark, tmp_path, monkeypatch):
     assert search_index.search(found, asked.limit(0), 7).count() == 0
 
 
+def test_lists_of_a_segment_are_whole_and_bounded(spark, tmp_path, monkeypatch):
+    """A segment is made by one task: no more than ``STEP`` tokens save for one long unit, every term once, and nothing shuffled."""
+    from qanat.plans import index as search_index
+
+    monkeypatch.setattr(search_index, "STEP", 64)
+    rows = [(i, [f"w{(i * j) % 31}" for j in range(200 if i == 40 else i % 23)]) for i in range(120)] + [(500, [])]
+    units = spark.createDataFrame(rows, "unit long, tokens array<string>").repartition(3)
+    search_index.build(units, str(tmp_path / "i"))
+    found = search_index.load(spark, str(tmp_path / "i"))
+    size = {i: len(t) for i, t in rows}
+    seen: dict = {}
+    for r in found.postings.collect():
+        assert r["n"] == len(r["unit"]) == len(r["tf"]) == len(r["dl"]) and [size[u] for u in r["unit"]] == r["dl"]
+        seen.setdefault(r["segment"], []).append(r)
+    for lists in seen.values():
+        assert len({r["term"] for r in lists}) == len(lists)
+        own = {u for r in lists for u in r["unit"]}
+        assert sum(size[u] for u in own) <= 64 or len(own) == 1
+        assert sum(sum(r["tf"]) for r in lists) == sum(size[u] for u in own)
+    assert sum(r["n"] for lists in seen.values() for r in lists) == sum(len(set(t)) for _, t in rows)
+    asked = spark.createDataFrame([(1, ["w1", "w30", "w7"]), (2, ["w0"])], "qid long, tokens array<string>")
+    key = lambda df: sorted((r.qid, r.unit, r.score, r["rank"]) for r in df.collect())
+    assert key(search_index.search(found, asked, 9)) == key(bm25.search(units, asked, 9))
+
+
 def test_evaluate_command(spark, tmp_path):
     import json
 
