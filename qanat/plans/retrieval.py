@@ -11,6 +11,16 @@ from qanat.operators.vector_index import VectorIndex
 from qanat.plans import index as search_index
 
 
+#: Hits that are sent to the rows of units at most; more are shuffled with them.
+FEW = 1 << 19
+
+
+def sent(hits: DataFrame, most: int) -> DataFrame:
+    """``hits`` for a join with rows of units: broadcast where there are few, so that the units, which grow
+    with the corpus, stay where they are read."""
+    return F.broadcast(hits) if most <= FEW else hits
+
+
 def _near(vectors: DataFrame | VectorIndex | None, queries: DataFrame, pool: int) -> DataFrame | None:
     """The dense side: every vector, or those of the cells that an index reads."""
     if vectors is None:
@@ -47,7 +57,8 @@ def retrieve(
     elif use_sparse:
         sparse = bm25.search(searched, queries, pool, bm, config.pad_zero_scores)
     near = _near(vectors, queries, pool)
-    return fusion.finish(fusion.fuse(sparse, near, config), units.drop("tokens"), now, filters, config, collapse)
+    fused = sent(fusion.fuse(sparse, near, config), queries.count() * pool * 2)
+    return fusion.finish(fused, units.drop("tokens"), now, filters, config, collapse)
 
 
 def retrieve_each(
@@ -73,6 +84,7 @@ def retrieve_each(
     slim = units.select("unit", "doc", "pub_date", *[c for c in ("article_type", "league", "teams") if c in units.columns])
     if "teams" not in slim.columns:
         slim = slim.withColumn("teams", F.array().cast("array<string>"))
-    fused = fusion.fuse(cut(sparse), near, config).join(wants.drop("pool"), "qid")
+    n = queries.count()
+    fused = sent(fusion.fuse(cut(sparse), near, config).join(wants.drop("pool"), "qid"), n * wide * 2)
     best = fusion.finish(fused, slim, now, fusion.keep_each(), config).select("qid", "unit", "score", "rank")
-    return best.join(units.drop("tokens"), "unit")
+    return sent(best, n * config.k_final).join(units.drop("tokens"), "unit")
