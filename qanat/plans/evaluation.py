@@ -13,6 +13,7 @@ from qanat.functions import rules, text
 from qanat.functions.text import ARABIC, Folding
 from qanat.operators import bm25, dense, fusion
 from qanat.plans import index as search_index
+from qanat.plans.retrieval import sent
 from qanat.session import staged
 
 METRICS = ["rouge1", "keyword_hit", "hit_at_1", "recall_at_3", "mrr", "intent_accuracy"]
@@ -60,12 +61,13 @@ def ablation(units: DataFrame, vectors: DataFrame | None, cases: DataFrame, now,
     config = RetrievalConfig(k_final=k, pool=pool)
     sparse = bm25.search(units, cases, pool) if index is None else search_index.search(index, cases, pool)
     near = dense.search(vectors, cases, pool) if vectors is not None else None
+    n_cases = cases.count()
     runs = dict(zip(EXPERIMENTS, [(sparse, None), (None, near), (sparse, near)] if near is not None else [(sparse, None)]))
     hits = None
     for name, (s, n) in runs.items():
-        one = fusion.finish(fusion.fuse(s, n, config), units.drop("tokens"), now, {}, config).select(F.lit(name).alias("experiment"), "qid", "unit", "rank")
+        one = fusion.finish(sent(fusion.fuse(s, n, config), n_cases * pool * 2), units.drop("tokens"), now, {}, config).select(F.lit(name).alias("experiment"), "qid", "unit", "rank")
         hits = one if hits is None else hits.unionByName(one)
-    return hits.join(texts, "unit")
+    return sent(hits, n_cases * k * len(runs)).join(texts, "unit")
 
 
 CASES = "question string, reference string, intent string, difficulty string, keywords array<string>, expected_refusal boolean"
