@@ -37,9 +37,8 @@ def demo_engine(spark: SparkSession, d: str) -> Engine:
     from qanat.plans.catalogue import DEMO_RULES
 
     index = si.index(spark, d, "doc")
-    body = si.documents(spark, d).select(F.col("doc_id").alias("unit"), "text")
-    chunks = index.units.join(body, "unit").select(
-        "unit", "doc", F.col("unit").cast("string").alias("chunk_id"), "tokens", F.substring("text", 1, 60).alias("title"), F.col("text").alias("body_clean"), "text",
+    chunks = si.articles(spark, d).select(
+        F.col("doc_id").alias("unit"), F.col("doc_id").alias("doc"), F.col("doc_id").cast("string").alias("chunk_id"), text.plain_tokens(F.col("text")).alias("tokens"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body_clean"), "text",
         "pub_date", "article_type", "league", F.array().cast("array<string>").alias("teams"), F.lit("").alias("source_url"),
     )
     return Engine(

@@ -196,5 +196,35 @@ def test_vocabulary_is_given_term_by_term(spark, duck):
     assert got.count() == got.select("term").distinct().count() == terms
 
 
+def joined_by_shuffle(df):
+    """Whether a plan without automatic broadcasts shuffles units to join them with hits."""
+    return "SortMergeJoin [unit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_guess(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_units_stay_where_they_are_for_a_batch_of_questions(spark, no_guess):
+    assert not joined_by_shuffle(catalogue.queries()["hybrid_retrieve"](spark, DIR))
+
+
+def test_texts_stay_where_they_are_for_an_ablation(spark, no_guess):
+    assert not joined_by_shuffle(catalogue.queries()["ablation_winner"](spark, DIR))
+
+
+def test_texts_stay_where_they_are_for_answers(spark, no_guess):
+    from qanat.plans import answer_queries, retrieval
+    from qanat.plans import stand_ins as si
+
+    engine = answer_queries.demo_engine(spark, DIR)
+    assert "Join" not in engine.chunks._jdf.queryExecution().executedPlan().toString()
+    assert not joined_by_shuffle(retrieval.retrieve_each(engine.chunks, si.questions(spark, DIR), catalogue._now(), None, index=engine.index))
+
+
 def test_names():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
