@@ -6,6 +6,7 @@ they hid, cuts before mark-up, mark-up before white space.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -30,7 +31,7 @@ def before_cuts(rules: CleanRules) -> list[tuple[str, str]]:
     # Patterns and replacements up to the removal of backslashes.
     return [
         (r"\[\]\(https?://[^\)]+\)\s*", ""),
-        (DAYS + r"[،,]\s*\d{1,2}\s+\w+\s+\d{4}\s*[-–]\s*\d{2}:\d{2}\s*", ""),
+        (r"(?=ال)" + DAYS + r"[،,]\s*\d{1,2}\s+\w+\s+\d{4}\s*[-–]\s*\d{2}:\d{2}\s*", ""),
         (rf"كتب\s*:\s*{rules.byline}\s*", ""),
         (r"\*\*\d+\*\*\s*\\\\\s*[^\*\n]{2,40}\s*\\\\\s*\*\*\d+\*\*\s*\\\\\s*[^\*\n]{2,40}\s*\\\\\s*\*\*[^\*\n]+\*\*", ""),
         (r"انتهت\d{2}:\d{2}\s*", ""),
@@ -60,7 +61,7 @@ AFTER_CUTS = [
     (r"(?i)@beIN\w*", ""),
     (r"(?i)beIN\s*Sports?\s*(?:عربي|العربية|Arabic)?", ""),
     (r"\b\d{1,2}\s+" + MONTHS + r"\s+\d{4}\b", ""),
-    (MONTHS + r"\s+\d{1,2},?\s+\d{4}\b", ""),
+    (r"(?=[ADFJMNOS])" + MONTHS + r"\s+\d{1,2},?\s+\d{4}\b", ""),
     (r"_\*\*([^\*\n]+)\*\*_", "$1"),
     (r"\*\*_([^_\n]+)_\*\*", "$1"),
     (r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27FF}\x{FE00}-\x{FE0F}\x{1FA00}-\x{1FA9F}]+", ""),
@@ -78,13 +79,39 @@ AFTER_CUTS = [
 ]
 
 
+#: What every match of a pattern (given by its beginning) holds one of.  A text without them is not searched by
+#: regular expression at all: most steps find nothing in most texts.
+NEEDS = {
+    r"[](http": (r"\[\]\(https?",), "ال": (r"(?=ال)" + DAYS,), "كتب": (r"كتب\s*",), "**": (r"\*\*\d+\*\*", r"\*\*([^\*\n]+)\*\*"), "انتهت": ("انتهت",), "video:": (r"\bvideo:",),
+    "pic.twitter.com/": (r"https?://pic\.twitter\.com/", r"pic\.twitter\.com/"), "#": (r"#[\w", "#{1,6}"), ">": ("(?m)^>",), "\\": (r"\\+",), "/articles/": ("/articles/",), "Client": (r"(?s)\bClient\b",),
+    "هايترز": ("(?is)هايترز",), "@": ("(?i)@beIN",), "_**": (r"_\*\*",), "**_": (r"\*\*_",), "*": (r"\*([^\*\n]+)\*",), "](": (r"\[([^\]]+)\]\(",), "[](": (r"\[\]\([^",), "![": (r"!\[",),
+    "<": ("<[^>]+>",), "صورة": ("صورة",),
+}
+BLANKS, BEYOND = r"[ \t]{2,}", r"[\x{1F300}"
+
+
+def needed(pattern: str, text: Column, rules: CleanRules | None = None) -> Column | None:
+    """Whether ``text`` may have a match of ``pattern``; None: not known without searching."""
+    if pattern.startswith(BEYOND):  # characters beyond ASCII
+        return F.octet_length(text) > F.length(text)
+    if pattern == BLANKS:
+        return F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t"))
+    if rules is not None and rules.domain in pattern and re.fullmatch(r"(?:[\w-]|\\\.)+", rules.domain):
+        return F.contains(text, F.lit(rules.domain.replace("\\.", ".")))
+    found = next((x for x, starts in NEEDS.items() if pattern.startswith(starts)), None)
+    return None if found is None else F.contains(text, F.lit(found))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
-def replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
+def replace_all(text: Column, steps: list[tuple[str, str]], rules: CleanRules | None = None) -> Column:
+    def step(pattern, to):
+        return lambda t: F.when(needed(pattern, t, rules), F.regexp_replace(t, "(?U)" + pattern, to)).otherwise(t)
+
     for pattern, to in steps:
-        text = F.regexp_replace(text, "(?U)" + pattern, to)
+        text = bound(text, step(pattern, to)) if needed(pattern, text, rules) is not None else F.regexp_replace(text, "(?U)" + pattern, to)
     return text
 
 
@@ -103,7 +130,7 @@ def clean_body(text: Column, title: Column | None = None, rules: CleanRules = Cl
 
     def without_ticker(t: Column) -> Column:
         cut = F.regexp_replace(t, r"(?Us)(?:" + TICKER + r").*$", "")
-        return bound(cut, lambda c: F.when(c != t, trimmed(c)).otherwise(t))
+        return F.when(F.contains(t, F.lit("|")), bound(cut, lambda c: F.when(c != t, trimmed(c)).otherwise(t))).otherwise(t)
 
     def without_related(t: Column) -> Column:
         at = F.instr(t, RELATED) - 1
@@ -114,6 +141,6 @@ def clean_body(text: Column, title: Column | None = None, rules: CleanRules = Cl
         starts = (F.length(title) > rules.title_min) & F.startswith(t, trimmed(head))
         return F.when(starts, trimmed(F.substr(t, F.length(head) + 1))).otherwise(t)
 
-    t = bound(replace_all(F.coalesce(text, F.lit("")), before_cuts(rules)), without_ticker)
+    t = bound(replace_all(F.coalesce(text, F.lit("")), before_cuts(rules), rules), without_ticker)
     t = trimmed(replace_all(bound(t, without_related), AFTER_CUTS))
     return t if title is None else bound(t, without_title)

@@ -164,3 +164,26 @@ def test_metrics(spark):
     assert top(["ab", "x"], ["a"]) == 1.0 and top(["x", "a"], ["a"]) == 0.0 and top([], ["a"]) == 0.0
     acc = lambda p, w, f: one(spark, metrics.intent_accuracy(F.col("p"), F.col("w"), F.col("f")), p=p, w=w, f=f)
     assert acc("out_of_scope", "general_football", True) == 1.0 and acc("out_of_scope", "general_football", False) == 0.0
+
+
+def test_steps_that_cannot_match_are_skipped(spark):
+    """Texts made of what the patterns look for: the cleaner that looks for a needed part first gives what the plain replacements give."""
+    import random
+
+    rng = random.Random(4)
+    parts = ["[](http://a)", "الأحد، 12 مايو 2024 - 12:30 ", "كتب : Example", "**3** \\\\", "**", "*", "_", "انتهت12:30", "video:12", "https://pic.twitter.com/x", "pic.twitter.com/y", "#", "#tag", "\n> q", ">", "<b>",
+             "https://www.news.example/a", "news.example", "\\", "/articles/12", "Client", "هايترز تي في يوتيوب", "YouTube x", "12 مشترك", "@beINx", "bein sport", "3 May 2024", "May 3, 2024", "😀", "é", "[a](b)", "[](b)", "![a](b)",
+             "صورة : x", "getty images", "word word", "  ", "\t", " ", "\n", "a", "12", "|", "7 دقيقة |"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rule, one = clean.CleanRules(), []
+    for steps in (clean.before_cuts(rule), clean.AFTER_CUTS):
+        plain = F.col("t")
+        for pattern, to in steps:
+            plain = F.regexp_replace(plain, "(?U)" + pattern, to)
+            one.append((pattern, clean.needed(pattern, F.col("t"), rule)))
+        assert df.where(~clean.replace_all(F.col("t"), steps, rule).eqNullSafe(plain)).count() == 0
+    skipped = [(p, c) for p, c in one if c is not None]
+    assert len(skipped) >= 27
+    found = df.agg(*[F.count_if(F.rlike("t", F.lit("(?U)" + p)) & ~c) for p, c in skipped], *[F.count_if(F.rlike("t", F.lit("(?U)" + p))) for p, _ in skipped]).first()
+    assert not any(found[: len(skipped)]) and sum(n > 0 for n in found[len(skipped) :]) >= 25
