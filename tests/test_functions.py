@@ -187,3 +187,18 @@ def test_steps_that_cannot_match_are_skipped(spark):
     assert len(skipped) >= 27
     found = df.agg(*[F.count_if(F.rlike("t", F.lit("(?U)" + p)) & ~c) for p, c in skipped], *[F.count_if(F.rlike("t", F.lit("(?U)" + p))) for p, _ in skipped]).first()
     assert not any(found[: len(skipped)]) and sum(n > 0 for n in found[len(skipped) :]) >= 25
+
+
+def test_a_page_leaves_nothing_to_the_garbage_collector():
+    import gc
+
+    from qanat.sources import html
+
+    page = "<html><body><h1>Title</h1><article><p>" + "word " * 40 + "<b>bold</b></p></article></body></html>"
+    gc.collect()
+    gc.disable()
+    try:
+        assert html.article("", page, "")["title"] == "Title" and html.article("", "<p>none</p>", "") is None
+        assert not [x for x in gc.get_objects() if isinstance(x, html.Node)]
+    finally:
+        gc.enable()
