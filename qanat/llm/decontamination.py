@@ -32,6 +32,8 @@ from qanat.llm import common
 Q = 10
 SEGMENT = 120
 STRIDE = 60
+#: Text bytes whose q-grams are made at once; a task holds about 50 times as much meanwhile.
+BLOCK_BYTES = 1 << 20
 ERROR = 0.085
 #: Folded benchmark characters that one pass over the documents looks for (about 50
 #: bytes each in a task); a larger benchmark takes several passes, so what is sent to
@@ -414,7 +416,7 @@ def matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
         def task(batches, shared=shared):
             bench = shared.value
-            for rb, data, offs in common.blocks(batches):
+            for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
                 doc, item, edits, end = scan(bench, data, offs)
                 ids = [bench.ids[i] for i in item.tolist()]
                 n = np.array([len(x) for x in ids], np.int64)
@@ -446,7 +448,7 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
         def task(batches, shared=shared):
             bench = shared.value
-            for rb, data, offs in common.blocks(batches):
+            for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
                 good = np.ones(rb.num_rows, bool)
                 good[scan(bench, data, offs)[0]] = False
                 yield rb.filter(pa.array(good))

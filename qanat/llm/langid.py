@@ -27,6 +27,8 @@ from qanat.llm.ftrl import Ftrl
 
 BITS = 15
 DIMS = 1 << BITS
+#: Text bytes whose n-grams are made at once; a task holds about 50 times as much meanwhile.
+BLOCK_BYTES = 512 << 10
 #: Documents of each language that the learner sees, about; thinned by a hash of the id.
 SAMPLE_ROWS = 600
 #: Values of lang that are learned at most.
@@ -99,7 +101,7 @@ def document_frequencies(docs: DataFrame, langs: list[str]) -> tuple[np.ndarray,
     def task(batches):
         df = np.zeros((len(langs), wide), np.int64)
         names = pa.array(langs, pa.string())
-        for rb, data, offs in common.blocks(batches):
+        for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
             of = pc.index_in(rb.column(1).cast(pa.string()), names).to_numpy(zero_copy_only=False)
             for a, m, _ in counts(data, offs):
                 own = of[a : a + len(m)]
@@ -167,7 +169,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = SAMPLE_ROWS, epoch
     idf = (np.log((1 + n.sum()) / (1 + df.sum(0))) + 1).astype(np.float32)
 
     def task(batches):
-        for rb, data, offs in common.blocks(batches):
+        for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
             got = []
             for _, m, has in counts(data, offs):
                 for row, ok in zip(m, has):
@@ -213,7 +215,7 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
 
     def task(batches):
         model = shared.value
-        for rb, data, offs in common.blocks(batches):
+        for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
             best, prob = np.zeros(rb.num_rows, np.int64) - 1, np.zeros(rb.num_rows)
             if model is not None:
                 v = model.idf[:, None] * model.weights
@@ -248,7 +250,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = MIN_SHARE) ->
 
     def task(batches):
         model = shared.value
-        for rb, data, offs in common.blocks(batches):
+        for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
             good = np.zeros(rb.num_rows, bool)
             if model is not None:
                 v, sq = model.idf[:, None] * model.weights, (model.idf**2)[:, None]

@@ -32,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
+#: Text bytes whose shingles are made at once; a task holds about 50 times as much meanwhile.
+BLOCK_BYTES = 1 << 20
 #: Buckets up to this size have all their pairs compared.
 SMALL = 16
 #: Nodes of a large bucket that make a group, and bytes of their shingles; a task compares two groups.
@@ -126,7 +128,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, key (MD5 of the text), bands of every row with an id."""
 
     def task(batches):
-        for rb, data, offs in common.blocks(batches):
+        for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
             doc, item, weight = shingles(data, offs)
             keys = band_keys(signatures(doc, item, weight, rb.num_rows))
             has = np.bincount(doc, minlength=rb.num_rows) > 0
@@ -142,7 +144,7 @@ def weighted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, bag, bytes) of the documents in ``ids``: their weighted shingles, packed."""
 
     def task(batches):
-        for rb, data, offs in common.blocks(batches):
+        for rb, data, offs in common.blocks(batches, limit=BLOCK_BYTES):
             doc, item, weight = shingles(data, offs)
             cut = np.searchsorted(doc, np.arange(rb.num_rows + 1))
             bags = []

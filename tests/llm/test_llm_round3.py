@@ -6,14 +6,16 @@ import itertools
 import random
 import re
 import threading
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm_ops import VOCAB, awkward, empty, sentence
 
-from qanat.llm import ball_kmeans, common, ftrl, hmm, langid, periodic_runs, quality_rules, substring_dedup, token_files
+from qanat.llm import ball_kmeans, common, decontamination, ftrl, hmm, langid, near_dup, periodic_runs, quality_rules, substring_dedup, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -410,3 +412,35 @@ def test_expected_counts_by_enumeration():
     assert np.allclose(got_first, first) and np.allclose(got_moves, moves) and np.allclose(got_emit, seen) and np.isclose(loglik, total)
     again = hmm.estimate(first, moves, seen.T, np.full(3, 1 / 3), prior=0.0)
     assert np.allclose(again.move, (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)) and np.allclose(again.emit, seen.T / seen.T.sum(0))
+
+
+def test_memory_of_the_pipelines_tasks_does_not_follow_the_batch(spark, monkeypatch):
+    rng = random.Random(23)
+    docs = spark.createDataFrame([(i, sentence(rng, 40), "xy"[i % 2] * 2) for i in range(30)], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(i, sentence(rng, 60)) for i in range(3)], "item_id long, text string")
+    tasks, real = [], type(docs).mapInArrow
+
+    def seen(self, task, *a, **b):
+        tasks.append((task, self.columns))
+        return real(self, task, *a, **b)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", seen)
+    model = langid.train(docs, F.lit(True))
+    langid.predict(docs, model), langid.accepted(docs, model)
+    near_dup.described(docs), near_dup.weighted(docs, docs.select(F.col("doc_id").alias("id")))
+    decontamination.clean(docs, items), decontamination.matches(docs, items)
+    assert len(tasks) == 8
+
+    words = sentence(rng, 900)
+    texts = [f"{i} {words[i % 500 :]}" for i in range(2000)]
+    whole = {"doc_id": list(range(2000)), "id": list(range(2000)), "text": texts, "lang": ["xx", "yy"] * 1000, "key": [b"k"] * 2000}
+    assert sum(map(len, texts)) > 2 * common.BLOCK_BYTES
+    for task, columns in tasks:
+        few, many = (pa.RecordBatch.from_pydict({c: whole[c][:n] for c in columns}) for n in (2, 2000))
+        list(task(iter([few])))
+        tracemalloc.start()
+        for _ in task(iter([many])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6, (task.__qualname__, peak)
